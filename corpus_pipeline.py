@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import exact_dedup, line_quality, shared
+from fieldweave.llm import dart_minhash, exact_dedup, language_id, line_quality, packing, shared
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,16 +13,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_quality.cleaned(docs)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out documents that are far from all languages there are."""
+    return language_id.identified(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts."""
     return exact_dedup.deduplicated(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    return dart_minhash.near_deduplicated(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in windows of 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language id", language),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("packing", packed_sequences),
+]
+
+#: SQL can express neither the language model nor the signatures nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; the results of the others are written to the shared folder between them."""
     docs = shared.documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

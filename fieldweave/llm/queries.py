@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan, line_quality, ring_shard
-from .shared import documents
+from . import byte_bpe, dart_minhash, exact_dedup, language_id, license_scan, line_quality, packing, ring_shard, token_store
+from .shared import documents, new_dir
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -23,6 +25,26 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(docs, text_out=False).drop("text")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "tokens")
+    token_store.write_tokens(documents(spark, sf_dir), path, WORD_TOKENIZER)
+    return token_store.read_tokens(spark, path, ids=False)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs)
+    return language_id.predict(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), BYTE_TOKENIZER, ids=False)
+
+
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(documents(spark, sf_dir))
+
+
 def op7_ring_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
