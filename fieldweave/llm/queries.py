@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, dart_minhash, exact_dedup, language_id, license_scan, line_quality, packing, ring_shard, token_store
+from . import backoff_lm, byte_bpe, dart_minhash, exact_dedup, language_id, license_scan, line_quality, packing, ring_shard, token_store
 from .shared import documents, new_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.backoff_scores(documents(spark, sf_dir))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return license_scan.license_scan(docs).drop("text", "spans")
