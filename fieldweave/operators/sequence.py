@@ -35,7 +35,9 @@ def rolling_mean(c: Column | str, keys: Names, order: str, n: int) -> Column:
 
 
 def rolling_median(c: Column | str, keys: Names, order: str, n: int) -> Column:
-    return F.median(c).over(_by(keys, order).rowsBetween(*centred(n)))
+    values = F.array_sort(F.collect_list(F.col(c) if isinstance(c, str) else c).over(_by(keys, order).rowsBetween(*centred(n))))
+    k = F.size(values)
+    return (F.get(values, F.floor((k - 1) / 2).cast("int")) + F.get(values, F.floor(k / 2).cast("int"))) / 2
 
 
 def box_mean(c: Column | str, keys: Names, order: str, half: int = 2) -> Column:
