@@ -52,6 +52,22 @@ def parsed(markup: str) -> list:
     return out
 
 
+def as_regex(markup: str) -> str:
+    """The same texts as the automaton accepts, over words with single spaces around them."""
+    out = []
+    for part in parsed(markup):
+        out.append(re.escape(part) + " " if isinstance(part, str) else f"({re.escape(' '.join(part[1]))} )?".replace("\\ ", " ") if part[0] == "optional" else f"([^ ]+ ){{{part[1]},{part[2]}}}")
+    return " " + "".join(out)
+
+
+def sql_labels(text: str, templates=TEMPLATES) -> str:
+    """DuckDB expressions for the labels of all templates that a text of spaced words matches."""
+    by: dict[str, list[str]] = {}
+    for label, markup in templates:
+        by.setdefault(label, []).append(as_regex(markup))
+    return ", ".join(f"case when regexp_matches({text}, '{'|'.join(x)}') then '{label}' end" for label, x in by.items())
+
+
 class Automaton:
     """edges[state] has (word or None for any, next state); skips[state] has states that cost no word."""
 

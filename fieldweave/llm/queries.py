@@ -66,7 +66,46 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(docs).drop("text", "spans")
 
 
-SQL: dict[str, str] = {}
+# The SQL of the operators that SQL can express, for DuckDB. WORDS are runs of other than ASCII white space.
+WORDS = "'[^\\x20\\x09-\\x0D]+'"
+
+SQL: dict[str, str] = {
+    "op1_exact_dedup": r"""
+with d as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as h from documents)
+select doc_id, first_value(doc_id) over (partition by h order by n desc, doc_id) as keep_id, count(*) over (partition by h) as group_size, doc_id = first_value(doc_id) over (partition by h order by n desc, doc_id) as kept, h as text_sha256 from d
+""",
+    "op2_line_quality": rf"""
+with d as (select doc_id, coalesce(text, '') as text from documents), w as (select doc_id, text, regexp_extract_all(text, {WORDS}) as words, string_split(text, chr(10)) as lines from d),
+p as (select doc_id, unnest(range(1, len(words) - 3)) as i, words from w), g as (select doc_id, i, array_to_string(words[i : i + 4], ' ') as gram from p),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1), c as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from r) group by 1),
+l as (select doc_id, unnest(lines) as line from w), lw as (select doc_id, line, regexp_extract_all(line, {WORDS}) as words from l),
+q as (select doc_id, line, len(words) as n, len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]{{3}}') or (length(x) >= 2 and ends_with(x, '!!')))) as marks, len(list_filter(words, lambda x: x = '|')) as bars,
+ len(list_filter([{", ".join(f"'{x}'" for x in line_quality.BOILERPLATE)}], lambda x: contains(lower(line), x))) > 0 as boiler from lw where len(words) > 0),
+f as (select doc_id, n, 100 * marks > 30 * n or (bars >= 2 and 100 * bars > 15 * n) or (boiler and n <= 30) as fails from q),
+e as (select doc_id, count(*) filter (fails) as n_lost_lines, coalesce(sum(n) filter (fails), 0) as n_lost_words from f group by 1), u as (select doc_id, count(*) - count(distinct line) as n from q group by 1),
+m as (select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(u.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+ coalesce(n_lost_lines, 0) as n_lost_lines, cast(coalesce(n_lost_words, 0) as bigint) as n_lost_words from w left join c using (doc_id) left join u using (doc_id) left join e using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_lines, n_lost_words, base_failed, not base_failed and 100 * n_lost_words <= 40 * n_words as kept from b
+""",
+    "op9_backoff_lm": rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) as words from documents), t as (select doc_id, unnest(words) as x, generate_subscripts(words, 1) as i, words from w),
+b as (select doc_id, i, x, case when i > 1 then words[i - 1] end as p from t), n as (select sum(len(words)) as n from w), c1 as (select x, count(*) as c from b group by x), d1 as (select doc_id, x, count(*) as c from b group by doc_id, x),
+c2 as (select p, x, count(*) as c from b where p is not null group by p, x), d2 as (select doc_id, p, x, count(*) as c from b where p is not null group by doc_id, p, x), k as (select doc_id, len(words) as n_words from w),
+s as (select b.doc_id, b.p, c1.c - d1.c as r1, cp.c - dp.c as rp, c2.c - d2.c as r2, greatest(n.n - k.n_words, 1)::double as rest from b cross join n join k on b.doc_id = k.doc_id join c1 on b.x = c1.x join d1 on b.doc_id = d1.doc_id and b.x = d1.x left join c2 on b.p = c2.p and b.x = c2.x
+ left join d2 on b.doc_id = d2.doc_id and b.p = d2.p and b.x = d2.x left join c1 cp on b.p = cp.x left join d1 dp on b.doc_id = dp.doc_id and b.p = dp.x),
+v as (select doc_id, case when p is not null and r2 > 0 then 1 else 0 end as longest, log10(case when p is null then greatest(r1, 1) / rest when r2 > 0 then r2::double / rp else 0.4::double * (greatest(r1, 1) / rest) end) as y from s)
+select k.doc_id, k.n_words, coalesce(sum(longest), 0)::bigint as n_full, round(sum(y) / k.n_words, 4) as score from k left join v on k.doc_id = v.doc_id group by k.doc_id, k.n_words
+""",
+    "op10_license_scan": rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as s, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' and w[i + 1] = 'by') as a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' and w[i + 1] = 'public' and w[i + 2] = 'license') as b,
+ list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' and w[i + 1] = 'rights' and w[i + 2] = 'reserved') as c from d),
+x as (select doc_id, len(w) as n_words, len(a) + len(b) + len(c) as n_base, list_sort(list_concat(list_concat(a, b), c)) as places, list_filter([case when len(a) > 0 then 'cc-by' end, case when len(b) > 0 then 'gpl' end, case when len(c) > 0 then 'reserved' end], lambda v: v is not null) as base,
+ list_filter([{license_scan.sql_labels("s")}], lambda v: v is not null) as more from p)
+select doc_id, n_words, n_base, places[1] - 1 as first_word, places[len(places)] - 1 as last_word, array_to_string(base, ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') as labels, case when len(more) > 0 then 1.0 when len(base) > 0 then 0.5 else 0.0 end::double as score from x
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
