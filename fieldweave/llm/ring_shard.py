@@ -96,11 +96,15 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
     ends = _constant(places + [RING] * (near + 1), "bigint")
     at = F.element_at(first, F.expr(f"int(_place div {step})") + 1)
     hops = sum((F.get(ends, F.col("_from") + i) < F.col("_place")).cast("int") for i in range(near + 1))
-    sub = F.shiftright(F.col("_place"), 60 - 18) % cells
+    # An arc begins after the point before it; its cells are equal parts of it in ring order.
+    before_arc = [places[i - 1] for i in range(len(places))]
+    begins, lengths = _constant(before_arc, "bigint"), _constant([(p - b) % RING or RING for p, b in zip(places, before_arc)], "bigint")
 
     def located(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("_place", place_of(key)).withColumn("_from", at)
-        return rows.withColumn("_arc", F.pmod(F.col("_from") + hops, F.lit(len(places)))).withColumn("_cell", sub.cast("int")).drop("_from")
+        rows = rows.withColumn("_arc", F.pmod(F.col("_from") + hops, F.lit(len(places)))).drop("_from")
+        rows = rows.withColumn("_along", F.pmod(F.col("_place") - F.get(begins, F.col("_arc")) - 1, F.lit(RING))).withColumn("_long", F.get(lengths, F.col("_arc")))
+        return rows.withColumn("_cell", F.expr(f"int(_along * {cells} div _long)")).drop("_place", "_long")
 
     counts = defaultdict(int)
     for arc, cell, n in located(docs.select("doc_id")).groupBy("_arc", "_cell").count().collect():
@@ -118,7 +122,7 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
 
     rest = docs.drop(*made).withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(text))
     rest = located(rest)
-    order = Window.partitionBy("_arc", "_cell").orderBy("_place", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    order = Window.partitionBy("_arc", "_cell").orderBy("_along", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     ranked = rest.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     # At most shards x virtual x cells ranges and one more for each point passed: a fixed bound.
     ranked = ranked.join(F.broadcast(ranges), ["_arc", "_cell"])
