@@ -77,21 +77,25 @@ class FieldTracker:
         return np.concatenate([own, np.ones(max(0, k - len(own)))])[:k]
 
     def _cost(self, tracks: list[Track], d: Detections, rows: np.ndarray) -> np.ndarray:
-        o, out = self.options, np.full((len(tracks), len(rows)), FAR)
-        for i, t in enumerate(tracks):
-            dt = d.at - t.at
-            away = np.linalg.norm(d.place[rows] - (t.place + t.velocity * dt), axis=1)
-            cost = away + o.confidence_weight * (1 - d.confidence[rows])
-            near = away <= o.speed * dt + o.slack + o.missed_slack * t.missed
-            if t.appearance is not None and d.appearance is not None:
-                cost = cost + o.appearance_weight * np.nan_to_num(np.linalg.norm((d.appearance[rows] - t.appearance) / self._scale(len(t.appearance)), axis=1))
-            if o.use_shape and t.box is not None and d.box is not None:
-                change = np.abs(np.log(d.box[rows] / t.box)).max(axis=1)
-                near &= ~(change > o.shape_gate)
-                cost = cost + o.shape_weight * np.nan_to_num(change)
-            other = np.array([t.team != "unknown" and d.team[r] not in ("unknown", t.team) for r in rows], bool)
-            out[i, near] = (cost + o.team_penalty * other)[near]
-        return out
+        o = self.options
+        dt = d.at - np.array([t.at for t in tracks])
+        ahead = np.array([t.place for t in tracks]) + np.array([t.velocity for t in tracks]) * dt[:, None]
+        away = np.linalg.norm(d.place[rows][None] - ahead[:, None], axis=2)
+        near = away <= (o.speed * dt + o.slack + o.missed_slack * np.array([t.missed for t in tracks]))[:, None]
+        cost = away + o.confidence_weight * (1 - d.confidence[rows])[None]
+        looked = np.array([t.appearance is not None for t in tracks])
+        if d.appearance is not None and looked.any():
+            known = np.array([t.appearance for t in tracks if t.appearance is not None])
+            apart = np.linalg.norm((d.appearance[rows][None] - known[:, None]) / self._scale(known.shape[1]), axis=2)
+            cost[looked] += o.appearance_weight * np.nan_to_num(apart)
+        boxed = np.array([t.box is not None for t in tracks])
+        if o.use_shape and d.box is not None and boxed.any():
+            change = np.abs(np.log(d.box[rows][None] / np.array([t.box for t in tracks if t.box is not None])[:, None])).max(axis=2)
+            near[boxed] &= ~(change > o.shape_gate)
+            cost[boxed] += o.shape_weight * np.nan_to_num(change)
+        own, other = np.array([t.team for t in tracks]), np.array(d.team)[rows]
+        cost += o.team_penalty * ((own[:, None] != other[None]) & (own != "unknown")[:, None] & (other != "unknown")[None])
+        return np.where(near, cost, FAR)
 
     def _update(self, t: Track, d: Detections, r: int) -> None:
         o, dt = self.options, d.at - t.at

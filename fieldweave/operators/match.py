@@ -34,14 +34,16 @@ def optimal_pairs(pairs: DataFrame, group: Names, frame: Names, left: str, right
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*frame, left, right], kind="stable").reset_index(drop=True)
+        number = rows.groupby(list(frame), sort=True).ngroup().to_numpy()
+        lefts, rights, costs = pd.factorize(rows[left])[0], pd.factorize(rows[right])[0], rows[cost].to_numpy(float)
         kept = []
-        for index in rows.groupby(list(frame), sort=True).indices.values():
-            part = rows.iloc[index]
-            i, _ = pd.factorize(part[left])
-            j, _ = pd.factorize(part[right])
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1), len(rows)]
+        for begin, end in zip(edges, edges[1:]):
+            _, i = np.unique(lefts[begin:end], return_inverse=True)
+            _, j = np.unique(rights[begin:end], return_inverse=True)
             matrix = np.full((i.max() + 1, j.max() + 1), np.inf)
             where = np.full(matrix.shape, -1)
-            matrix[i, j], where[i, j] = part[cost], index
+            matrix[i, j], where[i, j] = costs[begin:end], np.arange(begin, end)
             listed = np.isfinite(matrix)
             span = float(np.ptp(matrix[listed])) + 1.0
             a, b = assign(np.where(listed, matrix, matrix[listed].max() + span * sum(matrix.shape)))
