@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +161,9 @@ class Decoder:
         return self.data[np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[ids], length)], total
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> SegmentEncoder:
+    """One for all tasks of a worker process."""
     return SegmentEncoder(PieceEncoder(path, pattern), spaced_segments)
 
 

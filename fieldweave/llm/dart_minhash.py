@@ -8,11 +8,12 @@ of their weighted Jaccard similarity. The ranks looked at shrink with the total
 pass over its elements and about k log k darts.
 
 Documents of equal shingles are one representative. Signatures are cut into bands; representatives that
-agree in a band meet in a bucket. Buckets never make all their pairs: leaders are compared with the
-bucket, exactly, over complete shingle sets; what a leader is linked to joins its class. Buckets whose
-members are not of one class go on: in small ones all pairs of different classes are compared, in large
-ones further leaders, each a member outside of the largest class. When no bucket has a pair of different
-classes that has not been compared, the classes are those of all links.
+agree in a band meet in a bucket. First one member of each bucket is compared with the others, exactly,
+over complete shingle sets, and links make classes. Then, in each bucket that still has several classes,
+all members outside of its largest class are compared with all others of other classes: in blocks, over
+whole signatures, each pair in the first band it shares and nowhere else. Pairs that may be similar enough
+by a wide margin are compared exactly. So no pair that shares a band is left out, no bucket makes all its
+pairs, and no task gets more than a block of a bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -38,8 +39,9 @@ class NearOptions:
     bands: int = 32
     rows: int = 4
     weights: str = "set"  # or "counts": shingles weigh as often as they occur
-    small_bucket: int = 24
-    leaders: int = 4
+    doubt: float = 4.5  # standard errors below the similarity at which signatures rule a pair out
+    strays: int = 256  # rows of a block
+    members: int = 4096
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def elements(column: pa.Array, options: NearOptions) -> tuple[np.ndarray, np.nda
     return doc, value, count, w.n_docs
 
 
-FEATURES = "doc_id long, set_a long, set_b long, n_shingles int, bands array<long>"
+FEATURES = "doc_id long, set_a long, set_b long, n_shingles int, bands array<long>, signature binary"
 
 
 def _features(options: NearOptions):
@@ -126,7 +128,7 @@ def _features(options: NearOptions):
                 for s, seed in zip(sums, steps(9, 2)):
                     np.add.at(s, doc, mix(value + seed) * (count.astype(U) if options.weights != "set" else U(1)))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * options.bands + 1, options.bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), bands], ["doc_id", "set_a", "set_b", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), bands, pa.array([x.tobytes() for x in (sig >> U(48)).astype(np.uint16)], pa.binary())], ["doc_id", "set_a", "set_b", "n_shingles", "bands", "signature"])
 
     return run
 
@@ -180,6 +182,79 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(fits).filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
+def _stray_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, options: NearOptions) -> DataFrame:
+    """Pairs (a, b) of different classes in a bucket, one of them outside of its largest class, that signatures don't rule out.
+
+    A bucket's strays and members are dealt into blocks of a bounded size each, and each block of the one
+    meets each block of the other.
+    """
+    known = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    by_label = known.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
+    several = by_label.groupBy("band", "key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("classes")).filter("classes > 1")
+    blocks = several.select("band", "key", "main", F.ceil((F.col("n") - F.col("most")) / options.strays).cast("int").alias("s"), F.ceil(F.col("n") / options.members).cast("int").alias("m"))
+    rows = known.select("band", "key", "id", "label").join(blocks, ["band", "key"]).withColumn("stray", F.col("label") != F.col("main"))
+    own_s, own_m = F.pmod(F.xxhash64("id", "band"), F.col("s")).cast("int"), F.pmod(F.xxhash64("id", "key"), F.col("m")).cast("int")
+    as_member = rows.select("band", "key", "id", "label", "stray", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("sb"), own_m.alias("mb"))
+    as_stray = rows.filter("stray").select("band", "key", "id", "label", "stray", F.lit(True).alias("asks"), own_s.alias("sb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"))
+    signed = as_member.union(as_stray).join(reps.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]), "id")
+    place = ["key", "band", "sb", "mb"]
+    dealt = signed.select(*place, "asks", "stray", "id", "label", "signature").repartition(*place).sortWithinPartitions(*place)
+    k = options.bands * options.rows
+    least = options.similarity - options.doubt * (options.similarity * (1 - options.similarity) / k) ** 0.5
+
+    def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        asks, stray, ids, label = (rows.column(c).to_numpy() for c in ("asks", "stray", "id", "label"))
+        sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(ids), options.bands, options.rows)
+        band = rows.column("band")[0].as_py()
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        left, right = [], []
+        step = max(1, (1 << 22) // (max(len(b), 1) * k))
+        for first in range(0, len(a), step):
+            part = a[first : first + step]
+            same = sig[part][:, None] == sig[b][None]
+            ok = same.sum(axis=(2, 3)) >= least * k
+            ok &= same.all(axis=3).argmax(axis=2) == band
+            ok &= label[part][:, None] != label[b][None]
+            ok &= ~stray[b][None] | (ids[part][:, None] < ids[b][None])
+            x, y = np.nonzero(ok)
+            left.append(ids[part][x])
+            right.append(ids[b][y])
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            yield from whole(held, False)
+            held = tail(held)
+        if held is not None and held.num_rows:
+            yield from whole(held, True)
+
+    def cuts(rows: pa.Table) -> np.ndarray:
+        columns = [rows.column(c).to_numpy() for c in place]
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    def tail(rows: pa.Table) -> pa.Table:
+        at = cuts(rows)
+        return rows.slice(at[-1]) if len(at) else rows
+
+    def whole(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        at = cuts(rows)
+        ends = [*at[1:], rows.num_rows] if last else at[1:]
+        found = [block(rows.slice(x, y - x)) for x, y in zip(at, ends)]
+        if found:
+            x, y = (np.concatenate([f[i] for f in found]) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_size and kept (doc_id is class_id), for each row of docs.
 
@@ -212,27 +287,12 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
     # Rows that share a doc_id may have different texts: that links their classes.
     one = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most")
     links = links.union(members.join(one, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")))
-    leaders = options.leaders
-    while True:
-        labels = shared.written(connected(links), "near_labels")
-        known = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        by_label = known.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
-        open_ = by_label.groupBy("band", "key").agg(F.count("*").alias("classes"), F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n")).filter("classes > 1")
-        left = shared.written(known.drop("n").join(open_.drop("classes"), ["band", "key"]), "near_open")
-        few = left.filter(F.col("n") <= options.small_bucket)
-        small = few.alias("l").join(few.alias("r"), ["band", "key"]).filter("l.id < r.id and l.label <> r.label").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        stray = left.filter((F.col("n") > options.small_bucket) & (F.col("label") != F.col("main")))
-        tried = stray.select("band", "key", F.col("id").alias("a"), F.col("label").alias("own"))
-        if leaders < 1 << 20:
-            tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("a", "band")))).filter(F.col("nth") <= leaders).drop("nth")
-        large = left.filter(F.col("n") > options.small_bucket).join(tried, ["band", "key"]).filter("label <> own").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        fresh = small.union(large).distinct().join(compared, ["a", "b"], "left_anti")
-        fresh = shared.written(fresh, "near_pairs")
-        if fresh.isEmpty():
-            break
-        more = shared.written(_linked(fresh, sets, options.similarity), "near_links")
-        links, compared = links.union(more), compared.union(fresh)
-        leaders *= 4
+    labels = shared.written(connected(links), "near_labels")
+
+    # Round 2: what is outside of its bucket's largest class.
+    rest = shared.written(_stray_pairs(buckets, labels, reps, options), "near_pairs")
+    links = links.union(shared.written(_linked(rest, sets, options.similarity), "near_links"))
+    labels = shared.written(connected(links), "near_labels")
     classes = members.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     # Rows that share a doc_id are of one class by now.
     joined = docs.select("doc_id").join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -36,8 +37,8 @@ def spaced_text(key: str) -> str:
 
 
 def word_segments(text: str) -> list[str]:
-    """Parts of text between spaces, for tokenizers that drop white space."""
-    return text.split(" ")
+    """Parts of text between spaces, for tokenizers that drop white space and case; ASCII text already in lower case."""
+    return (text.lower() if text.isascii() else text).split(" ")
 
 
 class _Numbers(dict):
@@ -121,6 +122,7 @@ class LibraryEncoder:
             yield ids[begin:]
 
 
-def library_encoder(path: str, *, spaced: bool, **options) -> SegmentEncoder:
-    """By a tokenizer file. Names of special tokens in a text are ordinary text; spaced: white space counts."""
-    return SegmentEncoder(LibraryEncoder(path, spaced_text if spaced else str), spaced_segments if spaced else word_segments, **options)
+@lru_cache(maxsize=2)
+def library_encoder(path: str, *, spaced: bool) -> SegmentEncoder:
+    """By a tokenizer file, one for all tasks of a worker process. Names of special tokens in a text are ordinary text; spaced: white space and case count."""
+    return SegmentEncoder(LibraryEncoder(path, spaced_text if spaced else str), spaced_segments if spaced else word_segments)

@@ -174,7 +174,7 @@ def test_near_classes_equal_brute_force(spark):
     texts += ["", "a b", "a b", "a  b\n", "c d e f g"]
     texts = dict(enumerate(texts))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x for x in dart_minhash.near_classes(df, dart_minhash.NearOptions(small_bucket=4, leaders=1)).collect()}
+    got = {x.doc_id: x for x in dart_minhash.near_classes(df, dart_minhash.NearOptions(strays=3, members=5)).collect()}
     want = brute_classes(texts)
     assert {i: got[i].class_id for i in texts} == want
     size = collections.Counter(want.values())
