@@ -304,4 +304,4 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
 def near_deduplicated(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
     """One document of each class, with the columns of docs; rows without an id stay."""
     drop = near_classes(docs, options).filter("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")

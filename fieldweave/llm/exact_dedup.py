@@ -179,7 +179,7 @@ def exact_groups(docs: DataFrame, *, budget: int = 48 << 20) -> DataFrame:
     rest = rest.withColumn("text_sha256", F.sha2(plain, 256))
     groups = content_groups(docs, budget=budget)
     groups = groups.select(F.lower(F.hex("digest")).alias("_digest"), "keep_id", "group_size")
-    joined = rest.join(groups, F.col("text_sha256") == F.col("_digest"), "left").drop("_digest")
+    joined = rest.join(groups, rest["text_sha256"] == groups["_digest"], "left").drop(groups["_digest"])
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*[c for c in rest.columns if c != "text_sha256"], *made)
 
 

@@ -31,7 +31,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class LanguageOptions:
-    """per_language bounds the sample that the model is fitted on: about so many rows of each language, chosen by a hash of doc_id."""
+    """per_language bounds the sample that the model is fitted on: about so many rows of each language, chosen by a hash of doc_id and text."""
 
     dims: int = 4096
     sizes: tuple[int, ...] = (1, 2, 3)
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Langua
     if not sizes:
         return LanguageModel((), np.zeros(0, int), np.zeros((0, options.dims), np.float32), np.zeros(0), np.ones(options.dims, np.float32), options)
     rate = spark.createDataFrame([(lang, int(10**9 * min(1.0, options.per_language / n))) for lang, n in sizes], "lang string, _rate long")
-    drawn = learn.select("doc_id", "text", "lang").join(F.broadcast(rate), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < F.col("_rate"))
+    drawn = learn.select("doc_id", "text", "lang").join(F.broadcast(rate), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(10**9)) < F.col("_rate"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,7 +82,9 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
     repeated rows leave the balance as it is. Columns of these names in docs are replaced.
     """
     made = ["size", "text_crc32", "shard", "slot", "home_shard"]
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*made)
+    names = docs.columns
+    docs = docs.withColumnsRenamed({c: f"_own{c}" for c in names if c.startswith("_")})
     points = ring_points(shards, virtual)
     places, owners = [p for p, _ in points], [s for _, s in points]
 
@@ -120,7 +122,7 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
     plan = [(arc, c, begin, end, shard, shift, before[arc, c], owners[arc]) for arc, begin, end, shard, shift in slots for c in range(cells) if before[arc, c] < end and begin < before[arc, c] + counts[arc, c]]
     ranges = spark.createDataFrame(plan, "_arc int, _cell int, _begin long, _end long, shard int, _shift long, _before long, home_shard int")
 
-    rest = docs.drop(*made).withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(text))
+    rest = docs.withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(text))
     rest = located(rest)
     order = Window.partitionBy("_arc", "_cell").orderBy("_along", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     ranked = rest.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
@@ -128,4 +130,4 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
     ranked = ranked.join(F.broadcast(ranges), ["_arc", "_cell"])
     rank = F.col("_rank") + F.col("_before")
     placed = ranked.filter((rank >= F.col("_begin")) & (rank < F.col("_end"))).withColumn("slot", rank + F.col("_shift"))
-    return placed.select(*[c for c in docs.columns if c not in made], *made)
+    return placed.select(*(F.col(own).alias(c) for own, c in zip(docs.columns, names)), *made)

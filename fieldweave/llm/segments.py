@@ -15,8 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
-_TOUCHING = re.compile(r"\s\s")
-_RUNS = re.compile(r"\s*\S+|\s+")
+# The characters that Unicode calls white space, which is what tokenizers' patterns call so.
+_SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_TOUCHING = re.compile(rf"[{_SPACES}]{{2}}|\0")
+_RUNS = re.compile(rf"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 
 #: Begins the key of a segment that stands at the beginning of its text, without a space before it.

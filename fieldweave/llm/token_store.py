@@ -107,7 +107,7 @@ def train(samples: list[bytes], options: StoreOptions) -> bytes:
 
 
 def shared_dictionary(docs: DataFrame, tokenizer: str, options: StoreOptions = StoreOptions()) -> bytes:
-    """Trained in one task on a bounded sample: the documents of the least hashes of their ids."""
+    """Trained in one task on a bounded sample: the documents of the least hashes of their ids. Empty if there are none."""
     order = F.xxhash64("doc_id")
     chosen = docs.select("doc_id").orderBy(order, "doc_id").limit(options.sample_docs).select(F.max(order)).first()[0]
     sample = docs.select("doc_id", "text").filter(order <= F.lit(chosen)).limit(options.sample_docs)
@@ -120,7 +120,8 @@ def shared_dictionary(docs: DataFrame, tokenizer: str, options: StoreOptions = S
                 samples += [ids[a : min(b, a + options.sample_ids)].astype(_dtype(options.width)).tobytes() for a, b in zip(ends, ends[1:]) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([train(sorted(samples), options)], pa.binary())], ["dictionary"])
 
-    return sample.coalesce(1).mapInArrow(run, "dictionary binary").first()[0]
+    found = sample.coalesce(1).mapInArrow(run, "dictionary binary").first()
+    return bytes(found["dictionary"]) if found else b""
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, options: StoreOptions = StoreOptions()) -> None:
