@@ -11,9 +11,12 @@ Documents of equal shingles are one representative. Signatures are cut into band
 agree in a band meet in a bucket. First one member of each bucket is compared with the others, exactly,
 over complete shingle sets, and links make classes. Then, in each bucket that still has several classes,
 all members outside of its largest class are compared with all others of other classes: in blocks, over
-whole signatures, each pair in the first band it shares and nowhere else. Pairs that may be similar enough
-by a wide margin are compared exactly. So no pair that shares a band is left out, no bucket makes all its
-pairs, and no task gets more than a block of a bucket.
+sketches (two bits of each coordinate of a longer signature, which only these members get), each pair in
+the first band it shares and nowhere else. Those that may be similar enough
+by a wide margin are listed by document and class, the most similar first. A few of each list are compared
+exactly; what stands in lists whose document and class are still apart after that is compared exactly too.
+So no pair that shares a band is left out but where a link is known already, no bucket makes all its pairs,
+and no task gets more than a block of a bucket.
 """
 
 from __future__ import annotations
@@ -39,9 +42,11 @@ class NearOptions:
     bands: int = 32
     rows: int = 4
     weights: str = "set"  # or "counts": shingles weigh as often as they occur
-    doubt: float = 4.5  # standard errors below the similarity at which signatures rule a pair out
+    sketch: int = 512
+    doubt: float = 4.5  # standard errors below the similarity at which sketches rule a pair out
     strays: int = 256  # rows of a block
     members: int = 4096
+    first_tries: int = 4  # of each list of similar documents of a class, so many are compared before the others
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -108,7 +113,7 @@ def elements(column: pa.Array, options: NearOptions) -> tuple[np.ndarray, np.nda
     return doc, value, count, w.n_docs
 
 
-FEATURES = "doc_id long, set_a long, set_b long, n_shingles int, bands array<long>, signature binary"
+FEATURES = "doc_id long, set_a long, set_b long, n_shingles int, bands array<long>"
 
 
 def _features(options: NearOptions):
@@ -128,7 +133,7 @@ def _features(options: NearOptions):
                 for s, seed in zip(sums, steps(9, 2)):
                     np.add.at(s, doc, mix(value + seed) * (count.astype(U) if options.weights != "set" else U(1)))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * options.bands + 1, options.bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), bands, pa.array([x.tobytes() for x in (sig >> U(48)).astype(np.uint16)], pa.binary())], ["doc_id", "set_a", "set_b", "n_shingles", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), bands], ["doc_id", "set_a", "set_b", "n_shingles", "bands"])
 
     return run
 
@@ -147,6 +152,29 @@ def _shingle_sets(options: NearOptions):
     return run
 
 
+def _sketches(options: NearOptions, at_once: int = 128):
+    """Two bits of each of `sketch` coordinates, as least_agreement() expects them."""
+    shift = np.arange(0, 64, 2, dtype=U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, at_once):
+                part = batch.slice(first, at_once)
+                lists = part.column("elements")
+                size = lists.value_lengths().to_numpy()
+                sig = signatures(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy().view(U), np.ones(int(size.sum())), len(size), options.sketch)
+                bits = (((sig >> U(20)) & U(3)).reshape(len(size), -1, 32) << shift).sum(axis=2, dtype=U)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "sketch"])
+
+    return run
+
+
+def least_agreement(options: NearOptions) -> float:
+    """Coordinates of a sketch that agree, under which a pair is ruled out; a quarter of those that differ agree in two bits."""
+    share = (1 + 3 * options.similarity) / 4
+    return options.sketch * share - options.doubt * (options.sketch * share * (1 - share)) ** 0.5
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, label): the least id of each component, for all ids that edges (a, b) have; by alternating large and small stars."""
     spark = edges.sparkSession
@@ -170,20 +198,23 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return stars.union(flat.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b), those of the similarity or more. A leader's set goes to as many places as its pairs need."""
+    # The sizes alone rule many pairs out before any set moves; of rows that share an id, all sizes are tried.
+    a, b = (sizes.select(F.col("id").alias(x), F.col("least").alias(f"{x}_least"), F.col("most").alias(f"{x}_most")) for x in "ab")
+    may = (F.col("a_most") >= similarity * F.col("b_least")) & (F.col("b_most") >= similarity * F.col("a_least"))
+    pairs = shared.written(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b"), "near_pairs")
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("places"))
     left = sets.join(crowd, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.col("elements").alias("x"))
     dealt = pairs.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     both = dealt.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(left, ["a", "place"])
-    # The sizes alone rule many pairs out before any set is compared.
     fits = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(fits).filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def _stray_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, options: NearOptions) -> DataFrame:
-    """Pairs (a, b) of different classes in a bucket, one of them outside of its largest class, that signatures don't rule out.
+def _stray_lists(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, options: NearOptions) -> DataFrame:
+    """(a, label, others): the members of another class in a bucket that sketches don't rule out for a, most similar first. a is outside of its bucket's largest class.
 
     A bucket's strays and members are dealt into blocks of a bounded size each, and each block of the one
     meets each block of the other.
@@ -196,31 +227,38 @@ def _stray_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, options
     own_s, own_m = F.pmod(F.xxhash64("id", "band"), F.col("s")).cast("int"), F.pmod(F.xxhash64("id", "key"), F.col("m")).cast("int")
     as_member = rows.select("band", "key", "id", "label", "stray", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("sb"), own_m.alias("mb"))
     as_stray = rows.filter("stray").select("band", "key", "id", "label", "stray", F.lit(True).alias("asks"), own_s.alias("sb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"))
-    signed = as_member.union(as_stray).join(reps.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]), "id")
+    sketched = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches(options), "id long, sketch binary").dropDuplicates(["id"])
+    short = reps.select(F.col("doc_id").alias("id"), F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")).dropDuplicates(["id"])
+    signed = shared.written(sketched.join(short, "id"), "near_sketches")
+    signed = as_member.union(as_stray).join(signed, "id")
     place = ["key", "band", "sb", "mb"]
-    dealt = signed.select(*place, "asks", "stray", "id", "label", "signature").repartition(*place).sortWithinPartitions(*place)
-    k = options.bands * options.rows
-    least = options.similarity - options.doubt * (options.similarity * (1 - options.similarity) / k) ** 0.5
+    dealt = signed.select(*place, "asks", "stray", "id", "label", "sketch", "bands").repartition(*place).sortWithinPartitions(*place)
+    least, low_bits, width = least_agreement(options), U(0x5555555555555555), options.sketch // 32
 
-    def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         asks, stray, ids, label = (rows.column(c).to_numpy() for c in ("asks", "stray", "id", "label"))
-        sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(ids), options.bands, options.rows)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), U).reshape(len(ids), width)
+        keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), options.bands)
         band = rows.column("band")[0].as_py()
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        left, right = [], []
-        step = max(1, (1 << 22) // (max(len(b), 1) * k))
+        step = max(1, (1 << 22) // (max(len(b), 1) * options.bands))
         for first in range(0, len(a), step):
             part = a[first : first + step]
-            same = sig[part][:, None] == sig[b][None]
-            ok = same.sum(axis=(2, 3)) >= least * k
-            ok &= same.all(axis=3).argmax(axis=2) == band
+            other = sketch[part][:, None] ^ sketch[b][None]
+            alike = options.sketch - np.bitwise_count((other | (other >> U(1))) & low_bits).sum(axis=2, dtype=np.int64)
+            ok = alike >= least
+            ok &= (keys[part][:, None] == keys[b][None]).argmax(axis=2) == band
             ok &= label[part][:, None] != label[b][None]
             ok &= ~stray[b][None] | (ids[part][:, None] < ids[b][None])
             x, y = np.nonzero(ok)
-            left.append(ids[part][x])
-            right.append(ids[b][y])
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
+            order = np.lexsort((ids[b][y], -alike[x, y], label[b][y], x))
+            x, y = x[order], y[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (label[b][y][1:] != label[b][y][:-1])
+            at = np.flatnonzero(new)
+            if len(at):
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), pa.array(ids[b][y]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part][x[at]]), pa.array(label[b][y[at]]), lists], ["a", "label", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -247,12 +285,22 @@ def _stray_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame, options
     def whole(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         at = cuts(rows)
         ends = [*at[1:], rows.num_rows] if last else at[1:]
-        found = [block(rows.slice(x, y - x)) for x, y in zip(at, ends)]
-        if found:
-            x, y = (np.concatenate([f[i] for f in found]) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for x, y in zip(at, ends):
+            yield from block(rows.slice(x, y - x))
+
+    return dealt.mapInArrow(run, "a long, label long, others array<long>")
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _tried(lists: DataFrame, first: int, most: int) -> DataFrame:
+    """The pairs (a, b) of up to `most` entries of each list, from entry number `first` on."""
+    pairs = lists.select("a", F.explode(F.slice("others", first, most)).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, options: NearOptions) -> DataFrame:
+    """The labels after those of the pairs that are similar have been linked."""
+    links = shared.written(_linked(pairs, sets, sizes, options.similarity), "near_links")
+    return shared.written(connected(links.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))), "near_labels")
 
 
 def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
@@ -269,30 +317,35 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
     features = shared.written(source.mapInArrow(_features(options), FEATURES).filter("n_shingles > 0"), "near_features")
     same = features.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     members = shared.written(features.select("doc_id", "set_a", "set_b").join(same, ["set_a", "set_b"]).select("doc_id", "rep"), "near_members").distinct()
-    reps = features.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = shared.written(features.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bands"), "near_reps")
+    shared.dropped(spark, features)
     slots = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
-    crowded = slots.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    buckets = shared.written(slots.join(crowded, ["band", "key"]).select("band", "key", "id", "n").distinct(), "near_buckets")
+    # A key is a hash of its band too.
+    crowded = slots.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
+    buckets = shared.written(slots.join(crowded, "key").select("band", "key", "id").distinct(), "near_buckets")
     meet = buckets.select("id").distinct()
     texts = source.join(meet, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_shingle_sets(options), "id long, elements array<long>")
     sets = shared.written(texts, "near_sets")
+    sizes = shared.written(sets.select("id", F.size("elements").alias("n")).groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most")), "near_sizes")
 
     # Round 1: each bucket's first member in an order of its band's own leads.
     order = F.xxhash64("id", "band")
     lead = buckets.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("a"))
     pairs = buckets.join(lead, ["band", "key"]).filter("a <> id")
     pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    compared = shared.written(pairs, "near_pairs")
-    links = shared.written(_linked(compared, sets, options.similarity), "near_links")
+    links = shared.written(_linked(pairs, sets, sizes, options.similarity), "near_links")
     # Rows that share a doc_id may have different texts: that links their classes.
     one = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most")
     links = links.union(members.join(one, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")))
     labels = shared.written(connected(links), "near_labels")
 
     # Round 2: what is outside of its bucket's largest class.
-    rest = shared.written(_stray_pairs(buckets, labels, reps, options), "near_pairs")
-    links = links.union(shared.written(_linked(rest, sets, options.similarity), "near_links"))
-    labels = shared.written(connected(links), "near_labels")
+    lists = shared.written(_stray_lists(buckets, labels, reps, sets, options), "near_lists")
+    labels = _joined(labels, _tried(lists, 1, options.first_tries), sets, sizes, options)
+    now = labels.select("id", F.col("label").alias("now"))
+    apart = lists.filter(F.size("others") > options.first_tries).join(now.withColumnRenamed("now", "a_now"), F.col("a") == F.col("id"), "left").drop("id")
+    apart = apart.join(now, F.col("label") == F.col("id"), "left").filter(F.coalesce("a_now", "a") != F.coalesce("now", "label"))
+    labels = _joined(labels, _tried(apart, options.first_tries + 1, options.members), sets, sizes, options)
     classes = members.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     # Rows that share a doc_id are of one class by now.
     joined = docs.select("doc_id").join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
