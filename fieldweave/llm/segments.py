@@ -17,7 +17,7 @@ import numpy as np
 
 # The characters that Unicode calls white space, which is what tokenizers' patterns call so.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_TOUCHING = re.compile(rf"[{_SPACES}]{{2}}|\0")
+_TOUCHING = re.compile(r"\s\s")  # some more characters than those, which only makes it cut by runs more often
 _RUNS = re.compile(rf"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 
@@ -27,7 +27,7 @@ FIRST = "\0"
 
 def spaced_segments(text: str) -> list[str]:
     """Keys of the parts of text: a part with its space before it left out, or FIRST and a part as it is."""
-    if _TOUCHING.search(text):
+    if FIRST in text or _TOUCHING.search(text):
         return [FIRST + x for x in _RUNS.findall(text)]
     out = text.split(" ")
     out[0] = FIRST + out[0]
