@@ -35,3 +35,15 @@ def align(cost: np.ndarray, skip_row: float, skip_column: float, gate: float = n
 
 def path_cost(steps: list[tuple[str, int, int]], cost: np.ndarray, skip_row: float, skip_column: float) -> float:
     return sum(cost[i, j] if kind == MATCH else skip_row if kind == MISSING else skip_column for kind, i, j in steps)
+
+
+def least_cost(rows: np.ndarray, columns: np.ndarray, scale: float, skip_row: float, skip_column: float) -> float:
+    """The cost of a cheapest path where matching costs the values' difference over `scale`; one row of the matrix is held at a time. NaN is matched with nothing."""
+    skipped = skip_column * np.arange(len(columns) + 1)
+    total = skipped
+    for value in rows:
+        match = np.abs(columns - value) / scale
+        reached = total + skip_row
+        reached[1:] = np.minimum(reached[1:], total[:-1] + np.where(np.isnan(match), np.inf, match))
+        total = np.minimum.accumulate(reached - skipped) + skipped
+    return float(total[-1])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.geometry import overlap, shape_change
-from ..kernels.alignment import align
+from ..kernels.alignment import align, least_cost
 from ..kernels.assignment import assign
 from ..kernels.linking import chains, paired_in_order
 from .aggregate import tracklet_summary
@@ -101,6 +101,23 @@ def aligned(left: DataFrame, right: DataFrame, costs: DataFrame, keys: Names, sk
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def aligned_cost(rows: DataFrame, keys: Names, order: str, on_left: Column, value: str, scale: float, skip_left: float, skip_right: float) -> DataFrame:
+    """keys and total: the cost of a cheapest monotone alignment of each key's rows of on_left with its others, whole and in order.
+
+    A match costs the difference of values over `scale`. No pairs are made: a key takes memory in proportion
+    to its rows, and time to the product of its sides.
+    """
+    sides = rows.select(*keys, F.col(order).alias("_order"), on_left.alias("_left"), F.col(value).cast("double").alias("_value"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_order", kind="stable")
+        left, values = part["_left"].to_numpy(bool), part["_value"].to_numpy(float)
+        total = least_cost(values[left], values[~left], scale, skip_left, skip_right)
+        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "total": [total]})
+
+    return sides.groupBy(*keys).applyInPandas(solve, _schema(rows, keys) + ", total double")
+
+
 # How long an event of each category is expected to last, in seconds.
 EXPECTED_SECONDS = {"run": 6.0, "pass": 7.5, "punt": 8.0, "kickoff": 9.0, "place_kick": 5.0, "no_play": 2.0}
 OTHER_SECONDS = 6.5

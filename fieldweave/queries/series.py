@@ -193,14 +193,11 @@ p as (select user_id, n, m, cast(0 as bigint) as i, cast(0 as bigint) as j, cast
 select user_id, round(min(cost), 6) as total from p where i = n and j = m group by 1
 """)
 def dp_align_cost(spark, sf_dir):
-    """The cost of a cheapest monotone alignment of the first three views and clicks of each user."""
-    from ..operators.match import aligned
+    """The cost of a cheapest monotone alignment of all views and clicks of each user. The SQL stops at the first three of each."""
+    from ..operators.match import aligned_cost
 
     rows = events(spark, sf_dir).filter("event_type in ('view', 'click')")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")) - 1).filter("i < 3")
-    v, c = rows.filter("event_type = 'view'").select("user_id", "i", "value"), rows.filter("event_type = 'click'").select("user_id", F.col("i").alias("j"), F.col("value").alias("w"))
-    costs = v.join(c, "user_id").withColumn("cost", F.abs(F.col("value") - F.col("w")) / 20)
-    return aligned(v, c, costs, ["user_id"], 1.1, 0.9).groupBy("user_id").agg(F.round(F.sum("cost"), 6).alias("total"))
+    return aligned_cost(rows, ["user_id"], "event_id", F.col("event_type") == "view", "value", 20.0, 1.1, 0.9).select("user_id", F.round("total", 6).alias("total"))
 
 
 @query(f"""
