@@ -78,10 +78,11 @@ def discovered_actions(spark, sf_dir):
 
 @query()
 def aligned_actions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("game_id", F.concat(F.lit("g"), F.col("o_custkey") % 100))
+    """All orders, a game for each customer: those that 3 divides have no play, those that only 5 divides no unit."""
+    o = table(spark, sf_dir, "orders").withColumn("game_id", F.concat(F.lit("g"), "o_custkey"))
     kind = F.when(F.col("o_orderstatus") == "F", "run").when(F.col("o_orderstatus") == "O", "pass").otherwise("punt")
-    plays = o.filter("o_orderkey % 3 <> 0").filter("o_orderkey % 8 = 1").select("game_id", F.col("o_orderkey").alias("ordinal"), kind.alias("kind"))
-    units = o.filter("o_orderkey % 5 <> 0").filter("o_orderkey % 8 = 1").select("game_id", F.col("o_orderkey").alias("unit_no"), kind.alias("category"), (F.col("o_totalprice") % 10).alias("duration"), F.lit(0.8).alias("confidence"))
+    plays = o.filter("o_orderkey % 3 <> 0").select("game_id", F.col("o_orderkey").alias("ordinal"), kind.alias("kind"))
+    units = o.filter("o_orderkey % 5 <> 0 or o_orderkey % 3 = 0").select("game_id", F.col("o_orderkey").alias("unit_no"), kind.alias("category"), (F.col("o_totalprice") % 10).alias("duration"), F.lit(0.8).alias("confidence"))
     return catalog.align_actions(plays, units, F.col("kind"))
 
 

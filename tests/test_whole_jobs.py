@@ -46,3 +46,31 @@ def test_least_cost_is_that_of_the_path():
         cost = np.abs(a[:, None] - b[None, :]) / 20
         assert least_cost(a, b, 20.0, 1.1, 0.9) == pytest.approx(path_cost(align(cost, 1.1, 0.9), cost, 1.1, 0.9))
     assert least_cost(np.array([np.nan]), np.array([1.0]), 20.0, 1.1, 0.9) == pytest.approx(2.0)
+
+
+def test_aligned_actions_takes_every_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    o = pd.DataFrame({"o_orderkey": range(1, 91), "o_custkey": rng.choice([7, 107, 12], 90), "o_orderstatus": rng.choice(["F", "O", "P"], 90), "o_totalprice": rng.uniform(0, 100, 90).round(2)})
+    o.to_parquet(tmp_path / "orders.parquet")
+    found = QUERIES["aligned_actions"](spark, str(tmp_path)).toPandas()
+    assert set(found.game_id) == {"g7", "g107", "g12"}
+    seconds = {"F": 6.0, "O": 7.5, "P": 8.0}
+    for customer, rows in o.groupby("o_custkey"):
+        rows = rows.sort_values("o_orderkey")
+        in_plays, in_units = rows.o_orderkey % 3 != 0, (rows.o_orderkey % 5 != 0) | (rows.o_orderkey % 3 == 0)
+        assert (in_plays | in_units).all()
+        plays, units = rows[in_plays].to_dict("records"), rows[in_units].to_dict("records")
+
+        @functools.cache
+        def go(i, j):
+            ways = [go(i + 1, j) + 1.1] if i < len(plays) else []
+            ways += [go(i, j + 1) + 1.1] if j < len(units) else []
+            if i < len(plays) and j < len(units):
+                a, b = plays[i]["o_orderstatus"], units[j]["o_orderstatus"]
+                cost = 3.0 * (a != b) + min(2.5, abs(units[j]["o_totalprice"] % 10 - seconds[a]) / seconds[a])
+                ways += [go(i + 1, j + 1) + cost] if cost <= 1.75 else []
+            return min(ways, default=0.0)
+
+        game = found[found.game_id == f"g{customer}"]
+        assert (game.i.notna().sum(), game.j.notna().sum()) == (len(plays), len(units))
+        assert game.cost.sum() == pytest.approx(go(0, 0))
