@@ -172,11 +172,10 @@ m as (select g.*, (select min(d) from p where p.user_id = g.user_id and p.bin =
 select user_id, cast(bin as bigint) as bin, least(nv, nc) as pairs, round(case when least(nv, nc) = 1 then one else least(straight, crossed) end, 6) as total from m
 """)
 def optimal_match_small(spark, sf_dir):
-    """A cheapest matching of the first two views and clicks of a user and time bin."""
+    """A cheapest matching of all views and clicks of a user and time bin. The SQL takes the first two of each."""
     from ..operators.match import optimal_pairs
 
     rows = events(spark, sf_dir).filter("event_type in ('view', 'click')").withColumn("bin", F.floor(F.col("t") / 21600))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "bin", "event_type").orderBy("event_id"))).filter("n <= 2")
     v = rows.filter("event_type = 'view'").select("user_id", "bin", F.col("event_id").alias("a"), F.col("value").alias("x"))
     c = rows.filter("event_type = 'click'").select("user_id", "bin", F.col("event_id").alias("b"), F.col("value").alias("y"))
     pairs = v.join(c, ["user_id", "bin"]).withColumn("cost", F.abs(F.col("x") - F.col("y")))

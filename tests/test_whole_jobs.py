@@ -1,6 +1,7 @@
 """Queries over small tables of their own, against brute force over all rows: none may leave rows out."""
 
 import functools
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -74,3 +75,17 @@ def test_aligned_actions_takes_every_order(spark, tmp_path):
         game = found[found.game_id == f"g{customer}"]
         assert (game.i.notna().sum(), game.j.notna().sum()) == (len(plays), len(units))
         assert game.cost.sum() == pytest.approx(go(0, 0))
+
+
+def test_optimal_match_small_matches_whole_bins(spark, tmp_path):
+    rng, rows, sides = np.random.default_rng(4), [], {}
+    for user, hour, n, m in [(0, 1, 3, 3), (0, 8, 5, 4), (1, 1, 2, 6), (1, 14, 6, 1), (2, 1, 1, 1), (2, 8, 3, 0), (3, 20, 2, 2)]:
+        kinds = rng.permutation(["view"] * n + ["click"] * m)
+        new = [(user, k, float(x), hour) for k, x in zip(kinds, rng.uniform(0, 100, n + m).round(2))]
+        rows += new
+        if n and m:
+            sides[user, hour // 6] = sorted(([r[2] for r in new if r[1] == k] for k in ("view", "click")), key=len)
+    found = QUERIES["optimal_match_small"](spark, written_events(tmp_path, rows)).collect()
+    start = min(r.bin for r in found)
+    least = {k: (len(a), min(sum(abs(x - y) for x, y in zip(a, p)) for p in itertools.permutations(b, len(a)))) for k, (a, b) in sides.items()}
+    assert {(r.user_id, r.bin - start): (r.pairs, r.total) for r in found} == {k: (n, pytest.approx(t, abs=2e-6)) for k, (n, t) in least.items()}
