@@ -58,7 +58,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.backoff_scores(documents(spark, sf_dir))
+    return backoff_lm.backoff_scores(documents(spark, sf_dir), order=3)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
