@@ -9,14 +9,13 @@ pass over its elements and about k log k darts.
 
 Documents of equal shingles are one representative. Signatures are cut into bands; representatives that
 agree in a band meet in a bucket. First one member of each bucket is compared with the others, exactly,
-over complete shingle sets, and links make classes. Then, in each bucket that still has several classes,
-all members outside of its largest class are compared with all others of other classes: in blocks, over
-sketches (two bits of each coordinate of a longer signature, which only these members get), each pair in
-the first band it shares and nowhere else. Those that may be similar enough
-by a wide margin are listed by document and class, the most similar first. A few of each list are compared
-exactly; what stands in lists whose document and class are still apart after that is compared exactly too.
-So no pair that shares a band is left out but where a link is known already, no bucket makes all its pairs,
-and no task gets more than a block of a bucket.
+over complete shingle sets, and links make classes; where a bucket still has several, another one is.
+Then, in each bucket that still has several classes, all members outside of its largest class are compared
+with all others of other classes: in blocks, over sketches (two bits of each coordinate of a longer
+signature, which only these members get), each pair in the first band it shares and nowhere else. Where
+these don't rule a pair out by a wide margin, the block gets the complete sets, and gives no more links than
+join its classes. So no pair that shares a band is left out but where a link is known already, no pairs of
+a bucket become rows but those links, and no task gets more than a block of a bucket.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -44,9 +43,8 @@ class NearOptions:
     weights: str = "set"  # or "counts": shingles weigh as often as they occur
     sketch: int = 512
     doubt: float = 4.5  # standard errors below the similarity at which sketches rule a pair out
-    strays: int = 256  # rows of a block
-    members: int = 4096
-    first_tries: int = 4  # of each list of similar documents of a class, so many are compared before the others
+    strays: int = 256  # askers of a block, about
+    members: int = 4096  # members of a block, about
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -121,7 +119,7 @@ def _features(options: NearOptions):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, most=2 << 20):
+            for part in text_slices(batch):
                 doc, value, count, n = elements(part.column("text"), options)
                 weight = np.ones(len(value)) if options.weights == "set" else count.astype(float)
                 sig = signatures(doc, value, weight, n, k).reshape(n, options.bands, options.rows)
@@ -141,7 +139,7 @@ def _features(options: NearOptions):
 def _shingle_sets(options: NearOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, most=2 << 20):
+            for part in text_slices(batch):
                 doc, value, count, n = elements(part.column("text"), options)
                 if options.weights != "set":  # the c-th occurrence of a shingle is an element of its own
                     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -176,7 +174,7 @@ def least_agreement(options: NearOptions) -> float:
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, label): the least id of each component, for all ids that edges (a, b) have; by alternating large and small stars."""
+    """(id, label): the least id of each component, for all ids that edges (a, b) have; by alternating large and small stars. A written table."""
     spark = edges.sparkSession
     flat = shared.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     before = None
@@ -195,15 +193,17 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         before = state
     stars = flat.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    return stars.union(flat.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+    labels = shared.written(stars.union(flat.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), name)
+    shared.dropped(spark, flat)
+    return labels
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+def _linked(tables: shared.Scratch, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b), those of the similarity or more. A leader's set goes to as many places as its pairs need."""
     # The sizes alone rule many pairs out before any set moves; of rows that share an id, all sizes are tried.
     a, b = (sizes.select(F.col("id").alias(x), F.col("least").alias(f"{x}_least"), F.col("most").alias(f"{x}_most")) for x in "ab")
     may = (F.col("a_most") >= similarity * F.col("b_least")) & (F.col("b_most") >= similarity * F.col("a_least"))
-    pairs = shared.written(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b"), "near_pairs")
+    pairs = tables.written(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b"), "near_pairs")
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("places"))
     left = sets.join(crowd, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.col("elements").alias("x"))
     dealt = pairs.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
@@ -213,94 +213,175 @@ def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: flo
     return both.filter(fits).filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def _stray_lists(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, options: NearOptions) -> DataFrame:
-    """(a, label, others): the members of another class in a bucket that sketches don't rule out for a, most similar first. a is outside of its bucket's largest class.
-
-    A bucket's strays and members are dealt into blocks of a bounded size each, and each block of the one
-    meets each block of the other.
+def _led(buckets: DataFrame, order: Column, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b): each bucket's first member in that order with the others; if there are labels, with those of another one."""
+    rows = buckets.select("band", "key", "id")
+    if labels is not None:
+        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    else:
+        rows = rows.withColumn("label", F.col("id"))
+    lead = rows.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "id", "label")).alias("lead"))
+    pairs = rows.join(lead, ["band", "key"]).filter(F.col("label") != F.col("lead.label")).select(F.col("lead.id").alias("a"), "id")
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+PLACE = ["key", "band", "sb", "mb"]
+LISTED = "key long, band int, sb int, mb int, rank int, id long, label long, others array<long>"
+
+
+def _by_place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each place, which stand together, as one table."""
+    held = None
+    for batch in rows:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        new = np.zeros(held.num_rows, bool)
+        for c in PLACE:
+            column = held.column(c).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        at = [0, *np.flatnonzero(new).tolist()]
+        for x, y in zip(at, at[1:]):
+            yield held.slice(x, y - x)
+        held = held.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _stray_lists(tables: shared.Scratch, buckets: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, options: NearOptions) -> DataFrame:
+    """LISTED rows of the pairs that sketches don't rule out, in the block of a bucket where they meet.
+
+    A member outside of its bucket's largest class asks; it meets all members of other classes. A bucket's
+    askers and members are dealt into blocks of a bounded size each, and each block of the one meets each
+    block of the other. In each block, an asker's row (rank -1) lists the ids of similar members, and each
+    of these has a row of its own; rows of a lower rank are more similar.
     """
     known = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     by_label = known.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
-    several = by_label.groupBy("band", "key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("classes")).filter("classes > 1")
-    blocks = several.select("band", "key", "main", F.ceil((F.col("n") - F.col("most")) / options.strays).cast("int").alias("s"), F.ceil(F.col("n") / options.members).cast("int").alias("m"))
+    several = by_label.groupBy("band", "key").agg(
+        F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("classes")
+    )
+    several = several.filter("classes > 1")
+    n_blocks = [F.ceil((F.col("n") - F.col("most")) / options.strays), F.ceil(F.col("n") / options.members)]
+    blocks = several.select("band", "key", "main", *(x.cast("int").alias(c) for x, c in zip(n_blocks, "sm")))
     rows = known.select("band", "key", "id", "label").join(blocks, ["band", "key"]).withColumn("stray", F.col("label") != F.col("main"))
-    own_s, own_m = F.pmod(F.xxhash64("id", "band"), F.col("s")).cast("int"), F.pmod(F.xxhash64("id", "key"), F.col("m")).cast("int")
-    as_member = rows.select("band", "key", "id", "label", "stray", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("sb"), own_m.alias("mb"))
-    as_stray = rows.filter("stray").select("band", "key", "id", "label", "stray", F.lit(True).alias("asks"), own_s.alias("sb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"))
-    sketched = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches(options), "id long, sketch binary").dropDuplicates(["id"])
+    own_s = F.pmod(F.xxhash64("id", "band"), F.col("s")).cast("int")
+    own_m = F.pmod(F.xxhash64("id", "key"), F.col("m")).cast("int")
+    all_s, all_m = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in "sm")
+    names = ["band", "key", "id", "label", "stray"]
+    as_member = rows.select(*names, F.lit(False).alias("asks"), all_s.alias("sb"), own_m.alias("mb"))
+    as_stray = rows.filter("stray").select(*names, F.lit(True).alias("asks"), own_s.alias("sb"), all_m.alias("mb"))
+    sketched = shared.arrow_map(sets.join(rows.select("id").distinct(), "id", "left_semi"), _sketches(options), "id long, sketch binary").dropDuplicates(["id"])
     short = reps.select(F.col("doc_id").alias("id"), F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")).dropDuplicates(["id"])
-    signed = shared.written(sketched.join(short, "id"), "near_sketches")
+    signed = tables.written(sketched.join(short, "id"), "near_sketches")
     signed = as_member.union(as_stray).join(signed, "id")
-    place = ["key", "band", "sb", "mb"]
-    dealt = signed.select(*place, "asks", "stray", "id", "label", "sketch", "bands").repartition(*place).sortWithinPartitions(*place)
+    dealt = signed.select(*PLACE, "asks", "stray", "id", "label", "sketch", "bands").repartition(*PLACE).sortWithinPartitions(*PLACE)
     least, low_bits, width = least_agreement(options), U(0x5555555555555555), options.sketch // 32
 
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         asks, stray, ids, label = (rows.column(c).to_numpy() for c in ("asks", "stray", "id", "label"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), U).reshape(len(ids), width)
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), options.bands)
-        band = rows.column("band")[0].as_py()
+        place = [rows.column(c)[0].as_py() for c in PLACE]
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        step = max(1, (1 << 22) // (max(len(b), 1) * options.bands))
+        most, askers, lists = np.full(len(b), -1), [], []
+        step = max(1, (1 << 21) // (max(len(b), 1) * options.bands))
         for first in range(0, len(a), step):
             part = a[first : first + step]
             other = sketch[part][:, None] ^ sketch[b][None]
             alike = options.sketch - np.bitwise_count((other | (other >> U(1))) & low_bits).sum(axis=2, dtype=np.int64)
             ok = alike >= least
-            ok &= (keys[part][:, None] == keys[b][None]).argmax(axis=2) == band
+            ok &= (keys[part][:, None] == keys[b][None]).argmax(axis=2) == place[1]
             ok &= label[part][:, None] != label[b][None]
             ok &= ~stray[b][None] | (ids[part][:, None] < ids[b][None])
-            x, y = np.nonzero(ok)
-            order = np.lexsort((ids[b][y], -alike[x, y], label[b][y], x))
-            x, y = x[order], y[order]
-            new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]) | (label[b][y][1:] != label[b][y][:-1])
-            at = np.flatnonzero(new)
-            if len(at):
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), pa.array(ids[b][y]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part][x[at]]), pa.array(label[b][y[at]]), lists], ["a", "label", "others"])
+            most = np.maximum(most, np.where(ok, alike, -1).max(axis=0, initial=-1))
+            for i in np.flatnonzero(ok.any(axis=1)).tolist():
+                askers.append(part[i])
+                lists.append(ids[b[ok[i]]])
+        if askers:
+            hit = np.flatnonzero(most >= 0)
+            row = np.concatenate([np.array(askers), b[hit]])
+            ends = np.concatenate([np.cumsum([0, *map(len, lists)]), np.full(len(hit), sum(map(len, lists)))]).astype(np.int32)
+            rank = np.concatenate([np.full(len(askers), -1), options.sketch - most[hit]])
+            columns = [pa.array(np.full(len(row), x, t)) for x, t in zip(place, (np.int64, *[np.int32] * 3))]
+            columns += [pa.array(rank.astype(np.int32)), pa.array(ids[row]), pa.array(label[row])]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))))
+            yield pa.RecordBatch.from_arrays(columns, [*PLACE, "rank", "id", "label", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            yield from whole(held, False)
-            held = tail(held)
-        if held is not None and held.num_rows:
-            yield from whole(held, True)
-
-    def cuts(rows: pa.Table) -> np.ndarray:
-        columns = [rows.column(c).to_numpy() for c in place]
-        new = np.zeros(rows.num_rows, bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        return np.flatnonzero(new)
-
-    def tail(rows: pa.Table) -> pa.Table:
-        at = cuts(rows)
-        return rows.slice(at[-1]) if len(at) else rows
-
-    def whole(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        at = cuts(rows)
-        ends = [*at[1:], rows.num_rows] if last else at[1:]
-        for x, y in zip(at, ends):
-            yield from block(rows.slice(x, y - x))
-
-    return dealt.mapInArrow(run, "a long, label long, others array<long>")
-
-
-def _tried(lists: DataFrame, first: int, most: int) -> DataFrame:
-    """The pairs (a, b) of up to `most` entries of each list, from entry number `first` on."""
-    pairs = lists.select("a", F.explode(F.slice("others", first, most)).alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+        for rows in _by_place(batches):
+            yield from block(rows)
+
+    return shared.arrow_map(dealt, run, LISTED)
+
+
+class _Askers:
+    """The askers of one block: their complete sets in one sorted array, what each lists, and the classes linked so far."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.ids, self.labels, lists, sets = zip(*rows)
+        self.size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.elements, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
+        ids, asker = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(ids, kind="stable")
+        self.listed, self.asker = ids[order], asker[order]
+        self.parent: dict[int, int] = {}
+
+    def _root(self, label: int) -> int:
+        while (up := self.parent.get(label, label)) != label:
+            self.parent[label] = label = self.parent.get(up, up)
+        return label
+
+    def links(self, member: int, label: int, elements: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+        """Those of the askers that list the member, are similar to it and are not of its class yet."""
+        a, b = np.searchsorted(self.listed, [member, member + 1])
+        asking = [i for i in self.asker[a:b].tolist() if self._root(self.labels[i]) != self._root(label)]
+        if not asking:
+            return
+        first, end = (np.searchsorted(self.elements, elements, side) for side in ("left", "right"))
+        n = end - first
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+        common = np.bincount(self.owner[at], minlength=len(self.ids))
+        for i in asking:
+            mine, other = self._root(self.labels[i]), self._root(label)
+            if mine != other and common[i] >= similarity * (self.size[i] + len(elements) - common[i]) - 1e-9:
+                self.parent[max(mine, other)] = min(mine, other)
+                yield self.ids[i], member
+
+
+def _stray_links(lists: DataFrame, sets: DataFrame, options: NearOptions) -> DataFrame:
+    """(a, b): listed pairs of the similarity or more, by complete sets; in a block, no more than join its classes.
+
+    A block holds its askers' sets and meets one member's set after another.
+    """
+    joined = lists.join(sets, "id").repartition(*PLACE).sortWithinPartitions(*PLACE, "rank", "id")
 
-def _joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, options: NearOptions) -> DataFrame:
-    """The labels after those of the pairs that are similar have been linked."""
-    links = shared.written(_linked(pairs, sets, sizes, options.similarity), "near_links")
-    return shared.written(connected(links.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))), "near_labels")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, waiting, askers = None, [], None
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in PLACE))
+            ranks, ids, labels = (batch.column(c).to_pylist() for c in ("rank", "id", "label"))
+            sets_, others = batch.column("elements"), batch.column("others")
+            found = []
+            for i, here in enumerate(places):
+                if here != place:
+                    place, waiting, askers = here, [], None
+                elements = sets_[i].values.to_numpy()
+                if ranks[i] < 0:
+                    waiting.append((ids[i], labels[i], others[i].values.to_numpy(), elements))
+                    continue
+                askers = askers or _Askers(waiting)
+                found += askers.links(ids[i], labels[i], elements, options.similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return shared.arrow_map(joined, run, "a long, b long")
+
+
+def _relabelled(tables: shared.Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after the links have been added."""
+    tables.tables.append(connected(links.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))), "near_labels"))
+    return tables.tables[-1]
 
 
 def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
@@ -313,45 +394,46 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
+    tables = shared.Scratch(spark)
     source = docs.select("doc_id", "text").filter("doc_id is not null")
-    features = shared.written(source.mapInArrow(_features(options), FEATURES).filter("n_shingles > 0"), "near_features")
+    features = tables.written(shared.arrow_map(source, _features(options), FEATURES).filter("n_shingles > 0"), "near_features")
     same = features.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    members = shared.written(features.select("doc_id", "set_a", "set_b").join(same, ["set_a", "set_b"]).select("doc_id", "rep"), "near_members").distinct()
-    reps = shared.written(features.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bands"), "near_reps")
-    shared.dropped(spark, features)
+    written = tables.written(features.select("doc_id", "set_a", "set_b").join(same, ["set_a", "set_b"]).select("doc_id", "rep"), "near_members")
+    members = written.distinct()
+    reps = features.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bands")
+    reps = tables.written(reps, "near_reps")
+    tables.cleared(written, reps)
     slots = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     # A key is a hash of its band too.
     crowded = slots.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
-    buckets = shared.written(slots.join(crowded, "key").select("band", "key", "id").distinct(), "near_buckets")
+    buckets = tables.written(slots.join(crowded, "key").select("band", "key", "id").distinct(), "near_buckets")
     meet = buckets.select("id").distinct()
-    texts = source.join(meet, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_shingle_sets(options), "id long, elements array<long>")
-    sets = shared.written(texts, "near_sets")
-    sizes = shared.written(sets.select("id", F.size("elements").alias("n")).groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most")), "near_sizes")
-
-    # Round 1: each bucket's first member in an order of its band's own leads.
-    order = F.xxhash64("id", "band")
-    lead = buckets.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("a"))
-    pairs = buckets.join(lead, ["band", "key"]).filter("a <> id")
-    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    links = shared.written(_linked(pairs, sets, sizes, options.similarity), "near_links")
+    texts = shared.arrow_map(source.join(meet, F.col("doc_id") == F.col("id"), "left_semi"), _shingle_sets(options), "id long, elements array<long>")
+    sets = tables.written(texts, "near_sets")
+    sizes = sets.select("id", F.size("elements").alias("n")).groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = tables.written(sizes, "near_sizes")
+
     # Rows that share a doc_id may have different texts: that links their classes.
     one = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most")
-    links = links.union(members.join(one, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")))
-    labels = shared.written(connected(links), "near_labels")
-
-    # Round 2: what is outside of its bucket's largest class.
-    lists = shared.written(_stray_lists(buckets, labels, reps, sets, options), "near_lists")
-    labels = _joined(labels, _tried(lists, 1, options.first_tries), sets, sizes, options)
-    now = labels.select("id", F.col("label").alias("now"))
-    apart = lists.filter(F.size("others") > options.first_tries).join(now.withColumnRenamed("now", "a_now"), F.col("a") == F.col("id"), "left").drop("id")
-    apart = apart.join(now, F.col("label") == F.col("id"), "left").filter(F.coalesce("a_now", "a") != F.coalesce("now", "label"))
-    labels = _joined(labels, _tried(apart, options.first_tries + 1, options.members), sets, sizes, options)
+    split = members.join(one, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b"))
+    # The buckets of a class mostly have the same first member by a hash of the id alone, so this makes few pairs.
+    labels = connected(_linked(tables, _led(buckets, F.xxhash64("id")), sets, sizes, options.similarity).union(split), "near_labels")
+    tables.tables.append(labels)
+    # What that left apart meets another first member in each band.
+    pairs = _led(buckets, F.xxhash64("id", "band"), labels)
+    labels = _relabelled(tables, labels, _linked(tables, pairs, sets, sizes, options.similarity))
+    # What is outside of its bucket's largest class even so meets all others of the bucket.
+    lists = tables.written(_stray_lists(tables, buckets, labels, reps, sets, options), "near_lists")
+    labels = _relabelled(tables, labels, _stray_links(lists, sets, options))
+    tables.cleared(written, labels)
     classes = members.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     # Rows that share a doc_id are of one class by now.
     joined = docs.select("doc_id").join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    sizes = joined.filter("class_id is not null").groupBy(F.col("class_id").alias("_class")).agg(F.count("*").alias("class_size"))
-    sized = joined.join(sizes, F.col("class_id") == F.col("_class"), "left")
-    return sized.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    # As a table of its own, so that Spark can split the rows of a large class.
+    counts = joined.filter("class_id is not null").groupBy(F.col("class_id").alias("_class")).agg(F.count("*").alias("class_size"))
+    sized = joined.join(tables.written(counts, "near_counts"), F.col("class_id") == F.col("_class"), "left")
+    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
+    return sized.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
 
 
 def near_deduplicated(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:

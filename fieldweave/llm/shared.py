@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +43,41 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables written on the way to a result, to be deleted together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def cleared(self, *keep: DataFrame) -> None:
+        """Delete all but those to keep."""
+        for table in self.tables:
+            if not any(table is x for x in keep):
+                dropped(self.spark, table)
+        self.tables = list(keep)
+
+
+def release_memory() -> None:
+    """Give freed memory of this Python worker back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with freed memory given back at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16MB") -> None:
     """Bound the Arrow batches of text that a Python worker gets, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
