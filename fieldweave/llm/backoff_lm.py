@@ -1,11 +1,14 @@
-"""Language-model scores with stupid backoff, as joins of n-gram counts.
+"""Language-model scores with stupid backoff, as a table of n-gram counts joined to the n-grams of the documents.
 
-Documents are stored in blocks of a few MB. The n-grams of a block, exploded and counted within it, are
-dealt out by ranges of their hashes: those of one range from all blocks are one partition of the count
-table, where they are summed up and joined back to each block's own n-grams. The totals return to their
-blocks without the hashes, in the order in which the hashes left, and are summed up there for each
-document. An n-gram is one entry for each block however often it occurs, so that frequent ones make no
-partition large; all that moves grows in proportion to the input.
+Documents are stored in blocks of a few MB. The n-grams of a block, exploded and counted within it, leave it as
+arrays, one for each range of their hashes, and are dealt out by range: what comes together is one partition of
+the count table. There the arrays are rows (block, gram, n) again; one sort by gram gives each gram's count over
+the corpus and joins it to the rows, of which those go back to their blocks that another document has too. A
+block then sums up its documents' scores.
+
+An n-gram is one row for each block however often it occurs, so that frequent ones make no partition large. The
+ranges are taken in a few passes, each of which ends before the next one begins, so that only a part of the rows
+is on disk at a time. All that moves grows in proportion to the input.
 
 A word counts as its bytes between ASCII white space. A document's own n-grams are taken out of the
 counts before it is scored, so what nothing but the document itself has backs off.
@@ -18,34 +21,20 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .text_kernel import U, mix, shingles, steps, text_slices, words
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Sorted or small integers: differences or values by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
-
+from .text_kernel import U, Words, mix, shingles, steps, text_slices, words
 
-def pack_sorted(hashes: np.ndarray) -> bytes:
-    return pack(np.diff(hashes, prepend=U(0)))
+BLOCKS = "block long, n_words long, payload binary"
+GRAMS = "range int, block long, grams array<long>, n array<int>"
+COUNTS = "block long, range int, place array<int>, total array<long>"
+SCORES = "doc_id long, n_words long, n_full long, score double"
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob), dtype=U)
-
-
-def exploded(column: pa.Array, order: int):
+def exploded(column: pa.Array, order: int) -> tuple[Words, np.ndarray]:
     """The words of the texts and, for n of 1 to order, the hash of the n-gram that ends at each word (0 where none does)."""
     w = words(column)
     h = w.hashes()
@@ -56,6 +45,11 @@ def exploded(column: pa.Array, order: int):
     return w, grams
 
 
+def range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """Equal ranges of the hashes, in order."""
+    return (((grams >> U(32)) * U(ranges)) >> U(32)).astype(np.int32)
+
+
 def _to_blocks(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -63,12 +57,13 @@ def _to_blocks(block_bytes: int):
 
         def out() -> pa.RecordBatch:
             nonlocal block
-            sink = pa.BufferOutputStream()
+            sink, n = pa.BufferOutputStream(), 0
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
                 for part in held:
                     file.write_batch(part)
+                    n += len(words(part.column("text")).start)
             block += 1
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_words", "payload"])
 
         for batch in batches:
             for part in text_slices(batch, most=block_bytes // 4):
@@ -88,46 +83,84 @@ def block_column(payload: bytes) -> pa.RecordBatch:
         return file.read_all().combine_chunks().to_batches()[0]
 
 
-def _count_in_blocks(order: int, buckets: int):
+def _grams_of_blocks(order: int, ranges: int, low: int, high: int):
+    """The n-grams of each block in the ranges from low to high, sorted: n is how often, negative if one document alone has it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                _, grams = exploded(block_column(payload).column("text"), order)
-                gram, n = np.unique(grams[grams > 0], return_counts=True)
-                bucket = ((gram >> U(32)) * U(buckets)) >> U(32)
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(gram) else np.empty(0, int)
-                rows = [(int(bucket[a]), block, pack_sorted(gram[a:b]), pack(n[a:b])) for a, b in zip(cut, [*cut[1:], len(gram)])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "grams", "counts"])
+                w, grams = exploded(block_column(payload).column("text"), order)
+                wanted = (grams > 0) & (grams >= U(range_start(low, ranges))) & (grams <= U(range_start(high, ranges) - 1))
+                gram, doc = grams[wanted], np.broadcast_to(w.doc, grams.shape)[wanted]
+                sort = np.argsort(gram, kind="stable")  # documents stay in order within a gram
+                gram, doc = gram[sort], doc[sort]
+                first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, int)
+                n = np.diff(np.append(first, len(gram)))
+                alone = doc[first] == doc[first + n - 1]
+                gram, n = gram[first], np.where(alone, -n, n).astype(np.int32)
+                own = range_of(gram, ranges)
+                cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, int)
+                ends = pa.array(np.append(cut, len(gram)).astype(np.int32))
+                columns = [pa.array(own[cut]), pa.array(np.full(len(cut), block)), pa.ListArray.from_arrays(ends, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(n))]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "block", "grams", "n"])
 
     return run
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
+def range_start(i: int, ranges: int) -> int:
+    """The least hash of range i; of the range after the last one, one above the greatest hash."""
+    return -(-(i << 32) // ranges) << 32
+
 
+def _by_block(most: int = 1 << 20):
+    """Rows (range, block, place, total) as arrays for each range and block, some hundred thousand rows at a time."""
 
-def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of each bucket's n-grams, for each block that has them. The rows of a bucket stand together."""
-    for bucket, rows in groupby(_rows(batches), key=lambda x: x[0]):
-        rows = list(rows)
-        grams = [unpack_sorted(x[2]) for x in rows]
-        _, at = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpack(x[3]) for x in rows]).astype(float)).astype(np.int64)[at]
-        ends = np.cumsum([len(x) for x in grams])
-        blobs = [pack(total[b - len(x) : b]) for x, b in zip(grams, ends)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows]), pa.array([bucket] * len(rows), pa.int64()), pa.array(blobs, pa.binary())], ["block", "bucket", "payload"])
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        range_, block, place, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("range", "block", "place", "total"))
+        sort = np.lexsort((range_, block))
+        range_, block, place, total = range_[sort], block[sort], place[sort], total[sort]
+        cut = np.flatnonzero(np.append(True, (range_[1:] != range_[:-1]) | (block[1:] != block[:-1])))
+        ends = pa.array(np.append(cut, len(block)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(range_[cut]), pa.ListArray.from_arrays(ends, pa.array(place)), pa.ListArray.from_arrays(ends, pa.array(total))], ["block", "range", "place", "total"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def counted(blocks: DataFrame, order: int, ranges: int, low: int, high: int, parts: int) -> DataFrame:
+    """COUNTS rows: where in the sorted n-grams of a block and range those stand that some other document has, and their counts over all blocks."""
+    grams = shared.arrow_map(blocks.select("block", "payload"), _grams_of_blocks(order, ranges, low, high), GRAMS)
+    rows = grams.repartition(parts, "range").select("range", "block", F.posexplode(F.arrays_zip("grams", "n")).alias("place", "x"))
+    rows = rows.select("range", "block", "place", F.col("x.grams").alias("gram"), F.col("x.n").alias("n"))
+    # Rows of one gram are in one range, so they are together already; each gets the sum over all.
+    total = F.sum(F.abs("n")).over(Window.partitionBy("gram", "range"))
+    seen = rows.withColumn("total", total).filter(F.col("total") > -F.col("n"))
+    return shared.arrow_map(seen.select("range", "block", "place", "total"), _by_block(), COUNTS)
 
-def _score(order: int, backoff: float, all_words: int):
-    def scored(docs: pa.RecordBatch, totals: np.ndarray) -> pa.RecordBatch:
+
+def _score(order: int, backoff: float, all_words: int, ranges: int):
+    def scored(docs: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
         w, grams = exploded(docs.column("text"), order)
         present = grams > 0
-        _, at = np.unique(grams[present], return_inverse=True)
+        gram, at = np.unique(grams[present], return_inverse=True)
+        begin = np.searchsorted(range_of(gram, ranges), np.arange(ranges))
+        totals = np.zeros(len(gram), np.int64)
+        for range_, place, total in found:
+            totals[begin[range_] + place] = total
         doc = np.broadcast_to(w.doc, grams.shape)[present]
         _, own, n = np.unique(doc * (len(totals) + 1) + at, return_inverse=True, return_counts=True)
         rest = np.zeros(grams.shape)
-        rest[present] = totals[at] - n[own]  # without the document's own
+        rest[present] = np.maximum(totals[at] - n[own], 0)  # without the document's own
         n_words = np.diff(w.bounds)
         others = np.maximum(all_words - n_words, 1)[w.doc]
         value = np.maximum(rest[0], 1) / others
@@ -144,20 +177,27 @@ def _score(order: int, backoff: float, all_words: int):
         mean = np.round(total / np.maximum(n_words, 1), 4)
         return pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(n_words), pa.array(full), pa.array(mean, mask=n_words == 0)], ["doc_id", "n_words", "n_full", "score"])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            block, range_, payload = (batch.column(c).to_pylist() for c in ("block", "range", "payload"))
+            place, total = batch.column("place"), batch.column("total")
+            for i in range(batch.num_rows):
+                yield block[i], range_[i], payload[i], place[i], total[i]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groupby(_rows(batches), key=lambda x: x[0]):
-            totals, docs = [], None
-            for _, bucket, payload in rows:
-                if bucket < 0:
+        for _, of_block in groupby(rows(batches), key=lambda x: x[0]):
+            found, docs = [], None
+            for _, range_, payload, place, total in of_block:
+                if range_ < 0:
                     docs = block_column(payload)
                 else:
-                    totals.append(unpack(payload))
-            yield scored(docs, np.concatenate(totals).astype(np.int64) if totals else np.zeros(0, np.int64))
+                    found.append((range_, place.values.to_numpy(), total.values.to_numpy()))
+            yield scored(docs, found)
 
     return run
 
 
-def backoff_scores(docs: DataFrame, *, order: int = 2, backoff: float = 0.4, block_bytes: int = 6 << 20) -> DataFrame:
+def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, block_bytes: int = 6 << 20, passes: int = 3) -> DataFrame:
     """doc_id, n_words, n_full (words scored by their longest n-gram) and score of each row of docs.
 
     score is the mean decimal logarithm of S(word | words before it), rounded to 4 places: the share of the
@@ -168,17 +208,16 @@ def backoff_scores(docs: DataFrame, *, order: int = 2, backoff: float = 0.4, blo
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    blocks = shared.written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_to_blocks(block_bytes), "block long, payload binary"), "lm_blocks")
-    shared.small_batches(spark, rows=64)
-
-    def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(words(block_column(x).column("text")).start) for x in batch.column("payload").to_pylist()], pa.int64())], ["n"])
-
-    all_words = blocks.select("payload").mapInArrow(word_counts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    blocks = shared.written(shared.arrow_map(texts, _to_blocks(block_bytes), BLOCKS), "lm_blocks")
+    all_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = blocks.mapInArrow(_count_in_blocks(order, 2 * parts), "bucket long, block long, grams binary, counts binary")
-    totals = counted.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_sum_up, "block long, bucket long, payload binary")
-    both = totals.union(blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "payload"))
-    joined = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return joined.mapInArrow(_score(order, backoff, all_words), "doc_id long, n_words long, n_full long, score double")
+    ranges = 8 * parts
+    bounds = [ranges * i // passes for i in range(passes + 1)]
+    counts = [shared.written(counted(blocks, order, ranges, a, b, parts), "lm_counts") for a, b in zip(bounds, bounds[1:])]
+    none = [F.lit(None).cast(t) for t in ("array<int>", "array<long>", "binary")]
+    both = blocks.select("block", F.lit(-1).alias("range"), none[0].alias("place"), none[1].alias("total"), "payload")
+    for part in counts:
+        both = both.union(part.select("block", "range", "place", "total", none[2].alias("payload")))
+    joined = both.repartition(parts, "block").sortWithinPartitions("block", "range")
+    return shared.arrow_map(joined, _score(order, backoff, all_words, ranges), SCORES)

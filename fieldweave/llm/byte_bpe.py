@@ -3,7 +3,8 @@
 Text is cut by the vocabulary's pattern; each piece starts as bytes and merges its pair of least rank, the
 leftmost first, until no pair has a rank. A segment tree over the byte positions of a piece holds at its
 root the leftmost least pair; a merge changes the leaves of the live neighbours and the nodes above them.
-All pieces of a batch with trees of one size go in step, one merge each, as rows of numpy arrays.
+All pieces of a batch with trees of one size go in step, one merge each, as rows of numpy arrays; where they
+are too few for that, as very long pieces are, each goes by itself.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .text_kernel import text_slices
 
 NONE = np.int64(2**62)
 SHIFT = np.int64(32)
+FEW = 48  # pieces of one size that a step over arrays is not worth
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +48,7 @@ class RankTree:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.rank = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.pairs: dict[int, int] = {}
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """What a leaf holds for the pair of tokens whose first begins at byte `at`."""
@@ -63,6 +66,10 @@ class RankTree:
             elif piece:
                 by_size.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
         for size, rows in by_size.items():
+            if len(rows) < FEW and size >= 64:
+                for i in rows:
+                    out[i] = self._merge_one(pieces[i], size)
+                continue
             step = max(1, self.cells // size)
             for first in range(0, len(rows), step):
                 part = rows[first : first + step]
@@ -119,10 +126,58 @@ class RankTree:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
+    def _merge_one(self, piece: bytes, size: int) -> list[int]:
+        """The same for one piece, over plain lists. A change goes up the tree until a node stays as it is."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), self.rank.tolist()))
+        pairs, none, n = self.pairs, int(NONE), len(piece)
+        token = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * size)
+        for at in range(n - 1):
+            rank = pairs.get((token[at] << 32) | token[at + 1])
+            if rank is not None:
+                tree[size + at] = (rank << 32) | at
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def update(at: int, value: int) -> None:
+            node = size + at
+            if tree[node] == value:
+                return
+            tree[node] = value
+            node >>= 1
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        def leaf(at: int) -> int:
+            after = following[at]
+            rank = pairs.get((token[at] << 32) | token[after]) if after < n else None
+            return none if rank is None else (rank << 32) | at
+
+        while (root := tree[1]) < none:
+            at, merged = root & 0xFFFFFFFF, root >> 32
+            right = following[at]
+            after = following[right]
+            token[at], token[right], following[at] = merged, -1, after
+            update(right, none)
+            if after < n:
+                before[after] = at
+            update(at, leaf(at))
+            if before[at] >= 0:
+                update(before[at], leaf(before[at]))
+        return [t for t in token if t >= 0]
+
+
 class PieceEncoder:
     """Ids of segments: their pieces by the pattern, each distinct piece merged once in a while."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 150_000) -> None:
         import regex
 
         self.tree, self.find, self.most = RankTree(read_ranks(path)), regex.compile(pattern).findall, most
@@ -168,7 +223,7 @@ def encoder(path: str, pattern: str) -> SegmentEncoder:
 
 
 def bpe_encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """docs with `ids`, the text's token ids. Null and empty texts have none. A column ids of docs is replaced."""
+    """docs with `ids`, the text's token ids. Null and empty texts have none; repeated rows each have theirs. A column ids of docs is replaced."""
     shared.small_batches(docs.sparkSession)
     source = docs.drop("ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", ids array<int>"
@@ -181,11 +236,11 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "ids"])
 
-    return source.mapInArrow(run, schema)
+    return shared.arrow_map(source, run, schema)
 
 
 def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """encoded with `decoded`, the bytes of its ids; a null list decodes to no bytes."""
+    """encoded with `decoded`, the bytes of its ids; a null or empty list decodes to no bytes. A column decoded is replaced."""
     source = encoded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", decoded binary"
 
@@ -197,11 +252,15 @@ def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
             ends = total[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([data[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], [*batch.schema.names, "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return shared.arrow_map(source, run, schema)
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text: what encoding and then decoding its ids give."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text: what encoding and then decoding its ids give.
+
+    Null and empty texts have no ids and the digests of no bytes; repeated rows each have a row, and a null doc_id
+    stays null. Only doc_id and text are used.
+    """
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,4 +278,4 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shared.arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

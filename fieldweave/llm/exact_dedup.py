@@ -160,8 +160,8 @@ def content_groups(docs: DataFrame, *, budget: int = 48 << 20) -> DataFrame:
     """(digest, keep_id, group_size) of each distinct normalised content."""
     shared.small_batches(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.char_length("text").cast("long"))
-    records = source.mapInArrow(_collapse(budget // 2), RECORDS)
-    return records.repartition("digest").mapInArrow(_reduce(budget), GROUPS)
+    records = shared.arrow_map(source, _collapse(budget // 2), RECORDS)
+    return shared.arrow_map(records.repartition("digest"), _reduce(budget), GROUPS)
 
 
 def exact_groups(docs: DataFrame, *, budget: int = 48 << 20) -> DataFrame:
@@ -184,5 +184,10 @@ def exact_groups(docs: DataFrame, *, budget: int = 48 << 20) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    return exact_groups(docs, **options).filter("kept").select(docs.columns)
+    """The rows of docs that stay, with the columns of docs.
+
+    One row of each group of texts that are equal without white space stays, null and empty ones being one
+    group; rows that tie in length and doc_id all stay. Columns of docs keep their values, whatever their names.
+    """
+    plain, own = shared.set_aside(docs, ["keep_id", "group_size", "kept", "text_sha256"])
+    return own(exact_groups(plain, **options).filter("kept"))

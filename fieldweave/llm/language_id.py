@@ -128,7 +128,7 @@ def fit(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Langua
                 rows = pa.array([x.tobytes() for x in counts(part.column("text"), options)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("doc_id"), rows], ["lang", "doc_id", "counts"])
 
-    sample = shared.written(drawn.mapInArrow(counted, "lang string, doc_id long, counts binary"), "language_sample")
+    sample = shared.written(shared.arrow_map(drawn, counted, "lang string, doc_id long, counts binary"), "language_sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(options.dims)
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Langua
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
 
-    found = sample.coalesce(8).mapInArrow(seen, "n long, df binary").collect()
+    found = shared.arrow_map(sample.coalesce(8), seen, "n long, df binary").collect()
     idf = np.log((1 + sum(x.n for x in found)) / (1 + sum(np.frombuffer(x.df) for x in found)))
     idf = (np.maximum(idf, 0) + 0.1).astype(np.float32)
 
@@ -188,9 +188,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 columns = [pa.array(languages[best], pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *made[1:]])
 
-    return source.mapInArrow(run, schema)
+    return shared.arrow_map(source, run, schema)
 
 
 def identified(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> DataFrame:
-    """The documents that are not rejected, with the columns of docs."""
-    return predict(docs, fit(docs, options)).filter(~F.col("rejected")).select(docs.columns)
+    """The documents that are not rejected, with the columns of docs.
+
+    Null texts and those without a letter are rejected; repeated rows fare alike. Without labelled rows all
+    are rejected. Columns of docs keep their values, whatever their names.
+    """
+    plain, own = shared.set_aside(docs, [x.split()[0] for x in MADE.split(", ")])
+    return own(predict(plain, fit(plain, options)).filter(~F.col("rejected")))

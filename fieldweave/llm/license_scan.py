@@ -25,22 +25,109 @@ WORD = byte_set(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 # Phrases whose places are counted, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wording of public license notices, with optional [[...]] and replaceable {...} regions.
+# The wording of public licenses, with optional [[...]] and replaceable {...} regions. Each is given in
+# full, as its mandatory clauses stand; sentences that only name a license, and openings of texts, have labels of their own.
+MIT = """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+the {name:1-3} to deal in the {name:1-3} without restriction including without limitation the rights to use copy modify merge
+publish distribute sublicense and or sell copies of the {name:1-3} and to permit persons to whom the {name:1-3} is furnished to do
+so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]]
+shall be included in all copies or substantial portions of the {name:1-3} the {name:1-3} is provided as is without warranty of any
+kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+noninfringement in no event shall {holder:1-8} be liable for any claim damages or other liability whether in an action of contract
+tort or otherwise arising from out of or in connection with the {name:1-3} or the use or other dealings in the {name:1-3}
+"""
+BSD_CONDITIONS = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the
+following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and
+the following disclaimer in the documentation and or other materials provided with the distribution
+"""
+BSD_NAMES = """
+[[3]] neither the name of {holder:1-10} nor the names of {possessive:1-2} contributors may be used to endorse or promote products
+derived from this software without specific prior written permission
+"""
+BSD_DISCLAIMER = """
+this software is provided by {provider:1-12} as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {liable:1-12} be liable for any
+direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods
+or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract
+strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+the possibility of such damage
+"""
+ISC = """
+permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided
+that the above copyright notice and this permission notice appear in all copies the software is provided as is and {holder:1-8}
+disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event
+shall {holder:1-8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss
+of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with
+the use or performance of this software
+"""
+APACHE = """
+licensed under the apache license version 2 0 the license you may not use {object:1-3} except in compliance with the license you
+may obtain a copy of the license at {scheme:1-1} www apache org licenses license 2 0 unless required by applicable law or agreed to
+in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind
+either express or implied see the license for the specific language governing permissions and limitations under the license
+"""
+GPL_OPENING = """
+{program:1-3} is free software you can redistribute it and or modify it under the terms of the gnu general public license as
+published by the free software foundation either
+"""
+GPL_WARRANTY = """
+of the license or at your option any later version {program:1-3} is distributed in the hope that it will be useful but without any
+warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+license for more details
+"""
+MPL = """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+file you can obtain one at {scheme:1-1} mozilla org mpl 2 0
+"""
+UNLICENSE = """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our
+heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights
+to this software under copyright law the software is provided as is without warranty of any kind express or implied including but
+not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors
+be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+connection with the software or the use or other dealings in the software
+"""
+ZLIB = """
+this software is provided as is without any express or implied warranty in no event will {holder:1-4} be held liable for any damages
+arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must
+not be misrepresented you must not claim that you wrote the original software if you use this software in a product an
+acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly
+marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from
+any source distribution
+"""
+
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license [[version]] 2 0 [[the license]]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("apache-2.0", APACHE),
+    ("bsd-2-clause", BSD_CONDITIONS + BSD_DISCLAIMER),
+    ("bsd-3-clause", BSD_CONDITIONS + BSD_NAMES + BSD_DISCLAIMER),
+    ("gpl-2.0-or-later", GPL_OPENING + "version 2" + GPL_WARRANTY),
+    ("gpl-3.0-or-later", GPL_OPENING + "version 3" + GPL_WARRANTY),
+    ("isc", ISC),
+    ("mit", MIT),
+    ("mpl-2.0", MPL),
+    ("unlicense", UNLICENSE),
+    ("zlib", ZLIB),
+    ("apache-notice", "licensed under the apache license [[version]] 2 0 [[the license]]"),
+    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by [[international]] 4 0"),
     ("cc-by-nc-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[international]] 4 0"),
     ("cc-by-nc-sa-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by nc sa [[international]] 4 0"),
     ("cc-by-sa-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by sa [[international]] 4 0"),
     ("copyright-notice", "copyright [[c]] {year:1-3} [[by]] {holder:1-6} all rights reserved"),
-    ("gpl-2.0", "[[licensed]] [[distributed]] under the [[terms of the]] [[gnu]] general public license version 2"),
-    ("gpl-3.0", "[[licensed]] [[distributed]] under the [[terms of the]] [[gnu]] general public license version 3"),
-    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mit", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {name:1-3} to deal in the {name:1-3} without restriction"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("gpl-2.0-notice", "[[licensed]] [[distributed]] under the [[terms of the]] [[gnu]] general public license version 2"),
+    ("gpl-3.0-notice", "[[licensed]] [[distributed]] under the [[terms of the]] [[gnu]] general public license version 3"),
+    ("isc-notice", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit-notice", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"),
+    ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mpl-notice", "subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
+    ("unlicense-notice", "this is free and unencumbered software released into the public domain"),
 )
 
 
@@ -203,4 +290,4 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataF
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *made])
 
-    return source.mapInArrow(run, schema)
+    return shared.arrow_map(source, run, schema)

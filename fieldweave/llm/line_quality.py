@@ -1,7 +1,8 @@
 """Quality rules, line first: judge each line, take out those that fail, then judge what is left.
 
-A line fails if too many of its words end in runs of marks, if it is a navigation bar (words between
-upright bars), or if it is short and has a boilerplate phrase. A document is rejected for its own figures
+A line fails for its punctuation if it is short and does not end like a sentence, or if too many of its words
+hold runs of symbols or end in runs of exclamation marks; for navigation if it is a bar of words between
+upright bars; and if it is short and has a boilerplate phrase. A document is rejected for its own figures
 (few words, much repetition) or when its failing lines held too many of its words.
 """
 
@@ -20,7 +21,10 @@ from .text_kernel import SPACE, byte_set, repeated, shingles, text_slices, words
 
 SYMBOLS = b"#*$%&|<>"
 
-# Phrases of pages rather than of prose, in lower case.
+# What a sentence ends with, its closing quotes and brackets included.
+SENTENCE_ENDS = (".", "!", "?", ":", ";", '"', "'", ")", "]", "\u2026", "\u201d", "\u2019", "\u00bb", "\u3002", "\uff01", "\uff1f")
+
+# Phrases of pages rather than of prose, in lower case and ASCII, by language.
 BOILERPLATE = (
     "accept all cookies",
     "all content on this site",
@@ -34,6 +38,18 @@ BOILERPLATE = (
     "terms of use",
     "this site uses cookies",
     "we use cookies",
+    "abonnez-vous",
+    "accepter tous les cookies",
+    "cliquez ici pour",
+    "nous utilisons des cookies",
+    "alle cookies akzeptieren",
+    "hier klicken",
+    "newsletter abonnieren",
+    "wir verwenden cookies",
+    "aceptar todas las cookies",
+    "haga clic en",
+    "suscribirse al boletin",
+    "utilizamos cookies",
 )
 
 
@@ -46,11 +62,15 @@ class LineRules:
     bar_percent: int = 15
     min_bars: int = 2
     boilerplate_words: int = 30
+    fragment_words: int = 20  # a line of more words need not end like a sentence: it may be cut off
     lost_percent: int = 40
     phrases: tuple[str, ...] = BOILERPLATE
 
 
-FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lost_lines long, n_lost_words long, base_failed boolean, kept boolean, clean_text string"
+FIGURES = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lost_lines long, n_lost_words long, "
+    "base_failed boolean, kept boolean, clean_text string"
+)
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,7 +103,17 @@ def judge(column: pa.Array, rules: LineRules) -> dict[str, np.ndarray | pa.Array
     marked[at[inside]] = True
     marks = np.bincount(line_of, weights=shout | marked, minlength=n_lines)
     bars = np.bincount(line_of, weights=bar, minlength=n_lines)
-    fails = (100 * marks > rules.mark_percent * per_line) | ((bars >= rules.min_bars) & (100 * bars > rules.bar_percent * per_line))
+    ends_well = np.zeros(len(w.end), bool)
+    for mark in SENTENCE_ENDS:
+        code = mark.encode()
+        same = length >= len(code)
+        for back, byte in enumerate(reversed(code), 1):
+            same &= data[np.maximum(w.end - back, 0)] == byte
+        ends_well |= same
+    final = np.searchsorted(line_of, np.arange(n_lines), "right") - 1  # each line's last word
+    fragment = (per_line > 0) & (per_line <= rules.fragment_words)
+    fragment[fragment] = ~ends_well[final[fragment]]
+    fails = fragment | (100 * marks > rules.mark_percent * per_line) | ((bars >= rules.min_bars) & (100 * bars > rules.bar_percent * per_line))
     small = data.tobytes().lower()
     for phrase in rules.phrases:
         key, at = phrase.encode(), -1
@@ -143,11 +173,15 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), *, text_out: b
                 found = judge(part.column("text"), rules)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[x]) for x in made)], [*part.schema.names, *made])
 
-    return source.mapInArrow(run, schema)
+    return shared.arrow_map(source, run, schema)
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that the rules keep, without their failing lines, with the columns of docs; n_chars follows the text."""
-    found = line_quality(docs, rules).filter("kept")
+    """The documents that the rules keep, without their failing lines, with the columns of docs; n_chars follows the text.
+
+    Null and empty texts are rejected; repeated rows fare alike. Columns of docs keep their values, whatever their names.
+    """
+    plain, own = shared.set_aside(docs, [x.split()[0] for x in FIGURES.split(", ")])
+    found = line_quality(plain, rules).filter("kept")
     text = {"text": F.col("clean_text")} | ({"n_chars": F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.withColumns(text).select(docs.columns)
+    return own(found.withColumns(text))

@@ -2,9 +2,9 @@
 
 A document's whole windows go out as they are. What remains of it is put where it leaves the least sum of
 squared counts of partially filled windows, over all fill levels; an array counts the open windows at
-each level. When a task ends, or has many windows open, the emptiest are cut into the room of the fullest,
-and the last is cut into powers of two, which need no padding. Each task packs its own part of the
-table, so nothing is shuffled; the padding of a task is bounded by its last window.
+each level. When a task ends, or has most_open windows open (whose ids it holds), the emptiest are cut into the
+room of the fullest. At the end the last is cut into powers of two, which need no padding. Each task packs
+its own part of the table, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -167,4 +167,4 @@ def packed(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 20
         packer.merge()
         yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return shared.arrow_map(docs.select("doc_id", "text"), run, schema)

@@ -79,9 +79,9 @@ with d as (select doc_id, coalesce(text, '') as text from documents), w as (sele
 p as (select doc_id, unnest(range(1, len(words) - 3)) as i, words from w), g as (select doc_id, i, array_to_string(words[i : i + 4], ' ') as gram from p),
 r as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1), c as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from r) group by 1),
 l as (select doc_id, unnest(lines) as line from w), lw as (select doc_id, line, regexp_extract_all(line, {WORDS}) as words from l),
-q as (select doc_id, line, len(words) as n, len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]{{3}}') or (length(x) >= 2 and ends_with(x, '!!')))) as marks, len(list_filter(words, lambda x: x = '|')) as bars,
+q as (select doc_id, line, words, len(words) as n, len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]{{3}}') or (length(x) >= 2 and ends_with(x, '!!')))) as marks, len(list_filter(words, lambda x: x = '|')) as bars,
  len(list_filter([{", ".join(f"'{x}'" for x in line_quality.BOILERPLATE)}], lambda x: contains(lower(line), x))) > 0 as boiler from lw where len(words) > 0),
-f as (select doc_id, n, 100 * marks > 30 * n or (bars >= 2 and 100 * bars > 15 * n) or (boiler and n <= 30) as fails from q),
+f as (select doc_id, n, 100 * marks > 30 * n or (bars >= 2 and 100 * bars > 15 * n) or (boiler and n <= 30) or (n <= 20 and not regexp_matches(words[n], '[.!?:;"'')\]\x{{2026}}\x{{201D}}\x{{2019}}\x{{BB}}\x{{3002}}\x{{FF01}}\x{{FF1F}}]$')) as fails from q),
 e as (select doc_id, count(*) filter (fails) as n_lost_lines, coalesce(sum(n) filter (fails), 0) as n_lost_words from f group by 1), u as (select doc_id, count(*) - count(distinct line) as n from q group by 1),
 m as (select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(u.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
  coalesce(n_lost_lines, 0) as n_lost_lines, cast(coalesce(n_lost_words, 0) as bigint) as n_lost_words from w left join c using (doc_id) left join u using (doc_id) left join e using (doc_id)),
@@ -90,12 +90,15 @@ select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_d
 """,
     "op9_backoff_lm": rf"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) as words from documents), t as (select doc_id, unnest(words) as x, generate_subscripts(words, 1) as i, words from w),
-b as (select doc_id, i, x, case when i > 1 then words[i - 1] end as p from t), n as (select sum(len(words)) as n from w), c1 as (select x, count(*) as c from b group by x), d1 as (select doc_id, x, count(*) as c from b group by doc_id, x),
-c2 as (select p, x, count(*) as c from b where p is not null group by p, x), d2 as (select doc_id, p, x, count(*) as c from b where p is not null group by doc_id, p, x), k as (select doc_id, len(words) as n_words from w),
-s as (select b.doc_id, b.p, c1.c - d1.c as r1, cp.c - dp.c as rp, c2.c - d2.c as r2, greatest(n.n - k.n_words, 1)::double as rest from b cross join n join k on b.doc_id = k.doc_id join c1 on b.x = c1.x join d1 on b.doc_id = d1.doc_id and b.x = d1.x left join c2 on b.p = c2.p and b.x = c2.x
- left join d2 on b.doc_id = d2.doc_id and b.p = d2.p and b.x = d2.x left join c1 cp on b.p = cp.x left join d1 dp on b.doc_id = dp.doc_id and b.p = dp.x),
-v as (select doc_id, case when p is not null and r2 > 0 then 1 else 0 end as longest, log10(case when p is null then greatest(r1, 1) / rest when r2 > 0 then r2::double / rp else 0.4::double * (greatest(r1, 1) / rest) end) as y from s)
-select k.doc_id, k.n_words, coalesce(sum(longest), 0)::bigint as n_full, round(sum(y) / k.n_words, 4) as score from k left join v on k.doc_id = v.doc_id group by k.doc_id, k.n_words
+b as (select doc_id, i, x, case when i > 1 then words[i - 1] end as p, case when i > 2 then words[i - 2] end as q from t), n as (select sum(len(words)) as n from w), k as (select doc_id, len(words) as n_words from w),
+c1 as (select x, count(*) as c from b group by 1), d1 as (select doc_id, x, count(*) as c from b group by 1, 2), c2 as (select p, x, count(*) as c from b where p is not null group by 1, 2), d2 as (select doc_id, p, x, count(*) as c from b where p is not null group by 1, 2, 3),
+c3 as (select q, p, x, count(*) as c from b where q is not null group by 1, 2, 3), d3 as (select doc_id, q, p, x, count(*) as c from b where q is not null group by 1, 2, 3, 4),
+r1 as (select doc_id, x, c1.c - d1.c as r from d1 join c1 using (x)), r2 as (select doc_id, p, x, c2.c - d2.c as r from d2 join c2 using (p, x)), r3 as (select doc_id, q, p, x, c3.c - d3.c as r from d3 join c3 using (q, p, x)),
+s as (select b.doc_id, b.i, r1.r as a1, rp.r as a0, r2.r as b1, rq.r as b0, r3.r as e1, greatest(n.n - k.n_words, 1)::double as rest from b cross join n join k on b.doc_id = k.doc_id join r1 on b.doc_id = r1.doc_id and b.x = r1.x left join r1 rp on b.doc_id = rp.doc_id and b.p = rp.x
+ left join r2 on b.doc_id = r2.doc_id and b.p = r2.p and b.x = r2.x left join r2 rq on b.doc_id = rq.doc_id and b.q = rq.p and b.p = rq.x left join r3 on b.doc_id = r3.doc_id and b.q = r3.q and b.p = r3.p and b.x = r3.x),
+l as (select *, greatest(a1, 1) / rest as one, case when i > 1 and b1 > 0 then b1::double / a0 end as two, case when i > 2 and e1 > 0 then e1::double / b0 end as three from s),
+v as (select doc_id, three is not null as longest, log10(case when three is not null then three when i > 2 then 0.4::double * coalesce(two, 0.4::double * one) when i = 2 then coalesce(two, 0.4::double * one) else one end) as y from l)
+select k.doc_id, k.n_words, coalesce(sum(longest::int), 0)::bigint as n_full, round(sum(y) / k.n_words, 4) as score from k left join v on k.doc_id = v.doc_id group by k.doc_id, k.n_words
 """,
     "op10_license_scan": rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

@@ -77,9 +77,9 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
     """docs with size, text_crc32, shard, slot and home_shard (the owner of the document's arc).
 
     Counts of documents differ by one at most between shards; slots count each shard's documents from 0
-    without a gap. Null texts count as empty, with 8 bytes. A null doc_id counts as the empty key; rows that
-    share a doc_id have neighbouring ranks in the order of their size and checksum, so that even many
-    repeated rows leave the balance as it is. Columns of these names in docs are replaced.
+    without a gap. Null texts count as empty, with 8 bytes. A row without a doc_id has a place by its text;
+    rows that share a doc_id have neighbouring ranks in the order of their size and checksum, so that even
+    many repeated rows leave the balance as it is. Columns of these names in docs are replaced.
     """
     made = ["size", "text_crc32", "shard", "slot", "home_shard"]
     spark, docs = docs.sparkSession, docs.drop(*made)
@@ -88,8 +88,8 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
     points = ring_points(shards, virtual)
     places, owners = [p for p, _ in points], [s for _, s in points]
 
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce("text", F.lit("")).cast("binary")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))
     # A table of the ring cut into equal steps narrows each place to the few points within its step.
     n_steps = 1 << (len(places) - 1).bit_length()
     step = -(-RING // n_steps)
@@ -109,7 +109,7 @@ def ring_shards(docs: DataFrame, shards: int = 24, *, virtual: int = 128, cells:
         return rows.withColumn("_cell", F.expr(f"int(_along * {cells} div _long)")).drop("_place", "_long")
 
     counts = defaultdict(int)
-    for arc, cell, n in located(docs.select("doc_id")).groupBy("_arc", "_cell").count().collect():
+    for arc, cell, n in located(docs.select("doc_id", "text")).groupBy("_arc", "_cell").count().collect():
         counts[arc, cell] = n
     loads = [sum(counts[arc, c] for c in range(cells)) for arc in range(len(places))]
     total = sum(loads)

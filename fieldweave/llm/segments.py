@@ -23,6 +23,8 @@ _RUNS = re.compile(rf"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 #: Begins the key of a segment that stands at the beginning of its text, without a space before it.
 FIRST = "\0"
+#: Begins the key of a whole text that must not be cut.
+WHOLE = "\1"
 
 
 def spaced_segments(text: str) -> list[str]:
@@ -58,11 +60,12 @@ class _Numbers(dict):
 class SegmentEncoder:
     """Encodes batches of texts by a function from distinct segments to their lists of ids.
 
-    most: segments in the table before it is emptied, or so many characters for each 16 of them.
+    whole: whether a text must not be cut. most: segments in the table before it is emptied, or so many
+    characters for each 16 of them; a segment takes some 200 bytes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], cut: Callable[[str], list[str]], most: int = 800_000) -> None:
-        self.encode, self.cut, self.most = encode, cut, most
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], cut: Callable[[str], list[str]], whole: Callable[[str], bool] | None = None, most: int = 250_000) -> None:
+        self.encode, self.cut, self.whole, self.most = encode, cut, whole, most
         self._clear()
 
     def _clear(self) -> None:
@@ -75,9 +78,9 @@ class SegmentEncoder:
         """All ids of the texts, one after another, and where each text's begin and the last's end."""
         if len(self.number) > self.most or self.chars > 16 * self.most:
             self._clear()
-        parts, counts, cut = [], [], self.cut
+        parts, counts, cut, whole = [], [], self.cut, self.whole
         for text in texts:
-            found = cut(text) if text else []
+            found = [] if not text else [WHOLE + text] if whole and whole(text) else cut(text)
             parts += found
             counts.append(len(found))
         at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
@@ -97,25 +100,35 @@ class SegmentEncoder:
 
 
 class LibraryEncoder:
-    """The tokenizers library over many segments at once: joined by a special token, which keeps them apart, or one by one if they hold one."""
+    """The tokenizers library over many segments at once: joined by a special token, which keeps them apart.
+
+    A text that has the name of a special token, in whatever case, is encoded whole, so that the library
+    finds in it what it finds; so is one that begins like the key of a whole text.
+    """
 
     def __init__(self, path: str, text_of: Callable[[str], str] = str, at_once: int = 1000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.joint, self.single, self.text_of, self.at_once = Tokenizer.from_file(path), Tokenizer.from_file(path), text_of, at_once
-        self.single.encode_special_tokens = True
-        self.special = {x.content: n for n, x in self.joint.get_added_tokens_decoder().items()}
+        self.library, self.text_of, self.at_once = Tokenizer.from_file(path), text_of, at_once
+        self.special = {x.content: n for n, x in self.library.get_added_tokens_decoder().items()}
         self.mark = next(iter(self.special))
+        self.named = re.compile("|".join(map(re.escape, [WHOLE, *self.special])), re.IGNORECASE).search
+
+    def whole(self, text: str) -> bool:
+        return self.named(text) is not None
+
+    def _all(self, texts: list[str]) -> Iterator[list[int]]:
+        return (x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False))
 
     def __call__(self, keys: list[str]) -> Iterator[list[int]]:
         for i in range(0, len(keys), self.at_once):
-            texts = [self.text_of(x) for x in keys[i : i + self.at_once]]
-            joined = self.mark.join(texts)
-            if joined.count("<|") > len(texts) - 1:
-                yield from (x.ids for x in self.single.encode_batch_fast(texts, add_special_tokens=False))
+            part = keys[i : i + self.at_once]
+            if any(x[:1] == WHOLE for x in part):
+                yield from self._all([x[1:] if x[:1] == WHOLE else self.text_of(x) for x in part])
                 continue
-            ids = self.joint.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            texts = list(map(self.text_of, part))
+            ids = next(self._all([self.mark.join(texts)]))
             begin, mark = 0, self.special[self.mark]
             for _ in texts[1:]:
                 end = ids.index(mark, begin)
@@ -126,5 +139,6 @@ class LibraryEncoder:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str, *, spaced: bool) -> SegmentEncoder:
-    """By a tokenizer file, one for all tasks of a worker process. Names of special tokens in a text are ordinary text; spaced: white space and case count."""
-    return SegmentEncoder(LibraryEncoder(path, spaced_text if spaced else str), spaced_segments if spaced else word_segments)
+    """By a tokenizer file, one for all tasks of a worker process; spaced: white space and case count."""
+    library = LibraryEncoder(path, spaced_text if spaced else str)
+    return SegmentEncoder(library, spaced_segments if spaced else word_segments, library.whole)

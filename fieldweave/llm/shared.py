@@ -6,19 +6,22 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = made.get() if made.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fieldweave-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,11 +31,39 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldweave/{uuid.uuid4().hex}/{name}"
 
 
+#: Whether Spark deletes the shuffle files of a job when the job ends, instead of when the driver happens to collect garbage.
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: a stage that outlives lost executors."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read again: a stage that outlives lost executors. Its shuffle files go at once."""
+    spark, path = df.sparkSession, new_dir(df.sparkSession, name)
+    before = {key: spark.conf.get(key, None) for key in CLEANUP}
+    for key in CLEANUP:
+        spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; else Spark joins it as it does any other."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names renamed, and what gives a frame made from it df's columns and their names again."""
+    taken, renamed = {*df.columns, *names}, {}
+    for name in names:
+        if name in df.columns:
+            new = next(x for i in range(len(taken) + 1) if (x := f"_{name}_{i}") not in taken)
+            renamed[name] = new
+            taken.add(new)
+    own = [(c, renamed.get(c, c)) for c in df.columns]
+    return df.withColumnsRenamed(renamed), lambda made: made.select(*(F.col(f"`{new}`").alias(c) for c, new in own))
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
@@ -78,10 +109,10 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(task, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16MB") -> None:
-    """Bound the Arrow batches of text that a Python worker gets, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of text that a Python worker gets, by rows and by bytes: the same for all operators of this subpackage."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

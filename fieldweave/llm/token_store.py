@@ -120,7 +120,7 @@ def shared_dictionary(docs: DataFrame, tokenizer: str, options: StoreOptions = S
                 samples += [ids[a : min(b, a + options.sample_ids)].astype(_dtype(options.width)).tobytes() for a, b in zip(ends, ends[1:]) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([train(sorted(samples), options)], pa.binary())], ["dictionary"])
 
-    found = sample.coalesce(1).mapInArrow(run, "dictionary binary").first()
+    found = shared.arrow_map(sample.coalesce(1), run, "dictionary binary").first()
     return bytes(found["dictionary"]) if found else b""
 
 
@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, options: StoreOptio
     """Encodes the texts and writes path/blocks and path/dictionary.
 
     Null and empty texts have the end id alone. Rows are in ascending order of doc_id, nulls first, and
-    those of one doc_id in the order of their texts, so repeated rows are written as often as they stand
+    those of one doc_id in the order of a hash of their texts, so repeated rows are written as often as they stand
     in docs. Other columns of docs are not used.
     """
     spark = docs.sparkSession
@@ -169,8 +169,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, options: StoreOptio
             yield out()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    # Ranges go on into the texts' hashes, so that many rows of one id, or of none, are not one part.
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange(parts, "doc_id", "_hash")
+    ordered = ordered.sortWithinPartitions("doc_id", "_hash", "text").drop("_hash")
+    shared.arrow_map(ordered, run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("part_start", pa.int64()), ("dict_hash", pa.string()), ("payload", pa.binary())])
@@ -178,7 +180,7 @@ SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa
 
 def read_tokens(spark: SparkSession, path: str, *, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian integers) and, if asked for, ids, of all documents in the files."""
-    shared.small_batches(spark, rows=16)
+    shared.small_batches(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
     # One row for each part of the table: as many as the write had partitions.
@@ -206,4 +208,4 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = True) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     placed = blocks.join(F.broadcast(bases), "part").select((F.col("base") + F.col("part_start")).alias("begin"), "payload")
-    return placed.mapInArrow(run, schema)
+    return shared.arrow_map(placed, run, schema)

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from fieldweave.llm import byte_bpe
 from fieldweave.llm.segments import library_encoder
 
-PARTS = ["a", "the", "X", "É", "́", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\0", " \0", "\x85", "\xa0", "　", "​", ".", "'s", "'", "1", "22", "日本", "🙂", "<|endoftext|>", "<|", "İ", "Σ", "ß", "_", "ﬁ"]
+PARTS = ["a", "the", "X", "É", "́", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\0", " \0", "\x85", "\xa0", "　", "​", ".", "'s", "'", "1", "22", "日本", "🙂", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "\x01", "İ", "Σ", "ß", "_", "ﬁ"]
 
 
 def texts(n=1500):
@@ -21,7 +21,6 @@ def texts(n=1500):
 
 def whole_library(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
