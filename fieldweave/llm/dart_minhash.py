@@ -44,7 +44,8 @@ class NearOptions:
     sketch: int = 512
     doubt: float = 4.5  # standard errors below the similarity at which sketches rule a pair out
     strays: int = 256  # askers of a block, about
-    members: int = 4096  # members of a block, about
+    members: int = 2048  # members of a block, about
+    most_broadcast: int = 4_000_000  # ids that may be broadcast, 8 bytes each
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -407,7 +408,8 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
     # A key is a hash of its band too.
     crowded = slots.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
     buckets = tables.written(slots.join(crowded, "key").select("band", "key", "id").distinct(), "near_buckets")
-    meet = buckets.select("id").distinct()
+    # While few documents meet, their ids go to the texts; else Spark brings both together.
+    meet = shared.bounded(tables.written(buckets.select("id").distinct(), "near_ids"), options.most_broadcast)
     texts = shared.arrow_map(source.join(meet, F.col("doc_id") == F.col("id"), "left_semi"), _shingle_sets(options), "id long, elements array<long>")
     sets = tables.written(texts, "near_sets")
     sizes = sets.select("id", F.size("elements").alias("n")).groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -437,6 +439,10 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
 
 
 def near_deduplicated(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
-    """One document of each class, with the columns of docs; rows without an id stay."""
+    """One document of each class, with the columns of docs.
+
+    The one with the least id stays, with all its rows if the id is repeated. Texts without a word and rows
+    without an id stay.
+    """
     drop = near_classes(docs, options).filter("not kept").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
