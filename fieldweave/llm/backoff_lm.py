@@ -3,8 +3,8 @@
 Documents are stored in blocks of a few MB. The n-grams of a block, exploded and counted within it, leave it as
 arrays, one for each range of their hashes, and are dealt out by range: what comes together is one partition of
 the count table. There the arrays are rows (block, gram, n) again; one sort by gram gives each gram's count over
-the corpus and joins it to the rows, of which those go back to their blocks that another document has too. A
-block then sums up its documents' scores.
+the corpus and joins it to the rows, of which those go back to their blocks that occur more than once. A block
+then sums up its documents' scores.
 
 An n-gram is one row for each block however often it occurs, so that frequent ones make no partition large. The
 ranges are taken in a few passes, each of which ends before the next one begins, so that only a part of the rows
@@ -84,24 +84,18 @@ def block_column(payload: bytes) -> pa.RecordBatch:
 
 
 def _grams_of_blocks(order: int, ranges: int, low: int, high: int):
-    """The n-grams of each block in the ranges from low to high, sorted: n is how often, negative if one document alone has it."""
+    """The n-grams of each block in the ranges from low to high, sorted, and how often each occurs."""
+    least, most = U(range_start(low, ranges)), U(range_start(high, ranges) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                w, grams = exploded(block_column(payload).column("text"), order)
-                wanted = (grams > 0) & (grams >= U(range_start(low, ranges))) & (grams <= U(range_start(high, ranges) - 1))
-                gram, doc = grams[wanted], np.broadcast_to(w.doc, grams.shape)[wanted]
-                sort = np.argsort(gram, kind="stable")  # documents stay in order within a gram
-                gram, doc = gram[sort], doc[sort]
-                first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, int)
-                n = np.diff(np.append(first, len(gram)))
-                alone = doc[first] == doc[first + n - 1]
-                gram, n = gram[first], np.where(alone, -n, n).astype(np.int32)
+                _, grams = exploded(block_column(payload).column("text"), order)
+                gram, n = np.unique(grams[(grams > 0) & (grams >= least) & (grams <= most)], return_counts=True)
                 own = range_of(gram, ranges)
                 cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, int)
                 ends = pa.array(np.append(cut, len(gram)).astype(np.int32))
-                columns = [pa.array(own[cut]), pa.array(np.full(len(cut), block)), pa.ListArray.from_arrays(ends, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(n))]
+                columns = [pa.array(own[cut]), pa.array(np.full(len(cut), block)), pa.ListArray.from_arrays(ends, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(columns, ["range", "block", "grams", "n"])
 
     return run
@@ -138,29 +132,31 @@ def _by_block(most: int = 1 << 20):
 
 
 def counted(blocks: DataFrame, order: int, ranges: int, low: int, high: int, parts: int) -> DataFrame:
-    """COUNTS rows: where in the sorted n-grams of a block and range those stand that some other document has, and their counts over all blocks."""
+    """COUNTS rows: where in the sorted n-grams of a block and range those stand that occur more than once, and their counts over all blocks."""
     grams = shared.arrow_map(blocks.select("block", "payload"), _grams_of_blocks(order, ranges, low, high), GRAMS)
     rows = grams.repartition(parts, "range").select("range", "block", F.posexplode(F.arrays_zip("grams", "n")).alias("place", "x"))
     rows = rows.select("range", "block", "place", F.col("x.grams").alias("gram"), F.col("x.n").alias("n"))
     # Rows of one gram are in one range, so they are together already; each gets the sum over all.
-    total = F.sum(F.abs("n")).over(Window.partitionBy("gram", "range"))
-    seen = rows.withColumn("total", total).filter(F.col("total") > -F.col("n"))
+    seen = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "range"))).filter("total > 1")
     return shared.arrow_map(seen.select("range", "block", "place", "total"), _by_block(), COUNTS)
 
 
 def _score(order: int, backoff: float, all_words: int, ranges: int):
-    def scored(docs: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    def scored(docs: pa.RecordBatch, counts: list[tuple]) -> pa.RecordBatch:
         w, grams = exploded(docs.column("text"), order)
         present = grams > 0
         gram, at = np.unique(grams[present], return_inverse=True)
         begin = np.searchsorted(range_of(gram, ranges), np.arange(ranges))
         totals = np.zeros(len(gram), np.int64)
-        for range_, place, total in found:
+        for range_, place, total in counts:
             totals[begin[range_] + place] = total
-        doc = np.broadcast_to(w.doc, grams.shape)[present]
+        counted = totals[at] > 0  # all others occur once in the corpus, here
+        doc, at = np.broadcast_to(w.doc, grams.shape)[present][counted], at[counted]
         _, own, n = np.unique(doc * (len(totals) + 1) + at, return_inverse=True, return_counts=True)
+        found = np.zeros(len(counted))
+        found[counted] = totals[at] - n[own]  # without the document's own
         rest = np.zeros(grams.shape)
-        rest[present] = np.maximum(totals[at] - n[own], 0)  # without the document's own
+        rest[present] = found
         n_words = np.diff(w.bounds)
         others = np.maximum(all_words - n_words, 1)[w.doc]
         value = np.maximum(rest[0], 1) / others
@@ -197,7 +193,7 @@ def _score(order: int, backoff: float, all_words: int, ranges: int):
     return run
 
 
-def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, block_bytes: int = 6 << 20, passes: int = 3) -> DataFrame:
+def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, block_bytes: int = 5 << 19, passes: int = 3) -> DataFrame:
     """doc_id, n_words, n_full (words scored by their longest n-gram) and score of each row of docs.
 
     score is the mean decimal logarithm of S(word | words before it), rounded to 4 places: the share of the
