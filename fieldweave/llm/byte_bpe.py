@@ -177,7 +177,7 @@ class RankTree:
 class PieceEncoder:
     """Ids of segments: their pieces by the pattern, each distinct piece merged once in a while."""
 
-    def __init__(self, path: str, pattern: str, most: int = 150_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 250_000) -> None:
         import regex
 
         self.tree, self.find, self.most = RankTree(read_ranks(path)), regex.compile(pattern).findall, most

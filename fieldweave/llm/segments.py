@@ -64,7 +64,7 @@ class SegmentEncoder:
     characters for each 16 of them; a segment takes some 200 bytes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], cut: Callable[[str], list[str]], whole: Callable[[str], bool] | None = None, most: int = 250_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], cut: Callable[[str], list[str]], whole: Callable[[str], bool] | None = None, most: int = 600_000) -> None:
         self.encode, self.cut, self.whole, self.most = encode, cut, whole, most
         self._clear()
 
@@ -114,9 +114,10 @@ class LibraryEncoder:
         self.special = {x.content: n for n, x in self.library.get_added_tokens_decoder().items()}
         self.mark = next(iter(self.special))
         self.named = re.compile("|".join(map(re.escape, [WHOLE, *self.special])), re.IGNORECASE).search
+        self.firsts = sorted({c for x in [WHOLE, *self.special] for c in (x[0].lower(), x[0].upper())})
 
     def whole(self, text: str) -> bool:
-        return self.named(text) is not None
+        return any(c in text for c in self.firsts) and self.named(text) is not None
 
     def _all(self, texts: list[str]) -> Iterator[list[int]]:
         return (x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False))
