@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The word rules by which prose descriptions of plays are told apart.
 NOT_A_PLAY = r"(?i)\b(punt|field goal|kickoff|kneel|spike|timeout|end of|no play)\b"
 PASS_WORDS = r"(?i)\b(pass|sacked|scramble)\b"
-RUN_WORDS = r"(?i)\b(left end|left tackle|left guard|up the middle|right guard|right tackle|right end)\b"
+SCRIMMAGE_WORDS = r"(?i)\b(pass|sacked|scramble|left end|left tackle|left guard|up the middle|right guard|right tackle|right end)\b"
 UNFILMED_WORDS = r"(?i)\b(timeout|end of (quarter|game)|two.minute warning|coin toss)\b"
 FILMED_WORDS = r"(?i)\b(punt|kickoff|field goal|extra point|penalty|false start|offsides|no play)\b"
 FILMED_KINDS = ["run", "pass", "punt", "kickoff", "field_goal", "extra_point", "qb_kneel", "qb_spike", "no_play", "penalty"]
@@ -53,7 +53,7 @@ def by_rules(c: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
 
 def play_type(description: Column) -> Column:
     """excluded, pass, run or administrative; the first three by word rules, in this order."""
-    return by_rules(squeezed(description), [(NOT_A_PLAY, "excluded"), (PASS_WORDS, "pass"), (RUN_WORDS, "run")], "administrative")
+    return by_rules(squeezed(description), [(NOT_A_PLAY, "excluded"), (PASS_WORDS, "pass"), (SCRIMMAGE_WORDS, "run")], "administrative")
 
 
 def eligible_by_flags(kind: Column, *flags: Column) -> Column:
@@ -138,5 +138,31 @@ def tag_bodies(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
 
 
+# Names of characters in markup.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014", "frac12": "\u00bd", "amp": "&"}
+
+
+def unescaped(c: Column) -> Column:
+    """Numbers of characters and the most common names of them as the characters themselves."""
+
+    def of_number(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^([0-9]+|[xX][0-9a-fA-F]+);", 1)
+        value = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number).try_cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(value.cast("long")), 8, "0")), "UTF-32")
+        return F.when(value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF), F.concat(char, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(c, "&#")
+    c = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), of_number), ""))
+    for name, char in ENTITIES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return c
+
+
+def joined_text(markup: Column) -> Column:
+    """The texts between tags, each without white space at its ends, joined by spaces."""
+    strip = lambda t: F.regexp_replace(unescaped(t), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    return F.array_join(F.filter(F.transform(F.split(markup, "<[^>]*>"), strip), lambda t: t != ""), " ")
+
+
 def plain_text(markup: Column) -> Column:
     return squeezed(F.regexp_replace(markup, r"<[^>]+>", ""))

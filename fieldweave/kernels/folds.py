@@ -33,7 +33,7 @@ def joined_fragments(start: np.ndarray, end: np.ndarray, kind: np.ndarray, touch
     g_start = g_end = 0.0
     for i in range(len(start)):
         if i and kind[i] == kind[i - 1] and abs(start[i] - g_end) < touch and (g_end - g_start <= short or end[i] - start[i] <= short):
-            g_end = max(g_end, end[i])
+            g_end = end[i]
         else:
             group, g_start, g_end = group + 1, start[i], end[i]
         out[i] = group

@@ -28,7 +28,8 @@ def paired_in_order(order: list[int], other: list[int], cost: list[float], most:
     """For each position its partner, cost and status, positions in ascending order.
 
     A position takes its cheapest free candidate if that is cheap and clearly cheaper than the next;
-    if it is not clear, the position stays single and ambiguous, and its candidates stay free.
+    if it is not clear, the position stays single and ambiguous, and its candidates stay free. What stays single
+    costs its cheapest candidate, or `most` without any.
     """
     by: dict[int, list[tuple[float, int]]] = {}
     for a, b, c in zip(order, other, cost):
@@ -40,6 +41,7 @@ def paired_in_order(order: list[int], other: list[int], cost: list[float], most:
             continue
         free = sorted(x for x in by[a] if x[1] not in used)
         if not free or free[0][0] > most:
+            out[a] = (-1, free[0][0] if free else most, "single")
             continue
         gap = free[1][0] - free[0][0] if len(free) > 1 else np.inf
         if gap >= margin:

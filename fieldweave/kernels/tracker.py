@@ -9,6 +9,7 @@ import numpy as np
 from .assignment import assign
 
 FAR, ACCEPT = 1e6, 1e5
+LEAST_STEP = 1e-3  # seconds that count as passed at least
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class Track:
 
 @dataclass
 class Detections:
-    """One frame: places (n, 2), confidences, teams, appearances (n, k) and box sizes (n, 2), the last two or None."""
+    """One frame: places (n, 2), confidences of 0 to 1, teams, appearances (n, k) and box sizes (n, 2). The last two are None in all frames or in none."""
 
     at: float
     place: np.ndarray
@@ -78,35 +79,35 @@ class FieldTracker:
 
     def _cost(self, tracks: list[Track], d: Detections, rows: np.ndarray) -> np.ndarray:
         o = self.options
-        dt = d.at - np.array([t.at for t in tracks])
+        dt = np.maximum(d.at - np.array([t.at for t in tracks]), LEAST_STEP)
         ahead = np.array([t.place for t in tracks]) + np.array([t.velocity for t in tracks]) * dt[:, None]
         away = np.linalg.norm(d.place[rows][None] - ahead[:, None], axis=2)
         near = away <= (o.speed * dt + o.slack + o.missed_slack * np.array([t.missed for t in tracks]))[:, None]
         cost = away + o.confidence_weight * (1 - d.confidence[rows])[None]
-        looked = np.array([t.appearance is not None for t in tracks])
-        if d.appearance is not None and looked.any():
-            known = np.array([t.appearance for t in tracks if t.appearance is not None])
-            apart = np.linalg.norm((d.appearance[rows][None] - known[:, None]) / self._scale(known.shape[1]), axis=2)
-            cost[looked] += o.appearance_weight * np.nan_to_num(apart)
-        boxed = np.array([t.box is not None for t in tracks])
-        if o.use_shape and d.box is not None and boxed.any():
-            change = np.abs(np.log(d.box[rows][None] / np.array([t.box for t in tracks if t.box is not None])[:, None])).max(axis=2)
-            near[boxed] &= ~(change > o.shape_gate)
-            cost[boxed] += o.shape_weight * np.nan_to_num(change)
+        if d.appearance is not None:
+            known = np.array([t.appearance for t in tracks])
+            apart = (d.appearance[rows][None] - known[:, None]) / self._scale(known.shape[1])
+            cost += o.appearance_weight * np.linalg.norm(apart, axis=2)
+        if o.use_shape and d.box is not None:
+            # A detection without an extent is judged by the rest; a track without one takes no other.
+            sized = (d.box[rows] > 0).all(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                change = np.abs(np.log(d.box[rows][None] / np.array([t.box for t in tracks])[:, None]))
+            near &= ~(sized[None] & (change.max(axis=2) > o.shape_gate))
+            cost += np.where(sized[None], o.shape_weight * np.nan_to_num(np.linalg.norm(change, axis=2)), 0.0)
         own, other = np.array([t.team for t in tracks]), np.array(d.team)[rows]
         cost += o.team_penalty * ((own[:, None] != other[None]) & (own != "unknown")[:, None] & (other != "unknown")[None])
         return np.where(near, cost, FAR)
 
     def _update(self, t: Track, d: Detections, r: int) -> None:
-        o, dt = self.options, d.at - t.at
-        if dt > 0:
-            t.velocity = o.velocity_keep * t.velocity + (1 - o.velocity_keep) * (d.place[r] - t.place) / dt
+        o, dt = self.options, max(d.at - t.at, LEAST_STEP)
+        t.velocity = o.velocity_keep * t.velocity + (1 - o.velocity_keep) * (d.place[r] - t.place) / dt
         t.place, t.at, t.missed = d.place[r], d.at, 0
         t.confidence = 0.8 * t.confidence + 0.2 * d.confidence[r]
         if d.appearance is not None:
-            t.appearance = d.appearance[r] if t.appearance is None else o.appearance_keep * t.appearance + (1 - o.appearance_keep) * d.appearance[r]
-        if d.box is not None:
-            t.box = d.box[r] if t.box is None else o.box_keep * t.box + (1 - o.box_keep) * d.box[r]
+            t.appearance = o.appearance_keep * t.appearance + (1 - o.appearance_keep) * d.appearance[r]
+        if d.box is not None and (d.box[r] > 0).all():
+            t.box = o.box_keep * t.box + (1 - o.box_keep) * d.box[r]
         if t.team == "unknown":
             t.team = d.team[r]
 
@@ -135,7 +136,8 @@ class FieldTracker:
         if not self.burst:
             self.counts = [*self.counts, n][-o.crowd_history :]
             for r in sorted(np.flatnonzero((ids < 0) & (d.confidence >= o.high)), key=lambda r: (-d.confidence[r], r)):
-                self.tracks.append(Track(self.next_id, d.place[r], np.zeros(2), d.at, float(d.confidence[r]), d.team[r], None if d.appearance is None else d.appearance[r], None if d.box is None else d.box[r]))
+                look, box = (None if x is None else x[r] for x in (d.appearance, d.box))
+                self.tracks.append(Track(self.next_id, d.place[r], np.zeros(2), d.at, float(d.confidence[r]), d.team[r], look, box))
                 ids[r] = self.next_id
                 self.next_id += 1
         return ids

@@ -53,17 +53,20 @@ def displacement(df: DataFrame, keys: Names, track: str, at: str, x: str, y: str
     return ends.groupBy(*keys).agg(F.median(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))).alias("displacement"))
 
 
-def binned_profile(df: DataFrame, keys: Names, at: str, value: str, bins: int = 8, out: str = "profile") -> DataFrame:
+def binned_profile(df: DataFrame, keys: Names, at: str, value: str, bins: int = 8, out: str = "profile", low: Column | None = None, high: Column | None = None) -> DataFrame:
     """The median of the value in each of `bins` equal parts of the key's time, empty parts on the line between their neighbours.
 
-    The last time belongs to the last part; a key without a value has zeros.
+    Time goes from `low` to `high`, which are the same in all rows of a key and its least and greatest time
+    unless given. What lies on an edge or beyond an end belongs to the later part, or to the part at that
+    end; a key without a value has zeros.
     """
     own = Window.partitionBy(*keys)
-    a, b = F.min(at).over(own).cast("double"), F.max(at).over(own).cast("double")
+    a, b = (F.min(at).over(own) if low is None else low).cast("double"), (F.max(at).over(own) if high is None else high).cast("double")
     edge = lambda i: F.col("_a") + (F.col("_b") - F.col("_a")) * (i.cast("double") / bins)
     binned = df.withColumn("_a", a).withColumn("_b", b)
     inner = F.filter(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: edge(i) <= F.col(at).cast("double"))
-    cells = binned.withColumn("bin", F.when(F.col("_a") == F.col("_b"), F.lit(0)).otherwise(F.size(inner))).groupBy(*keys, "bin").agg(F.median(value).alias("v"))
+    part = F.size(inner) if low is not None else F.when(F.col("_a") == F.col("_b"), F.lit(0)).otherwise(F.size(inner))
+    cells = binned.withColumn("bin", part).groupBy(*keys, "bin").agg(F.median(value).alias("v"))
     grid = df.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = grid.join(cells, [*keys, "bin"], "left").withColumn("v", interpolated("v", "bin", keys))
     return full.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda s: s["v"]).alias(out))
@@ -133,16 +136,27 @@ def covered_length(df: DataFrame, keys: Names, start: str, end: str) -> DataFram
     return merged.groupBy(*keys).agg(length.alias("length"), F.count("*").alias("parts"), (length / F.nullif(F.max("b") - F.min("a"), F.lit(0))).alias("cover"))
 
 
-def densest_band(df: DataFrame, keys: Names, value: str, half: float = 1.0, step: float = 0.25) -> DataFrame:
-    """How many values lie in the fullest band of +- half around a multiple of step, and the median of the centres of such bands.
+def densest_band(df: DataFrame, keys: Names, value: str, half: float = 1.0, step: float = 0.25, grid: tuple[Column, Column] | None = None) -> DataFrame:
+    """How many values lie in the fullest band of +- half around a centre, and the median of the centres of such bands.
 
-    Each value goes to the centres it can reach, a fixed number, and these are counted.
+    Centres are the multiples of step or, given a grid of (first, number), so many of them from the first
+    one on. Each value goes to the centres it can reach, a fixed number, and these are counted.
     """
-    k0 = F.ceil((F.col(value) - half) / step).cast("long")
-    k1 = F.floor((F.col(value) + half) / step).cast("long")
-    counts = df.select(*keys, F.explode(F.sequence(k0, k1)).alias("k")).groupBy(*keys, "k").count()
+    if grid is None:
+        k0 = F.ceil((F.col(value) - half) / step).cast("long")
+        k1 = F.floor((F.col(value) + half) / step).cast("long")
+        near = df.select(*keys, F.explode(F.sequence(k0, k1)).alias("_k")).withColumn("_at", F.col("_k") * F.lit(step))
+    else:
+        first, number = grid
+        rows = df.withColumn("_first", first.cast("double")).withColumn("_last", number.cast("long") - 1)
+        k0 = F.greatest(F.floor((F.col(value) - half - F.col("_first")) / step), F.lit(0))
+        k1 = F.least(F.ceil((F.col(value) + half - F.col("_first")) / step), F.col("_last"))
+        near = rows.select(*keys, F.col(value).alias("_v"), "_first", F.explode(F.sequence(k0, k1)).alias("_k"))
+        near = near.withColumn("_at", F.col("_first") + F.col("_k") * F.lit(step)).filter(F.abs(F.col("_v") - F.col("_at")) <= half)
+    counts = near.groupBy(*keys, "_k").agg(F.count("*").alias("count"), F.first("_at").alias("_at"))
     own = Window.partitionBy(*keys)
-    return counts.withColumn("most", F.max("count").over(own)).filter("count = most").groupBy(*keys).agg(F.max("most").alias("members"), F.median(F.col("k") * F.lit(step)).alias("centre"))
+    best = counts.withColumn("most", F.max("count").over(own)).filter("count = most")
+    return best.groupBy(*keys).agg(F.max("most").alias("members"), F.median("_at").alias("centre"))
 
 
 def histogram(df: DataFrame, keys: Names, value: str, low: float, high: float, bins: int) -> DataFrame:

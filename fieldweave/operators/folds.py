@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..kernels import folds
 
@@ -42,6 +43,21 @@ def coalesced(df: DataFrame, keys: Sequence[str], start: str, end: str, kind: st
     return _grouped(df, keys, [start], lambda x: folds.joined_fragments(x[start].to_numpy(float), x[end].to_numpy(float), x[kind].to_numpy(), touch, short), out)
 
 
+def merged_fragments(clips: DataFrame, keys: Sequence[str], touch: float = 0.05, short: float = 5.0) -> DataFrame:
+    """Clips with short fragments taken into their neighbours: keys, clip_id, angle, start_s, end_s, snap_s, play_end_s and confidence.
+
+    The first fragment gives its id, start and, if it has one, snap; the last one its end; confidence is the greatest.
+    """
+    parts = coalesced(clips, keys, "start_s", "end_s", "angle", touch, short)
+    earliest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("start_s")))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("start_s")))
+    merged = parts.groupBy(*keys, "part").agg(
+        F.min_by("clip_id", "start_s").alias("clip_id"), F.first("angle").alias("angle"), F.max_by("end_s", "start_s").alias("end_s"),
+        earliest("snap_s").alias("snap_s"), latest("play_end_s").alias("play_end_s"), F.max("confidence").alias("confidence"), F.min("start_s").alias("start_s"),
+    )
+    return merged.select(*keys, "clip_id", "angle", "start_s", "end_s", "snap_s", "play_end_s", "confidence")
+
+
 def clusters_1d(df: DataFrame, keys: Sequence[str], offset: str, reach: float, out: str = "cluster") -> DataFrame:
     return _grouped(df, keys, [offset], lambda x: folds.clustered(x[offset].to_numpy(float), reach), out)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.geometry import overlap, shape_change
 from ..kernels.alignment import align, least_cost
-from ..kernels.assignment import assign
+from ..kernels.assignment import assign_listed
 from ..kernels.linking import chains, paired_in_order
 from .aggregate import tracklet_summary
 from .joins import following_within, looking_ahead
@@ -24,31 +24,19 @@ def _schema(df: DataFrame, names: Names) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
 
 
-def optimal_pairs(pairs: DataFrame, group: Names, frame: Names, left: str, right: str, cost: str) -> DataFrame:
+def optimal_pairs(pairs: DataFrame, group: Names, frame: Names, left: str, right: str, cost: str, carry: Names = ()) -> DataFrame:
     """Of each frame's candidate pairs a cheapest one-to-one matching of as many as there can be.
 
     Frames of one group, such as a clip, are solved in one task call; candidates that are not listed are
-    not matched. Returns group, frame, left, right and cost.
+    not matched. Returns group, frame, left, right, cost and the columns to carry.
     """
-    names = [*group, *frame, left, right, cost]
+    names = [*group, *frame, left, right, cost, *carry]
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*frame, left, right], kind="stable").reset_index(drop=True)
         number = rows.groupby(list(frame), sort=True).ngroup().to_numpy()
-        lefts, rights, costs = pd.factorize(rows[left])[0], pd.factorize(rows[right])[0], rows[cost].to_numpy(float)
-        kept = []
-        edges = [0, *(np.flatnonzero(np.diff(number)) + 1), len(rows)]
-        for begin, end in zip(edges, edges[1:]):
-            _, i = np.unique(lefts[begin:end], return_inverse=True)
-            _, j = np.unique(rights[begin:end], return_inverse=True)
-            matrix = np.full((i.max() + 1, j.max() + 1), np.inf)
-            where = np.full(matrix.shape, -1)
-            matrix[i, j], where[i, j] = costs[begin:end], np.arange(begin, end)
-            listed = np.isfinite(matrix)
-            span = float(np.ptp(matrix[listed])) + 1.0
-            a, b = assign(np.where(listed, matrix, matrix[listed].max() + span * sum(matrix.shape)))
-            kept += [where[x, y] for x, y in zip(a, b) if listed[x, y]]
-        return rows.iloc[sorted(kept)][names]
+        lefts, rights = (pd.factorize(rows[c], sort=True)[0] for c in (left, right))
+        return rows.iloc[assign_listed(number, lefts, rights, rows[cost].to_numpy(float))][names]
 
     return pairs.select(names).groupBy(*group).applyInPandas(solve, _schema(pairs.select(names), names))
 
@@ -142,6 +130,18 @@ def film_cost(durations: Column, expected: Column, angles_differ: Column) -> Col
     return F.least(F.lit(4.0), F.abs(middle - expected) / 5) + angles_differ
 
 
+def group_cost(sources: Column, kind: Column) -> Column:
+    """film_cost() of an array of sources (start_s, end_s, snap_s, play_end_s, angle) for a play of that kind.
+
+    Sources with a live part count by it; where none has one, all count by their whole length. A group that
+    lacks one of the two angles costs 1 more.
+    """
+    live = F.transform(F.filter(sources, lambda s: s["play_end_s"] > s["snap_s"]), lambda s: s["play_end_s"] - s["snap_s"])
+    whole = F.transform(sources, lambda s: s["end_s"] - s["start_s"])
+    both = F.exists(sources, lambda s: s["angle"] == "sideline") & F.exists(sources, lambda s: s["angle"] == "endzone")
+    return film_cost(F.when(F.size(live) > 0, live).otherwise(whole), F.when(kind == "pass", 13.0).otherwise(10.0), F.when(both, 0.0).otherwise(1.0))
+
+
 def signature_cost(a: str = "", b: str = "other_") -> Column:
     """The difference of two action signatures: duration, displacement, team counts, speed profile and angle."""
     c = lambda p, n: F.col(f"{p}{n}")
@@ -166,7 +166,7 @@ def paired_ahead(df: DataFrame, keys: Names, order: str, cost: Column, eligible:
         known = part.dropna(subset=["b"])
         chosen = paired_in_order(known["a"].astype(int).tolist(), known["b"].astype(int).tolist(), known["cost"].tolist(), most, margin)
         partners = {x[0] for x in chosen.values() if x[2] == "paired"}
-        rows = [(a, *chosen.get(a, (-1, None, "single"))) for a in sorted(every) if a not in partners]
+        rows = [(a, *chosen.get(a, (-1, most, "single"))) for a in sorted(every) if a not in partners]
         out = pd.DataFrame({k: [part[k].iloc[0]] * len(rows) for k in keys})
         out[order] = [r[0] for r in rows]
         out["partner"] = pd.array([r[1] if r[1] >= 0 else None for r in rows], "Int64")

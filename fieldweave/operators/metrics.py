@@ -11,14 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import flipped, gaussian_similarity, perspective
+from ..functions.geometry import LENGTH, WIDTH, flipped, gaussian_similarity, perspective
 from ..kernels import projective
+from ..kernels.assignment import assign_listed
 from . import aggregate, joins
 from .match import frame_pairs, match_by_team, optimal_pairs
 
 Names = Sequence[str]
 EPS = float(np.finfo("float").eps)
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
+FIELD = np.array([LENGTH, WIDTH])
 
 
 def trajectory_errors(truth: DataFrame, tracks: DataFrame, keys: Names, frame: str = "frame_id", near: float = 3.0, by_team: bool = False) -> DataFrame:
@@ -58,12 +60,13 @@ def hota(truth: DataFrame, tracks: DataFrame, keys: Names, frame: str = "frame_i
     """HOTA, DetA, AssA, DetRe, DetPr, AssRe, AssPr and LocA of each key, as means over 19 thresholds, and counts.
 
     truth has label and x, y; tracks has track_id and field_x, field_y, one row for each and frame. Keys that
-    only one side has score 0.
+    only one side has score 0. Frames are matched over all their pairs; a matched pair counts at the
+    thresholds that its similarity reaches.
     """
     keys = list(keys)
     pairs, whole = soft_alignment(truth, tracks, keys, frame, tau)
-    scored = pairs.join(whole.select(*keys, "label", "track_id", "alignment"), [*keys, "label", "track_id"]).withColumn("cost", -F.col("alignment") * F.col("sim"))
-    chosen = optimal_pairs(scored, keys, [frame], "label", "track_id", "cost").join(pairs.select(*keys, frame, "label", "track_id", "sim"), [*keys, frame, "label", "track_id"])
+    scored = pairs.select(*keys, frame, "label", "track_id", "sim").join(whole.select(*keys, "label", "track_id", "alignment"), [*keys, "label", "track_id"])
+    chosen = optimal_pairs(scored.withColumn("cost", -F.col("alignment") * F.col("sim")), keys, [frame], "label", "track_id", "cost", carry=["sim"])
     at = chosen.select("*", F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha")).filter(F.col("sim") >= F.col("alpha") - EPS)
     n = truth.groupBy(*keys).agg(F.count("*").alias("gt_dets")).join(tracks.groupBy(*keys).agg(F.count("*").alias("pr_dets")), keys, "full").fillna(0, ["gt_dets", "pr_dets"])
     grid = n.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
@@ -117,87 +120,138 @@ def _on_grid(tracks: DataFrame, grid: DataFrame, clock: DataFrame, keys: Names)
     return moved.withColumn("field_x", x).withColumn("field_y", y).withColumn("at", F.col("video_timestamp"))
 
 
-def _searched(truth: DataFrame, tracks: DataFrame, grid: DataFrame, clock: DataFrame, keys: Names) -> DataFrame:
-    moved = _on_grid(tracks, grid, clock, keys)
-    group = [*keys, "g", "offset", "flip_x", "flip_y"]
-    pairs = truth.select(*keys, "frame_id", "label", F.col("x").alias("_x"), F.col("y").alias("_y")).join(moved, [*keys, "frame_id"])
-    pairs = pairs.withColumn("distance", F.hypot(F.col("_x") - F.col("field_x"), F.col("_y") - F.col("field_y")))
-    found = optimal_pairs(pairs, group, ["at"], "label", "track_id", "distance")
-    possible = pairs.select(*group, "at", "label").distinct().groupBy(*group).agg(F.count("*").alias("possible"))
-    return found.groupBy(*group).agg(F.median("distance").alias("median"), F.percentile("distance", 0.9).alias("p90"), F.count("*").alias("matched")).join(possible, group)
+@dataclass(frozen=True)
+class _Clip:
+    """One clip's truth by frame and tracks by time, as plain arrays for the search of a grid."""
+
+    answers: dict[int, np.ndarray]
+    times: list[tuple[float, np.ndarray]]
+    snap_frame: int
+    snap_s: float
+
+    def errors(self, points: list[tuple[float, bool, bool]]) -> list[tuple[np.ndarray, int]]:
+        """Of each grid point (offset, flip_x, flip_y) the distances of matched places, and how many truth has in the frames met."""
+        entries, possible = [], []
+        moved = {flips: [np.where(flips, FIELD - p, p) for _, p in self.times] for flips in {x[1:] for x in points}}
+        for g, (offset, *flips) in enumerate(points):
+            possible.append(0)
+            for i, (at, _) in enumerate(self.times):
+                actual = self.answers.get(self.snap_frame + round((at - self.snap_s + offset) * 10))
+                if actual is not None:
+                    possible[-1] += len(actual)
+                    entries.append((g, np.linalg.norm(actual[:, None] - moved[tuple(flips)][i][None], axis=2)))
+        if not entries:
+            return [(np.empty(0), 0) for _ in points]
+        n = np.array([d.size for _, d in entries])
+        frame, cost = np.repeat(np.arange(len(entries)), n), np.concatenate([d.ravel() for _, d in entries])
+        left, right = (np.concatenate([x.ravel() for x in side]) for side in zip(*(np.indices(d.shape) for _, d in entries)))
+        chosen = assign_listed(frame, left, right, cost)
+        owner = np.array([g for g, _ in entries])[frame[chosen]]
+        cuts = np.searchsorted(owner, np.arange(len(points) + 1))
+        return [(cost[chosen[a:b]], p) for a, b, p in zip(cuts, cuts[1:], possible)]
 
 
 def grid_aligned(truth: DataFrame, tracks: DataFrame, clock: DataFrame, keys: Names, options: EvaluationOptions = EvaluationOptions()) -> DataFrame:
     """The offset and flips of each key at which tracks lie nearest to truth: a coarse grid with a penalty for coverage, then fine offsets by the median alone.
 
-    clock has keys, snap_frame and snap_s. The grid is one more column of the rows, so all its points are
-    matched at once, in as many tasks as there are.
+    clock has keys, snap_frame and snap_s. A key's rows, those of one clip, meet in one task, where the grid
+    is searched over arrays: its points make no rows. Keys of which no frame is covered are left out.
     """
+    keys = list(keys)
     low, high, step = options.coarse
-    points = [(float(o), fx, fy) for o in np.arange(low, high + 1e-3, step) for fx, fy in itertools.product((False, True), repeat=2)]
-    grid = clock.select(*keys).withColumn("_p", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(o).alias("offset"), F.lit(a).alias("flip_x"), F.lit(b).alias("flip_y")) for i, (o, a, b) in enumerate(points)]))).select(*keys, "_p.*")
-    coarse = _searched(truth, tracks, grid, clock, keys)
-    score = F.col("median") + options.coverage_weight * (1 - F.col("matched") / F.col("possible"))
-    best = coarse.groupBy(*keys).agg(F.min(F.struct(score.alias("score"), "offset", "flip_x", "flip_y")).alias("b"))
     half, by = options.fine
-    deltas = [float(d) for d in np.arange(-half, half + 1e-3, by)]
-    fine = best.select(*keys, F.col("b.flip_x").alias("flip_x"), F.col("b.flip_y").alias("flip_y"), F.col("b.offset").alias("_o"), F.posexplode(F.array(*[F.lit(d) for d in deltas])).alias("g", "_d"))
-    fine = fine.withColumn("offset", F.col("_o") + F.col("_d")).select(*keys, "g", "offset", "flip_x", "flip_y")
-    refined = _searched(truth, tracks, fine, clock, keys)
-    chosen = refined.groupBy(*keys).agg(F.min(F.struct("median", "offset", "flip_x", "flip_y", "p90", "matched", "possible")).alias("r"))
-    return chosen.select(*keys, "r.*").withColumn("coverage", F.col("matched") / F.col("possible"))
+    coarse = [(float(o), fx, fy) for o in np.arange(low, high + 1e-3, step) for fx, fy in itertools.product((False, True), repeat=2)]
+    a = truth.select(*keys, "frame_id", "x", "y")
+    b = tracks.select(*keys, "video_timestamp", "field_x", "field_y").join(clock.select(*keys, "snap_frame", "snap_s"), keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema if f.name in keys)
+    schema += ", median double, offset double, flip_x boolean, flip_y boolean, p90 double, matched long, possible long, coverage double"
+
+    def search(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
+        if not len(t) or not len(p):
+            return none
+        answers = {int(f): g[["x", "y"]].to_numpy(float) for f, g in t.groupby("frame_id")}
+        times = [(float(at), g[["field_x", "field_y"]].to_numpy(float)) for at, g in p.groupby("video_timestamp")]
+        clip = _Clip(answers, times, int(p["snap_frame"].iloc[0]), float(p["snap_s"].iloc[0]))
+        found = [(float(np.median(e)) + options.coverage_weight * (1 - len(e) / max(n, 1)), *x) for x, (e, n) in zip(coarse, clip.errors(coarse)) if len(e)]
+        if not found:
+            return none
+        _, offset, *flips = min(found)
+        fine = [(float(o), *flips) for o in np.arange(offset - half, offset + half + 1e-3, by)]
+        fitted = [(float(np.median(e)), *x, float(np.percentile(e, 90)), len(e), n) for x, (e, n) in zip(fine, clip.errors(fine)) if len(e)]
+        best = min(fitted)
+        return pd.DataFrame([(*(t[k].iloc[0] for k in keys), *best, best[-2] / max(best[-1], 1))], columns=none.columns)
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, schema)
 
 
 def refined_maps(truth: DataFrame, moved: DataFrame, keys: Names, options: EvaluationOptions = EvaluationOptions()) -> DataFrame:
     """A projective correction of each key, fitted on its even frames within ever smaller gates, and its errors on the odd ones.
 
-    Keys with too few pairs have a null matrix.
+    Even and odd count all times of the key's tracks. Fitting ends before a gate within which there are too
+    few pairs, or for which there is no map; the correction is then the last one, at first none at all. Keys
+    without an odd time that truth covers have a null matrix.
     """
     a = truth.select(*keys, "frame_id", "label", "x", "y")
-    b = moved.select(*keys, "frame_id", "track_id", "field_x", "field_y")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema if f.name in keys) + ", matrix array<array<double>>, inliers int, pairs int, held_out_median double, held_out_p90 double"
+    b = moved.select(*keys, "at", "frame_id", "track_id", "field_x", "field_y")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema if f.name in keys)
+    schema += ", matrix array<array<double>>, inliers int, pairs int, held_out int, held_out_coverage double, held_out_median double, held_out_p90 double"
 
     def solve(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        from ..kernels.assignment import assign
-
-        matrix, inside, n, errors = np.eye(3), np.zeros(0, bool), 0, []
-        by_frame = {f: g[["x", "y"]].to_numpy(float) for f, g in t.groupby("frame_id")}
-        frames = [(f, g[["field_x", "field_y"]].to_numpy(float)) for f, g in p.groupby("frame_id") if f in by_frame]
-
-        def paired(which, h, gate):
-            src, dst = [], []
-            for i, (f, pts) in enumerate(frames):
-                if i % 2 != which:
-                    continue
-                now, actual = projective.apply(h, pts), by_frame[f]
-                d = np.linalg.norm(actual[:, None] - now[None], axis=2)
-                for x, y in zip(*assign(d)):
-                    if d[x, y] <= gate:
-                        src.append(pts[y])
-                        dst.append(actual[x])
-            return np.array(src).reshape(-1, 2), np.array(dst).reshape(-1, 2)
-
+        answers = {f: g[["x", "y"]].to_numpy(float) for f, g in t.groupby("frame_id")}
+        times = [(i % 2, g[["field_x", "field_y"]].to_numpy(float), answers.get(g["frame_id"].iloc[0])) for i, (_, g) in enumerate(p.groupby("at"))]
+
+        def matched(odd: int, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places, where they should be, and how far off they are, of all pairs of these times."""
+            found = [(pts, actual, np.linalg.norm(actual[:, None] - projective.apply(matrix, pts)[None], axis=2)) for which, pts, actual in times if which == odd and actual is not None]
+            if not found:
+                return np.empty((0, 2)), np.empty((0, 2)), np.empty(0)
+            n, m = np.array([len(x[1]) for x in found]), np.array([len(x[0]) for x in found])
+            frame = np.repeat(np.arange(len(found)), n * m)
+            left, right = (np.concatenate([x.ravel() for x in side]) for side in zip(*(np.indices(x[2].shape) for x in found)))
+            off = np.concatenate([x[2].ravel() for x in found])
+            chosen = assign_listed(frame, left, right, off)
+            f = frame[chosen]
+            source, target = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            return source[(np.cumsum(m) - m)[f] + right[chosen]], target[(np.cumsum(n) - n)[f] + left[chosen]], off[chosen]
+
+        matrix, inliers, pairs = np.eye(3), 0, 0
         for gate in options.gates:
-            src, dst = paired(0, matrix, gate)
-            n = len(src)
-            if n < options.least_pairs:
+            source, target, off = matched(0, matrix)
+            near = off < gate
+            pairs = int(near.sum())
+            if pairs < options.least_pairs:
                 break
-            found, inside = projective.robust_fit(src, dst, options.reach)
-            if found is None:
-                n = 0
+            fitted, inside = projective.robust_fit(source[near], target[near], options.reach)
+            if fitted is None:
                 break
-            matrix = found
-        ok = n >= options.least_pairs
-        if ok:
-            src, dst = paired(1, matrix, np.inf)
-            errors = np.linalg.norm(projective.apply(matrix, src) - dst, axis=1) if len(src) else []
+            matrix, inliers = fitted, int(inside.sum())
+        _, _, off = matched(1, matrix)
+        possible = sum(len(actual) for which, _, actual in times if which and actual is not None)
         first = t if len(t) else p
-        row = {k: [first[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "matrix": [matrix.tolist() if ok else None], "inliers": [int(inside.sum())], "pairs": [n], "held_out_median": [float(np.median(errors)) if len(errors) else None], "held_out_p90": [float(np.percentile(errors, 90)) if len(errors) else None]})
+        held = (float(np.median(off)), float(np.percentile(off, 90))) if len(off) else (None, None)
+        return pd.DataFrame([(*(first[k].iloc[0] for k in keys), matrix.tolist() if len(off) else None, inliers, pairs, len(off), len(off) / max(possible, 1), *held)], columns=[*keys, "matrix", "inliers", "pairs", "held_out", "held_out_coverage", "held_out_median", "held_out_p90"])
 
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(solve, schema)
 
 
+def five_unit_correction(truth: DataFrame, tracks: DataFrame, clock: DataFrame, keys: Names, step: float = 5.0, most: float = 50.0) -> DataFrame:
+    """shift_x: by how many whole steps the tracks' middle at the snap lies off the truth's, at most `most`; 0 where either is missing.
+
+    clock: keys, snap_frame, snap_s, offset and flip_x.
+    """
+    keys = list(keys)
+    at_snap = tracks.join(clock, keys).withColumn("_gap", F.abs(F.col("video_timestamp") - (F.col("snap_s") - F.col("offset"))))
+    nearest = at_snap.groupBy(*keys).agg(F.min_by("video_timestamp", F.struct("_gap", "video_timestamp")).alias("_t"))
+    x, _ = flipped(F.col("field_x"), F.lit(0.0), F.col("flip_x"), F.lit(False))
+    mine = at_snap.join(nearest, keys).filter("video_timestamp = _t").groupBy(*keys).agg(F.median(x).alias("_mine"))
+    actual = truth.join(clock.select(*keys, "snap_frame"), keys).filter("frame_id = snap_frame").groupBy(*keys).agg(F.median("x").alias("_actual"))
+    shift = F.rint((F.col("_actual") - F.col("_mine")) / step) * step
+    found = clock.select(*keys).join(mine, keys, "left").join(actual, keys, "left")
+    bounded = F.greatest(F.lit(-most), F.least(F.lit(most), shift))
+    return found.select(*keys, F.when(shift.isNull(), 0.0).otherwise(bounded).alias("shift_x"))
+
+
 def corrected(moved: DataFrame, maps: DataFrame, keys: Names) -> DataFrame:
     x, y = perspective(F.col("matrix"), F.col("field_x"), F.col("field_y"))
     return moved.join(maps.select(*keys, "matrix").filter("matrix is not null"), list(keys)).withColumn("_x", x).withColumn("_y", y).drop("field_x", "field_y", "matrix").withColumnsRenamed({"_x": "field_x", "_y": "field_y"})
@@ -230,15 +284,15 @@ def evaluated(truth: DataFrame, tracks: DataFrame, windows: DataFrame, keys: Nam
     inside = tracks.join(windows.select(*keys, F.col("snap_s").alias("_a"), F.col("dead_s").alias("_b")), keys).filter(F.col("video_timestamp").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     spatial = inside.filter(F.col("confidence") >= options.confidence) if "confidence" in tracks.columns else inside
     identity = reliable_or_all(inside, keys, "track_reliable") if "track_reliable" in tracks.columns else inside
-    alignment = grid_aligned(truth, spatial, clock, keys, options)
+    # One row for each key; several scores read these.
+    alignment = grid_aligned(truth, spatial, clock, keys, options).persist()
     point = alignment.select(*keys, F.lit(0).alias("g"), "offset", "flip_x", "flip_y")
-    maps = refined_maps(truth, _on_grid(spatial, point, clock, keys), keys, options)
-    moved = corrected(_on_grid(identity, point, clock, keys), maps, keys)
+    maps = refined_maps(truth, _on_grid(spatial, point, clock, keys), keys, options).persist()
+    moved = corrected(_on_grid(identity, point, clock, keys), maps, keys).persist()
     pairs = truth.select(*keys, "frame_id", "label", F.col("x").alias("_x"), F.col("y").alias("_y")).join(moved, [*keys, "frame_id"]).withColumn("distance", F.hypot(F.col("_x") - F.col("field_x"), F.col("_y") - F.col("field_y")))
     matched = optimal_pairs(pairs, keys, ["at"], "label", "track_id", "distance").filter(F.col("distance") <= options.identity_gate)
     last = moved.withColumn("_n", F.max("at").over(Window.partitionBy(*keys, "frame_id"))).filter("at = _n").drop("_n")
     covered = truth.join(last.select(*keys, "frame_id").distinct(), [*keys, "frame_id"])
-    return {
-        "alignment": alignment, "correction": maps, "hota": hota(covered, last.join(covered.select(*keys, "frame_id").distinct(), [*keys, "frame_id"]), keys, "frame_id", options.tau),
-        "formation": formation_accuracy(truth, moved, clock, keys, options), "identity": identity_metrics(matched, keys, "at"),
-    }
+    scores = hota(covered, last.join(covered.select(*keys, "frame_id").distinct(), [*keys, "frame_id"]), keys, "frame_id", options.tau)
+    parts = {"hota": scores, "formation": formation_accuracy(truth, moved, clock, keys, options), "identity": identity_metrics(matched, keys, "at")}
+    return {"alignment": alignment, "correction": maps, **{k: v.persist() for k, v in parts.items()}}

@@ -56,7 +56,7 @@ def reliable_or_all(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     return df.withColumn("_any", F.max(held).over(Window.partitionBy(*keys))).filter(~F.col("_any") | held).drop("_any")
 
 
-def preferred(df: DataFrame, keys: Sequence[str], flags: Sequence[str]) -> DataFrame:
-    """By the first of the flags that df has; all rows if it has none."""
+def preferred(df: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """The rows with the first of the flags that df has as a column; all rows if it has none."""
     flag = next((f for f in flags if f in df.columns), None)
-    return reliable_or_all(df, keys, flag) if flag else df
+    return df.filter(F.col(flag)) if flag else df

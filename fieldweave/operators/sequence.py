@@ -128,15 +128,24 @@ def between_cuts(cuts: DataFrame, keys: Names, at: str, least: float) -> DataFra
     return spans.withColumn("number", F.row_number().over(_by(keys, "start")))
 
 
-def sustained(df: DataFrame, keys: Names, order: str, active: Column, onset: int, quiet: Column, least: Column, skip: int = 2) -> DataFrame:
-    """start: the first row after `skip` from which `onset` rows are active. end: the first row `least` rows or more after it, from which `onset` rows are quiet."""
-    w = _by(keys, order)
-    ahead = w.rowsBetween(0, onset - 1)
-    full = F.count("*").over(ahead) == onset
-    marked = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_on", full & (F.min(active.cast("int")).over(ahead) == 1)).withColumn("_off", full & (F.min(quiet.cast("int")).over(ahead) == 1)).withColumn("_least", least)
+def sustained(df: DataFrame, keys: Names, order: str, active: Column, onset: int, quiet: Column, least: Column, skip: int = 2, quiet_rows: int | None = None, margin: int = 0) -> DataFrame:
+    """start: the first row after `skip` from which `onset` rows are active. end: the first row `least` rows or more after it, from which quiet_rows (as many as onset unless given) are quiet; the last row if none is.
+
+    With a margin, so many more rows must follow. Keys without a start are left out.
+    """
+    w, quiet_rows = _by(keys, order), quiet_rows or onset
+
+    def lasting(test: Column, n: int) -> Column:
+        ahead = w.rowsBetween(0, n - 1)
+        return (F.col("_left") >= n + margin) & (F.min(test.cast("int")).over(ahead) == 1)
+
+    numbered = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_least", least)
+    numbered = numbered.withColumn("_left", F.count("*").over(Window.partitionBy(*keys)) - F.col("_i"))
+    marked = numbered.withColumn("_on", lasting(active, onset)).withColumn("_off", lasting(quiet, quiet_rows))
     starts = marked.filter((F.col("_i") >= skip) & F.col("_on")).groupBy(*keys).agg(F.min_by(F.struct("_i", order), "_i").alias("s"))
-    ends = marked.join(starts, list(keys)).filter(F.col("_off") & (F.col("_i") >= F.col("s")["_i"] + F.col("_least"))).groupBy(*keys).agg(F.min(order).alias("end"))
-    return starts.select(*keys, F.col("s")[order].alias("start")).join(ends, list(keys), "left")
+    rest = F.col("_off") & (F.col("_i") >= F.col("s")["_i"] + F.col("_least"))
+    ends = marked.join(starts, list(keys)).groupBy(*keys).agg(F.coalesce(F.min(F.when(rest, F.col(order))), F.max(order)).alias("end"))
+    return starts.select(*keys, F.col("s")[order].alias("start")).join(ends, list(keys))
 
 
 def switches(df: DataFrame, keys: Names, order: str, value: str) -> DataFrame:

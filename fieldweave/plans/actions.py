@@ -105,44 +105,87 @@ def motion_windows(samples: DataFrame, keys: Names, rate: float, *, at: str = "t
 
 
 def clips_of_sources(samples: DataFrame, cuts: DataFrame, durations: DataFrame, probes: DataFrame, rate: float, *, source: str = "source") -> DataFrame:
-    """One clip for each span between cuts: its window of most motion, the angle by vote, and a confidence.
+    """One clip for each span between cuts: its angle by vote, its window of most motion, and a confidence.
 
     samples: source, timestamp, score, camera_cut; cuts: source, at; durations: source, duration; probes:
     source, at, angle, confidence. Cuts nearer than 1.5 s to the last one kept go; spans shorter than 3 s go.
+    A span without such a window has null times and confidence 0. Only sideline and endzone are voted for;
+    the sideline wins a draw.
     """
     from ..operators.folds import min_separation
 
+    at = F.col("timestamp")
+    usable = samples.filter(~F.coalesce(F.col("camera_cut"), F.lit(False)))
     kept = min_separation(cuts.select(source, F.col("at").cast("double").alias("at")), [source], "at", 1.5)
+    kept = kept.join(durations, source).filter((F.col("at") > 0) & (F.col("at") < F.col("duration"))).select(source, "at")
     ends = durations.select(source, F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("at")).unionByName(kept)
-    spans = seq.between_cuts(ends.distinct(), [source], "at", 3.0).withColumnRenamed("number", "span")
-    limit = samples.filter("not camera_cut").groupBy(source).agg(F.greatest(F.lit(20.0), F.percentile("score", 0.6)).alias("limit"))
-    inside = samples.join(spans, source).filter((F.col("timestamp") >= F.col("start")) & (F.col("timestamp") < F.col("end"))).join(limit, source)
-    key = [source, "span"]
-    inside = inside.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter("_n >= 10").withColumn("smooth", seq.box_mean("score", key, "timestamp")).withColumn("active", (F.col("smooth") >= F.col("limit")) & ~F.col("camera_cut"))
+    spans = seq.between_cuts(ends.distinct(), [source], "at", 3.0)
+    limit = usable.groupBy(source).agg(F.percentile("score", 0.6).alias("_p60"))
+    spans = spans.join(limit, source, "left").withColumn("limit", F.greatest(F.lit(20.0), F.coalesce("_p60", F.lit(20.0)))).drop("_p60")
+    key = [source, "number"]
+
+    inside = usable.join(spans, source).filter((at > F.col("start")) & (at < F.col("end")))
+    inside = inside.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter("_n >= 10")
+    inside = inside.withColumn("smooth", seq.box_mean("score", key, "timestamp")).withColumn("active", F.col("smooth") >= F.col("limit"))
     bridged = seq.bridged_by_count(inside, key, "timestamp", "active", max(1, round(2 * rate)))
     runs = seq.runs(bridged, key, "timestamp", "active", energy=F.sum("smooth"), peak=F.max("smooth")).filter(F.col("n") >= max(2, round(0.6 * rate)))
-    best = runs.groupBy(*key).agg(F.max(F.struct("energy", "first", "last", "peak")).alias("b")).join(spans, key).join(limit, source)
-    votes = aggregate.vote(probes.join(spans, source).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))), key, "angle", F.col("confidence"))
-    snap, dead = F.greatest(F.col("start"), F.col("b.first") - 0.6), F.least(F.col("end"), F.col("b.last") + 0.8)
-    trust = F.least(F.least(F.lit(1.0), F.col("b.peak") / (3 * F.col("limit"))), F.greatest(F.lit(0.05), F.coalesce("share", F.lit(0.0))))
-    out = best.join(votes, key, "left").select(source, "start", "end", snap.alias("snap_s"), dead.alias("play_end_s"), F.coalesce("winner", F.lit("unknown")).alias("angle"), trust.alias("confidence")).filter("play_end_s - snap_s >= 1.5")
-    return out.withColumn("number", F.row_number().over(Window.partitionBy(source).orderBy("start")))
+    best = runs.groupBy(*key).agg(F.max(F.struct("energy", "first", "last", "peak")).alias("b"))
+
+    voted = probes.join(spans, source).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    votes = voted.groupBy(*key).agg(*[F.coalesce(F.sum(F.when(F.col("angle") == a, F.col("confidence"))), F.lit(0.0)).alias(f"_{a}") for a in ("sideline", "endzone")])
+    side, zone = (F.coalesce(c, F.lit(0.0)) for c in ("_sideline", "_endzone"))
+    out = spans.join(best, key, "left").join(votes, key, "left")
+    snap, dead = F.greatest("start", F.col("b.first") - 0.6), F.least("end", F.col("b.last") + 0.8)
+    live = F.col("b").isNotNull() & (dead - snap >= 1.5)
+    share = F.greatest(side, zone) / F.greatest(side + zone, F.lit(1e-9))
+    motion = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("b.peak") / F.greatest(3 * F.col("limit"), F.lit(1.0))))
+    return out.select(
+        source, "number", "start", "end", F.when(zone > side, "endzone").otherwise("sideline").alias("angle"), F.when(live, snap).alias("snap_s"), F.when(live, dead).alias("play_end_s"),
+        F.when(live, F.least(motion, F.greatest(F.lit(0.05), share))).otherwise(0.0).alias("confidence"),
+    )
+
+
+def motion_bounds(samples: DataFrame, keys: Names, rate: float, *, at: str = "timestamp", score: str = "score") -> DataFrame:
+    """When motion sets in and when it rests, of each key's scores, and how far the onset stands out.
+
+    The threshold lies above the median of the first quarter of the scores (10 at least). Keys of fewer than
+    20 samples or without an onset are left out.
+    """
+    keys, own = list(keys), Window.partitionBy(*keys)
+    rows = samples.withColumn("_n", F.count("*").over(own)).filter("_n >= 20").withColumn("_i", F.row_number().over(own.orderBy(at)))
+    base = rows.filter(F.col("_i") <= F.greatest(F.lit(10), F.floor(F.col("_n") / 4)))
+    base = base.withColumn("_m", F.median(score).over(own)).withColumn("_away", F.abs(F.col(score) - F.col("_m")))
+    spread = F.median("_away")
+    scale = base.groupBy(*keys).agg((F.max("_m") + F.greatest(F.lit(1.0), 4 * F.when(spread == 0, 0.1).otherwise(spread))).alias("threshold"))
+    marked = rows.join(scale, keys)
+    active = F.col(score) > F.col("threshold")
+    found = seq.sustained(marked, keys, at, active, 3, ~active, F.lit(max(20, round(rate * 3))), quiet_rows=max(8, round(rate * 1.5)), margin=1)
+    first = marked.select(*keys, F.col(at).alias("start"), score, "threshold")
+    trust = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(score) - F.col("threshold")) / F.greatest("threshold", F.lit(1.0))))
+    return found.join(first, [*keys, "start"]).select(*keys, "start", "end", trust.alias("confidence"))
 
 
 def action_signatures(tracks: DataFrame, windows: DataFrame) -> DataFrame:
     """Duration, top two team sizes, displacement, speed profile and formation of each action.
 
-    tracks: clip_id, track_id, team, video_timestamp, field_x, field_y, speed; windows: action_id, clip_id, angle, action_order, snap_s, dead_s.
+    tracks: clip_id, track_id, team, video_timestamp, field_x, field_y, speed; windows: action_id, clip_id,
+    angle, action_order, snap_s, dead_s. The formation is that of each track's median place in the first half
+    second. An action without rows has no profile and no formation.
     """
     key = ["action_id"]
     rows = windows.select("action_id", "clip_id", "snap_s", "dead_s").join(tracks, "clip_id").filter(F.col("video_timestamp").between(F.col("snap_s"), F.col("dead_s")))
-    teams = rows.filter(F.col("team").startswith("team_")).groupBy("action_id", "team").agg(F.countDistinct("track_id").cast("double").alias("n")).groupBy("action_id").agg(top_padded(F.collect_list("n"), 2, 0.0).alias("team_counts"))
-    first = rows.withColumn("_t", F.min("video_timestamp").over(Window.partitionBy("action_id"))).filter("video_timestamp = _t")
+    teams = rows.filter("team is not null").groupBy("action_id", "team").agg(F.countDistinct("track_id").cast("double").alias("n"))
+    teams = teams.groupBy("action_id").agg(top_padded(F.collect_list("n"), 2, 0.0).alias("team_counts"))
     moved = aggregate.displacement(rows, key, "track_id", "video_timestamp", "field_x", "field_y")
-    profile = aggregate.binned_profile(rows, key, "video_timestamp", "speed")
-    shape = aggregate.formation(first, key, "field_x", "field_y", 22, 2)
-    base = windows.select("action_id", "clip_id", "angle", "action_order", "snap_s", (F.col("dead_s") - F.col("snap_s")).alias("duration"))
-    return base.join(teams, key, "left").join(moved, key, "left").join(profile, key, "left").join(shape, key, "left").withColumn("team_counts", F.coalesce("team_counts", F.array(F.lit(0.0), F.lit(0.0))))
+    profile = aggregate.binned_profile(rows, key, "video_timestamp", "speed", low=F.col("snap_s"), high=F.col("dead_s"))
+    early = rows.filter(F.col("video_timestamp") <= F.col("snap_s") + 0.5)
+    places = early.groupBy("action_id", "track_id").agg(F.median("field_x").alias("x"), F.median("field_y").alias("y"))
+    shape = aggregate.formation(places, key, "x", "y", 22, 2)
+    duration = F.greatest(F.lit(0.01), F.col("dead_s") - F.col("snap_s"))
+    base = windows.select("action_id", "clip_id", "angle", "action_order", "snap_s", duration.alias("duration"))
+    out = base.join(teams, key, "left").join(moved, key, "left").join(profile, key, "left").join(shape, key, "left")
+    none = F.array().cast("array<double>")
+    return out.withColumns({"team_counts": F.coalesce("team_counts", F.array(F.lit(0.0), F.lit(0.0))), "displacement": F.coalesce("displacement", F.lit(0.0)), "profile": F.coalesce("profile", none), "formation": F.coalesce("formation", none)})
 
 
 def paired_actions(signatures: DataFrame, game: str = "game_id", order: str = "position", **limits) -> DataFrame:
@@ -150,17 +193,28 @@ def paired_actions(signatures: DataFrame, game: str = "game_id", order: str = "p
     return paired_ahead(signatures, [game], order, signature_cost(), F.col("clip_id") != F.col("other_clip_id"), **limits)
 
 
+# The events of the answer key that begin a play, and those that tell its category.
+SNAP_EVENTS = ("ball_snap", "autoevent_ballsnap")
+PASS_EVENTS = ("pass_forward", "autoevent_passforward")
+RUN_EVENTS = ("handoff", "run")
+
+
 def play_signatures(truth: DataFrame, keys: Names = ("game_id", "play_id")) -> DataFrame:
-    """Duration, category, speed profile, formation at the snap and events of each play of the answer key."""
+    """Duration, category, speed profile, formation at the snap and events of each play of the answer key.
+
+    Plays without a snap are left out. Rows without a player_id, such as the ball's, count for events and
+    time alone.
+    """
     keys = list(keys)
-    snap = F.min(F.when(F.lower("event").isin("ball_snap", "autoevent_ballsnap"), F.col("frame_id")))
-    bounds = truth.groupBy(*keys).agg(snap.alias("snap_frame"), F.max("frame_id").alias("last_frame"), F.sort_array(F.collect_set("event")).alias("events")).filter("snap_frame is not null")
-    rows = truth.join(bounds, keys).filter((F.col("frame_id") >= F.col("snap_frame")) & F.col("player_id").isNotNull())
-    speeds = rows.groupBy(*keys, "frame_id").agg(F.median("speed").alias("speed"))
-    profile = aggregate.binned_profile(speeds, keys, "frame_id", "speed", out="speed_profile")
+    event = F.lower("event")
+    snap = F.min(F.when(event.isin(*SNAP_EVENTS), F.col("frame_id")))
+    bounds = truth.groupBy(*keys).agg(snap.alias("snap_frame"), F.max("frame_id").alias("last_frame"), F.sort_array(F.collect_set(F.nullif(event, F.lit("")))).alias("events")).filter("snap_frame is not null")
+    rows = truth.join(bounds.drop("events"), keys).filter((F.col("frame_id") >= F.col("snap_frame")) & F.col("player_id").isNotNull())
+    profile = aggregate.binned_profile(rows, keys, "frame_id", "speed", out="speed_profile", low=F.col("snap_frame"), high=F.col("last_frame") + 1e-6)
     shape = aggregate.formation(rows.filter("frame_id = snap_frame"), keys, "x", "y", 10**6, 3)
-    low = F.transform("events", lambda e: F.lower(e))
-    has = lambda *w: F.exists(low, lambda e: F.greatest(*[e.contains(x).cast("int") for x in (*w, "\0")]) == 1)
-    category = F.when(has("punt"), "punt").when(has("kickoff"), "kickoff").when(has("field_goal", "extra_point"), "place_kick").when(has("pass"), "pass").when(has("run", "handoff"), "run").otherwise("unknown")
-    base = bounds.select(*keys, F.greatest(F.lit(0.1), (F.col("last_frame") - F.col("snap_frame")) / 10).alias("duration"), category.alias("category"), "events")
-    return base.join(profile, keys, "left").join(shape, keys, "left")
+    has = lambda names: F.arrays_overlap("events", F.array(*map(F.lit, names)))
+    category = F.when(has(PASS_EVENTS), "pass").when(has(RUN_EVENTS), "run").otherwise("unknown")
+    duration = F.greatest(F.lit(0.1), (F.col("last_frame") - F.col("snap_frame")) / 10)
+    base = bounds.select(*keys, duration.alias("duration"), category.alias("category"), "events")
+    out = base.join(profile, keys, "left").join(shape, keys, "left")
+    return out.withColumns({"speed_profile": F.coalesce("speed_profile", F.array(*[F.lit(0.0)] * 8)), "formation": F.coalesce("formation", F.array().cast("array<double>"))})

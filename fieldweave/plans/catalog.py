@@ -14,6 +14,8 @@ from ..operators import joins, sample
 from ..operators.aggregate import count_where, rate
 from ..operators.match import aligned, event_cost
 from ..operators.sequence import latest
+from ..schemas import conformed
+from ..sinks.tables import replaced_groups
 
 Tables = Mapping[str, DataFrame]
 
@@ -24,22 +26,43 @@ def games(t: Tables) -> DataFrame:
     return t["games"].join(n, "game_id", "left").fillna(0, ["eligible_plays"]).orderBy(F.col("season").desc(), F.col("week").desc(), "game_id")
 
 
+# What a play without a report of its own is told to lack.
+NOT_ALIGNED = "Film segmentation and play alignment have not been run for this play."
+REJECTED = "No acceptable sideline/end-zone clip pair was found for this play."
+AWAITING = "The play is aligned, but tracking and quality evaluation have not been run."
+
+
 def processing_status(alignment: Column, quality: Column) -> Column:
     return F.when(alignment.isNull(), "not_aligned").when(alignment == "rejected", "alignment_rejected").otherwise(F.coalesce(quality, F.lit("awaiting_reconstruction")))
 
 
+def processing_reasons(status: Column, reasons: Column) -> Column:
+    """The report's own reasons, or why there is no report."""
+    own = F.coalesce(reasons, F.array().cast("array<string>"))
+    rejected = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(REJECTED)))
+    out = F.when(status == "not_aligned", F.array(F.lit(NOT_ALIGNED))).when(status == "alignment_rejected", rejected)
+    return out.when(status == "awaiting_reconstruction", F.array(F.lit(AWAITING))).otherwise(own)
+
+
 def plays(t: Tables, game_id: str) -> DataFrame:
-    """A game's plays with alignment, sources, quality, audit and status."""
-    sources = t["play_sources"].join(t["clips"].select("clip_id", "snap_s", "play_end_s", "confidence"), "clip_id")
-    listed = sources.groupBy("play_id").agg(F.array_sort(F.collect_list(F.struct("source_order", "clip_id", "angle", "snap_s", "play_end_s", "confidence"))).alias("sources"))
+    """A game's eligible plays with alignment, sources, quality, audit, status and reasons."""
+    sources = t["play_sources"].select("play_id", "source_order", "angle", "clip_id").join(t["clips"].select("clip_id", "start_s", "end_s", "snap_s", "play_end_s", "confidence"), "clip_id")
+    source = F.struct("source_order", "angle", "clip_id", "start_s", "end_s", "snap_s", "play_end_s", "confidence")
+    listed = sources.groupBy("play_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
     a = t["play_alignments"].select("play_id", "game_id", "ordinal", "score", F.col("status").alias("alignment_status"))
-    q = t["quality_reports"].select("play_id", F.col("status").alias("quality_status"), "reasons_json")
-    rows = t["plays"].filter(F.col("game_id") == game_id).join(a, ["game_id", "ordinal"], "left").join(q, "play_id", "left").join(t["audits"], "play_id", "left").join(listed, "play_id", "left")
-    return rows.withColumn("sources", F.coalesce("sources", F.array().cast(listed.schema["sources"].dataType))).withColumn("processing_status", processing_status(F.col("alignment_status"), F.col("quality_status"))).orderBy("ordinal")
+    q = t["quality_reports"].select("play_id", F.col("status").alias("quality_status"), "reasons_json", "metrics_json")
+    rows = t["plays"].filter((F.col("game_id") == game_id) & F.col("eligible")).join(a, ["game_id", "ordinal"], "left")
+    rows = rows.join(q, "play_id", "left").join(t["audits"], "play_id", "left").join(listed, "play_id", "left")
+    rows = rows.withColumn("sources", F.coalesce("sources", F.array().cast(listed.schema["sources"].dataType))).withColumn("selected", F.coalesce("selected", F.lit(False)))
+    rows = rows.withColumn("processing_status", processing_status(F.col("alignment_status"), F.col("quality_status")))
+    reasons = F.from_json(F.coalesce("reasons_json", F.lit("[]")), "array<string>")
+    metrics = F.from_json(F.coalesce("metrics_json", F.lit("{}")), "map<string, double>")
+    return rows.withColumn("reasons", processing_reasons(F.col("processing_status"), reasons)).withColumn("metrics", metrics).orderBy("ordinal")
 
 
 def review_priority(sources: Column, ordinal: Column) -> tuple[Column, Column]:
     """(score, reasons) for reviewing a play, from an array of its sources with snap_s, play_end_s and confidence."""
+    # The texts of the reasons.
     n = F.size(sources)
     untimed = F.size(F.filter(sources, lambda s: s["snap_s"].isNull() | s["play_end_s"].isNull()))
     least = F.array_min(F.transform(sources, lambda s: F.coalesce(s["confidence"], F.lit(0.0))))
@@ -84,30 +107,112 @@ def latest_artifacts(t: Tables, kind: str) -> DataFrame:
 
 
 def audited_sources(t: Tables) -> DataFrame:
-    """Distinct clips of plays whose mapping and sources were found right, with the play in the answer key."""
+    """Clips of plays whose mapping and sources were found right, with each of their action windows and the play in the answer key."""
     good = t["audits"].filter("mapping_correct and sources_correct").select("play_id")
-    rows = t["play_sources"].select("play_id", "clip_id").join(good, "play_id").join(t["play_alignments"].select("play_id", "game_id", "ordinal"), "play_id").join(t["clips"].select("clip_id", "angle"), "clip_id")
-    rows = rows.join(t["plays"].select("game_id", "ordinal", "source_row_id"), ["game_id", "ordinal"]).join(t["external_ids"].select("game_id", "external_id"), "game_id")
-    return rows.withColumn("play_number", F.coalesce(trailing_number(F.col("play_id")), F.col("source_row_id").try_cast("long"))).distinct().orderBy("game_id", "ordinal", "clip_id")
+    rows = t["play_sources"].select("play_id", "clip_id").join(good, "play_id").join(t["play_alignments"].select("play_id", "game_id", "ordinal"), "play_id")
+    rows = rows.join(t["clips"].select("clip_id", "angle"), "clip_id").join(t["plays"].select("game_id", "ordinal", "source_row_id"), ["game_id", "ordinal"])
+    rows = rows.join(t["action_windows"].select("clip_id", "action_id", "action_order", "snap_s", "dead_s"), "clip_id")
+    rows = rows.join(t["external_ids"].filter("provider = 'bdb'").select("game_id", "external_id"), "game_id")
+    rows = rows.withColumn("play_number", trailing_number(F.col("source_row_id"))).drop("play_id", "ordinal").distinct()
+    return rows.orderBy("game_id", "clip_id", "action_order")
 
 
 def single_play_of_clips(sources: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clips that map to exactly one play of the answer key, others with a reason)."""
+    """(clips that map to exactly one play of the answer key, others with a reason).
+
+    known: game_id and play_number of the plays that have a signature; a missing number is a play of its own.
+    """
     rows = joins.with_existence(sources, known, ["game_id", "play_number"], "known")
-    per = rows.groupBy("clip_id").agg(F.countDistinct("play_number").alias("n"), F.max("play_number").alias("play_number"), F.max("known").alias("known"))
-    reason = F.when(F.col("n") != 1, "maps to more than one play").when(~F.col("known"), "the answer key lacks its play")
+    number = F.coalesce(F.col("play_number").cast("string"), F.lit(""))
+    per = rows.groupBy("clip_id").agg(F.countDistinct(number).alias("n"), F.max("play_number").alias("play_number"), F.max("known").alias("known"))
+    reason = F.when(F.col("n") != 1, "clip is a source for multiple plays").when(~F.col("known"), "no play signature in the answer key")
     return per.filter(reason.isNull()).select("clip_id", "play_number"), per.filter(reason.isNotNull()).select("clip_id", reason.alias("reason"))
 
 
+def sampling_frame(t: Tables, game_id: str) -> DataFrame:
+    """The eligible plays of a game that have an alignment which was not rejected; an unknown quarter counts as 0."""
+    a = t["play_alignments"].filter("status <> 'rejected'").select("play_id", "game_id", "ordinal")
+    rows = t["plays"].filter((F.col("game_id") == game_id) & F.col("eligible")).join(a, ["game_id", "ordinal"])
+    return rows.withColumn("quarter", F.coalesce("quarter", F.lit(0)))
+
+
 def audit_sample(t: Tables, game_id: str, n: int = 40) -> DataFrame:
-    """A sample of aligned plays over quarters and kinds, from the middle of each."""
-    rows = t["plays"].filter(F.col("game_id") == game_id).join(t["play_alignments"].filter("status <> 'rejected'").select("play_id", "game_id", "ordinal"), ["game_id", "ordinal"])
-    return sample.stratified_middle_out(rows, ["quarter", "play_type"], "ordinal", n)
+    """n plays over quarters and kinds, from the middle of each, in order; raises if there are fewer."""
+    rows = sampling_frame(t, game_id)
+    there = rows.count()
+    if there < n:
+        raise ValueError(f"only {there} aligned eligible plays, {n} wanted")
+    return sample.stratified_middle_out(rows, ["quarter", "play_type"], "ordinal", n).orderBy("ordinal")
+
+
+def audits_of_sample(t: Tables, game_id: str, chosen: DataFrame) -> DataFrame:
+    """The audits when a sample takes the place of all audits of its game."""
+    own = t["play_alignments"].filter(F.col("game_id") == game_id).select("play_id")
+    fresh = chosen.select("play_id").withColumn("selected", F.lit(True))
+    return t["audits"].join(own, "play_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def audit_summary(t: Tables, game_id: str) -> DataFrame:
-    rows = t["audits"].join(t["play_alignments"].filter(F.col("game_id") == game_id).select("play_id"), "play_id")
-    return rows.agg(count_where(F.col("selected")).alias("selected"), F.count("mapping_correct").alias("audited"), *[rate(F.col(c)).alias(c) for c in ("mapping_correct", "sources_correct", "timing_correct")])
+    """How many plays were selected and reviewed, and the shares found right among the reviewed ones."""
+    rows = t["audits"].filter("selected").join(t["play_alignments"].filter(F.col("game_id") == game_id).select("play_id"), "play_id")
+    found = lambda c: rate(F.when(F.col("mapping_correct").isNotNull(), F.col(c))).alias(c)
+    return rows.agg(F.count("*").alias("selected"), F.count("mapping_correct").alias("audited"), *map(found, ("mapping_correct", "sources_correct", "timing_correct")))
+
+
+def alignment_work_list(t: Tables, game_id: str) -> DataFrame:
+    """The alignment operations of a game in order, with what is known of their plays; operations without a play stay."""
+    p = t["plays"].select("game_id", "ordinal", "description", "play_type")
+    return t["alignment_operations"].filter(F.col("game_id") == game_id).join(p, ["game_id", "ordinal"], "left").orderBy("sequence_no")
+
+
+def filmed_units(t: Tables, game_id: str) -> DataFrame:
+    """Pairs of actions of a game in the order of the film: pair_id, action_id, duration and confidence of the primary action."""
+    w = t["action_windows"].select(F.col("action_id").alias("primary_action_id"), "clip_id", "action_order", "snap_s", "dead_s", "confidence")
+    rows = t["action_pairs"].filter(F.col("game_id") == game_id).select("pair_id", "primary_action_id").join(w, "primary_action_id").join(t["clips"].select("clip_id", "start_s"), "clip_id")
+    place = F.row_number().over(Window.partitionBy(F.lit(game_id)).orderBy("start_s", "action_order"))
+    return rows.select("pair_id", F.col("primary_action_id").alias("action_id"), place.alias("unit_no"), (F.col("dead_s") - F.col("snap_s")).alias("duration"), "confidence").orderBy("unit_no")
+
+
+def misplaced_timings(timings: DataFrame, clips: DataFrame, columns: Sequence[str], strict: Sequence[str] = ()) -> DataFrame:
+    """Timings that are not in ascending order within their clip. Those named in strict must lie after the one before them.
+
+    timings has clip_id and the columns, clips has clip_id, start_s and end_s; a timing without a clip or
+    with a missing value is misplaced.
+    """
+    bounds = clips.select("clip_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"))
+    steps = ["_from", *columns, "_to"]
+    ordered = [F.col(a) < F.col(b) if b in strict else F.col(a) <= F.col(b) for a, b in zip(steps, steps[1:])]
+    good = ordered[0]
+    for test in ordered[1:]:
+        good = good & test
+    return timings.join(bounds, "clip_id", "left").filter(~F.coalesce(good, F.lit(False))).drop("_from", "_to")
+
+
+def verified_windows(windows: DataFrame, timings: DataFrame, clips: DataFrame) -> DataFrame:
+    """Action windows with new timings in place, which makes them verified; raises if one is misplaced."""
+    columns = ["formation_start_s", "snap_s", "dead_s", "playback_end_s"]
+    new = timings.select("action_id", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
+    placed = windows.join(new, "action_id", "left")
+    for c in columns:
+        placed = placed.withColumn(c, F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)))
+    placed = placed.withColumn("status", F.when(F.col("_new"), "verified").otherwise(F.col("status")))
+    if not misplaced_timings(placed.filter("_new"), clips, columns).isEmpty():
+        raise ValueError("timings must be in order and inside their clip")
+    return placed.select(windows.columns)
+
+
+def saved_keyframes(keyframes: DataFrame, clips: DataFrame, new: DataFrame) -> DataFrame:
+    """The keyframes when new ones (with matrix and errors) take the place of their clips' old ones, under the clip's next revision.
+
+    Raises if there is none, or one lies outside of its clip.
+    """
+    if new.isEmpty():
+        raise ValueError("a calibration needs a keyframe")
+    if not misplaced_timings(new, clips, ["timestamp_s"]).isEmpty():
+        raise ValueError("a keyframe lies outside of its clip")
+    last = keyframes.groupBy("clip_id").agg(F.max("revision").alias("_last"))
+    fresh = new.join(last, "clip_id", "left").withColumn("revision", F.coalesce("_last", F.lit(0)) + 1).withColumn("status", F.lit("verified")).drop("_last")
+    return replaced_groups(keyframes, conformed(fresh, "calibration_keyframes"), ["clip_id"])
 
 
 def pilot_games(catalogue: DataFrame, plays_csv: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -133,8 +238,20 @@ def align_actions(plays_: DataFrame, units: DataFrame, category: Column, skip: f
     return aligned(left, right, costs, ["game_id"], skip, skip, gate, sure)
 
 
+# Kinds of plays that are filmed even where they are not eligible.
+FILMED_PLAY_KINDS = ("pass", "run", "punt", "kickoff", "field_goal", "extra_point", "qb_kneel", "qb_spike", "no_play")
+
+
+def plays_to_align(plays_: DataFrame, every_filmed: bool = False) -> DataFrame:
+    """Eligible plays and, if asked for, those of other filmed kinds."""
+    return plays_.filter(F.col("eligible") | F.col("play_type").isin(*FILMED_PLAY_KINDS)) if every_filmed else plays_.filter("eligible")
+
+
 def align_clips(plays_: DataFrame, groups: DataFrame, cost: Column, skip_play: float = 5.0, skip_group: float = 4.0) -> DataFrame:
-    """Plays and groups of clips of each game in one order; groups without a play are left out of the result."""
+    """Plays and groups of clips of each game in one order; groups without a play are left out of the result.
+
+    cost is over both sides' columns, such as match.group_cost() of an array of sources.
+    """
     w = lambda c: Window.partitionBy("game_id").orderBy(c)
     left, right = plays_.withColumn("i", F.row_number().over(w("ordinal")) - 1), groups.withColumn("j", F.row_number().over(w("group_no")) - 1)
     costs = left.join(right.drop("group_no"), "game_id").withColumn("cost", cost)
@@ -166,16 +283,19 @@ class QualityThresholds:
         ("median_field_error", 1.0, "median field calibration error exceeded threshold"),
         ("p95_field_error", 2.0, "p95 field calibration error exceeded threshold"),
     )
+    members: int = 11
+    identities: str = "expected exactly 11 unique jersey identities per team at snap"
 
 
 def quality_gate(metrics: DataFrame, identities: DataFrame, key: str, thresholds: QualityThresholds = QualityThresholds()) -> DataFrame:
     """accepted or rejected with reasons, for each row of metrics; a missing metric counts as the worst.
 
-    identities: key, team, jersey; there must be exactly two teams of 11 distinct jerseys.
+    identities: key, team, jersey; there must be exactly two teams of so many distinct jerseys.
     """
     sizes = identities.groupBy(key, "team").agg(F.countDistinct("jersey").alias("n")).groupBy(key).agg(F.sort_array(F.collect_list("n")).alias("_sizes"))
     rows = metrics.join(sizes, key, "left")
-    reasons = [F.when(~F.coalesce(F.col("_sizes") == F.array(F.lit(11).cast("long"), F.lit(11).cast("long")), F.lit(False)), "expected exactly 11 unique jersey identities per team at snap")]
+    full = F.array(*[F.lit(thresholds.members).cast("long")] * 2)
+    reasons = [F.when(~F.coalesce(F.col("_sizes") == full, F.lit(False)), thresholds.identities)]
     reasons += [F.when(F.coalesce(F.col(c), F.lit(0.0)) < v, r) for c, v, r in thresholds.at_least]
     reasons += [F.when(F.coalesce(F.col(c), F.lit(float("inf"))) > v, r) for c, v, r in thresholds.at_most]
     out = rows.withColumn("reasons", present(*reasons)).drop("_sizes")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, geometry, text
-from ..functions.geometry import gaussian_similarity, perspective, phase_shift
-from ..operators import aggregate, joins, sample
+from ..functions import geometry, text
+from ..functions.geometry import perspective, phase_shift
+from ..operators import aggregate, joins, metrics, sample
 from ..plans import catalog
 from ..sinks import tables as sinks
 from .registry import query, table
@@ -207,13 +206,17 @@ def review_queue(spark, sf_dir):
 
 
 @query("""
-with m as (select o_orderkey, min(l_discount) as a, max(l_tax) as b, count(distinct l_suppkey) as n from orders left join lineitem on o_orderkey = l_orderkey group by 1), r as (select o_orderkey, list_filter([case when coalesce(a, 0) < 0.02 then 'discount below threshold' end, case when coalesce(b, 'inf'::double) > 0.06 then 'tax exceeded threshold' end, case when n < 3 then 'few suppliers' end], lambda x: x is not null) as reasons from m)
+with m as (select o_orderkey, min(l_discount) as a, max(l_tax) as b from orders left join lineitem on o_orderkey = l_orderkey group by 1), k as (select l_orderkey, l_returnflag, count(distinct l_suppkey) as n from lineitem group by 1, 2),
+t as (select l_orderkey, list_sort(list(n)) as sizes from k group by 1), r as (select o_orderkey, list_filter([case when coalesce(sizes, []) <> [1, 1] then 'expected exactly 1 supplier for each of 2 flags' end, case when coalesce(a, 0) < 0.02 then 'discount below threshold' end, case when coalesce(b, 'inf'::double) > 0.06 then 'tax exceeded threshold' end], lambda x: x is not null) as reasons from m left join t on o_orderkey = l_orderkey)
 select o_orderkey, array_to_string(reasons, '; ') as reasons, case when len(reasons) = 0 then 'accepted' else 'rejected' end as status from r
 """)
 def quality_gate(spark, sf_dir):
-    m = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.min("l_discount").alias("a"), F.max("l_tax").alias("b"), F.countDistinct("l_suppkey").alias("n"))
-    tests = arrays.present(F.when(F.coalesce("a", F.lit(0.0)) < 0.02, "discount below threshold"), F.when(F.coalesce("b", F.lit(float("inf"))) > 0.06, "tax exceeded threshold"), F.when(F.col("n") < 3, "few suppliers"))
-    return m.select("o_orderkey", F.concat_ws("; ", tests).alias("reasons"), F.when(F.size(tests) == 0, "accepted").otherwise("rejected").alias("status"))
+    """Orders by their lines' figures: return flags stand for teams, suppliers for the members of one."""
+    lines = table(spark, sf_dir, "lineitem")
+    m = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.min("l_discount").alias("a"), F.max("l_tax").alias("b"))
+    limits = catalog.QualityThresholds(at_least=(("a", 0.02, "discount below threshold"),), at_most=(("b", 0.06, "tax exceeded threshold"),), members=1, identities="expected exactly 1 supplier for each of 2 flags")
+    identities = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("team"), F.col("l_suppkey").alias("jersey"))
+    return catalog.quality_gate(m, identities, "o_orderkey", limits).select("o_orderkey", F.concat_ws("; ", "reasons").alias("reasons"), "status")
 
 
 @query("""
@@ -295,17 +298,19 @@ def mutual_knn_ratio(spark, sf_dir):
 
 
 @query("""
-with v as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings), p as (select a.label, a.vec_id as l, b.vec_id as r, exp(ln(0.05) * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.25) as sim from v a join v b on a.label = b.label and a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
-s as (select *, sum(sim) over (partition by label, l) + sum(sim) over (partition by label, r) - sim as d from p) select label, l, r, round(sim, 6) as similarity, round(case when d > 2.220446049250313e-16 then sim / d else 0 end, 6) as soft from s
+with v as (select vec_id, label, vec_id // 20 as frame, vec_id // 2 % 10 as place, embedding[1]::double as x, embedding[2]::double as y from embeddings), p as (select a.label, a.frame, a.place as l, b.place as r, exp(ln(0.05) * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.25) as sim from v a join v b on a.label = b.label and a.frame = b.frame and a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
+s as (select *, sum(sim) over (partition by label, frame, l) + sum(sim) over (partition by label, frame, r) - sim as d from p), g as (select label, l, r, sum(case when d > 2.220446049250313e-16 then sim / d else 0 end) as potential from s group by 1, 2, 3),
+n as (select label, place, count(*) filter (vec_id % 2 = 0) as a, count(*) filter (vec_id % 2 = 1) as b from v group by 1, 2)
+select g.label, l, r, round(potential, 6) as potential, round(potential / greatest(n.a + m.b - potential, 1e-10), 6) as alignment from g join n on g.label = n.label and l = n.place join n m on g.label = m.label and r = m.place
 """)
 def soft_alignment(spark, sf_dir):
-    """Gaussian similarities between the two halves of each label and their soft Jaccard shares."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    a, b = e.filter("vec_id % 2 = 0").alias("a"), e.filter("vec_id % 2 = 1").alias("b")
-    d = geometry.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
-    p = a.join(b, "label").select("label", F.col("a.vec_id").alias("l"), F.col("b.vec_id").alias("r"), gaussian_similarity(d, 0.5).alias("sim"))
-    total = F.sum("sim").over(Window.partitionBy("label", "l")) + F.sum("sim").over(Window.partitionBy("label", "r")) - F.col("sim")
-    return p.withColumn("d", total).select("label", "l", "r", F.round("sim", 6).alias("similarity"), F.round(F.when(F.col("d") > 2.220446049250313e-16, F.col("sim") / F.col("d")).otherwise(0.0), 6).alias("soft"))
+    """How much places of the two halves of each label's vectors go together over frames of twenty vectors."""
+    v = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").select(v, "label", F.floor(v / 20).alias("frame"), (F.floor(v / 2) % 10).alias("place"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    truth = e.filter("vec_id % 2 = 0").select(F.col("label").alias("kind"), "frame", F.col("place").alias("label"), "x", "y")
+    tracks = e.filter("vec_id % 2 = 1").select(F.col("label").alias("kind"), "frame", F.col("place").alias("track_id"), F.col("x").alias("field_x"), F.col("y").alias("field_y"))
+    _, whole = metrics.soft_alignment(truth, tracks, ["kind"], "frame", 0.5)
+    return whole.select(F.col("kind").alias("label"), F.col("label").alias("l"), F.col("track_id").alias("r"), F.round("potential", 6).alias("potential"), F.round("alignment", 6).alias("alignment"))
 
 
 def _rounds(n: int) -> str:
@@ -337,3 +342,54 @@ def union_of_parts(spark, sf_dir):
 def set_difference(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("id"))
     return n.distinct().exceptAll(s.distinct())
+
+
+def _catalog(spark, sf_dir):
+    """Orders as plays of a game for each customer, their lines as sources: every table that the catalog's lists read."""
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    key, game = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    play = F.concat_ws(":", F.lit("p"), key.cast("string"))
+    clip = F.concat_ws(":", F.lit("c"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    t = {
+        "plays": o.select(game.alias("game_id"), key.cast("int").alias("ordinal"), F.when(key % 4 > 0, key % 4).cast("int").alias("quarter"), F.lower("o_orderpriority").alias("play_type"), (key % 7 > 0).alias("eligible"), F.concat_ws(":", F.lit("g"), (key % 1000).cast("string")).alias("source_row_id")),
+        "play_alignments": o.filter(key % 5 > 0).select(play.alias("play_id"), game.alias("game_id"), key.cast("int").alias("ordinal"), F.lit(1.0).alias("score"), F.when(key % 11 == 0, "rejected").otherwise("aligned").alias("status")),
+        "play_sources": lines.select(F.concat_ws(":", F.lit("p"), F.col("l_orderkey").cast("string")).alias("play_id"), F.col("l_linenumber").alias("source_order"), clip.alias("clip_id"), F.lit("sideline").alias("angle")),
+        "clips": lines.select(clip.alias("clip_id"), F.lit("sideline").alias("angle"), F.lit(0.0).alias("start_s"), F.lit(9.0).alias("end_s"), F.lit(1.0).alias("snap_s"), F.lit(5.0).alias("play_end_s"), F.lit(0.9).alias("confidence")),
+        "quality_reports": o.filter(key % 3 == 0).select(play.alias("play_id"), F.lower("o_orderstatus").alias("status"), F.when(key % 2 == 0, F.to_json(F.array("o_orderstatus"))).alias("reasons_json"), F.lit(None).cast("string").alias("metrics_json")),
+        "audits": o.filter(key % 6 == 0).select(play.alias("play_id"), F.lit(True).alias("selected"), (key % 4 > 0).alias("mapping_correct"), (key % 9 > 0).alias("sources_correct"), F.lit(None).cast("boolean").alias("timing_correct"), F.lit("").alias("notes")),
+        "action_windows": lines.select(F.concat_ws(":", F.lit("a"), clip).alias("action_id"), clip.alias("clip_id"), F.lit(1).alias("action_order"), F.lit(1.0).alias("snap_s"), (F.col("l_linenumber") + 5.0).alias("dead_s")),
+        "external_ids": o.select(game.alias("game_id")).distinct().withColumn("provider", F.explode(F.array(F.lit("bdb"), F.lit("other")))).withColumn("external_id", F.concat_ws("-", "provider", "game_id")),
+    }
+    return t
+
+
+@query(f"""
+with p as (select o_orderkey as k, o_orderstatus as s, o_custkey as g from orders where o_orderkey % 7 > 0 and o_custkey = 7), n as (select l_orderkey, count(distinct l_linenumber) as n from lineitem group by 1),
+q as (select k, s, n, case when k % 5 = 0 then 'not_aligned' when k % 11 = 0 then 'alignment_rejected' when k % 3 = 0 then lower(s) else 'awaiting_reconstruction' end as status from p left join n on k = l_orderkey)
+select k::int as ordinal, status as processing_status, case when k % 5 = 0 then 0 else coalesce(n, 0) end as n_sources, case when status = 'not_aligned' then '{catalog.NOT_ALIGNED}' when status = 'alignment_rejected' then case when k % 3 = 0 and k % 2 = 0 then s else '{catalog.REJECTED}' end
+ when status = 'awaiting_reconstruction' then '{catalog.AWAITING}' when k % 2 = 0 then s else '' end as reasons, k % 5 > 0 and k % 6 = 0 as selected from q
+""")
+def catalog_plays(spark, sf_dir):
+    """The list of one game's plays with status, sources and reasons."""
+    rows = catalog.plays(_catalog(spark, sf_dir), "7")
+    return rows.select("ordinal", "processing_status", F.size("sources").cast("long").alias("n_sources"), F.concat_ws("; ", "reasons").alias("reasons"), "selected")
+
+
+@query("""
+with p as (select o_orderkey as k, o_custkey as g from orders where o_orderkey % 5 > 0 and o_orderkey % 6 = 0 and o_orderkey % 4 > 0 and o_orderkey % 9 > 0)
+select distinct 'c:' || k || ':' || l_linenumber as clip_id, g::varchar as game_id, 'bdb-' || g as external_id, k % 1000 as play_number, 'a:c:' || k || ':' || l_linenumber as action_id, l_linenumber + 5.0::double as dead_s from p join lineitem on k = l_orderkey
+""")
+def audited_windows(spark, sf_dir):
+    """The action windows of all clips whose play was found right."""
+    return catalog.audited_sources(_catalog(spark, sf_dir)).select("clip_id", "game_id", "external_id", "play_number", "action_id", "dead_s")
+
+
+@query("""
+with p as (select o_orderkey::int as ordinal, case when o_orderkey % 4 > 0 then o_orderkey % 4 else 0 end as q, lower(o_orderpriority) as kind from orders where o_custkey = 7 and o_orderkey % 7 > 0 and o_orderkey % 5 > 0 and o_orderkey % 11 > 0),
+r as (select *, row_number() over (partition by q, kind order by ordinal) - 1 - count(*) over (partition by q, kind) // 2 as d, count(*) over (partition by q, kind) as n from p),
+t as (select *, case when d = 0 then 0 when n % 2 = 1 then case when d > 0 then 2 * d - 1 else -2 * d end else case when d < 0 then -2 * d - 1 else 2 * d end end as turn from r), f as (select * from t order by turn, q, kind limit 4)
+select 'p:' || ordinal as play_id, ordinal, q::int as quarter from f
+""")
+def audit_sample(spark, sf_dir):
+    """Four plays of a game for an audit, over quarters and kinds."""
+    return catalog.audit_sample(_catalog(spark, sf_dir), "7", 4).select("play_id", "ordinal", "quarter")

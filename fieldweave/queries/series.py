@@ -162,17 +162,17 @@ def lookahead_pairs(spark, sf_dir):
 
 
 @query(f"""
-with {EVENTS}, w as (select *, floor(t / 21600) as bin from ev where event_type in ('view', 'click')), s as (select user_id, bin, event_type, event_id, value, row_number() over (partition by user_id, bin, event_type order by event_id) as n from w),
-v as (select * from s where event_type = 'view' and n <= 2), c as (select * from s where event_type = 'click' and n <= 2),
-g as (select v.user_id, v.bin, max(v.n) as nv, max(c.n) as nc from v join c using (user_id, bin) group by all),
-p as (select v.user_id, v.bin, v.n as i, c.n as j, abs(v.value - c.value) as d from v join c using (user_id, bin)),
-m as (select g.*, (select min(d) from p where p.user_id = g.user_id and p.bin = g.bin) as one,
- (select a.d + b.d from p a, p b where a.user_id = g.user_id and a.bin = g.bin and b.user_id = g.user_id and b.bin = g.bin and a.i = 1 and a.j = 1 and b.i = 2 and b.j = 2) as straight,
- (select a.d + b.d from p a, p b where a.user_id = g.user_id and a.bin = g.bin and b.user_id = g.user_id and b.bin = g.bin and a.i = 1 and a.j = 2 and b.i = 2 and b.j = 1) as crossed from g)
-select user_id, cast(bin as bigint) as bin, least(nv, nc) as pairs, round(case when least(nv, nc) = 1 then one else least(straight, crossed) end, 6) as total from m
+with recursive {EVENTS}, w as (select user_id, cast(floor(t / 21600) as bigint) as bin, event_type, event_id, value from ev where event_type in ('view', 'click')),
+s as (select *, row_number() over (partition by user_id, bin, event_type order by event_id) as n from w), v as (select * from s where event_type = 'view'), c as (select * from s where event_type = 'click'),
+g as (select user_id, bin, v.nv, c.nc from (select user_id, bin, count(*) as nv from v group by 1, 2) v join (select user_id, bin, count(*) as nc from c group by 1, 2) c using (user_id, bin)),
+o as (select user_id, bin, n, value from c union all select user_id, bin, 0, null from g),
+r as (select user_id, bin, 0::bigint as i, 0::bigint as used, 0::bigint as k, 0::double as cost from g union all
+ select r.user_id, r.bin, r.i + 1, case when o.n = 0 then r.used else r.used | (1::bigint << (o.n - 1)) end, r.k + (o.n > 0)::bigint, r.cost + coalesce(abs(v.value - o.value), 0)
+ from r join v on v.user_id = r.user_id and v.bin = r.bin and v.n = r.i + 1 join o on o.user_id = r.user_id and o.bin = r.bin where o.n = 0 or r.used & (1::bigint << (o.n - 1)) = 0)
+select g.user_id, g.bin, least(nv, nc) as pairs, round(min(cost), 6) as total from g join r on g.user_id = r.user_id and g.bin = r.bin and r.i = nv and r.k = least(nv, nc) group by 1, 2, 3
 """)
 def optimal_match_small(spark, sf_dir):
-    """A cheapest matching of all views and clicks of a user and time bin. The SQL takes the first two of each."""
+    """A cheapest matching of all views and clicks of a user and time bin. The SQL tries all matchings."""
     from ..operators.match import optimal_pairs
 
     rows = events(spark, sf_dir).filter("event_type in ('view', 'click')").withColumn("bin", F.floor(F.col("t") / 21600))
@@ -183,16 +183,14 @@ def optimal_match_small(spark, sf_dir):
 
 
 @query(f"""
-with recursive {EVENTS}, s as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by event_id) as i from ev where event_type in ('view', 'click')),
-v as (select user_id, i, value from s where event_type = 'view' and i <= 3), c as (select user_id, i as j, value from s where event_type = 'click' and i <= 3),
-z as (select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.n, 0) as n, coalesce(b.m, 0) as m from (select user_id, count(*) as n from v group by 1) a full join (select user_id, count(*) as m from c group by 1) b using (user_id)),
-k as (select v.user_id, i, j, abs(v.value - c.value) / 20 as d from v join c using (user_id)),
-p as (select user_id, n, m, cast(0 as bigint) as i, cast(0 as bigint) as j, cast(0 as double) as cost from z union all
- select p.user_id, n, m, p.i + di, p.j + dj, cast(cost + case when di + dj = 2 then d when di = 1 then 1.1 else 0.9 end as double) from p cross join (values (1, 1), (1, 0), (0, 1)) s(di, dj) left join k on p.user_id = k.user_id and p.i + 1 = k.i and p.j + 1 = k.j where p.i + di <= n and p.j + dj <= m)
-select user_id, round(min(cost), 6) as total from p where i = n and j = m group by 1
+with recursive {EVENTS}, z as (select user_id, coalesce(list(value order by event_id) filter (event_type = 'view'), []) as v, coalesce(list(value order by event_id) filter (event_type = 'click'), []) as c from ev where event_type in ('view', 'click') group by 1),
+p as (select user_id, v, c, 0::bigint as i, list_transform(range(0, len(c) + 1), lambda j: 0.9::double * j) as d from z union all
+ select user_id, v, c, i + 1, list_transform(range(0, len(c) + 1), lambda j: 0.9::double * j + list_min(list_transform(range(0, j + 1), lambda k: b[k + 1] - 0.9::double * k))) as d from
+ (select *, list_transform(range(0, len(c) + 1), lambda j: case when j = 0 then d[1] + 1.1::double else least(d[j + 1] + 1.1::double, d[j] + abs(v[i + 1] - c[j]) / 20) end) as b from p where i < len(v)))
+select user_id, round(d[len(c) + 1], 6) as total from p where i = len(v)
 """)
 def dp_align_cost(spark, sf_dir):
-    """The cost of a cheapest monotone alignment of all views and clicks of each user. The SQL stops at the first three of each."""
+    """The cost of a cheapest monotone alignment of all views and clicks of each user. The SQL goes view by view, over the costs up to each click."""
     from ..operators.match import aligned_cost
 
     rows = events(spark, sf_dir).filter("event_type in ('view', 'click')")
@@ -305,3 +303,19 @@ def forward_fill(spark, sf_dir):
 def frame_clock(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("t0", F.min("t").over(Window.partitionBy("user_id")))
     return joins.at_frame(rows, "frame", F.lit(100), F.col("t"), F.col("t0"), F.lit(0.0), 0.01).select("event_id", "frame")
+
+
+@query(f"""
+with {EVENTS}, r as (select *, row_number() over w as i, count(*) over (partition by user_id) as n from ev window w as (partition by user_id order by event_id) qualify n >= 20),
+b as (select user_id, value, median(value) over (partition by user_id) as m from r where i <= greatest(10, n // 4)), d as (select user_id, max(m) as m, median(abs(value - m)) as a from b group by 1),
+h as (select user_id, m + greatest(1, 4 * case when a = 0 then 0.1 else a end) as threshold from d), q as (select r.user_id, event_id, value, i, n, value > threshold as x, threshold from r join h using (user_id)),
+w as (select *, min(x::int) over (partition by user_id order by i rows between current row and 2 following) as onset, max(x::int) over (partition by user_id order by i rows between current row and 7 following) as busy from q),
+s as (select user_id, min(i) as i from w where i >= 3 and n - i + 1 >= 4 and onset = 1 group by 1), e as (select s.user_id, min(w.i) as i from s join w on s.user_id = w.user_id and w.i >= s.i + 20 and n - w.i + 1 >= 9 and busy = 0 group by 1)
+select s.user_id, a.event_id as start, z.event_id as rest, round(least(1, greatest(0, (a.value - a.threshold) / greatest(a.threshold, 1))), 6) as confidence from s join w a on s.user_id = a.user_id and s.i = a.i left join e on s.user_id = e.user_id join w z on s.user_id = z.user_id and z.i = coalesce(e.i, z.n)
+""")
+def motion_bounds(spark, sf_dir):
+    """When each user's values first stay high, and when they then rest, at one sample a second."""
+    from ..plans.actions import motion_bounds as bounds
+
+    found = bounds(events(spark, sf_dir), ["user_id"], 1.0, at="event_id", score="value")
+    return found.select("user_id", "start", F.col("end").alias("rest"), F.round("confidence", 6).alias("confidence"))

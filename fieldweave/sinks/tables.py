@@ -74,12 +74,19 @@ def overwrite(df: DataFrame, path: str, by: Names = ()) -> None:
 
 
 def _take_place(spark: SparkSession, path: str) -> None:
-    """The folder path.partial becomes path."""
+    """The folder path.partial becomes path. The old one waits as path.old until then, so that a crash between loses neither."""
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(Path(path), True)
-    if not store.rename(Path(f"{path}.partial"), Path(path)):
+    here, new, old = (Path(path + end) for end in ("", ".partial", ".old"))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(here):
+        store.delete(old, True)
+        if not store.rename(here, old):
+            raise OSError(f"could not move {path}")
+    if not store.rename(new, here):
+        if store.exists(old):
+            store.rename(old, here)
         raise OSError(f"could not move {path}.partial")
+    store.delete(old, True)
 
 
 def swap_in(df: DataFrame, path: str) -> None:

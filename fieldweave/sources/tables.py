@@ -78,36 +78,53 @@ def plays_parquet(spark: SparkSession, path: str, source_game: str, game_id: str
 
 
 def html_rows(pages: DataFrame, keys: Sequence[str], html: str, table: str = r"play_by_play|pbp", skip: str = "thead") -> DataFrame:
-    """Rows of the tables whose id matches, also of tables within comments: keys, row_no and cells (map from data-stat to text).
+    """Body rows of the first table of each page whose id matches: keys, row_no, row_id and cells (map from data-stat to text).
 
-    Header rows of the skipped class are left out. For markup written by programs: elements are found by
-    patterns, not by a parser.
+    Tables within comments count where no other matches. Rows outside of the table's body, if it has one, and
+    those of the skipped class are left out. For markup written by programs: elements are found by patterns,
+    not by a parser.
     """
-    open_ = text.without_comment_marks(F.col(html))
-    tables = F.regexp_extract_all(open_, F.lit(rf"(?s)(<table\b[^>]*\bid=\"[^\"]*(?:{table})[^\"]*\".*?</table>)"), F.lit(1))
-    rows = pages.select(*keys, F.explode(tables).alias("t")).select(*keys, F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)(<tr\b.*?</tr>)"), F.lit(1))).alias("row_no", "r"))
-    rows = rows.filter(~F.col("r").rlike(rf"^<tr[^>]*class=\"[^\"]*\b{skip}\b"))
-    names = F.regexp_extract_all("r", F.lit(r"(?s)<t[dh]\b[^>]*\bdata-stat=\"([^\"]+)\"[^>]*>(.*?)</t[dh]>"), F.lit(1))
-    bodies = F.transform(F.regexp_extract_all("r", F.lit(r"(?s)<t[dh]\b[^>]*\bdata-stat=\"([^\"]+)\"[^>]*>(.*?)</t[dh]>"), F.lit(2)), text.plain_text)
+    named = rf"(?is)<table\b[^>]*\bid\s*=\s*[\"'][^\"']*(?:{table})[^\"']*[\"'].*?</table>"
+    first = lambda c: F.nullif(F.regexp_extract(c, named, 0), F.lit(""))
+    found = F.coalesce(first(text.without_comments(F.col(html))), first(text.without_comment_marks(F.col(html))))
+    bodies = F.regexp_extract_all("t", F.lit(r"(?is)<tbody\b[^>]*>(.*?)</tbody>"), F.lit(1))
+    body = F.when(F.size(bodies) > 0, F.array_join(bodies, "")).otherwise(F.regexp_replace("t", r"(?is)<(thead|tfoot)\b.*?</\1>", ""))
+    rows = pages.select(*keys, found.alias("t")).filter("t is not null").select(*keys, body.alias("t"))
+    rows = rows.select(*keys, F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)(<tr\b.*?</tr>)"), F.lit(1))).alias("row_no", "r"))
+    tag = F.regexp_extract("r", r"(?is)^<tr\b[^>]*>", 0)
+    rows = rows.filter(~tag.rlike(rf"(?i)\bclass\s*=\s*[\"']([^\"']*\s)?{skip}(\s[^\"']*)?[\"']"))
+    cell = r"(?is)<t[dh]\b[^>]*\bdata-stat\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</t[dh]>"
+    names = F.regexp_extract_all("r", F.lit(cell), F.lit(1))
+    texts = F.transform(F.regexp_extract_all("r", F.lit(cell), F.lit(2)), text.joined_text)
     # A name that comes twice keeps its last cell.
-    pairs = F.arrays_zip(names.alias("k"), bodies.alias("v"))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(names, p["i"] + 2, F.size(names)), lambda n: n == p["k"]))
-    return rows.select(*keys, "row_no", F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"]))).alias("cells")).filter(F.size("cells") > 0)
+    pairs = F.arrays_zip(names.alias("k"), texts.alias("v"))
+    placed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
+    last = F.filter(placed, lambda p: ~F.exists(F.slice(names, p["i"] + 2, F.size(names)), lambda n: n == p["k"]))
+    cells = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"]))).alias("cells")
+    row_id = F.nullif(F.regexp_extract(tag, r"(?i)\bid\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")).alias("row_id")
+    return rows.select(*keys, "row_no", row_id, cells).filter(F.size("cells") > 0)
 
 
 def html_plays(pages: DataFrame, game: str, html: str) -> DataFrame:
-    """Plays of a play-by-play page: blank descriptions go, the quarter is carried on, the kind comes from the prose."""
+    """Plays of a play-by-play page: rows without a description go, then the quarter is carried on; the kind comes from the prose."""
     from ..operators.sequence import filled_forward
 
-    cell = lambda n: text.null_if_blank(F.col("cells")[n])
-    rows = html_rows(pages, [game], html).withColumn("description", text.squeezed(cell("detail"))).withColumn("quarter", filled_forward(text.first_int(cell("quarter")), [game], "row_no")).filter("description <> ''")
+    cell = lambda *names: F.coalesce(*[F.nullif(F.col("cells")[n], F.lit("")) for n in names])
+    rows = html_rows(pages, [game], html).withColumn("description", cell("detail", "description")).filter("description is not null")
+    rows = rows.withColumn("quarter", filled_forward(text.first_int(cell("quarter")), [game], "row_no"))
     kind = text.play_type(F.col("description"))
     return rows.select(
-        game, F.row_number().over(Window.partitionBy(game).orderBy("row_no")).alias("ordinal"), "quarter", cell("time").alias("clock"), cell("team").alias("possession"), text.first_int(cell("down")).alias("down"),
-        text.first_int(cell("yds_to_go")).alias("distance"), cell("location").alias("yard_line"), "description", kind.alias("play_type"), kind.isin("pass", "run").alias("eligible"),
+        game, F.row_number().over(Window.partitionBy(game).orderBy("row_no")).alias("ordinal"), "quarter", cell("time", "game_time").alias("clock"), cell("team", "possession").alias("possession"),
+        text.first_int(cell("down")).alias("down"), text.first_int(cell("yds_to_go", "distance")).alias("distance"), cell("location", "yard_line").alias("yard_line"), "description",
+        kind.alias("play_type"), kind.isin("pass", "run").alias("eligible"), F.col("row_id").alias("source_row_id"),
     )
 
 
+def pages_without_plays(pages: DataFrame, game: str, html: str) -> DataFrame:
+    """Pages that lack a play-by-play table, to be refused by an import."""
+    return pages.join(html_rows(pages, [game], html).select(game).distinct(), game, "left_anti").select(game)
+
+
 def catalogue_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """A catalogue with ids as text; raises if a column is missing."""
     rows = read_text_columns(spark, path)

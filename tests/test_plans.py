@@ -38,7 +38,8 @@ def test_motion_windows_bridge_a_lull_and_survive_a_cut(spark):
 
 def test_play_signature(spark):
     rows = [("g", "1", f, str(p), 10.0 + p * (f - 5), 20.0 + p, 2.0 * (f - 5), {5: "ball_snap", 7: "pass_forward"}.get(f)) for f in (5, 6, 7) for p in range(4)]
-    row = actions.play_signatures(spark.createDataFrame(rows, "game_id string, play_id string, frame_id int, player_id string, x double, y double, speed double, event string")).first()
+    schema = "game_id string, play_id string, frame_id int, player_id string, x double, y double, speed double, event string"
+    row = actions.play_signatures(spark.createDataFrame(rows, schema)).first()
     assert row.duration == pytest.approx(0.2) and row.category == "pass" and len(row.speed_profile) == 8 and len(row.formation) == 4 and row.events == ["ball_snap", "pass_forward"]
 
 
@@ -75,12 +76,16 @@ def test_catalog_queries(spark):
     assert catalog.games(t).first().eligible_plays == 27
     queue = catalog.audit_queue(t, "g").collect()
     assert [(r.play_id, r.reasons) for r in queue] == [("g:1", ["1 source; expected 2"])]
-    assert catalog.plays(t, "g").filter("processing_status = 'not_aligned'").count() == 39
+    assert catalog.plays(t, "g").filter("processing_status = 'not_aligned'").count() == 26
     assert catalog.shots(t, "g").first().actions == 2 and catalog.latest_artifacts(t, "clip_tracks").first().path == "p2"
     assert catalog.play_detail(t, "g:1").first().sideline_snap_s == 1.0 and catalog.pilot_report(t).first().verified_actions == 1
     assert catalog.audit_summary(t, "g").first().mapping_correct is None
     t["play_alignments"] = t["plays"].select(F.concat(F.lit("g:"), "ordinal").alias("play_id"), "game_id", "ordinal", F.lit("ok").alias("status"))
-    assert catalog.audit_sample(t, "g").count() == 40
+    chosen = catalog.audit_sample(t, "g", 20)
+    assert chosen.count() == 20 and chosen.filter("not eligible").count() == 0 and [r.ordinal for r in chosen.collect()] == sorted(r.ordinal for r in chosen.collect())
+    assert catalog.audits_of_sample(t, "g", chosen).filter("selected").count() == 20
+    with pytest.raises(ValueError, match="27"):
+        catalog.audit_sample(t, "g", 28)
 
 
 def test_quality_gate(spark):
