@@ -30,7 +30,7 @@ from .text_kernel import U, Words, mix, shingles, steps, text_slices, words
 
 BLOCKS = "block long, n_words long, payload binary"
 GRAMS = "range int, block long, grams array<long>, n array<int>"
-COUNTS = "block long, range int, place array<int>, total array<long>"
+COUNTS = "block long, range int, steps array<int>, total array<long>"
 SCORES = "doc_id long, n_words long, n_full long, score double"
 
 
@@ -107,15 +107,17 @@ def range_start(i: int, ranges: int) -> int:
 
 
 def _by_block(most: int = 1 << 20):
-    """Rows (range, block, place, total) as arrays for each range and block, some hundred thousand rows at a time."""
+    """Rows (range, block, place, total) as arrays for each range and block, some hundred thousand rows at a time; places as steps from the one before."""
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         range_, block, place, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("range", "block", "place", "total"))
-        sort = np.lexsort((range_, block))
+        sort = np.lexsort((place, range_, block))
         range_, block, place, total = range_[sort], block[sort], place[sort], total[sort]
         cut = np.flatnonzero(np.append(True, (range_[1:] != range_[:-1]) | (block[1:] != block[:-1])))
+        step = np.diff(place, prepend=place[:1])
+        step[cut] = place[cut]
         ends = pa.array(np.append(cut, len(block)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(range_[cut]), pa.ListArray.from_arrays(ends, pa.array(place)), pa.ListArray.from_arrays(ends, pa.array(total))], ["block", "range", "place", "total"])
+        return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(range_[cut]), pa.ListArray.from_arrays(ends, pa.array(step)), pa.ListArray.from_arrays(ends, pa.array(total))], ["block", "range", "steps", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -148,8 +150,8 @@ def _score(order: int, backoff: float, all_words: int, ranges: int):
         gram, at = np.unique(grams[present], return_inverse=True)
         begin = np.searchsorted(range_of(gram, ranges), np.arange(ranges))
         totals = np.zeros(len(gram), np.int64)
-        for range_, place, total in counts:
-            totals[begin[range_] + place] = total
+        for range_, step, total in counts:
+            totals[begin[range_] + np.cumsum(step)] = total
         counted = totals[at] > 0  # all others occur once in the corpus, here
         doc, at = np.broadcast_to(w.doc, grams.shape)[present][counted], at[counted]
         _, own, n = np.unique(doc * (len(totals) + 1) + at, return_inverse=True, return_counts=True)
@@ -176,18 +178,18 @@ def _score(order: int, backoff: float, all_words: int, ranges: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             block, range_, payload = (batch.column(c).to_pylist() for c in ("block", "range", "payload"))
-            place, total = batch.column("place"), batch.column("total")
+            step, total = batch.column("steps"), batch.column("total")
             for i in range(batch.num_rows):
-                yield block[i], range_[i], payload[i], place[i], total[i]
+                yield block[i], range_[i], payload[i], step[i], total[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, of_block in groupby(rows(batches), key=lambda x: x[0]):
             found, docs = [], None
-            for _, range_, payload, place, total in of_block:
+            for _, range_, payload, step, total in of_block:
                 if range_ < 0:
                     docs = block_column(payload)
                 else:
-                    found.append((range_, place.values.to_numpy(), total.values.to_numpy()))
+                    found.append((range_, step.values.to_numpy(), total.values.to_numpy()))
             yield scored(docs, found)
 
     return run
@@ -212,8 +214,8 @@ def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, blo
     bounds = [ranges * i // passes for i in range(passes + 1)]
     counts = [shared.written(counted(blocks, order, ranges, a, b, parts), "lm_counts") for a, b in zip(bounds, bounds[1:])]
     none = [F.lit(None).cast(t) for t in ("array<int>", "array<long>", "binary")]
-    both = blocks.select("block", F.lit(-1).alias("range"), none[0].alias("place"), none[1].alias("total"), "payload")
+    both = blocks.select("block", F.lit(-1).alias("range"), none[0].alias("steps"), none[1].alias("total"), "payload")
     for part in counts:
-        both = both.union(part.select("block", "range", "place", "total", none[2].alias("payload")))
+        both = both.union(part.select("block", "range", "steps", "total", none[2].alias("payload")))
     joined = both.repartition(parts, "block").sortWithinPartitions("block", "range")
     return shared.arrow_map(joined, _score(order, backoff, all_words, ranges), SCORES)
