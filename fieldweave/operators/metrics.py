@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import LENGTH, WIDTH, flipped, gaussian_similarity, perspective
 from ..kernels import projective
 from ..kernels.assignment import assign_listed
+from ..sinks.lineage import settled
 from . import aggregate, joins
 from .match import frame_pairs, match_by_team, optimal_pairs
 
@@ -285,14 +286,14 @@ def evaluated(truth: DataFrame, tracks: DataFrame, windows: DataFrame, keys: Nam
     spatial = inside.filter(F.col("confidence") >= options.confidence) if "confidence" in tracks.columns else inside
     identity = reliable_or_all(inside, keys, "track_reliable") if "track_reliable" in tracks.columns else inside
     # One row for each key; several scores read these.
-    alignment = grid_aligned(truth, spatial, clock, keys, options).persist()
+    alignment = settled(grid_aligned(truth, spatial, clock, keys, options))
     point = alignment.select(*keys, F.lit(0).alias("g"), "offset", "flip_x", "flip_y")
-    maps = refined_maps(truth, _on_grid(spatial, point, clock, keys), keys, options).persist()
-    moved = corrected(_on_grid(identity, point, clock, keys), maps, keys).persist()
+    maps = settled(refined_maps(truth, _on_grid(spatial, point, clock, keys), keys, options))
+    moved = settled(corrected(_on_grid(identity, point, clock, keys), maps, keys))
     pairs = truth.select(*keys, "frame_id", "label", F.col("x").alias("_x"), F.col("y").alias("_y")).join(moved, [*keys, "frame_id"]).withColumn("distance", F.hypot(F.col("_x") - F.col("field_x"), F.col("_y") - F.col("field_y")))
     matched = optimal_pairs(pairs, keys, ["at"], "label", "track_id", "distance").filter(F.col("distance") <= options.identity_gate)
     last = moved.withColumn("_n", F.max("at").over(Window.partitionBy(*keys, "frame_id"))).filter("at = _n").drop("_n")
     covered = truth.join(last.select(*keys, "frame_id").distinct(), [*keys, "frame_id"])
     scores = hota(covered, last.join(covered.select(*keys, "frame_id").distinct(), [*keys, "frame_id"]), keys, "frame_id", options.tau)
     parts = {"hota": scores, "formation": formation_accuracy(truth, moved, clock, keys, options), "identity": identity_metrics(matched, keys, "at")}
-    return {"alignment": alignment, "correction": maps, **{k: v.persist() for k, v in parts.items()}}
+    return {"alignment": alignment, "correction": maps, **{k: settled(v) for k, v in parts.items()}}

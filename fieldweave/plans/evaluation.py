@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, sample
 from ..operators.match import event_cost
+from ..sinks.lineage import settled
 from . import actions, catalog
 
 CLIP = ["clip_id"]
@@ -47,7 +48,8 @@ def scored_windows(windows: DataFrame, tracks: DataFrame, truth: DataFrame, opti
     """The scores of windows (clip_id, play, snap_s, dead_s and more) of tracks against truth (play, frame_id, player_id, x, y, event)."""
     players = truth.filter("player_id is not null")
     snap = F.min(F.when(F.lower("event").isin(*actions.SNAP_EVENTS), F.col("frame_id")))
-    answers = windows.select("clip_id", "play").join(players.groupBy("play").agg(snap.alias("answer_snap"), F.count("*").alias("answer_rows")), "play", "left").drop("play").persist()
+    answers = windows.select("clip_id", "play").join(players.groupBy("play").agg(snap.alias("answer_snap"), F.count("*").alias("answer_rows")), "play", "left").drop("play")
+    answers = settled(answers)
     there = tracks.select("clip_id").distinct().withColumn("_there", F.lit(True))
     rows = windows.join(answers, "clip_id").join(there, "clip_id", "left")
     ready = rows.filter("_there and answer_snap is not null").withColumn("snap_frame", F.col("answer_snap"))
@@ -71,12 +73,12 @@ def evaluated_sources(t: catalog.Tables, tracks: DataFrame, options: metrics.Eva
     play = F.concat_ws(":", "external_id", F.col("play_number").cast("string"))
     truth = t["truth_tracking"].withColumn("play", F.concat_ws(":", "game_id", "play_id"))
     signatures = actions.play_signatures(truth, ["play"])
-    sources = catalog.audited_sources(t).withColumn("play", play)
+    sources = settled(catalog.audited_sources(t).withColumn("play", play))
     known = sources.join(signatures.select("play"), "play", "left_semi").select("game_id", "play_number").distinct()
     single, refused = catalog.single_play_of_clips(sources, known)
     candidates = sources.join(single.select("clip_id"), "clip_id", "left_semi")
     lost = candidates.select("clip_id").distinct().join(tracks.select("clip_id").distinct(), "clip_id", "left_anti").withColumn("reason", F.lit("tracks are missing"))
-    windows = selected_windows(candidates.join(lost.select("clip_id"), "clip_id", "left_anti"), tracks, signatures).persist()
+    windows = settled(selected_windows(candidates.join(lost.select("clip_id"), "clip_id", "left_anti"), tracks, settled(signatures)))
     made = scored_windows(windows, tracks, truth, options)
     return Evaluation(made.results, refused.unionByName(lost).unionByName(made.skipped), made.answers)
 

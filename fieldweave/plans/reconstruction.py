@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..kernels.tracker import TrackerOptions
 from ..operators import aggregate, match, tracking
+from ..sinks.lineage import settled
 from . import actions
 
 CLIP = ["clip_id"]
@@ -45,10 +46,10 @@ def reconstructed(projection: DataFrame, clips: DataFrame, options: TrackerOptio
     """
     valid = projection.filter(F.col("on_field") & F.col("calibration_valid")).drop("angle", "team", "appearance")
     valid = tracking.with_appearance(valid.join(clips.select("clip_id", "angle"), "clip_id", "left"))
-    snaps = estimated_windows(scouted(valid, clips, options), clips, activity).select("clip_id", "snap_s").persist()
+    snaps = settled(estimated_windows(settled(scouted(valid, clips, options)), clips, activity).select("clip_id", "snap_s"))
     anchored = tracking.colour_clusters(valid, "clip_id", snaps.withColumnRenamed("snap_s", "anchor_s"))
     rows = tracking.tracked(anchored, "clip_id", options, angle="angle").withColumn("appearance", scaled())
     boxes = {"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1")} if set(tracking.BOX) <= set(rows.columns) else {c: F.lit(None).cast("double") for c in ("width", "height")}
-    rows = match.chained(match.relinked(rows.withColumns(boxes), CLIP), CLIP)
-    rows = tracking.resolved_teams(rows, "clip_id", snaps)
+    rows = settled(match.relinked(settled(rows.withColumns(boxes)), CLIP))
+    rows = settled(tracking.resolved_teams(settled(match.chained(rows, CLIP)), "clip_id", snaps))
     return tracking.with_roster(rows, "clip_id", snaps).drop("width", "height", "angle").join(snaps, "clip_id", "left")
