@@ -3,7 +3,7 @@
 A text is a TF-IDF vector of its byte n-grams, hashed to a fixed number of dimensions and normalised. Each
 language has several centroids, from spherical k-means over a bounded sample of its labelled rows. A text
 gets the language of the centroid of the greatest cosine; it is rejected if it lies farther away than
-nearly all of that language's sample, by a margin.
+nearly all of that language's sample, by a margin that is wider for short texts.
 """
 
 from __future__ import annotations
@@ -39,12 +39,14 @@ class LanguageOptions:
     centroids: int = 4
     rounds: int = 10
     far_quantile: float = 0.01
-    margin: float = 0.3
+    margin: float = 0.6
+    short_bytes: int = 200  # texts of fewer have few n-grams, so they lie farther from all languages
+    short_margin: float = 0.3
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """centroids[i] belongs to languages[owner[i]]; a text of language l is rejected under a cosine of least[l]."""
+    """centroids[i] belongs to languages[owner[i]]; a text of language l is rejected under a cosine of least[l], times the margin."""
 
     languages: tuple[str, ...]
     owner: np.ndarray
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Langua
         x = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]).astype(np.float32)
         c = spherical_kmeans(x, options.centroids, options.rounds)
         near = (x @ c.T).max(axis=1)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "least": [options.margin * float(np.quantile(near, options.far_quantile))], "k": [len(c)], "centroids": [c.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "least": [float(np.quantile(near, options.far_quantile))], "k": [len(c)], "centroids": [c.astype(np.float32).tobytes()]})
 
     made = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, least double, k int, centroids binary").collect())
     return LanguageModel(
@@ -184,7 +186,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     near = np.argmax(cosine, axis=1)
                     best = np.where(letter, model.owner[near], best)
                     score = np.where(letter, np.clip(cosine[np.arange(n), near].astype(float), 0, 1), 0.0)
-                rejected = ~letter | (score < np.append(model.least, np.inf)[best])
+                short = np.diff(text_bytes(part.column("text"))[1]) < model.options.short_bytes
+                margin = np.where(short, model.options.short_margin, model.options.margin)
+                rejected = ~letter | (score < np.append(model.least, np.inf)[best] * margin)
                 columns = [pa.array(languages[best], pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *made[1:]])
 
