@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, byte_bpe, dart_minhash, exact_dedup, language_id, license_scan, line_quality, packing, ring_shard, token_store
+from . import (
+    backoff_lm, byte_bpe, dart_minhash, exact_dedup, fim_rope, language_id, license_scan, line_quality, merkle_manifest, packing, ring_shard, token_store, toxicity,
+)
 from .shared import documents, new_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +68,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(docs).drop("text", "spans")
 
 
+def op11_fim_rope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_rope.round_trip(documents(spark, sf_dir))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).drop("text")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audited(documents(spark, sf_dir))
+
+
 # The SQL of the operators that SQL can express, for DuckDB. WORDS are runs of other than ASCII white space.
 WORDS = "'[^\\x20\\x09-\\x0D]+'"
 
@@ -107,6 +123,32 @@ p as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as s, list_filter(
 x as (select doc_id, len(w) as n_words, len(a) + len(b) + len(c) as n_base, list_sort(list_concat(list_concat(a, b), c)) as places, list_filter([case when len(a) > 0 then 'cc-by' end, case when len(b) > 0 then 'gpl' end, case when len(c) > 0 then 'reserved' end], lambda v: v is not null) as base,
  list_filter([{license_scan.sql_labels("s")}], lambda v: v is not null) as more from p)
 select doc_id, n_words, n_base, places[1] - 1 as first_word, places[len(places)] - 1 as last_word, array_to_string(base, ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') as labels, case when len(more) > 0 then 1.0 when len(base) > 0 then 0.5 else 0.0 end::double as score from x
+""",
+    "op11_fim_rope": r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units, sha256('42:' || doc_id) as h from documents),
+k as (select doc_id, text, units, len(units) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+ case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from k),
+s as (select *, array_to_string(units[1:a], '') as p, array_to_string(units[a + 1:b], '') as m, array_to_string(units[b + 1:n], '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from s
+""",
+    "op13_merkle_manifest": r"""
+with recursive d as (select doc_id, lang, n_chars, coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as head,
+ coalesce(octet_length(encode(text)) || ':' || text, '-') as tail, list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda i: ord(cast(doc_id as varchar)[i])::bigint) as bytes from documents),
+e as (select *, coalesce(length(cast(n_chars as varchar)) || ':' || n_chars, '-') as chars, coalesce(length(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1), '-') as more,
+ xor(list_reduce(bytes, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))), 4294967295::bigint), 4294967295) % 7 = 0 as hit from d),
+f as (select doc_id, lang, sha256(head || chars || tail) as leaf, sha256(head || case when hit then more else chars end || tail) as start from e),
+p as (select *, row_number() over (partition by lang order by doc_id) - 1 as place, count(*) over (partition by lang) as n from f),
+t(lang, level, i, n, h) as (select lang, 0, place, n, leaf from p union all select lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from t where n > 1 group by lang, level, i // 2, n),
+b as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n from t where n = 1),
+r(level, i, n, h) as (select 0, place, n, subroot from b union all select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from r where n > 1 group by level, i // 2, n),
+w(doc_id, lang, tree, level, i, n, g, proof) as (select doc_id, lang, 0, 0, place, n, start, '' from p
+ union all select w.doc_id, w.lang, case when w.n = 1 then 1 else w.tree end, case when w.n = 1 then 0 else w.level + 1 end, case when w.n = 1 then b.place else w.i // 2 end, case when w.n = 1 then b.n else (w.n + 1) // 2 end,
+  case when w.n = 1 then w.g when w.i % 2 = 1 then sha256(coalesce(s.h, q.h, '') || w.g) else sha256(w.g || coalesce(s.h, q.h, '')) end, w.proof || case when w.n = 1 then '' else coalesce(s.h, q.h, '') end
+ from w join b on b.lang is not distinct from w.lang left join t s on w.tree = 0 and s.lang is not distinct from w.lang and s.level = w.level and s.i = xor(w.i, 1) and w.n > 1
+ left join r q on w.tree = 1 and q.level = w.level and q.i = xor(w.i, 1) and w.n > 1 where w.tree = 0 or w.n > 1)
+select w.doc_id, p.leaf, b.subroot, x.h as root, sha256(w.proof) as proof_sha256, w.g as folded_root, w.g = x.h as verified from w join p using (doc_id) join b on b.lang is not distinct from w.lang cross join (select h from r where n = 1) x where w.tree = 1 and w.n = 1
 """,
 }
 
