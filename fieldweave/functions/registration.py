@@ -5,9 +5,12 @@ Lines are array<struct<x1, y1, x2, y2>>, numbers are array<struct<value, x, y, c
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernels import placing
 from .arrays import present
 from .geometry import LENGTH, WIDTH, perspective
 
@@ -17,6 +20,7 @@ LEAST_CONFIDENCE = 0.55
 NUMBER_GAP = 0.28
 SPAN_ALONG, SPAN_ACROSS, MARGIN = (5.0, 400.0), (3.0, 300.0), 20.0
 PIXELS_PER_YARD, MOST_SKEW = (2.0, 60.0), 4.0
+NUMBER_ROW = 12.0  # from a sideline to the painted numbers
 
 
 def painted_number(read: Column, confidence: Column) -> Column:
@@ -66,52 +70,97 @@ def nearest_line(lines: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(lines, lambda s, i: F.struct(line_distance(s, x, y).alias("d"), i.alias("i"))))["i"]
 
 
-def number_options(value: Column) -> Column:
-    """The places along the field that a painted number can mean."""
-    return F.when(value == 50, F.array(F.lit(60.0))).otherwise(F.array(10.0 + value, 110.0 - value))
-
-
 def number_path(values: Column) -> Column:
-    """Of each number's options those that never go back along the field and go least far in all; null if there is no such way.
+    """The places along the field of painted numbers that are read one after another; null if they can't stand in that order.
 
-    Ways are spread out number by number and those that go back are left out, so few are held.
+    A number stands on either half of the field, 50 in its middle. Of the ways that never go back, the
+    shortest one counts, of equal ones that which stays longest in the near half. A state is where the last
+    number stands, with the best way to get there, so there are two for each number.
     """
-    first = F.array(F.array().cast("array<double>"))
+    near, far = lambda v: 10.0 + v, lambda v: 110.0 - v
+    state = "array<struct<went:double,picks:array<int>,way:array<double>>>"
+
+    def on(states: Column, value: Column) -> Column:
+        def arrive(at: Column, pick: int) -> Column:
+            last = lambda s: F.element_at(s["way"], -1)
+            open_ = F.filter(states, lambda s: (F.size(s["way"]) == 0) | (F.try_element_at(s["way"], F.lit(-1)) <= at))
+            went = lambda s: F.when(F.size(s["way"]) == 0, 0.0).otherwise(s["went"] + at - last(s))
+            return F.array_min(F.transform(open_, lambda s: F.struct(went(s).alias("went"), F.concat(s["picks"], F.array(F.lit(pick))).alias("picks"), F.concat(s["way"], F.array(at)).alias("way"))))
+
+        return F.array_compact(F.array(arrive(near(value), 0), F.when(value != 50, arrive(far(value), 1)))).cast(state)
+
+    none = F.array(F.struct(F.lit(0.0).alias("went"), F.array().cast("array<int>").alias("picks"), F.array().cast("array<double>").alias("way"))).cast(state)
+    return F.array_min(F.aggregate(values, none, on))["way"]
 
-    def on(ways: Column, value: Column) -> Column:
-        further = lambda w: F.filter(number_options(value), lambda o: (F.size(w) == 0) | (o >= F.get(w, F.size(w) - 1) - 1e-6))
-        return F.flatten(F.transform(ways, lambda w: F.transform(further(w), lambda o: F.concat(w, F.array(o)))))
 
-    ways = F.aggregate(values, first, on)
-    length = lambda w: F.aggregate(F.transform(w, lambda v, i: F.when(i > 0, F.abs(v - F.get(w, i - 1))).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
-    return F.array_min(F.transform(ways, lambda w, i: F.struct(length(w).alias("d"), i.alias("i"), w.alias("w"))))["w"]
+def _pair(x: Column, y: Column, along: Column, across: Column) -> Column:
+    return F.struct(x.alias("image_x"), y.alias("image_y"), along.alias("field_x"), across.alias("field_y"))
+
+
+def line_pairs(lines: Column) -> Column:
+    """Image and field points of yard lines clicked at both sidelines: array<struct<image_x, image_y, field_x, field_y>>.
+
+    The lines are five units apart with their middle at midfield; where along the field they stand isn't known. The lines'
+    common direction is the mean of their doubled angles, which doesn't care at which end a line begins;
+    it points as the first line does. Null with fewer than two lines.
+    """
+    dx, dy = lambda s: s["x2"] - s["x1"], lambda s: s["y2"] - s["y1"]
+    total = lambda f: F.aggregate(F.transform(lines, f), F.lit(0.0), lambda a, v: a + v)
+    square = lambda s: F.greatest(dx(s) * dx(s) + dy(s) * dy(s), F.lit(1e-18))
+    angle = F.atan2(total(lambda s: 2 * dx(s) * dy(s) / square(s)), total(lambda s: (dx(s) * dx(s) - dy(s) * dy(s)) / square(s))) / 2
+    ahead = F.when(F.cos(angle) * dx(lines[0]) + F.sin(angle) * dy(lines[0]) < 0, -1.0).otherwise(1.0)
+    cx, cy = ahead * F.cos(angle), ahead * F.sin(angle)
+    ordered = F.array_sort(F.transform(lines, lambda s, i: F.struct(((s["y1"] + s["y2"]) * cx - (s["x1"] + s["x2"]) * cy).alias("place"), i.alias("i"), s.alias("s"))))
+    last = F.size(lines) - 1
+
+    def ends(row: Column, i: Column) -> Column:
+        s, x = row["s"], 60.0 + 5.0 * (i - last / 2)
+        turned = dx(s) * cx + dy(s) * cy < 0
+        at = lambda a, b: F.when(turned, s[a]).otherwise(s[b])
+        return F.array(_pair(at("x2", "x1"), at("y2", "y1"), x, F.lit(0.0)), _pair(at("x1", "x2"), at("y1", "y2"), x, F.lit(WIDTH)))
+
+    return F.when(F.size(lines) >= 2, F.flatten(F.transform(ordered, ends)))
+
+
+def number_pairs(numbers: Column) -> Column:
+    """Image and field points of clicks on painted numbers of both rows, array<struct<value, x, y>>: as line_pairs, with known places.
+
+    The clicks' main direction runs along the field; across it the rows part at the widest gap. Null if a
+    value isn't painted, there are fewer than four, the rows are less than two pixels apart, or the numbers are
+    in no order that the field has, read from left to right or back.
+    """
+    n = F.size(numbers)
+    mean = lambda f: F.aggregate(F.transform(numbers, f), F.lit(0.0), lambda a, v: a + v) / n
+    mx, my = mean(lambda p: p["x"]), mean(lambda p: p["y"])
+    sxx, syy = mean(lambda p: (p["x"] - mx) * (p["x"] - mx)), mean(lambda p: (p["y"] - my) * (p["y"] - my))
+    sxy = mean(lambda p: (p["x"] - mx) * (p["y"] - my))
+    angle = F.atan2(2 * sxy, sxx - syy) / 2
+    along = lambda p: p["x"] * F.cos(angle) + p["y"] * F.sin(angle)
+    across = lambda p: p["y"] * F.cos(angle) - p["x"] * F.sin(angle)
+    sides = F.array_sort(F.transform(numbers, across))
+    gaps = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((F.get(sides, i) - F.get(sides, i - 1)).alias("gap"), (-i).alias("first"), F.get(sides, i).alias("split")))
+    widest = F.array_max(gaps)
+    row = F.array_sort(F.transform(numbers, lambda p, i: F.struct(along(p).alias("at"), i.alias("i"), p.alias("p"))))
+    back = F.reverse(row)
+    read = lambda r: number_path(F.transform(r, lambda s: s["p"]["value"]))
+    placed = lambda r, way: F.zip_with(r, way, lambda s, x: F.struct(s["i"].alias("i"), _pair(s["p"]["x"], s["p"]["y"], x, F.when(across(s["p"]) < widest["split"], NUMBER_ROW).otherwise(WIDTH - NUMBER_ROW)).alias("pair")))
+    pairs = F.coalesce(placed(row, read(row)), placed(back, read(back)))
+    fits = (n >= 4) & F.forall(numbers, lambda p: F.coalesce(p["value"].isin(*PAINTED), F.lit(False))) & (widest["gap"] >= 2)
+    return F.when(fits, F.transform(F.array_sort(pairs), lambda s: s["pair"]))
+
+
+def _placed(n_lines: pd.Series, anchors: pd.Series) -> pd.DataFrame:
+    found = [placing.placed(int(n), *(np.array([r[c] for r in a], float) for c in ("index", "value", "confidence"))) if a is not None and len(a) else ([], 0.0) for n, a in zip(n_lines, anchors)]
+    return pd.DataFrame({"values": [v for v, _ in found], "score": [s for _, s in found]})
 
 
 def numbered_lines(n_lines: Column, anchors: Column) -> Column:
     """struct(values, clear, score): where along the field each of n lines in order stands, five units from the next.
 
-    anchors: array<struct<index, value, confidence>>, the line next to each number. All meanings of the
-    numbers (two each, but 50) and both directions are tried; the score is the confident mean of how far they
-    disagree, and what lies beyond the field. Without numbers the lines are centred and not clear.
+    anchors: array<struct<index, value, confidence>>, the line next to each number. Without numbers the
+    lines are centred and not clear. What the numbers mean is found by a bounded search (kernels.placing).
     """
-    weight = F.aggregate(anchors, F.lit(0.0), lambda s, a: s + a["confidence"])
-    mean = lambda values: F.aggregate(F.zip_with(values, anchors, lambda v, a: v * a["confidence"]), F.lit(0.0), lambda s, v: s + v) / weight
-
-    def meaning(way: Column, place: Column) -> Column:
-        """Option number of the anchor at `place`: the first anchor's is the slowest to change."""
-        bit = F.floor(way / F.pow(F.lit(2.0), F.size(anchors) - 1 - place)) % 2
-        value = F.element_at(anchors, place + 1)["value"]
-        return F.when((bit == 0) | (value == 50), F.when(value == 50, 60.0).otherwise(10.0 + value)).otherwise(110.0 - value)
-
-    def tried(way: Column, step: float) -> Column:
-        offsets = F.transform(anchors, lambda a, i: meaning(way, i) - step * a["index"])
-        offset = mean(offsets)
-        values = F.transform(F.sequence(F.lit(0), n_lines - 1), lambda i: offset + step * i)
-        beyond = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.greatest(F.lit(0.0), 5 - v) + F.greatest(F.lit(0.0), v - 115))
-        return F.struct((mean(F.transform(offsets, lambda o: F.abs(o - offset))) + beyond).alias("score"), (2 * way + int(step > 0)).alias("way"), values.alias("values"))
-
-    ways = F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size(anchors)).cast("int") - 1)
-    best = F.array_min(F.flatten(F.transform(ways, lambda w: F.array(tried(w, -5.0), tried(w, 5.0)))))
+    best = F.pandas_udf(_placed, "struct<values:array<double>,score:double>")(n_lines, F.transform(anchors, lambda a: F.struct(a["index"].cast("double").alias("index"), a["value"].cast("double").alias("value"), a["confidence"].cast("double").alias("confidence"))))
     centred = F.transform(F.sequence(F.lit(0), n_lines - 1), lambda i: 60 + (i - (n_lines - 1) / 2) * 5)
     known = F.struct(best["values"].alias("values"), (best["score"] < 2).alias("clear"), best["score"].alias("score"))
     return F.when(F.size(anchors) > 0, known).otherwise(F.struct(centred.alias("values"), F.lit(False).alias("clear"), F.lit(0.0).alias("score")))

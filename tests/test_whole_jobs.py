@@ -89,11 +89,3 @@ def test_optimal_match_small_matches_whole_bins(spark, tmp_path):
     start = min(r.bin for r in found)
     least = {k: (len(a), min(sum(abs(x - y) for x, y in zip(a, p)) for p in itertools.permutations(b, len(a)))) for k, (a, b) in sides.items()}
     assert {(r.user_id, r.bin - start): (r.pairs, r.total) for r in found} == {k: (n, pytest.approx(t, abs=2e-6)) for k, (n, t) in least.items()}
-
-
-def test_op9_scores_by_trigrams(spark, tmp_path):
-    from fieldweave.llm.queries import op9_backoff_lm
-
-    pd.DataFrame({"doc_id": [1, 2, 3], "text": ["a b c d", "a b c e", "x b c"]}).to_parquet(tmp_path / "documents.parquet")
-    found = {r.doc_id: (r.n_words, r.n_full) for r in op9_backoff_lm(spark, str(tmp_path)).collect()}
-    assert found == {1: (4, 1), 2: (4, 1), 3: (3, 0)}
