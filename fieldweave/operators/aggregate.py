@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks.lineage import written
+from .ranks import deviating, exact_quantiles, joined, least_of_each, with_quantiles
 from .sequence import interpolated
 
 Names = Sequence[str]
@@ -33,17 +35,17 @@ def timeline(df: DataFrame, keys: Names, at: str, value: str, track: str, moving
 
 def error_summary(df: DataFrame, keys: Names, error: str, near: float) -> DataFrame:
     """Median and 90th percentile of an error, matched and all rows, and shares; unmatched rows have a null error."""
-    return df.groupBy(*keys).agg(
-        F.median(error).alias("median"), F.percentile(error, 0.9).alias("p90"), F.count(error).alias("matched"), F.count("*").alias("total"),
+    return with_quantiles(
+        df, keys, {"median": (error, 0.5), "p90": (error, 0.9)}, F.count(error).alias("matched"), F.count("*").alias("total"),
         (F.count(error) / F.count("*")).alias("coverage"), share(F.col(error) <= near).alias("near_share"),
-    )
+    ).select(*keys, "median", "p90", "matched", "total", "coverage", "near_share")
 
 
 def robust_scale(df: DataFrame, keys: Names, value: str, quantiles: Sequence[float]) -> DataFrame:
     """Quantiles of a value and its median absolute deviation, 1 where that is 0."""
-    middle = df.withColumn("_m", F.median(value).over(Window.partitionBy(*keys)))
-    mad = F.median(F.abs(F.col(value) - F.col("_m")))
-    return middle.groupBy(*keys).agg(*[F.percentile(value, q).alias(f"p{round(q * 100)}") for q in quantiles], F.when(mad == 0, 1.0).otherwise(mad).alias("mad"))
+    found = exact_quantiles(df, keys, {"_middle": (value, 0.5)} | {f"p{round(q * 100)}": (value, q) for q in quantiles})
+    mad = exact_quantiles(joined(df, found.select(*keys, "_middle"), keys), keys, {"mad": (F.abs(F.col(value) - F.col("_middle")), 0.5)})
+    return joined(found.drop("_middle"), mad.withColumn("mad", F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))), keys)
 
 
 def displacement(df: DataFrame, keys: Names, track: str, at: str, x: str, y: str) -> DataFrame:
@@ -73,11 +75,12 @@ def binned_profile(df: DataFrame, keys: Names, at: str, value: str, bins: int =
 
 
 def formation(df: DataFrame, keys: Names, x: str, y: str, most: int = 22, digits: int | None = None, out: str = "formation") -> DataFrame:
-    """Distances to the middle (coordinate by coordinate) of the key's rows, in ascending order."""
-    own = Window.partitionBy(*keys)
-    far = F.hypot(F.col(x) - F.median(x).over(own), F.col(y) - F.median(y).over(own))
+    """The least distances to the middle (coordinate by coordinate) of the key's rows, in ascending order, `most` at most."""
+    placed = deviating(df.select(*keys, x, y), keys, {"_mx": (x, 0.5), "_my": (y, 0.5)})
+    far = placed.withColumn("_d", F.hypot(F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")))
     values = F.sort_array(F.collect_list(F.bround("_d", digits) if digits is not None else F.col("_d")))
-    return df.withColumn("_d", far).groupBy(*keys).agg(F.slice(values, 1, most).alias(out))
+    near = least_of_each(far, keys, most, F.col("_d").asc_nulls_last())
+    return near.groupBy(*keys).agg(values.alias(out))
 
 
 def mode(c: Column | str) -> Column:
@@ -154,9 +157,10 @@ def densest_band(df: DataFrame, keys: Names, value: str, half: float = 1.0, step
         near = rows.select(*keys, F.col(value).alias("_v"), "_first", F.explode(F.sequence(k0, k1)).alias("_k"))
         near = near.withColumn("_at", F.col("_first") + F.col("_k") * F.lit(step)).filter(F.abs(F.col("_v") - F.col("_at")) <= half)
     counts = near.groupBy(*keys, "_k").agg(F.count("*").alias("count"), F.first("_at").alias("_at"))
-    own = Window.partitionBy(*keys)
-    best = counts.withColumn("most", F.max("count").over(own)).filter("count = most")
-    return best.groupBy(*keys).agg(F.max("most").alias("members"), F.median("_at").alias("centre"))
+    counts = written(counts, "band_counts")
+    best = joined(counts, counts.groupBy(*keys).agg(F.max("count").alias("members")), keys).filter("count = members")
+    found = with_quantiles(best, keys, {"centre": ("_at", 0.5)}, F.max("members").alias("members"))
+    return found.select(*keys, "members", "centre")
 
 
 def histogram(df: DataFrame, keys: Names, value: str, low: float, high: float, bins: int) -> DataFrame:

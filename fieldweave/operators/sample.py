@@ -8,24 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_unit
+from .ranks import least_of_each, ranked
 
 
 def stratified_middle_out(df: DataFrame, strata: Sequence[str], order: str, n: int, across: Sequence[str] = ()) -> DataFrame:
     """n rows taken in turn from all strata in sorted order, each time the middle one of those a stratum has left.
 
     The turn at which a row comes out follows from its rank and the size of its stratum, so no loop is
-    needed; `across` separates samples from each other.
+    needed; `across` separates samples from each other. Ranks come from one sort by ranges, whatever a stratum's
+    size; only rows whose turn can come are ordered after that.
     """
-    w = Window.partitionBy(*across, *strata)
-    i = F.row_number().over(w.orderBy(order)) - 1
-    ranked = df.withColumn("_i", i).withColumn("_n", F.count("*").over(w)).withColumn("_d", F.col("_i") - F.floor(F.col("_n") / 2))
-    d, odd = F.col("_d"), F.col("_n") % 2 == 1
+    rows = ranked(df, [*across, *strata], [F.col(order).asc_nulls_first()], rank="_i", size="_n")
+    d, odd = F.col("_i") - F.floor(F.col("_n") / 2), F.col("_n") % 2 == 1
     turn = F.when(d == 0, 0).when(odd, F.when(d > 0, 2 * d - 1).otherwise(-2 * d)).otherwise(F.when(d < 0, -2 * d - 1).otherwise(2 * d))
-    made = ranked.withColumn("turn", turn.cast("long")).drop("_i", "_n", "_d")
+    made = rows.withColumn("turn", turn.cast("long")).drop("_i", "_n").filter(F.col("turn") < n)
     if not across:
         return made.orderBy("turn", *strata).limit(n)
-    place = F.row_number().over(Window.partitionBy(*across).orderBy("turn", *strata))
-    return made.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+    return least_of_each(made, across, n, *map(F.col, ("turn", *strata)))
 
 
 def hash_split(df: DataFrame, id: str, share: float = 0.5, names: tuple[str, str] = ("validation", "test"), out: str = "split") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.geometry import perspective, phase_shift
-from ..operators import aggregate, joins, metrics, sample
+from ..operators import aggregate, joins, metrics, ranks, sample
 from ..plans import catalog
 from ..sinks import tables as sinks
 from .registry import query, table
@@ -69,7 +69,10 @@ def status_report(spark, sf_dir):
 
 @query("select l_returnflag, l_linestatus, round(median(l_quantity), 6) as middle, round(quantile_cont(l_extendedprice, 0.9), 6) as p90, round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by 1, 2")
 def percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.median("l_quantity"), 6).alias("middle"), F.round(F.percentile("l_extendedprice", 0.9), 6).alias("p90"), F.round(F.percentile("l_extendedprice", 0.95), 6).alias("p95"))
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    wanted = {"middle": ("l_quantity", 0.5), "p90": ("l_extendedprice", 0.9), "p95": ("l_extendedprice", 0.95)}
+    found = ranks.exact_quantiles(lines, ["l_returnflag", "l_linestatus"], wanted)
+    return found.select("l_returnflag", "l_linestatus", *[F.round(c, 6).alias(c) for c in wanted])
 
 
 @query("""
