@@ -17,9 +17,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from . import shared
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -88,21 +89,8 @@ class Manifest:
 
 
 def _placed(rows: DataFrame, order: list[Column], scratch: shared.Scratch, arity: int) -> DataFrame:
-    """rows with place, their rank in their tree, n, its size, and depth, its levels; columns tree and hash are there.
-
-    One sort by ranges; a row's rank is its number in its range and what the ranges before it have of its tree.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = rows.withColumn("_tie", F.monotonically_increasing_id())  # many rows of one key are many ranges
-    keys = [*order, F.col("_tie")]
-    sorted_ = tied.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_number", F.monotonically_increasing_id())
-    sorted_ = scratch.written(sorted_, "merkle_sorted").withColumn("_range", F.shiftright("_number", 33))
-    runs = sorted_.groupBy("tree", "_range").agg(F.min("_number").alias("_first"), F.count("*").alias("_count"))
-    whole = Window.partitionBy("tree")  # a tree has as many runs as there are ranges, at most
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("tree", "_range", (F.coalesce(F.sum("_count").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_count").over(whole).alias("n"))
-    out = sorted_.join(runs, ["tree", "_range"]).withColumn("place", F.col("_number") + F.col("_shift"))
-    return out.drop("_number", "_range", "_shift").withColumn("depth", F.expr(depth_of("n", arity)))
+    """rows with place, their rank in their tree, n, its size, and depth, its levels; columns tree and hash are there."""
+    return ranked(rows, ["tree"], order, rank="place", size="n", scratch=scratch).withColumn("depth", F.expr(depth_of("n", arity)))
 
 
 def _tiers(leaves: DataFrame, scratch: shared.Scratch, arity: int, span: int) -> list[Tier]:

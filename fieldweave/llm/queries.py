@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     backoff_lm, byte_bpe, dart_minhash, exact_dedup, fim_rope, language_id, license_scan, line_quality, merkle_manifest, packing, ring_shard, token_store, toxicity,
 )
-from .shared import documents, new_dir
+from .shared import documents, new_dir, until_exit
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,7 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "tokens")
     token_store.write_tokens(documents(spark, sf_dir), path, WORD_TOKENIZER)
+    until_exit(spark, path)
     return token_store.read_tokens(spark, path, ids=False)
 
 

@@ -1,57 +1,20 @@
-"""What all operators of this subpackage use to cut lineage and to bound Arrow batches."""
+"""What all operators of this subpackage use: tables on the way (sinks.lineage), bounded Arrow batches, columns set aside."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.lineage import Scratch, bounded, dropped, new_dir, shared_dir, until_exit, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get() if made.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="fieldweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fieldweave/{uuid.uuid4().hex}/{name}"
-
-
-#: Whether Spark deletes the shuffle files of a job when the job ends, instead of when the driver happens to collect garbage.
-CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: a stage that outlives lost executors. Its shuffle files go at once."""
-    spark, path = df.sparkSession, new_dir(df.sparkSession, name)
-    before = {key: spark.conf.get(key, None) for key in CLEANUP}
-    for key in CLEANUP:
-        spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; else Spark joins it as it does any other."""
-    return F.broadcast(df) if df.count() <= rows else df
+__all__ = [
+    "Scratch", "arrow_map", "bounded", "documents", "dropped", "new_dir", "release_memory", "set_aside", "shared_dir", "small_batches", "until_exit", "written",
+]
 
 
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -66,32 +29,6 @@ def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[
     return df.withColumnsRenamed(renamed), lambda made: made.select(*(F.col(f"`{new}`").alias(c) for c, new in own))
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-class Scratch:
-    """Tables written on the way to a result, to be deleted together."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.tables = spark, []
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(written(df, name))
-        return self.tables[-1]
-
-    def cleared(self, *keep: DataFrame) -> None:
-        """Delete all but those to keep."""
-        for table in self.tables:
-            if not any(table is x for x in keep):
-                dropped(self.spark, table)
-        self.tables = list(keep)
-
-
 def release_memory() -> None:
     """Give freed memory of this Python worker back to the system: workers live on between tasks and stages."""
     pa.default_memory_pool().release_unused()

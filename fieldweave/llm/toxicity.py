@@ -42,7 +42,7 @@ _DRAWN_OUT = re.compile(r"(\w)\1{2,}")
 class ToxicityOptions:
     """sample_docs: labelled rows to learn from, those of the least hashes of their ids. most_terms: the size of the lexicon at most."""
 
-    sample_docs: int = 20_000
+    sample_docs: int = 12_000
     most_terms: int = 4_000
     least_docs: int = 3
     sureness: float = 1.64
@@ -305,7 +305,7 @@ def _counted(options: ToxicityOptions):
 
         def out() -> pa.RecordBatch:
             keys = sorted(set().union(*counts))
-            columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)]
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)]
             for c in counts:
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COUNTS.split(", ")])
