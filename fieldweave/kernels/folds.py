@@ -5,18 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def thinned(at: np.ndarray, least: float) -> np.ndarray:
-    """Numbers of the rows kept when each must lie at least so far after the last one kept."""
-    kept, last = [], -np.inf
-    for i, t in enumerate(at):
-        if t - last >= least:
-            kept.append(i)
-            last = t
-    return np.array(kept, int)
-
-
 def thinned_to_best(at: np.ndarray, score: np.ndarray, least: float) -> np.ndarray:
-    """Like thinned, but a row that is near the last one kept takes its place if its score is greater."""
+    """Numbers of the rows kept: each at least so far after the last one, whose place a nearer row takes if its score is greater."""
     kept: list[int] = []
     for i, t in enumerate(at):
         if kept and t - at[kept[-1]] < least:
@@ -27,19 +17,6 @@ def thinned_to_best(at: np.ndarray, score: np.ndarray, least: float) -> np.ndarr
     return np.array(kept, int)
 
 
-def joined_fragments(start: np.ndarray, end: np.ndarray, kind: np.ndarray, touch: float, short: float) -> np.ndarray:
-    """A group number for each fragment: it joins the group before it if both are of one kind, touch, and either is short."""
-    group, out = -1, np.zeros(len(start), int)
-    g_start = g_end = 0.0
-    for i in range(len(start)):
-        if i and kind[i] == kind[i - 1] and abs(start[i] - g_end) < touch and (g_end - g_start <= short or end[i] - start[i] <= short):
-            g_end = end[i]
-        else:
-            group, g_start, g_end = group + 1, start[i], end[i]
-        out[i] = group
-    return out
-
-
 def clustered(offset: np.ndarray, reach: float) -> np.ndarray:
     """Group numbers of sorted offsets: each joins the group before it if it lies within reach of that group's mean so far."""
     out, total, n, group = np.zeros(len(offset), int), 0.0, 0, -1

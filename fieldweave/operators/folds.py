@@ -1,4 +1,4 @@
-"""Sequential operators: one fold for each key, over rows that Spark has brought together and sorted."""
+"""Sequential operators. Those whose choice follows from the last row kept are chains (operators.chains); the others are one fold for each key."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import folds
+from .chains import coalesced, min_separation
+
+__all__ = ["best_of_neighbours", "clusters_1d", "coalesced", "longest_apart", "merged_fragments", "min_separation"]
 
 
 def _picked(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
@@ -29,20 +32,10 @@ def _grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], group: Ca
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def min_separation(df: DataFrame, keys: Sequence[str], at: str, least: float) -> DataFrame:
-    """Rows at least so far after the last row kept."""
-    return _picked(df, keys, [at], lambda x: folds.thinned(x[at].to_numpy(float), least))
-
-
 def best_of_neighbours(df: DataFrame, keys: Sequence[str], at: str, score: str, least: float) -> DataFrame:
     return _picked(df, keys, [at], lambda x: folds.thinned_to_best(x[at].to_numpy(float), x[score].to_numpy(float), least))
 
 
-def coalesced(df: DataFrame, keys: Sequence[str], start: str, end: str, kind: str, touch: float = 0.05, short: float = 5.0, out: str = "part") -> DataFrame:
-    """Numbers the groups of touching fragments of one kind, of which either is short."""
-    return _grouped(df, keys, [start], lambda x: folds.joined_fragments(x[start].to_numpy(float), x[end].to_numpy(float), x[kind].to_numpy(), touch, short), out)
-
-
 def merged_fragments(clips: DataFrame, keys: Sequence[str], touch: float = 0.05, short: float = 5.0) -> DataFrame:
     """Clips with short fragments taken into their neighbours: keys, clip_id, angle, start_s, end_s, snap_s, play_end_s and confidence.
 

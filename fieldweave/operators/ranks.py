@@ -35,20 +35,20 @@ def ranked(df: DataFrame, keys: Names, order: Sequence[Column], *, weight: str |
     """
     own = scratch or Scratch(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [*(F.col(k).asc_nulls_first() for k in keys), *order, F.col("_tie")]
-    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_tie")
-    rows = own.written(rows.withColumn("_number", F.monotonically_increasing_id()), "ranked").withColumn("_range", F.shiftright("_number", 33))
+    by = [*(F.col(k).asc_nulls_first() for k in keys), *order, F.col("_rank_tie")]
+    rows = df.withColumn("_rank_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_rank_tie")
+    rows = own.written(rows.withColumn("_rank_number", F.monotonically_increasing_id()), "ranked").withColumn("_rank_range", F.shiftright("_rank_number", 33))
     amount = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
-    runs = rows.groupBy(*keys, "_range").agg(F.min("_number").alias("_first"), F.sum(amount).alias("_amount"))
+    runs = rows.groupBy(*keys, "_rank_range").agg(F.min("_rank_number").alias("_rank_first"), F.sum(amount).alias("_rank_amount"))
     key = Window.partitionBy(*keys)
-    before = F.sum("_amount").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select(*keys, "_range", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_amount").over(key).alias(size))
-    out = joined(rows, runs, [*keys, "_range"])
-    inside = F.col("_number") - F.col("_first")
+    before = F.sum("_rank_amount").over(key.orderBy("_rank_range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*keys, "_rank_range", "_rank_first", F.coalesce(before, F.lit(0)).alias("_rank_before"), F.sum("_rank_amount").over(key).alias(size))
+    out = joined(rows, runs, [*keys, "_rank_range"])
+    inside = F.col("_rank_number") - F.col("_rank_first")
     if weight:
-        run = Window.partitionBy(*keys, "_range").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
+        run = Window.partitionBy(*keys, "_rank_range").orderBy("_rank_number").rowsBetween(Window.unboundedPreceding, -1)
         inside = F.coalesce(F.sum(amount).over(run), F.lit(0))
-    return out.withColumn(rank, F.col("_before") + inside).drop("_number", "_range", "_first", "_before")
+    return out.withColumn(rank, F.col("_rank_before") + inside).drop("_rank_number", "_rank_range", "_rank_first", "_rank_before")
 
 
 def exact_quantiles(df: DataFrame, keys: Names, wanted: Mapping[str, tuple[str | Column, float]]) -> DataFrame:

@@ -63,9 +63,7 @@ def test_ambiguous_positions_leave_their_partner_free():
 
 
 def test_folds():
-    assert folds.thinned(np.array([0, 1, 1.6, 3.0]), 1.5).tolist() == [0, 2]
     assert folds.thinned_to_best(np.array([0, 0.2, 2]), np.array([1, 3, 1]), 0.65).tolist() == [1, 2]
-    assert folds.joined_fragments(np.array([0, 3, 15.0]), np.array([3, 15, 25.0]), np.array(["a", "a", "b"]), 0.05, 5.0).tolist() == [0, 0, 1]
     assert folds.clustered(np.array([0, 1, 1.4, 5]), 1.0).tolist() == [0, 0, 0, 1]
     assert folds.longest_apart(np.array([5, 9, 4]), np.array([0, 1, 10]), 3).tolist() == [1, 2]
 

@@ -209,13 +209,3 @@ def test_streams_equal_batches(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, build(df).collect()))
-
-
-def test_streamed_tracks_equal_batch_tracks(spark, tmp_path):
-    d = spark.createDataFrame([("c", i / 10, 10.0 + i + 30 * k, 20.0, 0.9) for i in range(4) for k in range(2)], "clip_id string, video_timestamp double, field_x double, field_y double, confidence double")
-    d.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = tracking.tracked_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), "clip_id").writeStream.format("memory").queryName("tracks").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    key = ["clip_id", "video_timestamp", "field_x", "track_id"]
-    assert sorted(map(tuple, spark.table("tracks").select(key).collect())) == sorted(map(tuple, tracking.tracked(d, "clip_id").select(key).collect()))
