@@ -47,3 +47,42 @@ def least_cost(rows: np.ndarray, columns: np.ndarray, scale: float, skip_row: fl
         reached[1:] = np.minimum(reached[1:], total[:-1] + np.where(np.isnan(match), np.inf, match))
         total = np.minimum.accumulate(reached - skipped) + skipped
     return float(total[-1])
+
+
+def listed_path(n: int, m: int, row: np.ndarray, column: np.ndarray, cost: np.ndarray, skip_row: float, skip_column: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cost) of the steps of align()'s path, -1 for what a step skips, where only listed cells can match.
+
+    A diagonal of places is worked out at once, with the additions and the order of choices of align(), so that ties come
+    out the same. A byte for each place is all that is held of the matrix.
+    """
+    order = np.argsort(row + column, kind="stable")
+    row, column, cost = row[order], column[order], cost[order]
+    starts = np.searchsorted(row + column, np.arange(n + m + 2))
+    step = np.zeros((n + 1, m + 1), np.int8)
+    last, before = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    last[0] = 0.0
+    for d in range(1, n + m + 1):
+        low, high = max(0, d - m), min(n, d)
+        i = np.arange(low, high + 1)
+        match = np.full(n + 1, np.inf)
+        if d >= 2:
+            a, b = starts[d - 2], starts[d - 1]
+            match[row[a:b] + 1] = before[row[a:b]] + cost[a:b]
+        total, kind = match[i], np.ones(len(i), np.int8)
+        missing = np.where(i > 0, last[i - 1] + skip_row, np.inf)
+        kind[missing < total] = 2
+        total = np.minimum(total, missing)
+        extra = np.where(i < d, last[i] + skip_column, np.inf)
+        kind[extra < total] = 3
+        total = np.minimum(total, extra)
+        step[i, d - i] = kind
+        before, last = last, np.full(n + 1, np.inf)
+        last[i] = total
+    price = dict(zip(zip(row.tolist(), column.tolist()), cost.tolist()))
+    out, i, j = [], n, m
+    while i or j:
+        kind = step[i, j]
+        i, j = i - (kind != 3), j - (kind != 2)
+        out.append((i, j, price[i, j]) if kind == 1 else (i, -1, skip_row) if kind == 2 else (-1, j, skip_column))
+    rows, columns, prices = zip(*out[::-1]) if out else ((), (), ())
+    return np.array(rows, int), np.array(columns, int), np.array(prices, float)

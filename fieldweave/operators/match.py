@@ -6,15 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.geometry import overlap, shape_change
-from ..kernels.alignment import align, least_cost
+from ..kernels.alignment import least_cost, listed_path
 from ..kernels.assignment import assign_listed
 from ..kernels.linking import chains, paired_in_order
 from .aggregate import tracklet_summary
+from .grouped import mapped_groups
 from .joins import following_within, looking_ahead
 
 Names = Sequence[str]
@@ -60,33 +63,33 @@ def match_by_team(truth: DataFrame, tracks: DataFrame, group: Names, frame: str)
     return optimal_pairs(pairs, group, [frame, "side"], "label", "track_id", "distance")
 
 
+STEPS = "sequence_no int, operation string, i int, j int, cost double, status string"
+
+
 def aligned(left: DataFrame, right: DataFrame, costs: DataFrame, keys: Names, skip_left: float, skip_right: float, gate: float = float("inf"), sure: float = float("inf")) -> DataFrame:
     """Monotone alignment of two ordered sequences of each key.
 
-    left and right have keys and i or j, counted from 0; costs has keys, i, j and cost. Returns keys,
-    sequence_no, operation, i, j, cost and status: candidate for matches of at most `sure`, else review.
+    left and right have keys and i or j, counted from 0; costs has keys, i, j and cost of the pairs that may match. Pairs
+    over the gate, or over what it costs to skip both, needn't be listed. Returns keys, sequence_no, operation, i, j,
+    cost and status: candidate for matches of at most `sure`, else review. A key's rows go with its
+    listed pairs, and the keys of a partition are solved one after another.
     """
     a = left.groupBy(*keys).agg(F.count("*").alias("n"))
     b = right.groupBy(*keys).agg(F.count("*").alias("m"))
     sizes = a.join(b, list(keys), "full").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
-    rows = sizes.join(costs.select(*keys, "i", "j", F.col("cost").cast("double").alias("cost")), list(keys), "left")
-    schema = _schema(sizes, keys) + ", sequence_no int, operation string, i int, j int, cost double, status string"
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        cost = np.full((int(part["n"].iloc[0]), int(part["m"].iloc[0])), np.inf)
-        known = part.dropna(subset=["cost"])
-        cost[known["i"].to_numpy(int), known["j"].to_numpy(int)] = known["cost"]
-        steps = align(cost, skip_left, skip_right, gate)
-        price = [cost[i, j] if kind == "match" else skip_left if kind == "missing" else skip_right for kind, i, j in steps]
-        out = pd.DataFrame({k: [part[k].iloc[0]] * len(steps) for k in keys})
-        out["sequence_no"], out["operation"] = range(len(steps)), [s[0] for s in steps]
-        out["i"] = pd.array([s[1] if s[1] >= 0 else None for s in steps], "Int32")
-        out["j"] = pd.array([s[2] if s[2] >= 0 else None for s in steps], "Int32")
-        out["cost"] = price
-        out["status"] = ["candidate" if k == "match" and c <= sure else "review" for (k, _, _), c in zip(steps, price)]
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(solve, schema)
+    listed = costs.filter(F.col("cost") <= min(gate, skip_left + skip_right + 1e-9)).select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("cost").cast("double").alias("cost"))
+    rows = sizes.unionByName(listed, allowMissingColumns=True)
+
+    def solve(part: pa.Table) -> dict[str, pa.Array]:
+        n, m = (int(pc.max(part.column(c)).as_py()) for c in "nm")
+        known = part.filter(pc.is_valid(part.column("cost")))
+        i, j, price = listed_path(n, m, *(known.column(c).to_numpy() for c in ("i", "j", "cost")), skip_left, skip_right)
+        kind = np.array(["match", "extra", "missing"], object)[np.where(i < 0, 1, np.where(j < 0, 2, 0))]
+        masked = lambda v: pa.array(v.astype(np.int32), mask=v < 0)
+        status = np.where((i >= 0) & (j >= 0) & (price <= sure), "candidate", "review")
+        return {"sequence_no": pa.array(np.arange(len(i), dtype=np.int32)), "operation": pa.array(kind, pa.string()), "i": masked(i), "j": masked(j), "cost": pa.array(price), "status": pa.array(status.tolist(), pa.string())}
+
+    return mapped_groups(rows, keys, solve, STEPS)
 
 
 def aligned_cost(rows: DataFrame, keys: Names, order: str, on_left: Column, value: str, scale: float, skip_left: float, skip_right: float) -> DataFrame:

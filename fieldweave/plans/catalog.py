@@ -228,12 +228,18 @@ def align_actions(plays_: DataFrame, units: DataFrame, category: Column, skip: f
     """Filmed plays and units of film of each game in one order: match, missing and extra operations.
 
     plays_: game_id, ordinal and what `category` needs; units: game_id, unit_no, category, duration, confidence.
-    Costs of all pairs of one game, a hundred by a hundred or so, are columns; the path is one fold a game.
+    Of two known categories only equal ones can match under the gate, so only such pairs are made: sides meet by
+    category, and those without one meet all. The path is found from the listed pairs, which is exact.
     """
     w = lambda c: Window.partitionBy("game_id").orderBy(c)
     left = plays_.withColumn("i", F.row_number().over(w("ordinal")) - 1).withColumn("_category", category)
     right = units.withColumn("j", F.row_number().over(w("unit_no")) - 1).withColumnsRenamed({"category": "unit_category"})
-    pairs = left.select("game_id", "i", "_category").join(right.select("game_id", "j", "unit_category", "duration", "confidence"), "game_id")
+    meets = lambda c, other: F.when(F.col(c) == "unknown", F.array(F.lit(other))).otherwise(F.array(F.concat(F.lit("="), c), F.lit("any")))
+    asked = left.select("game_id", "i", "_category", F.explode(meets("_category", "all")).alias("_meet"))
+    # A unit answers for its own category or as one without, and to plays without.
+    answers = F.array(F.when(F.col("unit_category") == "unknown", F.lit("any")).otherwise(F.concat(F.lit("="), "unit_category")), F.lit("all"))
+    there = right.select("game_id", "j", "unit_category", "duration", "confidence", F.explode(answers).alias("_meet"))
+    pairs = asked.join(there, ["game_id", "_meet"])
     costs = pairs.withColumn("cost", event_cost(F.col("_category"), F.col("unit_category"), F.col("duration"), F.col("confidence"))).filter(F.col("cost") <= gate)
     return aligned(left, right, costs, ["game_id"], skip, skip, gate, sure)
 
