@@ -41,8 +41,8 @@ def spaced_text(key: str) -> str:
 
 
 def word_segments(text: str) -> list[str]:
-    """Parts of text between spaces, for tokenizers that drop white space and case; ASCII text already in lower case."""
-    return (text.lower() if text.isascii() else text).split(" ")
+    """Parts of text between spaces and line ends, for tokenizers that drop white space and case; ASCII text already in lower case."""
+    return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
 
 
 class _Numbers(dict):
@@ -99,18 +99,47 @@ class SegmentEncoder:
         return ids, total[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
 
 
+# Fixed value: the characters that byte-level vocabularies write for bytes; printable ones stand for themselves.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
+
+
+class _Pieces(dict):
+    """The ids of pieces that the tokenizer's pattern does not cut, by its model alone; emptied when it has more than `most`."""
+
+    def __init__(self, library, most: int = 200_000) -> None:
+        self.library, self.most = library, most
+        self.model = library.model
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) > self.most:
+            self.clear()
+        written = piece if piece.isascii() and " " not in piece else "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
+        self[piece] = ids = [x.id for x in self.model.tokenize(written)]
+        return ids
+
+
 class LibraryEncoder:
-    """The tokenizers library over many segments at once: joined by a special token, which keeps them apart.
+    """The tokenizers library over many segments at once.
 
-    A text that has the name of a special token, in whatever case, is encoded whole, so that the library
-    finds in it what it finds; so is one that begins like the key of a whole text.
+    Most segments are Latin letters and marks after them, which are two pieces for any pattern that tells letters, marks and
+    white space apart; pieces are looked up, and the library's model encodes those that are new. Segments of other kinds go
+    through the whole library, joined by a special token, which keeps them apart. A text that has the name of a
+    special token, in whatever case, is encoded whole, so that the library finds in it what it finds; so is
+    one that begins like the key of a whole text.
     """
 
+    #: Letters whose lower case and composition are plain, and marks that no pattern joins to letters or cuts; perhaps twice, in two lines.
+    PLAIN = re.compile(r'(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()/"-]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()/"-]*))?')
+
     def __init__(self, path: str, text_of: Callable[[str], str] = str, at_once: int = 1000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.text_of, self.at_once = Tokenizer.from_file(path), text_of, at_once
+        self.spaced = text_of is not str
+        self.pieces = _Pieces(self.library)
+        self.lower = self.library.normalizer is not None
         self.special = {x.content: n for n, x in self.library.get_added_tokens_decoder().items()}
         self.mark = next(iter(self.special))
         self.named = re.compile("|".join(map(re.escape, [WHOLE, *self.special])), re.IGNORECASE).search
@@ -119,23 +148,37 @@ class LibraryEncoder:
     def whole(self, text: str) -> bool:
         return any(c in text for c in self.firsts) and self.named(text) is not None
 
-    def _all(self, texts: list[str]) -> Iterator[list[int]]:
-        return (x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False))
+    def _all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, keys: list[str]) -> Iterator[list[int]]:
+    def _by_library(self, keys: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(keys), self.at_once):
             part = keys[i : i + self.at_once]
             if any(x[:1] == WHOLE for x in part):
                 yield from self._all([x[1:] if x[:1] == WHOLE else self.text_of(x) for x in part])
                 continue
-            texts = list(map(self.text_of, part))
-            ids = next(self._all([self.mark.join(texts)]))
-            begin, mark = 0, self.special[self.mark]
-            for _ in texts[1:]:
-                end = ids.index(mark, begin)
-                yield ids[begin:end]
-                begin = end + 1
-            yield ids[begin:]
+            ids = self._all([self.mark.join(map(self.text_of, part))])[0]
+            marks = np.flatnonzero(ids == self.special[self.mark])
+            for a, b in zip([0, *(marks + 1)], [*marks, len(ids)]):
+                yield ids[a:b]
+
+    def __call__(self, keys: list[str]) -> Iterator[Iterable[int]]:
+        pieces, plain, spaced, found, rest = self.pieces, self.PLAIN.fullmatch, self.spaced, [], []
+        for key in keys:
+            if (cut := plain(key.lower() if self.lower else key)) and (spaced or key[0] != FIRST):
+                first, letters, marks, line, more = cut.groups()
+                ids = pieces[f" {letters}" if spaced and not first else letters]
+                if marks:
+                    ids = ids + pieces[marks]
+                if line:
+                    ids = ids + (pieces["\n"] if spaced else []) + pieces[line] + (pieces[more] if more else [])
+                found.append(ids)
+            else:
+                found.append(None)
+                rest.append(key)
+        others = self._by_library(rest)
+        for ids in found:
+            yield next(others) if ids is None else ids
 
 
 @lru_cache(maxsize=2)

@@ -11,10 +11,10 @@ from tokenizers import Tokenizer
 from fieldweave.llm import byte_bpe
 from fieldweave.llm.segments import library_encoder
 
-PARTS = ["a", "the", "X", "É", "́", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\0", " \0", "\x85", "\xa0", "　", "​", ".", "'s", "'", "1", "22", "日本", "🙂", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "\x01", "İ", "Σ", "ß", "_", "ﬁ"]
+PARTS = ["a", "the", "X", "É", "́", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\0", " \0", "\x85", "\xa0", "　", "​", ".", "'s", "'", "1", "22", "日本", "🙂", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "\x01", "İ", "Σ", "ß", "_", "ﬁ", "Wort", "Éa", "mañana", "word.", "(so)", "$$$", "-", "#", "é", "÷", "×"]
 
 
-def texts(n=1500):
+def texts(n=6000):
     draw = random.Random(5)
     return ["".join(draw.choice(PARTS) for _ in range(draw.randint(0, 25))) for _ in range(n)]
 
