@@ -37,15 +37,15 @@ BLOCKS = "part int, block int, first_id long, last_id long, n_docs int, n_tokens
 
 @dataclass(frozen=True)
 class StoreOptions:
-    """sample_docs and sample_ids bound what the dictionary is trained on: so many documents, and so many ids of each."""
+    """sample_docs bounds what the dictionary is trained on: so many documents, each of them whole."""
 
     end_id: int = 2
     width: int = 2
     level: int = 3
     dict_bytes: int = 64 << 10
     sample_docs: int = 1000
-    sample_ids: int = 16384
     block_bytes: int = 1 << 20
+    chunk: int = 512
 
 
 def _dtype(width: int) -> str:
@@ -99,15 +99,18 @@ def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def train(samples: list[bytes], options: StoreOptions) -> bytes:
-    """A dictionary for arrays like the samples; of too few samples, their own bytes."""
-    try:
-        return zstandard.train_dictionary(options.dict_bytes, samples, level=options.level).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[: options.dict_bytes]
+    """A dictionary trained on the samples, the largest that they suffice for; empty if they suffice for none."""
+    size = options.dict_bytes
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, level=options.level).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            size //= 2
+    return b""
 
 
 def shared_dictionary(docs: DataFrame, tokenizer: str, options: StoreOptions = StoreOptions()) -> bytes:
-    """Trained in one task on a bounded sample: the documents of the least hashes of their ids. Empty if there are none."""
+    """Trained in one task on a bounded sample: the documents of the least hashes of their ids, whole, in chunks of `chunk` ids. Empty if there are none."""
     order = F.xxhash64("doc_id")
     chosen = docs.select("doc_id").orderBy(order, "doc_id").limit(options.sample_docs).select(F.max(order)).first()[0]
     sample = docs.select("doc_id", "text").filter(order <= F.lit(chosen)).limit(options.sample_docs)
@@ -117,11 +120,12 @@ def shared_dictionary(docs: DataFrame, tokenizer: str, options: StoreOptions = S
         for batch in batches:
             for part in text_slices(batch):
                 ids, ends = encode.batch(part.column("text").to_pylist())
-                samples += [ids[a : min(b, a + options.sample_ids)].astype(_dtype(options.width)).tobytes() for a, b in zip(ends, ends[1:]) if b > a]
+                ids = ids.astype(_dtype(options.width))
+                samples += [ids[i : min(b, i + options.chunk)].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist()) for i in range(a, b, options.chunk)]
         yield pa.RecordBatch.from_arrays([pa.array([train(sorted(samples), options)], pa.binary())], ["dictionary"])
 
-    found = shared.arrow_map(sample.coalesce(1), run, "dictionary binary").first()
-    return bytes(found["dictionary"]) if found else b""
+    found = shared.arrow_map(sample.coalesce(1), run, "dictionary binary").collect()  # one row
+    return bytes(found[0]["dictionary"]) if found else b""
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, options: StoreOptions = StoreOptions()) -> None:

@@ -85,6 +85,16 @@ def test_short_lines_must_end_like_sentences(spark):
     assert row.clean_text.split("\n") == [x for x, fails in lines.items() if not fails] + [""] and row.n_lost_lines == sum(lines.values())
 
 
+def test_the_dictionary_is_trained_on_whole_documents(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} " * (3000 if i == 3 else 5) + "tail " * 40) for i in range(60)], "doc_id long, text string").repartition(3)
+    options = token_store.StoreOptions(dict_bytes=2048)
+    made = token_store.shared_dictionary(docs, P.path("word_bpe_49k.json"), options)
+    assert 200 < len(made) <= 2048 and made[:4] == bytes.fromhex("37a430ec")  # a trained one begins so
+    assert made == token_store.shared_dictionary(docs.repartition(5), P.path("word_bpe_49k.json"), options)
+    assert token_store.shared_dictionary(docs.limit(0), P.path("word_bpe_49k.json"), options) == b""
+    assert token_store.train([b"ab"], options) == b""
+
+
 def test_token_store_round_trip(spark, docs, corpus):
     from tokenizers import Tokenizer
 
@@ -125,29 +135,37 @@ def test_prediction_ignores_other_columns(spark, docs):
     assert sorted(a) == sorted(b)
 
 
-@pytest.mark.parametrize("window, most_open", [(16, 2048), (16, 3), (64, 2048)])
-def test_windows_have_each_id_once_and_no_padding(window, most_open):
-    r, packer = random.Random(1), packing.WindowPacker(window, most_open)
+@pytest.mark.parametrize("window, budget", [(16, 1 << 20), (16, 0), (16, 200), (64, 1 << 20)])
+def test_windows_have_each_id_once_and_no_padding(window, budget):
+    r, packer = random.Random(1), packing.WindowPacker(window, budget)
     texts = [np.arange(i * 1000, i * 1000 + r.randint(1, 3 * window)) for i in range(200)]
-    for i, ids in enumerate(texts):
-        packer.add(i, ids)
-    packer.merge()
+    closed = [w for i, ids in enumerate(texts) for w in packer.add(i, ids)]
+    closed += packer.finish()
     got = collections.defaultdict(list)
-    for pieces in packer.closed:
+    for pieces in closed:
         n = sum(len(x[2]) for x in pieces)
         assert n == window or n & (n - 1) == 0
         for doc, start, ids in pieces:
             got[doc].append((start, ids))
     for i, ids in enumerate(texts):
         assert np.concatenate([x[1] for x in sorted(got[i], key=lambda x: x[0])]).tolist() == ids.tolist()
-    assert sum(sum(len(x[2]) for x in p) < window for p in packer.closed) <= window.bit_length()
+    assert sum(sum(len(x[2]) for x in p) < window for p in closed) <= window.bit_length()
+
+
+def test_windows_are_the_same_with_and_without_a_file():
+    def run(budget):
+        packer, r = packing.WindowPacker(64, budget), random.Random(3)
+        closed = [w for i in range(3000) for w in packer.add(i, np.arange(r.choice([40, 40, 40, 70, 9])))]  # mostly more than half a window
+        n_open = int(packer.count.sum())
+        return n_open, [[(d, s, x.tolist()) for d, s, x in w] for w in [*closed, *packer.finish()]]
+
+    assert run(1 << 30) == run(0) == run(5000) and run(0)[0] > 1000
 
 
 def test_a_piece_goes_where_the_sum_of_squares_is_least():
     packer = packing.WindowPacker(8)
-    for i, n in enumerate([5, 5, 5, 3]):
-        packer.add(i, np.arange(n))
-    assert packer.count[5] == 2 and packer.closed and sum(len(x[2]) for x in packer.closed[0]) == 8
+    closed = [w for i, n in enumerate([5, 5, 5, 3]) for w in packer.add(i, np.arange(n))]
+    assert packer.count[5] == 2 and [sum(len(x[2]) for x in w) for w in closed] == [8]
 
 
 def brute_classes(texts, similarity=0.8):
