@@ -113,19 +113,6 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, id: Names, vector: str
     return ranked.select(*id, first["label"].alias("nearest"), first["d"].alias("distance"), confidence.alias("confidence"))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, key: Names, id: str, vector: str, ratio: float = 0.75) -> DataFrame:
-    """(left id, right id) that are each other's nearest within a key, each clearly nearer than its second nearest."""
-    a = left.select(*key, F.col(id).alias("left_id"), F.col(vector).alias("_a"))
-    b = right.select(*key, F.col(id).alias("right_id"), F.col(vector).alias("_b"))
-    square = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, list(key)).withColumn("distance", F.sqrt(square)).drop("_a", "_b")
-    for side, other in (("left_id", "right_id"), ("right_id", "left_id")):
-        w = Window.partitionBy(*key, side).orderBy("distance", other)
-        pairs = pairs.withColumn(f"_n_{side}", F.row_number().over(w)).withColumn(f"_next_{side}", F.lead("distance").over(w))
-    clear = F.coalesce(F.col("distance") < ratio * F.col("_next_left_id"), F.lit(True))
-    return pairs.filter((F.col("_n_left_id") == 1) & (F.col("_n_right_id") == 1) & clear).select(*key, "left_id", "right_id", "distance")
-
-
 def differing(frozen: DataFrame, current: DataFrame, keys: Names, columns: Names) -> DataFrame:
     """A row for each column of each key in which the two differ, nulls equal to nulls; missing keys differ as a whole."""
     a = frozen.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in columns], F.lit(True).alias("_in_f"))

@@ -99,14 +99,40 @@ def source_inputs(t: catalog.Tables, hashes: DataFrame) -> DataFrame:
     return latest.drop("path").join(revision, "clip_id", "full")
 
 
-def frozen(found: Evaluation, inputs: DataFrame, version: int, evaluator: str, parameters: str) -> DataFrame:
-    """The protocol of the clips that could be scored: windows, inputs, answers and split; raises if there are none."""
+def frozen(found: Evaluation, inputs: DataFrame, version: int, evaluator: str, parameters: str, requested: DataFrame | None = None, tracks: DataFrame | None = None) -> DataFrame:
+    """The protocol of the clips that could be scored: windows, inputs, answers, split and the time; raises if there are none.
+
+    requested: clip_id, only these; raises for one that is neither scored nor skipped. tracks: clip_id, path, sha256,
+    artifact_id and config_hash of the tracks at this moment, which each source keeps as tracks_at_freeze.
+    Beside the sources, skipped_sources() is what the protocol has on the others.
+    """
+    if requested is not None:
+        known = found.results.select("clip_id").unionByName(found.skipped.select("clip_id"))
+        catalog.unknown_requests(requested, known, "clip_id")
+        found = Evaluation(found.results.join(requested.select("clip_id").distinct(), "clip_id", "left_semi"), skipped_sources(found, requested), found.answers)
     sources = found.results.select("clip_id", "play", "angle", "action_id", "candidate_actions", "selection_cost")
     if sources.isEmpty():
-        raise catalog.GateError("no audited source can be frozen")
+        reasons = "; ".join(f"{r.clip_id}: {r.reason}" for r in found.skipped.orderBy("clip_id").limit(20).collect())
+        raise catalog.GateError(f"no audited source can be frozen: {reasons}")
     windows = found.results.select("clip_id", "snap_s", "dead_s")
     every = sources.select("clip_id").join(inputs, "clip_id", "left")
-    return catalog.frozen_protocol(sources, windows, every, found.answers, version, evaluator, parameters)
+    kept = catalog.frozen_protocol(sources, windows, every, found.answers, version, evaluator, parameters).withColumn("frozen_at", F.current_timestamp())
+    if tracks is None:
+        return kept
+    at = F.struct("path", "sha256", "artifact_id", "config_hash").alias("tracks_at_freeze")
+    return kept.join(tracks.select("clip_id", at), "clip_id", "left")
+
+
+def skipped_sources(found: Evaluation, requested: DataFrame | None = None) -> DataFrame:
+    """clip_id and reason of the audited clips that are not in the protocol, of those requested."""
+    return found.skipped if requested is None else found.skipped.join(requested.select("clip_id").distinct(), "clip_id", "left_semi")
+
+
+def protocol_document(protocol: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One JSON text: the sources and what was skipped, each in the order of clips. A protocol has some dozens of either."""
+    rows = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(F.col("clip_id"), *(c for c in df.columns if c != "clip_id")))).alias(name))
+    both = rows(protocol, "sources").withColumn("_one", F.lit(1)).join(rows(skipped, "skipped").withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.to_json(F.struct("sources", "skipped")).alias("document"))
 
 
 def evaluated_protocol(protocol: DataFrame, t: catalog.Tables, tracks: DataFrame, inputs: DataFrame, version: int, evaluator: str, parameters: str, *, split: str = "all", allow_drift: bool = False, options: metrics.EvaluationOptions = metrics.EvaluationOptions()) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..kernels.tracker import TrackerOptions
 from ..operators import aggregate, match, tracking
 from ..sinks.lineage import settled
-from . import actions
+from . import actions, batch
 
 CLIP = ["clip_id"]
 
@@ -53,3 +53,20 @@ def reconstructed(projection: DataFrame, clips: DataFrame, options: TrackerOptio
     rows = settled(match.relinked(settled(rows.withColumns(boxes)), CLIP))
     rows = settled(tracking.resolved_teams(settled(match.chained(rows, CLIP)), "clip_id", snaps))
     return tracking.with_roster(rows, "clip_id", snaps).drop("width", "height", "angle").join(snaps, "clip_id", "left")
+
+
+def reconstruct_game(projection: DataFrame, clips: DataFrame, path: str, options: TrackerOptions = TrackerOptions(), activity: actions.ActivityOptions = actions.ActivityOptions(), *, waves: int = 8, resume: bool = True) -> DataFrame:
+    """clip_id, status (cached, created or failed) and error of each clip that has detections; its tracks go below path.
+
+    A clip that can't be reconstructed doesn't stop the others, and what is there isn't made again (plans.batch).
+    """
+    def work(some: DataFrame) -> DataFrame:
+        return reconstructed(projection.join(some, "clip_id", "left_semi"), clips.join(some, "clip_id", "left_semi"), options, activity)
+
+    keys = clips.select("clip_id").join(projection.select("clip_id").distinct(), "clip_id", "left_semi").distinct()
+    return batch.run_batch(keys, work, path, waves=waves, resume=resume)
+
+
+def reconstructed_rows(spark: SparkSession, path: str, clips: DataFrame) -> DataFrame | None:
+    """The tracks of all clips that reconstruct_game has made below path."""
+    return batch.finished(spark, path, clips.select("clip_id").distinct())

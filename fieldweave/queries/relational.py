@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.geometry import perspective, phase_shift
-from ..operators import aggregate, joins, metrics, ranks, sample
+from ..operators import aggregate, joins, metrics, nearest, ranks, sample
 from ..plans import catalog
 from ..sinks import tables as sinks
 from .registry import query, table
@@ -296,7 +296,7 @@ select label, left_id, right_id, round(d, 6) as distance from r where i = 1 and
 def mutual_knn_ratio(spark, sf_dir):
     """Mutual nearest vectors of the two halves of each label."""
     e = table(spark, sf_dir, "embeddings")
-    found = joins.mutual_nearest(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), ["label"], "vec_id", "embedding", 0.98)
+    found = nearest.mutual_nearest(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), ["label"], "vec_id", "embedding", 0.98)
     return found.select("label", "left_id", "right_id", F.round("distance", 6).alias("distance"))
 
 

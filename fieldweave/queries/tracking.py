@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..kernels.tracker import TrackerOptions
 from ..operators import match, metrics, tracking
-from ..plans import actions, catalog, evaluation
+from ..plans import actions, catalog, evaluation, ledger, reconstruction
 from .registry import EVENTS, events, query, table
 
 
@@ -143,6 +145,21 @@ def discovered_actions(spark, sf_dir):
     return actions.discovered(rows, clips, actions.ActivityOptions(tracks=2, least_s=0.2))
 
 
+@query()
+def reconstructed_artifacts(spark, sf_dir):
+    """Detections of all clips to tracks, and the entry that each clip's tracks have in the ledger after that of their projection."""
+    d = detections(spark, sf_dir).drop("team", "label").withColumns({"on_field": F.col("detection_id") % 17 != 0, "calibration_valid": F.col("detection_id") % 19 != 0})
+    colour = F.when(F.floor("field_x") % 2 == 0, 60.0).otherwise(150.0)
+    projection = d.withColumns({"lab_l": colour, "lab_a": F.lit(10.0), "lab_b": F.lit(10.0), "hsv_s": colour / 3}).drop("value")
+    clips = d.groupBy("clip_id").agg(F.lit("sideline").alias("angle"), F.min("video_timestamp").alias("start_s"), F.max("video_timestamp").alias("end_s"))
+    keyframes = clips.select("clip_id", (F.length("clip_id") + 1).alias("revision"))
+    book = ledger.appended(spark.createDataFrame([], schemas.schema("artifacts")), ledger.projection_entries(projection, keyframes, "projection"))
+    options = TrackerOptions()
+    tracks = reconstruction.reconstructed(projection, clips, options)
+    found = ledger.track_entries(tracks, book, ledger.tracking_config(options), "tracks")
+    return found.select("clip_id", "kind", *[F.get_json_object("metadata_json", f"$.{c}").cast("long").alias(c) for c in ("rows", "tracks", "reliable_tracks", "roster_tracks")], "config_hash", "input_revision")
+
+
 @query()
 def aligned_actions(spark, sf_dir):
     """All orders, a game for each customer: those that 3 divides have no play, those that only 5 divides no unit."""

@@ -56,13 +56,12 @@ def next_revision(df: DataFrame, revision: str) -> int:
 
 
 def appended_to_ledger(ledger: DataFrame, new: DataFrame, id: str = "artifact_id") -> DataFrame:
-    """New rows at the end of a ledger of this schema, with ids after its greatest; new has a column `entry` that orders it.
+    """New rows at the end of a ledger of this schema, with ids after its greatest; new has a column `entry` that orders it."""
+    from ..operators.ranks import ranked
 
-    A ledger gets one row for an artifact, so the rows of one call are few.
-    """
     first = ledger.agg(F.coalesce(F.max(id), F.lit(0))).first()[0]
-    numbered = new.withColumn(id, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("entry")) + F.lit(first)).drop("entry")
-    return ledger.unionByName(numbered.withColumn(id, F.col(id).cast("long")), allowMissingColumns=True)
+    numbered = ranked(new.drop(id), [], [F.col("entry")], rank=id, size="_all").withColumn(id, F.col(id) + F.lit(first + 1)).drop("entry", "_all")
+    return ledger.unionByName(numbered, allowMissingColumns=True)
 
 
 def overwrite(df: DataFrame, path: str, by: Names = ()) -> None:
