@@ -1,8 +1,9 @@
 """Language-model scores with stupid backoff, as a table of n-gram counts joined to the n-grams of the documents.
 
-Documents are stored in blocks of a few MB. The n-grams of a block, exploded and counted within it, leave it as
+Documents are stored in blocks of a few MB of text, as numbers into the block's list of word hashes, so that words are
+cut and hashed once. The n-grams of a block, exploded and counted within it, leave it as
 arrays, one for each range of their hashes, and are dealt out by range: what comes together is one partition of
-the count table. There the arrays are rows (block, gram, n) again; one sort by gram gives each gram's count over
+the count table. There those that occur again are rows (block, gram, n); one sort by gram gives each gram's count over
 the corpus and joins it to the rows, of which those go back to their blocks that occur more than once. A block
 then sums up its documents' scores.
 
@@ -25,24 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.grouped import key_groups
 from . import shared
 from .text_kernel import U, Words, mix, shingles, steps, text_slices, words
 
-BLOCKS = "block long, n_words long, payload binary"
+BLOCKS = "block long, n_words long, vocabulary binary, payload binary"
 GRAMS = "range int, block long, grams array<long>, n array<int>"
 COUNTS = "block long, range int, steps array<int>, total array<long>"
 SCORES = "doc_id long, n_words long, n_full long, score double"
 
 
-def exploded(column: pa.Array, order: int) -> tuple[Words, np.ndarray]:
-    """The words of the texts and, for n of 1 to order, the hash of the n-gram that ends at each word (0 where none does)."""
-    w = words(column)
-    h = w.hashes()
-    grams = np.zeros((order, len(h)), U)
+def exploded(found: Words, hashes: np.ndarray, order: int) -> np.ndarray:
+    """For n of 1 to order, the hash of the n-gram that ends at each word (0 where none does)."""
+    grams = np.zeros((order, len(hashes)), U)
     for n in range(1, order + 1):
-        value, at = shingles(w, n, h)
+        value, at = shingles(found, n, hashes)
         grams[n - 1, at + n - 1] = np.maximum(mix(value + steps(10, order)[n - 1]), U(1))
-    return w, grams
+    return grams
 
 
 def range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
@@ -53,34 +53,51 @@ def range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
 def _to_blocks(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        held, size = [], 0
+        ids, hashes, lengths, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
             nonlocal block
-            sink, n = pa.BufferOutputStream(), 0
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
-                for part in held:
-                    file.write_batch(part)
-                    n += len(words(part.column("text")).start)
+            word, first, code = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            order = np.argsort(first)
+            number = np.empty(len(word), np.uint32)
+            number[order] = np.arange(1, len(word) + 1, dtype=np.uint32)
+            number = number[code]
+            number[first] = 0  # a word that is new has the next number
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+            docs = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(number))], ["doc_id", "words"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                file.write_batch(docs)
             block += 1
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_words", "payload"])
+            columns = [pa.array([block]), pa.array([int(ends[-1])]), *(pa.array([x], pa.binary()) for x in (word[order].tobytes(), sink.getvalue().to_pybytes()))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "n_words", "vocabulary", "payload"])
 
         for batch in batches:
             for part in text_slices(batch, most=block_bytes // 4):
-                held.append(part)
+                w = words(part.column("text"))
+                ids.append(part.column("doc_id"))
+                hashes.append(w.hashes())
+                lengths.append(np.diff(w.bounds))
                 size += part.nbytes
                 if size >= block_bytes:
                     yield out()
-                    held, size = [], 0
-        if held:
+                    ids, hashes, lengths, size = [], [], [], 0
+        if ids:
             yield out()
 
     return run
 
 
-def block_column(payload: bytes) -> pa.RecordBatch:
+def block_words(vocabulary: bytes, payload: bytes) -> tuple[pa.Array, Words, np.ndarray]:
+    """The ids of a block's documents, where their words are, and the hashes of these."""
     with pa.ipc.open_stream(payload) as file:
-        return file.read_all().combine_chunks().to_batches()[0]
+        docs = file.read_all().combine_chunks().to_batches()[0]
+    lists = docs.column("words")
+    bounds, number = lists.offsets.to_numpy(), lists.values.to_numpy()
+    new = number == 0
+    hashes = np.frombuffer(vocabulary, U)[np.where(new, np.cumsum(new), number).astype(np.int64) - 1]
+    none = np.empty(0, np.int64)
+    return docs.column("doc_id"), Words(none, bounds, none, none, np.repeat(np.arange(len(lists)), np.diff(bounds)), bounds), hashes
 
 
 def _grams_of_blocks(order: int, ranges: int, low: int, high: int):
@@ -89,8 +106,9 @@ def _grams_of_blocks(order: int, ranges: int, low: int, high: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                _, grams = exploded(block_column(payload).column("text"), order)
+            for block, vocabulary, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "vocabulary", "payload"))):
+                _, w, hashes = block_words(vocabulary, payload)
+                grams = exploded(w, hashes, order)
                 gram, n = np.unique(grams[(grams > 0) & (grams >= least) & (grams <= most)], return_counts=True)
                 own = range_of(gram, ranges)
                 cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, int)
@@ -106,7 +124,32 @@ def range_start(i: int, ranges: int) -> int:
     return -(-(i << 32) // ranges) << 32
 
 
-def _by_block(most: int = 1 << 20):
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, block, place, gram, n) of each range's arrays, which stand together: of the grams that occur more than once in the corpus.
+
+    What occurs once needs no count, and most grams do, so they make no rows.
+    """
+    for rows in key_groups(batches, ["range"]):
+        grams, n = (rows.column(c).combine_chunks() for c in ("grams", "n"))
+        size = grams.value_lengths().to_numpy()
+        flat, count = grams.flatten().to_numpy(), n.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        same = flat[order]
+        again = np.zeros(len(flat), bool)
+        twice = same[1:] == same[:-1]
+        again[order[1:][twice]] = True
+        again[order[:-1][twice]] = True
+        again |= count > 1
+        at = np.flatnonzero(again)
+        row = np.repeat(np.arange(len(size)), size)[at]
+        place = (at - (np.cumsum(size) - size)[row]).astype(np.int32)
+        for i in range(0, len(at), 1 << 17):
+            part, own = at[i : i + (1 << 17)], row[i : i + (1 << 17)]
+            columns = [rows.column("range").to_numpy()[own], rows.column("block").to_numpy()[own], place[i : i + (1 << 17)], flat[part], count[part]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["range", "block", "place", "gram", "n"])
+
+
+def _by_block(most: int = 1 << 18):
     """Rows (range, block, place, total) as arrays for each range and block, some hundred thousand rows at a time; places as steps from the one before."""
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -135,17 +178,19 @@ def _by_block(most: int = 1 << 20):
 
 def counted(blocks: DataFrame, order: int, ranges: int, low: int, high: int, parts: int) -> DataFrame:
     """COUNTS rows: where in the sorted n-grams of a block and range those stand that occur more than once, and their counts over all blocks."""
-    grams = shared.arrow_map(blocks.select("block", "payload"), _grams_of_blocks(order, ranges, low, high), GRAMS)
-    rows = grams.repartition(parts, "range").select("range", "block", F.posexplode(F.arrays_zip("grams", "n")).alias("place", "x"))
-    rows = rows.select("range", "block", "place", F.col("x.grams").alias("gram"), F.col("x.n").alias("n"))
+    grams = shared.arrow_map(blocks.select("block", "vocabulary", "payload"), _grams_of_blocks(order, ranges, low, high), GRAMS)
+    dealt = grams.repartition(parts, "range").sortWithinPartitions("range")
+    rows = shared.arrow_map(dealt, _repeated, "range int, block long, place int, gram long, n int")
     # Rows of one gram are in one range, so they are together already; each gets the sum over all.
-    seen = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "range"))).filter("total > 1")
+    window = Window.partitionBy("gram", "range")
+    seen = rows.withColumn("total", F.sum("n").over(window)).filter("total > 1")
     return shared.arrow_map(seen.select("range", "block", "place", "total"), _by_block(), COUNTS)
 
 
 def _score(order: int, backoff: float, all_words: int, ranges: int):
-    def scored(docs: pa.RecordBatch, counts: list[tuple]) -> pa.RecordBatch:
-        w, grams = exploded(docs.column("text"), order)
+    def scored(docs: tuple[pa.Array, Words, np.ndarray], counts: list[tuple]) -> pa.RecordBatch:
+        doc_ids, w, hashes = docs
+        grams = exploded(w, hashes, order)
         present = grams > 0
         gram, at = np.unique(grams[present], return_inverse=True)
         begin = np.searchsorted(range_of(gram, ranges), np.arange(ranges))
@@ -173,21 +218,21 @@ def _score(order: int, backoff: float, all_words: int, ranges: int):
         total = np.bincount(w.doc, weights=np.log10(value), minlength=w.n_docs)
         full = np.bincount(w.doc, weights=used == order, minlength=w.n_docs).astype(np.int64)
         mean = np.round(total / np.maximum(n_words, 1), 4)
-        return pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(n_words), pa.array(full), pa.array(mean, mask=n_words == 0)], ["doc_id", "n_words", "n_full", "score"])
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(n_words), pa.array(full), pa.array(mean, mask=n_words == 0)], ["doc_id", "n_words", "n_full", "score"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            block, range_, payload = (batch.column(c).to_pylist() for c in ("block", "range", "payload"))
+            block, range_, vocabulary, payload = (batch.column(c).to_pylist() for c in ("block", "range", "vocabulary", "payload"))
             step, total = batch.column("steps"), batch.column("total")
             for i in range(batch.num_rows):
-                yield block[i], range_[i], payload[i], step[i], total[i]
+                yield block[i], range_[i], (vocabulary[i], payload[i]), step[i], total[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, of_block in groupby(rows(batches), key=lambda x: x[0]):
             found, docs = [], None
             for _, range_, payload, step, total in of_block:
                 if range_ < 0:
-                    docs = block_column(payload)
+                    docs = block_words(*payload)
                 else:
                     found.append((range_, step.values.to_numpy(), total.values.to_numpy()))
             yield scored(docs, found)
@@ -195,7 +240,7 @@ def _score(order: int, backoff: float, all_words: int, ranges: int):
     return run
 
 
-def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, block_bytes: int = 5 << 19, passes: int = 3) -> DataFrame:
+def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, block_bytes: int = 5 << 19, passes: int = 4) -> DataFrame:
     """doc_id, n_words, n_full (words scored by their longest n-gram) and score of each row of docs.
 
     score is the mean decimal logarithm of S(word | words before it), rounded to 4 places: the share of the
@@ -213,9 +258,8 @@ def backoff_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, blo
     ranges = 8 * parts
     bounds = [ranges * i // passes for i in range(passes + 1)]
     counts = [shared.written(counted(blocks, order, ranges, a, b, parts), "lm_counts") for a, b in zip(bounds, bounds[1:])]
-    none = [F.lit(None).cast(t) for t in ("array<int>", "array<long>", "binary")]
-    both = blocks.select("block", F.lit(-1).alias("range"), none[0].alias("steps"), none[1].alias("total"), "payload")
+    both = blocks.select("block", F.lit(-1).alias("range"), "vocabulary", "payload")
     for part in counts:
-        both = both.union(part.select("block", "range", "steps", "total", none[2].alias("payload")))
+        both = both.unionByName(part, allowMissingColumns=True)
     joined = both.repartition(parts, "block").sortWithinPartitions("block", "range")
     return shared.arrow_map(joined, _score(order, backoff, all_words, ranges), SCORES)

@@ -174,12 +174,44 @@ def least_agreement(options: NearOptions) -> float:
     return options.sketch * share - options.doubt * (options.sketch * share * (1 - share)) ** 0.5
 
 
-def connected(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, label): the least id of each component, for all ids that edges (a, b) have; by alternating large and small stars. A written table."""
+#: Edges of a graph whose components one task finds, some 2 MB; larger graphs take rounds of joins.
+FEW_EDGES = 100_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label) of all ids of the edges of a small graph, by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], ["id", "label"])
+
+
+def connected(edges: DataFrame, name: str = "components", few: int = FEW_EDGES) -> DataFrame:
+    """(id, label): the least id of each component, for all ids that edges (a, b) have. A written table.
+
+    Up to `few` edges one task unites them; else large and small stars alternate until nothing changes. Labels
+    are the same both ways.
+    """
     spark = edges.sparkSession
     flat = shared.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     before = None
     while True:
+        state = flat.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        if state[0] <= few:
+            labels = shared.written(shared.arrow_map(flat.coalesce(1), _united, "id long, label long"), name)
+            shared.dropped(spark, flat)
+            return labels
+        before = state
         both = flat.union(flat.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Each node links its larger neighbours to the least of them and itself, then its smaller ones.
@@ -187,12 +219,8 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         after = shared.written(small, name)
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         shared.dropped(spark, flat)
         flat = after
-        if state == before:
-            break
-        before = state
     stars = flat.select(F.col("a").alias("id"), F.col("b").alias("label"))
     labels = shared.written(stars.union(flat.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), name)
     shared.dropped(spark, flat)
