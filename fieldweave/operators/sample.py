@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_unit
-from .ranks import least_of_each, ranked
+from ..sinks.lineage import bounded
+from .ranks import FEW_GROUPS, joined, least_of_each, ranked
 
 
 def stratified_middle_out(df: DataFrame, strata: Sequence[str], order: str, n: int, across: Sequence[str] = ()) -> DataFrame:
@@ -55,7 +56,17 @@ def reliable_or_all(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     return df.withColumn("_any", F.max(held).over(Window.partitionBy(*keys))).filter(~F.col("_any") | held).drop("_any")
 
 
-def preferred(df: DataFrame, flags: Sequence[str]) -> DataFrame:
-    """The rows with the first of the flags that df has as a column; all rows if it has none."""
-    flag = next((f for f in flags if f in df.columns), None)
-    return df.filter(F.col(flag)) if flag else df
+def preferred(df: DataFrame, flags: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Of each key the rows with the first of the flags that it knows; all rows of a key that knows none.
+
+    A key knows a flag if any of its rows has it, true or false: artifacts of before the flag have nulls, or no such column.
+    """
+    there = [f for f in flags if f in df.columns]
+    if not there:
+        return df
+    known = df.groupBy(*keys).agg(*[F.max(F.col(f).isNotNull()).alias(f"_knows_{f}") for f in there])
+    both = joined(df, bounded(known, FEW_GROUPS), keys)
+    keep = F.lit(True)
+    for f in reversed(there):
+        keep = F.when(F.col(f"_knows_{f}"), F.coalesce(F.col(f), F.lit(False))).otherwise(keep)
+    return both.filter(keep).select(*df.columns)

@@ -354,3 +354,34 @@ def unknown_requests(requested: DataFrame, known: DataFrame, key: str) -> None:
     bad = requested.select(key).exceptAll(known.select(key).distinct()).limit(20).collect()
     if bad:
         raise GateError(f"unknown: {', '.join(str(r[0]) for r in bad)}")
+
+
+def shown_tracks(tracks: DataFrame, stride: int = 1) -> DataFrame:
+    """What a reader of clips' tracks gets: the roster where there is one, else reliable tracks, else all; at every stride-th time of a clip."""
+    if not 1 <= stride <= 20:
+        raise ValueError("the stride is 1 to 20")
+    return sample.every_nth_time(sample.preferred(tracks, ["roster_candidate", "track_reliable"], ["clip_id"]), ["clip_id"], "video_timestamp", stride)
+
+
+def calibration_context(t: Tables) -> DataFrame:
+    """For each clip what its calibration starts from: film, yard line, possession and kind of its play, its best snap and its latest tracks.
+
+    A clip of several plays has a row for each. Verified windows come before others, then the surest.
+    """
+    best = F.max_by("snap_s", F.struct((F.col("status") == "verified").alias("v"), "confidence", -F.col("action_order")))
+    snaps = t["action_windows"].groupBy("clip_id").agg(best.alias("snap_s"))
+    tracks = latest_artifacts(t, "clip_tracks").select("clip_id", F.col("path").alias("tracks_path"))
+    rows = t["clips"].drop("snap_s", "play_end_s", "confidence").join(t["games"].select("game_id", "video_path"), "game_id")
+    rows = rows.join(t["play_sources"].select("clip_id", "play_id"), "clip_id", "left")
+    rows = rows.join(t["play_alignments"].select("play_id", F.col("game_id").alias("_game"), F.col("ordinal").alias("_ordinal")), "play_id", "left")
+    plays = t["plays"].select(F.col("game_id").alias("_game"), F.col("ordinal").alias("_ordinal"), "yard_line", "possession", "play_type")
+    rows = rows.join(plays, ["_game", "_ordinal"], "left").join(snaps, "clip_id", "left").join(tracks, "clip_id", "left")
+    return rows.select("clip_id", "game_id", "start_s", "end_s", "angle", "video_path", "yard_line", "possession", "play_type", "snap_s", "tracks_path")
+
+
+def with_team_names(df: DataFrame, team: str, games: DataFrame) -> DataFrame:
+    """df, which has game_id, with `home` and `away` replaced by the names of its game's sides; other values stay."""
+    named = df.join(games.select("game_id", F.col("home").alias("_home"), F.col("away").alias("_away")), "game_id", "left")
+    side = F.when(F.col(team) == "home", F.col("_home")).when(F.col(team) == "away", F.col("_away"))
+    return named.withColumn(team, F.coalesce(side, F.col(team))).select(*df.columns)
+

@@ -5,9 +5,9 @@ Schemas are given, never inferred; ids stay text; null tokens and NaN become nul
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,3 +169,28 @@ def paired_examples(manifest: DataFrame, labels: DataFrame, keys: Sequence[str],
     rows = manifest.join(labels, list(keys)).withColumn("video_timestamp", at).filter("video_timestamp >= 0")
     rest = [c for c in labels.columns if c not in keys and c != "frame_id"]
     return rows.groupBy(*keys, "frame_id", "video_timestamp").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("answers"))
+
+
+class DecodeError(ValueError):
+    """A frame that an example needs can't be decoded."""
+
+
+def ordered_examples(examples: DataFrame, keys: Sequence[str], decode: Callable[[Row], object | None]) -> Iterator[tuple[Row, object]]:
+    """(example, frame) in ascending order of keys and frame_id, one partition at a time on the driver.
+
+    decode gives the frame of an example, or None if it can't, which raises.
+    """
+    for row in examples.orderBy(*keys, "frame_id").toLocalIterator(prefetchPartitions=True):
+        frame = decode(row)
+        if frame is None:
+            raise DecodeError(f"decoding failed for {'/'.join(str(row[k]) for k in keys)} at {row['video_timestamp']:.3f}s")
+        yield row, frame
+
+
+def of_one_clip(rows: DataFrame, clip_id: str) -> DataFrame:
+    """rows, which must all be of this clip; raises if there is another, or none."""
+    found = {r[0] for r in rows.select("clip_id").distinct().limit(2).collect()}
+    if found != {clip_id}:
+        raise ValueError(f"the artifact is not of the clip {clip_id} alone")
+    return rows
+
