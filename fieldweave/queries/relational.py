@@ -12,13 +12,19 @@ from ..sinks import tables as sinks
 from .registry import query, table
 
 
-@query("select c_custkey, c_name, count(o_orderkey) as finished from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'F' group by 1, 2")
+@query("""
+select c_custkey, c_name, count(o_orderkey) as finished from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'F'
+group by 1, 2
+""")
 def left_join_counts(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("finished"))
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("finished", F.lit(0)).alias("finished"))
 
 
-@query("select o_orderkey, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from orders left join lineitem on o_orderkey = l_orderkey group by 1")
+@query("""
+select o_orderkey, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from orders left join lineitem on o_orderkey =
+l_orderkey group by 1
+""")
 def fanout_distinct(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
     o = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -26,8 +32,10 @@ def fanout_distinct(spark, sf_dir):
 
 
 @query("""
-select o_orderkey, c_name, n_name, r_name, s_name, p_name, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-join region on n_regionkey = r_regionkey join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey where o_orderstatus = 'P' and l_returnflag = 'R'
+select o_orderkey, c_name, n_name, r_name, s_name, p_name, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as revenue from
+lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+join region on n_regionkey = r_regionkey join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey where o_orderstatus = 'P'
+and l_returnflag = 'R'
 """)
 def star_detail(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
@@ -53,21 +61,29 @@ def semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("select c_custkey, o_orderkey, o_totalprice from customer left join (select * from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1) on c_custkey = o_custkey")
+@query("""
+select c_custkey, o_orderkey, o_totalprice from customer left join (select * from orders qualify row_number() over (partition by o_custkey
+order by o_totalprice desc, o_orderkey) = 1) on c_custkey = o_custkey
+""")
 def top1_correlated(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return joins.top_one(table(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"], ["o_orderkey", "o_totalprice"], F.col("o_totalprice").desc(), F.col("o_orderkey"))
 
 
 @query("""
-select o_orderpriority, count(*) filter (o_orderstatus = 'F') as finished, count(*) filter (o_totalprice > 250000) as large, round(avg(case when o_totalprice > 250000 then 1.0 else 0.0 end), 6) as large_share, round(avg(case when o_orderstatus = 'P' then null else cast(o_orderstatus = 'F' as int) end), 6) as finished_rate from orders group by 1
+select o_orderpriority, count(*) filter (o_orderstatus = 'F') as finished, count(*) filter (o_totalprice > 250000) as large, round(avg(case
+when o_totalprice > 250000 then 1.0 else 0.0 end), 6) as large_share, round(avg(case when o_orderstatus = 'P' then null else
+cast(o_orderstatus = 'F' as int) end), 6) as finished_rate from orders group by 1
 """)
 def status_report(spark, sf_dir):
     s, p = F.col("o_orderstatus"), F.col("o_totalprice")
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(aggregate.count_where(s == "F").alias("finished"), aggregate.count_where(p > 250000).alias("large"), F.round(aggregate.share(p > 250000), 6).alias("large_share"), F.round(aggregate.rate(F.when(s != "P", s == "F")), 6).alias("finished_rate"))
 
 
-@query("select l_returnflag, l_linestatus, round(median(l_quantity), 6) as middle, round(quantile_cont(l_extendedprice, 0.9), 6) as p90, round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by 1, 2")
+@query("""
+select l_returnflag, l_linestatus, round(median(l_quantity), 6) as middle, round(quantile_cont(l_extendedprice, 0.9), 6) as p90,
+round(quantile_cont(l_extendedprice, 0.95), 6) as p95 from lineitem group by 1, 2
+""")
 def percentiles(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
     wanted = {"middle": ("l_quantity", 0.5), "p90": ("l_extendedprice", 0.9), "p95": ("l_extendedprice", 0.95)}
@@ -76,8 +92,10 @@ def percentiles(spark, sf_dir):
 
 
 @query("""
-with e as (select o_orderpriority, o_orderkey, case when o_orderstatus <> 'P' then o_totalprice end as error from orders) select o_orderpriority, round(median(error), 4) as median, round(quantile_cont(error, 0.9), 4) as p90, count(error) as matched, count(*) as total,
-round(count(error) / count(*), 6) as coverage, round(avg(case when error <= 100000 then 1.0 else 0.0 end), 6) as near_share from e group by 1
+with e as (select o_orderpriority, o_orderkey, case when o_orderstatus <> 'P' then o_totalprice end as error from orders) select
+o_orderpriority, round(median(error), 4) as median, round(quantile_cont(error, 0.9), 4) as p90, count(error) as matched, count(*) as total,
+round(count(error) / count(*), 6) as coverage, round(avg(case when error <= 100000 then 1.0 else 0.0 end), 6) as near_share from e group by
+1
 """)
 def error_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("error", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
@@ -86,8 +104,10 @@ def error_rollup(spark, sf_dir):
 
 
 @query("""
-with r as (select o_orderkey, o_orderstatus, o_orderpriority, row_number() over w - 1 as i, count(*) over (partition by o_orderstatus, o_orderpriority) as n from orders window w as (partition by o_orderstatus, o_orderpriority order by o_orderkey)),
-d as (select *, i - n // 2 as d from r), t as (select *, case when d = 0 then 0 when n % 2 = 1 then case when d > 0 then 2 * d - 1 else -2 * d end else case when d < 0 then -2 * d - 1 else 2 * d end end as turn from d)
+with r as (select o_orderkey, o_orderstatus, o_orderpriority, row_number() over w - 1 as i, count(*) over (partition by o_orderstatus,
+o_orderpriority) as n from orders window w as (partition by o_orderstatus, o_orderpriority order by o_orderkey)),
+d as (select *, i - n // 2 as d from r), t as (select *, case when d = 0 then 0 when n % 2 = 1 then case when d > 0 then 2 * d - 1 else -2 *
+d end else case when d < 0 then -2 * d - 1 else 2 * d end end as turn from d)
 select o_orderkey, o_orderstatus, o_orderpriority, turn from t order by turn, o_orderstatus, o_orderpriority limit 100
 """)
 def stratified_middle_out(spark, sf_dir):
@@ -95,7 +115,10 @@ def stratified_middle_out(spark, sf_dir):
     return sample.stratified_middle_out(o, ["o_orderstatus", "o_orderpriority"], "o_orderkey", 100)
 
 
-@query("select c_custkey, case when cast(('0x' || substr(sha256(c_name), 1, 8)) as bigint) / 4294967295.0 < 0.5 then 'validation' else 'test' end as split from customer")
+@query("""
+select c_custkey, case when cast(('0x' || substr(sha256(c_name), 1, 8)) as bigint) / 4294967295.0 < 0.5 then 'validation' else 'test' end as
+split from customer
+""")
 def hash_split(spark, sf_dir):
     return sample.hash_split(table(spark, sf_dir, "customer"), "c_name").select("c_custkey", "split")
 
@@ -106,7 +129,9 @@ def top_orders(spark, sf_dir):
 
 
 @query(f"""
-select conv_id, turn, case when regexp_matches(regexp_replace(trim(text), '\\s+', ' ', 'g'), '(?i)\\b(the|of)\\b') then 'en' when regexp_matches(text, '(?i)\\b(der|die)\\b') then 'de' when regexp_matches(text, '(?i)\\b(de|le)\\b') then 'fr' else 'other' end as label, cast(nullif(regexp_extract(text, '(\\d+)', 1), '') as int) as number from conversations
+select conv_id, turn, case when regexp_matches(regexp_replace(trim(text), '\\s+', ' ', 'g'), '(?i)\\b(the|of)\\b') then 'en' when
+regexp_matches(text, '(?i)\\b(der|die)\\b') then 'de' when regexp_matches(text, '(?i)\\b(de|le)\\b') then 'fr' else 'other' end as label,
+cast(nullif(regexp_extract(text, '(\\d+)', 1), '') as int) as number from conversations
 """)
 def classify_text(spark, sf_dir):
     rules = [(r"(?i)\b(the|of)\b", "en"), (r"(?i)\b(der|die)\b", "de"), (r"(?i)\b(de|le)\b", "fr")]
@@ -115,8 +140,10 @@ def classify_text(spark, sf_dir):
 
 
 @query("""
-select p_partkey, case when regexp_matches(p_type, 'PROMO') then 'promo' else lower(p_type) end as kind, printf('%d_%02d_%s_%s', 2000 + p_size, p_size % 10, upper(p_brand), upper(p_type)) as game_key, substr(sha256(p_name || ':' || p_partkey), 1, 16) as digest,
-cast(nullif(regexp_extract(p_name || ':' || p_partkey, ':(\\d+)$', 1), '') as bigint) as number, nullif(trim(replace(p_name, 'small ring', ' ')), '') as name from part
+select p_partkey, case when regexp_matches(p_type, 'PROMO') then 'promo' else lower(p_type) end as kind, printf('%d_%02d_%s_%s', 2000 +
+p_size, p_size % 10, upper(p_brand), upper(p_type)) as game_key, substr(sha256(p_name || ':' || p_partkey), 1, 16) as digest,
+cast(nullif(regexp_extract(p_name || ':' || p_partkey, ':(\\d+)$', 1), '') as bigint) as number, nullif(trim(replace(p_name, 'small ring',
+' ')), '') as name from part
 """)
 def text_keys(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -128,28 +155,40 @@ def text_keys(spark, sf_dir):
 
 
 @query("""
-with i as (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<li\\b[^>]*>(.*?)</li>', 1)) as li, generate_subscripts(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<li\\b[^>]*>(.*?)</li>', 1), 1) - 1 as row_no from pages)
-select page_id, row_no, trim(regexp_replace(regexp_replace(li, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) as item, regexp_extract(li, 'href="([^"]*)"', 1) as href from i
+with i as (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<li\\b[^>]*>(.*?)</li>', 1)) as
+li, generate_subscripts(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<li\\b[^>]*>(.*?)</li>', 1), 1) - 1 as
+row_no from pages)
+select page_id, row_no, trim(regexp_replace(regexp_replace(li, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) as item, regexp_extract(li,
+'href="([^"]*)"', 1) as href from i
 """)
 def html_items(spark, sf_dir):
     items = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.tag_bodies(text.without_comments(F.col("html")), "li")).alias("row_no", "li"))
     return items.select("page_id", F.col("row_no").cast("long").alias("row_no"), text.plain_text(F.col("li")).alias("item"), F.regexp_extract("li", 'href="([^"]*)"', 1).alias("href"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as int) as k, coalesce(json_extract_string(props, '$.missing'), 'none') as missing from events")
+@query("""
+select event_id, cast(json_extract_string(props, '$.k') as int) as k, coalesce(json_extract_string(props, '$.missing'), 'none') as missing
+from events
+""")
 def json_props(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("p", text.json_or(F.col("props"), "k int, missing string"))
     return e.select("event_id", F.col("p.k").alias("k"), F.coalesce("p.missing", F.lit("none")).alias("missing"))
 
 
-@query("select page_id, regexp_replace(url, '\\?.*$', '?<redacted>') as url, coalesce(regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$'), false) as safe from pages")
+@query("""
+select page_id, regexp_replace(url, '\\?.*$', '?<redacted>') as url, coalesce(regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$'),
+false) as safe from pages
+""")
 def redacted_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.without_query(F.col("url")).alias("url"), text.is_safe_id(F.col("url")).alias("safe"))
 
 
 @query("""
-with delta as (select c_custkey, case when c_custkey % 3 = 0 then null else upper(c_name) end as c_name, case when c_custkey % 4 = 0 then null else c_acctbal + 1 end as c_acctbal from customer where c_custkey % 2 = 0 union all select c_custkey + 1000000, c_name, c_acctbal from customer where c_custkey % 50 = 0)
-select coalesce(d.c_custkey, c.c_custkey) as c_custkey, coalesce(d.c_name, c.c_name) as c_name, case when d.c_custkey is not null then d.c_acctbal else c.c_acctbal end as c_acctbal from customer c full join delta d on c.c_custkey = d.c_custkey
+with delta as (select c_custkey, case when c_custkey % 3 = 0 then null else upper(c_name) end as c_name, case when c_custkey % 4 = 0 then
+null else c_acctbal + 1 end as c_acctbal from customer where c_custkey % 2 = 0 union all select c_custkey + 1000000, c_name, c_acctbal from
+customer where c_custkey % 50 = 0)
+select coalesce(d.c_custkey, c.c_custkey) as c_custkey, coalesce(d.c_name, c.c_name) as c_name, case when d.c_custkey is not null then
+d.c_acctbal else c.c_acctbal end as c_acctbal from customer c full join delta d on c.c_custkey = d.c_custkey
 """)
 def upsert_coalesce(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
@@ -159,7 +198,8 @@ def upsert_coalesce(spark, sf_dir):
 
 
 @query("""
-with new as (select o_custkey, max(o_orderkey) as o_orderkey from orders group by 1), old as (select c_custkey as o_custkey, cast(-1 as bigint) as o_orderkey from customer) select * from new union all select * from old where o_custkey not in (select o_custkey from new)
+with new as (select o_custkey, max(o_orderkey) as o_orderkey from orders group by 1), old as (select c_custkey as o_custkey, cast(-1 as
+bigint) as o_orderkey from customer) select * from new union all select * from old where o_custkey not in (select o_custkey from new)
 """)
 def last_wins_upsert(spark, sf_dir):
     new = sinks.last_wins(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
@@ -167,13 +207,19 @@ def last_wins_upsert(spark, sf_dir):
     return sinks.upserted(old, new, ["o_custkey"])
 
 
-@query("select s_suppkey, s_name from supplier union all select c_custkey, c_name from customer where c_custkey not in (select s_suppkey from supplier)")
+@query("""
+select s_suppkey, s_name from supplier union all select c_custkey, c_name from customer where c_custkey not in (select s_suppkey from
+supplier)
+""")
 def insert_or_ignore(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return sinks.inserted_or_ignored(s, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name")), ["s_suppkey"])
 
 
-@query("select * from (select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')) union all select o_orderkey, 0, 1.0 from orders where o_orderstatus = 'F'")
+@query("""
+select * from (select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey not in (select o_orderkey from orders where
+o_orderstatus = 'F')) union all select o_orderkey, 0, 1.0 from orders where o_orderstatus = 'F'
+""")
 def replaced_groups(spark, sf_dir):
     old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     new = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"))
@@ -181,8 +227,13 @@ def replaced_groups(spark, sf_dir):
 
 
 @query("""
-with c as (select p_partkey, p_name, nullif(p_size, 7) as p_size, case when p_partkey % 11 = 0 then p_retailprice + 1 else p_retailprice end as p_retailprice from part where p_partkey % 13 <> 0 union all select p_partkey + 1000000, p_name, p_size, p_retailprice from part where p_partkey % 500 = 0)
-select coalesce(p.p_partkey, c.p_partkey) as p_partkey, unnest(list_filter([case when p.p_partkey is null then 'added' end, case when c.p_partkey is null then 'missing' end, case when p.p_partkey is not null and c.p_partkey is not null and p.p_size is distinct from c.p_size then 'p_size' end, case when p.p_partkey is not null and c.p_partkey is not null and p.p_retailprice is distinct from c.p_retailprice then 'p_retailprice' end], lambda x: x is not null)) as difference
+with c as (select p_partkey, p_name, nullif(p_size, 7) as p_size, case when p_partkey % 11 = 0 then p_retailprice + 1 else p_retailprice end
+as p_retailprice from part where p_partkey % 13 <> 0 union all select p_partkey + 1000000, p_name, p_size, p_retailprice from part where
+p_partkey % 500 = 0)
+select coalesce(p.p_partkey, c.p_partkey) as p_partkey, unnest(list_filter([case when p.p_partkey is null then 'added' end, case when
+c.p_partkey is null then 'missing' end, case when p.p_partkey is not null and c.p_partkey is not null and p.p_size is distinct from c.p_size
+then 'p_size' end, case when p.p_partkey is not null and c.p_partkey is not null and p.p_retailprice is distinct from c.p_retailprice then
+'p_retailprice' end], lambda x: x is not null)) as difference
 from part p full join c on p.p_partkey = c.p_partkey
 """)
 def drift_diff(spark, sf_dir):
@@ -193,10 +244,16 @@ def drift_diff(spark, sf_dir):
 
 
 @query("""
-with s as (select l_orderkey, list(struct_pack(q := l_quantity, d := l_discount, x := l_tax)) as l, count(*) as n, min(l_discount) as least, count(*) filter (l_tax = 0) as untimed from lineitem group by 1), d as (select l_orderkey, max(l_quantity) as hi, min(l_quantity) as lo, count(*) as m from lineitem where l_tax <> 0 group by 1),
-o as (select o_orderkey, coalesce(n, 0) as n, least, coalesce(untimed, 0) as untimed, case when m = 2 and lo > 0 then hi / lo end as ratio from orders left join s on o_orderkey = s.l_orderkey left join d on o_orderkey = d.l_orderkey),
-p as (select o_orderkey, (case when n <> 2 then 50 else 0 end) + (case when untimed > 0 then 45 + 5 * untimed else 0 end) + (case when least < 0.05 then 20 + 40 * (0.5 - least) else 0 end) + (case when ratio >= 2 then 30 + least(30, 10 * (ratio - 2)) else 0 end) as score, (n <> 2)::int + (untimed > 0)::int + coalesce(least < 0.05, false)::int + coalesce(ratio >= 2, false)::int as reasons from o)
-select o_orderkey, round(score + case when reasons = 0 and o_orderkey % 12 = 0 then 10 else 0 end, 4) as priority, reasons + (reasons = 0 and o_orderkey % 12 = 0)::int as n_reasons from p where score > 0 or o_orderkey % 12 = 0 order by 2 desc, 1 limit 200
+with s as (select l_orderkey, list(struct_pack(q := l_quantity, d := l_discount, x := l_tax)) as l, count(*) as n, min(l_discount) as least,
+count(*) filter (l_tax = 0) as untimed from lineitem group by 1), d as (select l_orderkey, max(l_quantity) as hi, min(l_quantity) as lo,
+count(*) as m from lineitem where l_tax <> 0 group by 1),
+o as (select o_orderkey, coalesce(n, 0) as n, least, coalesce(untimed, 0) as untimed, case when m = 2 and lo > 0 then hi / lo end as ratio
+from orders left join s on o_orderkey = s.l_orderkey left join d on o_orderkey = d.l_orderkey),
+p as (select o_orderkey, (case when n <> 2 then 50 else 0 end) + (case when untimed > 0 then 45 + 5 * untimed else 0 end) + (case when least
+< 0.05 then 20 + 40 * (0.5 - least) else 0 end) + (case when ratio >= 2 then 30 + least(30, 10 * (ratio - 2)) else 0 end) as score, (n <>
+2)::int + (untimed > 0)::int + coalesce(least < 0.05, false)::int + coalesce(ratio >= 2, false)::int as reasons from o)
+select o_orderkey, round(score + case when reasons = 0 and o_orderkey % 12 = 0 then 10 else 0 end, 4) as priority, reasons + (reasons = 0
+and o_orderkey % 12 = 0)::int as n_reasons from p where score > 0 or o_orderkey % 12 = 0 order by 2 desc, 1 limit 200
 """)
 def review_queue(spark, sf_dir):
     """Orders by how much their lines need a review: lines stand for sources, a tax of 0 for missing times."""
@@ -209,9 +266,14 @@ def review_queue(spark, sf_dir):
 
 
 @query("""
-with m as (select o_orderkey, min(l_discount) as a, max(l_tax) as b from orders left join lineitem on o_orderkey = l_orderkey group by 1), k as (select l_orderkey, l_returnflag, count(distinct l_suppkey) as n from lineitem group by 1, 2),
-t as (select l_orderkey, list_sort(list(n)) as sizes from k group by 1), r as (select o_orderkey, list_filter([case when coalesce(sizes, []) <> [1, 1] then 'expected exactly 1 supplier for each of 2 flags' end, case when coalesce(a, 0) < 0.02 then 'discount below threshold' end, case when coalesce(b, 'inf'::double) > 0.06 then 'tax exceeded threshold' end], lambda x: x is not null) as reasons from m left join t on o_orderkey = l_orderkey)
-select o_orderkey, array_to_string(reasons, '; ') as reasons, case when len(reasons) = 0 then 'accepted' else 'rejected' end as status from r
+with m as (select o_orderkey, min(l_discount) as a, max(l_tax) as b from orders left join lineitem on o_orderkey = l_orderkey group by 1), k
+as (select l_orderkey, l_returnflag, count(distinct l_suppkey) as n from lineitem group by 1, 2),
+t as (select l_orderkey, list_sort(list(n)) as sizes from k group by 1), r as (select o_orderkey, list_filter([case when coalesce(sizes, [])
+<> [1, 1] then 'expected exactly 1 supplier for each of 2 flags' end, case when coalesce(a, 0) < 0.02 then 'discount below threshold' end,
+case when coalesce(b, 'inf'::double) > 0.06 then 'tax exceeded threshold' end], lambda x: x is not null) as reasons from m left join t on
+o_orderkey = l_orderkey)
+select o_orderkey, array_to_string(reasons, '; ') as reasons, case when len(reasons) = 0 then 'accepted' else 'rejected' end as status from
+r
 """)
 def quality_gate(spark, sf_dir):
     """Orders by their lines' figures: return flags stand for teams, suppliers for the members of one."""
@@ -223,8 +285,10 @@ def quality_gate(spark, sf_dir):
 
 
 @query("""
-with p as (select l_orderkey, l_linenumber, l_quantity as x, l_extendedprice / 1000 as y from lineitem), q as (select *, 0.002 * x + 0.001 * y + 1 as w, 1.1 * x + 0.2 * y + 3 as u, 0.1 * x + 0.9 * y - 2 as v from p), r as (select *, u / w as fx, v / w as fy from q)
-select l_orderkey, l_linenumber, round(fx, 6) as field_x, round(fy, 6) as field_y, round(greatest(-fx, fx - 120, -fy, fy - 160.0 / 3, 0), 6) as out_of_bounds, greatest(-fx, fx - 120, -fy, fy - 160.0 / 3, 0) <= 3 as on_field from r
+with p as (select l_orderkey, l_linenumber, l_quantity as x, l_extendedprice / 1000 as y from lineitem), q as (select *, 0.002 * x + 0.001 *
+y + 1 as w, 1.1 * x + 0.2 * y + 3 as u, 0.1 * x + 0.9 * y - 2 as v from p), r as (select *, u / w as fx, v / w as fy from q)
+select l_orderkey, l_linenumber, round(fx, 6) as field_x, round(fy, 6) as field_y, round(greatest(-fx, fx - 120, -fy, fy - 160.0 / 3, 0), 6)
+as out_of_bounds, greatest(-fx, fx - 120, -fy, fy - 160.0 / 3, 0) <= 3 as on_field from r
 """)
 def perspective_project(spark, sf_dir):
     m = F.array(*[F.array(*[F.lit(v) for v in row]) for row in ((1.1, 0.2, 3.0), (0.1, 0.9, -2.0), (0.002, 0.001, 1.0))])
@@ -234,9 +298,13 @@ def perspective_project(spark, sf_dir):
 
 
 @query("""
-with c as (select p_partkey, p_size as yard, (p_retailprice % 110) as e, 10.0 + p_size as a, 110.0 - p_size as b from part), o as (select p_partkey, unnest([a, b]) as c, e, abs(a - b) as apart from c),
-s as (select *, 5 * round_even((c - e) / 5, 0) as shift from o), f as (select *, abs(c - e - shift) as res, abs(shift) as size from s where abs(shift) <= 10 and abs(c - e - shift) <= 2.5 and apart >= 12),
-r as (select *, row_number() over (partition by p_partkey order by size, res, c) as n, lead(size) over (partition by p_partkey order by size, res, c) as nxt from f) select p_partkey, round(shift, 6) as shift, round(c, 6) as candidate, round(res, 6) as residual from r where n = 1 and coalesce(nxt - size >= 5, true)
+with c as (select p_partkey, p_size as yard, (p_retailprice % 110) as e, 10.0 + p_size as a, 110.0 - p_size as b from part), o as (select
+p_partkey, unnest([a, b]) as c, e, abs(a - b) as apart from c),
+s as (select *, 5 * round_even((c - e) / 5, 0) as shift from o), f as (select *, abs(c - e - shift) as res, abs(shift) as size from s where
+abs(shift) <= 10 and abs(c - e - shift) <= 2.5 and apart >= 12),
+r as (select *, row_number() over (partition by p_partkey order by size, res, c) as n, lead(size) over (partition by p_partkey order by
+size, res, c) as nxt from f) select p_partkey, round(shift, 6) as shift, round(c, 6) as candidate, round(res, 6) as residual from r where n
+= 1 and coalesce(nxt - size >= 5, true)
 """)
 def five_unit_phase(spark, sf_dir):
     size = F.col("p_size").cast("double")
@@ -245,7 +313,9 @@ def five_unit_phase(spark, sf_dir):
 
 
 @query("""
-with k as (select p_brand, unnest(range(cast(ceil((p_retailprice / 10 - 1) / 0.25) as bigint), cast(floor((p_retailprice / 10 + 1) / 0.25) as bigint) + 1)) as k from part), n as (select p_brand, k, count(*) as n from k group by 1, 2), m as (select *, max(n) over (partition by p_brand) as best from n)
+with k as (select p_brand, unnest(range(cast(ceil((p_retailprice / 10 - 1) / 0.25) as bigint), cast(floor((p_retailprice / 10 + 1) / 0.25)
+as bigint) + 1)) as k from part), n as (select p_brand, k, count(*) as n from k group by 1, 2), m as (select *, max(n) over (partition by
+p_brand) as best from n)
 select p_brand, max(best) as members, round(median(k::double / 4), 6) as centre from m where n = best group by 1
 """)
 def density_mode(spark, sf_dir):
@@ -254,9 +324,13 @@ def density_mode(spark, sf_dir):
 
 
 @query("""
-with i as (select l_orderkey, epoch_us(l_shipdate) / 86400000000.0 as a, epoch_us(l_shipdate) / 86400000000.0 + l_quantity as b from lineitem), r as (select *, max(b) over (partition by l_orderkey order by a, b rows between unbounded preceding and 1 preceding) as reach from i),
-g as (select *, sum(coalesce(cast(a > reach as int), 1)) over (partition by l_orderkey order by a, b) as part from r), p as (select l_orderkey, part, min(a) as a, max(b) as b from g group by 1, 2)
-select l_orderkey, round(sum(b - a), 6) as length, count(*) as parts, round(sum(b - a) / nullif(max(b) - min(a), 0), 6) as cover from p group by 1
+with i as (select l_orderkey, epoch_us(l_shipdate) / 86400000000.0 as a, epoch_us(l_shipdate) / 86400000000.0 + l_quantity as b from
+lineitem), r as (select *, max(b) over (partition by l_orderkey order by a, b rows between unbounded preceding and 1 preceding) as reach
+from i),
+g as (select *, sum(coalesce(cast(a > reach as int), 1)) over (partition by l_orderkey order by a, b) as part from r), p as (select
+l_orderkey, part, min(a) as a, max(b) as b from g group by 1, 2)
+select l_orderkey, round(sum(b - a), 6) as length, count(*) as parts, round(sum(b - a) / nullif(max(b) - min(a), 0), 6) as cover from p
+group by 1
 """)
 def interval_coverage(spark, sf_dir):
     a = F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86400000000.0
@@ -265,8 +339,10 @@ def interval_coverage(spark, sf_dir):
 
 
 @query("""
-with v as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings), c as (select label, median(x) as mx, median(y) as my from v group by 1), d as (select v.label, sqrt((x - mx) ** 2 + (y - my) ** 2) as d from v join c using (label))
-select label, array_to_string(list_transform(list_sort(list(d))[1:22], lambda x: printf('%.5f', x + 0.00000001)), ',') as formation from d group by 1
+with v as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y from embeddings), c as (select label, median(x) as mx,
+median(y) as my from v group by 1), d as (select v.label, sqrt((x - mx) ** 2 + (y - my) ** 2) as d from v join c using (label))
+select label, array_to_string(list_transform(list_sort(list(d))[1:22], lambda x: printf('%.5f', x + 0.00000001)), ',') as formation from d
+group by 1
 """)
 def formation_descriptor(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
@@ -277,8 +353,10 @@ CENTRES = "c as (select label, list(v order by i) as center from (select label,
 
 
 @query(f"""
-with {CENTRES}, d as (select vec_id, c.label, list_distance(embedding::double[], center) as d, row_number() over (partition by vec_id order by list_distance(embedding::double[], center), c.label) as n from embeddings e cross join c)
-select a.vec_id, a.label as nearest, round(a.d, 6) as distance, round(1 - a.d / b.d, 6) as confidence from d a join d b on a.vec_id = b.vec_id and a.n = 1 and b.n = 2
+with {CENTRES}, d as (select vec_id, c.label, list_distance(embedding::double[], center) as d, row_number() over (partition by vec_id order
+by list_distance(embedding::double[], center), c.label) as n from embeddings e cross join c)
+select a.vec_id, a.label as nearest, round(a.d, 6) as distance, round(1 - a.d / b.d, 6) as confidence from d a join d b on a.vec_id =
+b.vec_id and a.n = 1 and b.n = 2
 """)
 def nearest_centroid(spark, sf_dir):
     """Each vector's nearest label by the median vectors of labels, ten of them."""
@@ -289,8 +367,11 @@ def nearest_centroid(spark, sf_dir):
 
 
 @query("""
-with a as (select vec_id as left_id, label, embedding::double[] as v from embeddings where vec_id % 2 = 0), b as (select vec_id as right_id, label, embedding::double[] as v from embeddings where vec_id % 2 = 1), p as (select label, left_id, right_id, list_distance(a.v, b.v) as d from a join b using (label)),
-r as (select *, row_number() over (partition by label, left_id order by d, right_id) as i, row_number() over (partition by label, right_id order by d, left_id) as j, lead(d) over (partition by label, left_id order by d, right_id) as nxt from p)
+with a as (select vec_id as left_id, label, embedding::double[] as v from embeddings where vec_id % 2 = 0), b as (select vec_id as right_id,
+label, embedding::double[] as v from embeddings where vec_id % 2 = 1), p as (select label, left_id, right_id, list_distance(a.v, b.v) as d
+from a join b using (label)),
+r as (select *, row_number() over (partition by label, left_id order by d, right_id) as i, row_number() over (partition by label, right_id
+order by d, left_id) as j, lead(d) over (partition by label, left_id order by d, right_id) as nxt from p)
 select label, left_id, right_id, round(d, 6) as distance from r where i = 1 and j = 1 and coalesce(d < 0.98 * nxt, true)
 """)
 def mutual_knn_ratio(spark, sf_dir):
@@ -301,10 +382,14 @@ def mutual_knn_ratio(spark, sf_dir):
 
 
 @query("""
-with v as (select vec_id, label, vec_id // 20 as frame, vec_id // 2 % 10 as place, embedding[1]::double as x, embedding[2]::double as y from embeddings), p as (select a.label, a.frame, a.place as l, b.place as r, exp(ln(0.05) * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.25) as sim from v a join v b on a.label = b.label and a.frame = b.frame and a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
-s as (select *, sum(sim) over (partition by label, frame, l) + sum(sim) over (partition by label, frame, r) - sim as d from p), g as (select label, l, r, sum(case when d > 2.220446049250313e-16 then sim / d else 0 end) as potential from s group by 1, 2, 3),
+with v as (select vec_id, label, vec_id // 20 as frame, vec_id // 2 % 10 as place, embedding[1]::double as x, embedding[2]::double as y from
+embeddings), p as (select a.label, a.frame, a.place as l, b.place as r, exp(ln(0.05) * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.25) as sim
+from v a join v b on a.label = b.label and a.frame = b.frame and a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
+s as (select *, sum(sim) over (partition by label, frame, l) + sum(sim) over (partition by label, frame, r) - sim as d from p), g as (select
+label, l, r, sum(case when d > 2.220446049250313e-16 then sim / d else 0 end) as potential from s group by 1, 2, 3),
 n as (select label, place, count(*) filter (vec_id % 2 = 0) as a, count(*) filter (vec_id % 2 = 1) as b from v group by 1, 2)
-select g.label, l, r, round(potential, 6) as potential, round(potential / greatest(n.a + m.b - potential, 1e-10), 6) as alignment from g join n on g.label = n.label and l = n.place join n m on g.label = m.label and r = m.place
+select g.label, l, r, round(potential, 6) as potential, round(potential / greatest(n.a + m.b - potential, 1e-10), 6) as alignment from g
+join n on g.label = n.label and l = n.place join n m on g.label = m.label and r = m.place
 """)
 def soft_alignment(spark, sf_dir):
     """How much places of the two halves of each label's vectors go together over frames of twenty vectors."""
@@ -324,8 +409,10 @@ def _rounds(n: int) -> str:
 
 
 @query(f"""
-with v as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings), f as (select x, y from v order by x, vec_id limit 1), s as (select v.x, v.y from v, f order by sqrt((v.x - f.x) ** 2 + (v.y - f.y) ** 2) desc, vec_id limit 1),
-k0 as (select 0 as c, x as cx, y as cy from f union all select 1, x, y from s), {_rounds(3)} select vec_id, (select arg_min(c, ((v.x - cx) ** 2 + (v.y - cy) ** 2, c)) from k3) as cluster from v
+with v as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings), f as (select x, y from v order by x, vec_id
+limit 1), s as (select v.x, v.y from v, f order by sqrt((v.x - f.x) ** 2 + (v.y - f.y) ** 2) desc, vec_id limit 1),
+k0 as (select 0 as c, x as cx, y as cy from f union all select 1, x, y from s), {_rounds(3)} select vec_id, (select arg_min(c, ((v.x - cx)
+** 2 + (v.y - cy) ** 2, c)) from k3) as cluster from v
 """)
 def kmeans_fixed_rounds(spark, sf_dir):
     """Two clusters of plane points from farthest-first centres, three rounds."""
@@ -334,7 +421,10 @@ def kmeans_fixed_rounds(spark, sf_dir):
     return aggregate.lloyd(e, centres, "vec_id", "p", 3).select("vec_id", F.col("nearest").alias("cluster"))
 
 
-@query("select label, round(median(embedding[1]::double), 6) as a from embeddings group by 1 union all select label, round(min(embedding[1]::double), 6) from embeddings group by 1")
+@query("""
+select label, round(median(embedding[1]::double), 6) as a from embeddings group by 1 union all select label,
+round(min(embedding[1]::double), 6) from embeddings group by 1
+""")
 def union_of_parts(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding")[0].cast("double"))
     a, b = e.groupBy("label").agg(F.round(F.median("x"), 6).alias("a")), e.groupBy("label").agg(F.round(F.min("x"), 6).alias("a"))
@@ -367,10 +457,15 @@ def _catalog(spark, sf_dir):
 
 
 @query(f"""
-with p as (select o_orderkey as k, o_orderstatus as s, o_custkey as g from orders where o_orderkey % 7 > 0 and o_custkey = 7), n as (select l_orderkey, count(distinct l_linenumber) as n from lineitem group by 1),
-q as (select k, s, n, case when k % 5 = 0 then 'not_aligned' when k % 11 = 0 then 'alignment_rejected' when k % 3 = 0 then lower(s) else 'awaiting_reconstruction' end as status from p left join n on k = l_orderkey)
-select k::int as ordinal, status as processing_status, case when k % 5 = 0 then 0 else coalesce(n, 0) end as n_sources, case when status = 'not_aligned' then '{catalog.NOT_ALIGNED}' when status = 'alignment_rejected' then case when k % 3 = 0 and k % 2 = 0 then s else '{catalog.REJECTED}' end
- when status = 'awaiting_reconstruction' then '{catalog.AWAITING}' when k % 2 = 0 then s else '' end as reasons, k % 5 > 0 and k % 6 = 0 as selected from q
+with p as (select o_orderkey as k, o_orderstatus as s, o_custkey as g from orders where o_orderkey % 7 > 0 and o_custkey = 7), n as (select
+l_orderkey, count(distinct l_linenumber) as n from lineitem group by 1),
+q as (select k, s, n, case when k % 5 = 0 then 'not_aligned' when k % 11 = 0 then 'alignment_rejected' when k % 3 = 0 then lower(s) else
+'awaiting_reconstruction' end as status from p left join n on k = l_orderkey)
+select k::int as ordinal, status as processing_status, case when k % 5 = 0 then 0 else coalesce(n, 0) end as n_sources, case when status =
+'not_aligned' then '{catalog.NOT_ALIGNED}' when status = 'alignment_rejected' then case when k % 3 = 0 and k % 2 = 0 then s else
+'{catalog.REJECTED}' end
+ when status = 'awaiting_reconstruction' then '{catalog.AWAITING}' when k % 2 = 0 then s else '' end as reasons, k % 5 > 0 and k % 6 = 0 as
+selected from q
 """)
 def catalog_plays(spark, sf_dir):
     """The list of one game's plays with status, sources and reasons."""
@@ -379,8 +474,10 @@ def catalog_plays(spark, sf_dir):
 
 
 @query("""
-with p as (select o_orderkey as k, o_custkey as g from orders where o_orderkey % 5 > 0 and o_orderkey % 6 = 0 and o_orderkey % 4 > 0 and o_orderkey % 9 > 0)
-select distinct 'c:' || k || ':' || l_linenumber as clip_id, g::varchar as game_id, 'bdb-' || g as external_id, k % 1000 as play_number, 'a:c:' || k || ':' || l_linenumber as action_id, l_linenumber + 5.0::double as dead_s from p join lineitem on k = l_orderkey
+with p as (select o_orderkey as k, o_custkey as g from orders where o_orderkey % 5 > 0 and o_orderkey % 6 = 0 and o_orderkey % 4 > 0 and
+o_orderkey % 9 > 0)
+select distinct 'c:' || k || ':' || l_linenumber as clip_id, g::varchar as game_id, 'bdb-' || g as external_id, k % 1000 as play_number,
+'a:c:' || k || ':' || l_linenumber as action_id, l_linenumber + 5.0::double as dead_s from p join lineitem on k = l_orderkey
 """)
 def audited_windows(spark, sf_dir):
     """The action windows of all clips whose play was found right."""
@@ -388,9 +485,12 @@ def audited_windows(spark, sf_dir):
 
 
 @query("""
-with p as (select o_orderkey::int as ordinal, case when o_orderkey % 4 > 0 then o_orderkey % 4 else 0 end as q, lower(o_orderpriority) as kind from orders where o_custkey = 7 and o_orderkey % 7 > 0 and o_orderkey % 5 > 0 and o_orderkey % 11 > 0),
-r as (select *, row_number() over (partition by q, kind order by ordinal) - 1 - count(*) over (partition by q, kind) // 2 as d, count(*) over (partition by q, kind) as n from p),
-t as (select *, case when d = 0 then 0 when n % 2 = 1 then case when d > 0 then 2 * d - 1 else -2 * d end else case when d < 0 then -2 * d - 1 else 2 * d end end as turn from r), f as (select * from t order by turn, q, kind limit 4)
+with p as (select o_orderkey::int as ordinal, case when o_orderkey % 4 > 0 then o_orderkey % 4 else 0 end as q, lower(o_orderpriority) as
+kind from orders where o_custkey = 7 and o_orderkey % 7 > 0 and o_orderkey % 5 > 0 and o_orderkey % 11 > 0),
+r as (select *, row_number() over (partition by q, kind order by ordinal) - 1 - count(*) over (partition by q, kind) // 2 as d, count(*)
+over (partition by q, kind) as n from p),
+t as (select *, case when d = 0 then 0 when n % 2 = 1 then case when d > 0 then 2 * d - 1 else -2 * d end else case when d < 0 then -2 * d -
+1 else 2 * d end end as turn from r), f as (select * from t order by turn, q, kind limit 4)
 select 'p:' || ordinal as play_id, ordinal, q::int as quarter from f
 """)
 def audit_sample(spark, sf_dir):

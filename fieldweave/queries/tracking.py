@@ -60,10 +60,17 @@ def evaluated_sources(spark, sf_dir):
 
 
 @query(f"""
-with {DETECTIONS}, m as (select clip_id, video_timestamp as "at", label || '-' || row_number() over (partition by clip_id, video_timestamp, label order by detection_id) as label, 't' || cast(floor(field_x / 10) as int) as track_id, value as distance from de),
-n as (select clip_id, count(*) as matched, median(distance) as err from m group by 1), c as (select clip_id, track_id, label, count(*) as n from m group by 1, 2, 3), b as (select clip_id, track_id, max(n) as best, sum(n) as total from c group by 1, 2), p as (select clip_id, sum(best) / sum(total) as purity from b group by 1),
-s as (select clip_id, sum(ch::int) as switches from (select clip_id, coalesce(track_id <> lag(track_id) over (partition by clip_id, label order by "at", track_id), false) as ch from m) group by 1), f as (select clip_id, avg(n) as fragments from (select clip_id, label, count(distinct track_id) as n from m group by 1, 2) group by 1)
-select clip_id, matched as matched_assignments, round(err, 6) as median_error, round(purity, 6) as purity, switches::bigint as id_switches, round(fragments, 6) as fragments, round(100.0 * switches / matched, 6) as per_100 from n join p using (clip_id) join s using (clip_id) join f using (clip_id)
+with {DETECTIONS}, m as (select clip_id, video_timestamp as "at", label || '-' || row_number() over (partition by clip_id, video_timestamp,
+label order by detection_id) as label, 't' || cast(floor(field_x / 10) as int) as track_id, value as distance from de),
+n as (select clip_id, count(*) as matched, median(distance) as err from m group by 1), c as (select clip_id, track_id, label, count(*) as n
+from m group by 1, 2, 3), b as (select clip_id, track_id, max(n) as best, sum(n) as total from c group by 1, 2), p as (select clip_id,
+sum(best) / sum(total) as purity from b group by 1),
+s as (select clip_id, sum(ch::int) as switches from (select clip_id, coalesce(track_id <> lag(track_id) over (partition by clip_id, label
+order by "at", track_id), false) as ch from m) group by 1), f as (select clip_id, avg(n) as fragments from (select clip_id, label,
+count(distinct track_id) as n from m group by 1, 2) group by 1)
+select clip_id, matched as matched_assignments, round(err, 6) as median_error, round(purity, 6) as purity, switches::bigint as id_switches,
+round(fragments, 6) as fragments, round(100.0 * switches / matched, 6) as per_100 from n join p using (clip_id) join s using (clip_id) join
+f using (clip_id)
 """)
 def identity(spark, sf_dir):
     rows = _named_apart(detections(spark, sf_dir))
@@ -85,11 +92,18 @@ def roster(spark, sf_dir):
 
 
 @query(f"""
-with {DETECTIONS}, s as (select clip_id, label, median(value) as x from de group by 1, 2), z as (select clip_id, count(*) as n, min(x) as lo, max(x) as hi from s group by 1 having count(*) >= 3),
-g as (select clip_id, lo + k * 0.25 as c from (select clip_id, lo, unnest(range(0, cast(ceil((hi + 0.251 - lo) / 0.25) as bigint))) as k from z)), k as (select g.clip_id, c, count(*) as n from g join s on g.clip_id = s.clip_id and abs(x - c) <= 1 group by 1, 2),
-m as (select clip_id, max(n) as members from k group by 1), b as (select k.clip_id, members, median(c) as centre from k join m on k.clip_id = m.clip_id and k.n = members group by 1, 2),
-e as (select s.clip_id, x, lead(x) over w as nxt, row_number() over w as l, n from s join z using (clip_id) window w as (partition by s.clip_id order by x)), f as (select e.clip_id, (x + nxt) / 2 as threshold, nxt - x as gap, l, n - l as r, centre, members, abs((x + nxt) / 2 - centre) as away from e join b using (clip_id) where nxt is not null)
-select clip_id, round(threshold, 6) as threshold, round(gap, 6) as gap, l as "left", r as "right", round(centre, 6) as dense_center, members as dense_members from f where away <= 30 and l >= 1 and r >= 1 qualify row_number() over (partition by clip_id order by away, gap desc, threshold) = 1
+with {DETECTIONS}, s as (select clip_id, label, median(value) as x from de group by 1, 2), z as (select clip_id, count(*) as n, min(x) as
+lo, max(x) as hi from s group by 1 having count(*) >= 3),
+g as (select clip_id, lo + k * 0.25 as c from (select clip_id, lo, unnest(range(0, cast(ceil((hi + 0.251 - lo) / 0.25) as bigint))) as k
+from z)), k as (select g.clip_id, c, count(*) as n from g join s on g.clip_id = s.clip_id and abs(x - c) <= 1 group by 1, 2),
+m as (select clip_id, max(n) as members from k group by 1), b as (select k.clip_id, members, median(c) as centre from k join m on k.clip_id
+= m.clip_id and k.n = members group by 1, 2),
+e as (select s.clip_id, x, lead(x) over w as nxt, row_number() over w as l, n from s join z using (clip_id) window w as (partition by
+s.clip_id order by x)), f as (select e.clip_id, (x + nxt) / 2 as threshold, nxt - x as gap, l, n - l as r, centre, members, abs((x + nxt) /
+2 - centre) as away from e join b using (clip_id) where nxt is not null)
+select clip_id, round(threshold, 6) as threshold, round(gap, 6) as gap, l as "left", r as "right", round(centre, 6) as dense_center, members
+as dense_members from f where away <= 30 and l >= 1 and r >= 1 qualify row_number() over (partition by clip_id order by away, gap desc,
+threshold) = 1
 """)
 def team_split(spark, sf_dir):
     snap = detections(spark, sf_dir).groupBy("clip_id", F.col("label").alias("track_id")).agg(F.median("value").alias("snap_x"))
@@ -98,16 +112,29 @@ def team_split(spark, sf_dir):
 
 
 @query(f"""
-with {EVENTS}, a as (select user_id, row_number() over (partition by user_id order by event_id) / 5.0 as t, value as score, event_type = 'error' as cut, count(*) over (partition by user_id) as n from ev), s as (select *, sum(score) over (partition by user_id order by t rows between 2 preceding and 2 following) / 5 as x from a where n >= 10),
-q as (select user_id, quantile_cont(x, 0.35) as p35, quantile_cont(x, 0.42) as p42, quantile_cont(x, 0.67) as p67, median(x) as m from s where not cut group by 1), d as (select s.user_id, median(abs(x - m)) as d from s join q using (user_id) where not cut group by 1),
-h as (select user_id, greatest(p67, p35 + 1.5 * case when d = 0 then 1 else d end) as hi, greatest(p42, p35 + 0.35 * case when d = 0 then 1 else d end) as lo from q join d using (user_id)),
+with {EVENTS}, a as (select user_id, row_number() over (partition by user_id order by event_id) / 5.0 as t, value as score, event_type =
+'error' as cut, count(*) over (partition by user_id) as n from ev), s as (select *, sum(score) over (partition by user_id order by t rows
+between 2 preceding and 2 following) / 5 as x from a where n >= 10),
+q as (select user_id, quantile_cont(x, 0.35) as p35, quantile_cont(x, 0.42) as p42, quantile_cont(x, 0.67) as p67, median(x) as m from s
+where not cut group by 1), d as (select s.user_id, median(abs(x - m)) as d from s join q using (user_id) where not cut group by 1),
+h as (select user_id, greatest(p67, p35 + 1.5 * case when d = 0 then 1 else d end) as hi, greatest(p42, p35 + 0.35 * case when d = 0 then 1
+else d end) as lo from q join d using (user_id)),
 m as (select s.user_id, t, x, x >= hi as seed, x >= lo and not cut as grow, x >= hi and cut as cs from s join h using (user_id)),
-r as (select *, grow <> lag(grow, 1, not grow) over w as ch, grow and (seed or coalesce(lag(cs) over w, false) or coalesce(lead(cs) over w, false)) as touch from m window w as (partition by user_id order by t)), g as (select *, sum(ch::int) over (partition by user_id order by t) as run from r),
-v as (select user_id, t, x, seed or (grow and max(touch::int) over (partition by user_id, run) = 1) as f from g), b as (select *, f <> lag(f, 1, not f) over (partition by user_id order by t) as ch, row_number() over (partition by user_id order by t) as i, count(*) over (partition by user_id) as n from v),
-c as (select *, sum(ch::int) over (partition by user_id order by t) as isl from b), e as (select *, min(i) over (partition by user_id, isl) as a, max(i) over (partition by user_id, isl) as z from c),
-l as (select user_id, t, x, f or (a > 1 and z < n and (z - a + 1 <= 15 or (z - a + 1 < 30 and i - a >= z - a + 1 - 15))) as f from e), o as (select *, f <> lag(f, 1, not f) over (partition by user_id order by t) as ch from l), u as (select *, sum(ch::int) over (partition by user_id order by t) as isl from o),
-w as (select user_id, min(t) as first, max(t) as last, max(x) as peak from u where f group by user_id, isl), k as (select user_id, min(t) as t0 from a group by 1)
-select user_id, round(greatest(first - 0.6, t0), 6) as start, round(last + 0.8, 6) as stop, round(peak, 6) as peak from w join k using (user_id) where last - first + 0.2 between 0.4 - 1e-9 and 18 + 1e-9
+r as (select *, grow <> lag(grow, 1, not grow) over w as ch, grow and (seed or coalesce(lag(cs) over w, false) or coalesce(lead(cs) over w,
+false)) as touch from m window w as (partition by user_id order by t)), g as (select *, sum(ch::int) over (partition by user_id order by t)
+as run from r),
+v as (select user_id, t, x, seed or (grow and max(touch::int) over (partition by user_id, run) = 1) as f from g), b as (select *, f <>
+lag(f, 1, not f) over (partition by user_id order by t) as ch, row_number() over (partition by user_id order by t) as i, count(*) over
+(partition by user_id) as n from v),
+c as (select *, sum(ch::int) over (partition by user_id order by t) as isl from b), e as (select *, min(i) over (partition by user_id, isl)
+as a, max(i) over (partition by user_id, isl) as z from c),
+l as (select user_id, t, x, f or (a > 1 and z < n and (z - a + 1 <= 15 or (z - a + 1 < 30 and i - a >= z - a + 1 - 15))) as f from e), o as
+(select *, f <> lag(f, 1, not f) over (partition by user_id order by t) as ch from l), u as (select *, sum(ch::int) over (partition by
+user_id order by t) as isl from o),
+w as (select user_id, min(t) as first, max(t) as last, max(x) as peak from u where f group by user_id, isl), k as (select user_id, min(t) as
+t0 from a group by 1)
+select user_id, round(greatest(first - 0.6, t0), 6) as start, round(last + 0.8, 6) as stop, round(peak, 6) as peak from w join k using
+(user_id) where last - first + 0.2 between 0.4 - 1e-9 and 18 + 1e-9
 """)
 def motion_windows(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
@@ -117,16 +144,28 @@ def motion_windows(spark, sf_dir):
 
 
 @query(f"""
-with {EVENTS}, tr as (select user_id as play, cast(floor(t / 21600) as bigint) as frame_id, case when event_type <> 'error' then event_type end as player_id, value as x, k::double as y, value / 10 as speed,
- case when event_id % 29 = 0 then 'BALL_SNAP' when event_id % 31 = 0 then 'pass_forward' when event_id % 37 = 0 then 'handoff' when event_id % 5 = 0 then '' end as event from ev),
-b as (select play, min(frame_id) filter (lower(event) = 'ball_snap') as s, max(frame_id) as z, list_sort(list(distinct lower(event)) filter (event <> '')) as events from tr group by 1), p as (select tr.*, s, z from tr join b using (play) where s is not null and frame_id >= s and player_id is not null),
-c as (select play, len(list_filter(range(1, 8), lambda i: s + (z + 1e-6 - s) * (i::double / 8) <= frame_id)) as bin, median(speed) as v from p group by all), g as (select play, bin from (select play from b where s is not null), range(8) x(bin)), f as (select g.play, g.bin, c.v from g left join c using (play, bin)),
-n as (select *, last_value(case when v is not null then bin end ignore nulls) over lo as b0, last_value(v ignore nulls) over lo as v0, first_value(case when v is not null then bin end ignore nulls) over hi as b1, first_value(v ignore nulls) over hi as v1 from f
- window lo as (partition by play order by bin rows between unbounded preceding and current row), hi as (partition by play order by bin rows between current row and unbounded following)),
-o as (select play, string_agg(printf('%.4f', coalesce(v, v0 + (v1 - v0) * coalesce((bin - b0) / nullif(b1 - b0, 0), 0), v0, v1, 0) + 0.0000001), ',' order by bin) as profile from n group by 1),
-m as (select play, median(x) as mx, median(y) as my from p where frame_id = s group by 1), d as (select p.play, list_sort(list(sqrt((x - mx) ** 2 + (y - my) ** 2))) as far from p join m using (play) where frame_id = s group by 1)
-select b.play as user_id, greatest(0.1, (z - s) / 10) as duration, array_to_string(events, ',') as events, case when list_contains(events, 'pass_forward') then 'pass' when list_contains(events, 'handoff') then 'run' else 'unknown' end as category, profile,
- coalesce(array_to_string(list_transform(far, lambda x: printf('%.2f', round_even(x, 3) + 0.00001)), ','), '') as formation from b join o using (play) left join d using (play)
+with {EVENTS}, tr as (select user_id as play, cast(floor(t / 21600) as bigint) as frame_id, case when event_type <> 'error' then event_type
+end as player_id, value as x, k::double as y, value / 10 as speed,
+ case when event_id % 29 = 0 then 'BALL_SNAP' when event_id % 31 = 0 then 'pass_forward' when event_id % 37 = 0 then 'handoff' when event_id
+% 5 = 0 then '' end as event from ev),
+b as (select play, min(frame_id) filter (lower(event) = 'ball_snap') as s, max(frame_id) as z, list_sort(list(distinct lower(event)) filter
+(event <> '')) as events from tr group by 1), p as (select tr.*, s, z from tr join b using (play) where s is not null and frame_id >= s and
+player_id is not null),
+c as (select play, len(list_filter(range(1, 8), lambda i: s + (z + 1e-6 - s) * (i::double / 8) <= frame_id)) as bin, median(speed) as v from
+p group by all), g as (select play, bin from (select play from b where s is not null), range(8) x(bin)), f as (select g.play, g.bin, c.v
+from g left join c using (play, bin)),
+n as (select *, last_value(case when v is not null then bin end ignore nulls) over lo as b0, last_value(v ignore nulls) over lo as v0,
+first_value(case when v is not null then bin end ignore nulls) over hi as b1, first_value(v ignore nulls) over hi as v1 from f
+ window lo as (partition by play order by bin rows between unbounded preceding and current row), hi as (partition by play order by bin rows
+between current row and unbounded following)),
+o as (select play, string_agg(printf('%.4f', coalesce(v, v0 + (v1 - v0) * coalesce((bin - b0) / nullif(b1 - b0, 0), 0), v0, v1, 0) +
+0.0000001), ',' order by bin) as profile from n group by 1),
+m as (select play, median(x) as mx, median(y) as my from p where frame_id = s group by 1), d as (select p.play, list_sort(list(sqrt((x - mx)
+** 2 + (y - my) ** 2))) as far from p join m using (play) where frame_id = s group by 1)
+select b.play as user_id, greatest(0.1, (z - s) / 10) as duration, array_to_string(events, ',') as events, case when list_contains(events,
+'pass_forward') then 'pass' when list_contains(events, 'handoff') then 'run' else 'unknown' end as category, profile,
+ coalesce(array_to_string(list_transform(far, lambda x: printf('%.2f', round_even(x, 3) + 0.00001)), ','), '') as formation from b join o
+using (play) left join d using (play)
 """)
 def play_signature(spark, sf_dir):
     """Users as plays of an answer key: six hours as a frame, kinds of events as players, errors as the ball."""
