@@ -66,6 +66,7 @@ def hota(truth: DataFrame, tracks: DataFrame, keys: Names, frame: str = "frame_i
     """
     keys = list(keys)
     pairs, whole = soft_alignment(truth, tracks, keys, frame, tau)
+    whole = settled(whole)  # read twice, and what it is made of once more
     scored = pairs.select(*keys, frame, "label", "track_id", "sim").join(whole.select(*keys, "label", "track_id", "alignment"), [*keys, "label", "track_id"])
     chosen = optimal_pairs(scored.withColumn("cost", -F.col("alignment") * F.col("sim")), keys, [frame], "label", "track_id", "cost", carry=["sim"])
     at = chosen.select("*", F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha")).filter(F.col("sim") >= F.col("alpha") - EPS)

@@ -60,31 +60,54 @@ def plays(t: Tables, game_id: str) -> DataFrame:
     return rows.withColumn("reasons", processing_reasons(F.col("processing_status"), reasons)).withColumn("metrics", metrics).orderBy("ordinal")
 
 
-def review_priority(sources: Column, ordinal: Column) -> tuple[Column, Column]:
-    """(score, reasons) for reviewing a play, from an array of its sources with snap_s, play_end_s and confidence."""
+def source_facts(snap: Column, end: Column, confidence: Column) -> dict[str, Column]:
+    """Aggregates over a play's sources that its review priority follows from."""
+    lasting = F.when(snap.isNotNull() & end.isNotNull(), end - snap)
+    return {
+        "n": F.count(F.lit(1)), "untimed": count_where(snap.isNull() | end.isNull()), "least": F.min(F.coalesce(confidence, F.lit(0.0))),
+        "timed": F.count(lasting), "shortest": F.min(lasting), "longest": F.max(lasting),
+    }
+
+
+def listed_facts(sources: Column) -> dict[str, Column]:
+    """The same of an array of sources with snap_s, play_end_s and confidence."""
+    lasting = F.transform(
+        F.filter(sources, lambda s: s["snap_s"].isNotNull() & s["play_end_s"].isNotNull()), lambda s: s["play_end_s"] - s["snap_s"]
+    )
+    return {
+        "n": F.size(sources), "untimed": F.size(F.filter(sources, lambda s: s["snap_s"].isNull() | s["play_end_s"].isNull())),
+        "least": F.array_min(F.transform(sources, lambda s: F.coalesce(s["confidence"], F.lit(0.0)))),
+        "timed": F.size(lasting), "shortest": F.array_min(lasting), "longest": F.array_max(lasting),
+    }
+
+
+def review_priority(facts: Mapping[str, Column], ordinal: Column) -> tuple[Column, Column, Column]:
+    """(score, number of reasons, reasons) for reviewing a play, from facts about its sources; a play without sources has n of 0 and nulls."""
     # The texts of the reasons.
-    n = F.size(sources)
-    untimed = F.size(F.filter(sources, lambda s: s["snap_s"].isNull() | s["play_end_s"].isNull()))
-    least = F.array_min(F.transform(sources, lambda s: F.coalesce(s["confidence"], F.lit(0.0))))
-    lasting = F.transform(F.filter(sources, lambda s: s["snap_s"].isNotNull() & s["play_end_s"].isNotNull()), lambda s: s["play_end_s"] - s["snap_s"])
-    ratio = F.when((F.size(lasting) == 2) & (F.array_min(lasting) > 0), F.array_max(lasting) / F.nullif(F.array_min(lasting), F.lit(0.0)))
+    n, untimed, least = facts["n"], F.coalesce(facts["untimed"], F.lit(0)), facts["least"]
+    ratio = F.when((facts["timed"] == 2) & (facts["shortest"] > 0), facts["longest"] / F.nullif(facts["shortest"], F.lit(0.0)))
+    counted = F.concat(n.cast("string"), F.when(n == 1, " source").otherwise(" sources"), F.lit("; expected 2"))
+    unsure = F.concat(F.lit("low source confidence ("), F.format_string("%.2f", least), F.lit(")"))
+    apart = F.concat(F.lit("angle timings disagree ("), F.format_string("%.1f", ratio), F.lit("×)"))
     tests = [
-        (n != 2, F.lit(50.0), F.concat(n.cast("string"), F.when(n == 1, " source").otherwise(" sources"), F.lit("; expected 2"))),
+        (n != 2, F.lit(50.0), counted),
         (untimed > 0, 45.0 + 5 * untimed, F.lit("missing action timing")),
-        (F.coalesce(least < 0.5, F.lit(False)), 20 + 40 * (0.5 - least), F.concat(F.lit("low source confidence ("), F.format_string("%.2f", least), F.lit(")"))),
-        (F.coalesce(ratio >= 2, F.lit(False)), 30 + F.least(F.lit(30.0), 10 * (ratio - 2)), F.concat(F.lit("angle timings disagree ("), F.format_string("%.1f", ratio), F.lit("×)"))),
+        (F.coalesce(least < 0.5, F.lit(False)), 20 + 40 * (0.5 - least), unsure),
+        (F.coalesce(ratio >= 2, F.lit(False)), 30 + F.least(F.lit(30.0), 10 * (ratio - 2)), apart),
     ]
     score = sum((F.when(test, value).otherwise(0.0) for test, value, _ in tests), F.lit(0.0))
-    reasons = present(*[F.when(test, reason) for test, _, reason in tests])
-    checkpoint = (F.size(reasons) == 0) & (F.coalesce(ordinal, F.lit(0)) % 12 == 0)
-    return score + F.when(checkpoint, 10.0).otherwise(0.0), F.when(checkpoint, F.array(F.lit("alignment checkpoint"))).otherwise(reasons)
+    found = sum((test.cast("int") for test, _, _ in tests), F.lit(0))
+    checkpoint = (found == 0) & (F.coalesce(ordinal, F.lit(0)) % 12 == 0)
+    reasons = F.when(checkpoint, F.array(F.lit("alignment checkpoint"))).otherwise(present(*[F.when(test, reason) for test, _, reason in tests]))
+    return score + F.when(checkpoint, 10.0).otherwise(0.0), found + checkpoint.cast("int"), reasons
 
 
 def audit_queue(t: Tables, game_id: str, limit: int = 40) -> DataFrame:
     """Aligned plays not yet audited that have a reason to be reviewed, the most urgent first."""
     rows = plays(t, game_id).filter("alignment_status is not null and mapping_correct is null")
-    score, reasons = review_priority(F.col("sources"), F.col("ordinal"))
-    return sample.top(rows.withColumn("priority", score).withColumn("reasons", reasons).filter("priority > 0"), limit, F.col("priority").desc(), F.col("ordinal"))
+    score, _, reasons = review_priority(listed_facts(F.col("sources")), F.col("ordinal"))
+    urgent = sample.top(rows.withColumn("priority", score).filter("priority > 0"), limit, F.col("priority").desc(), F.col("ordinal"))
+    return urgent.withColumn("reasons", reasons)
 
 
 def shots(t: Tables, game_id: str) -> DataFrame:

@@ -257,11 +257,14 @@ and o_orderkey % 12 = 0)::int as n_reasons from p where score > 0 or o_orderkey
 """)
 def review_queue(spark, sf_dir):
     """Orders by how much their lines need a review: lines stand for sources, a tax of 0 for missing times."""
-    line = F.struct(F.when(F.col("l_tax") != 0, F.lit(0.0)).alias("snap_s"), F.when(F.col("l_tax") != 0, F.col("l_quantity")).alias("play_end_s"), F.when(F.col("l_discount") < 0.05, F.col("l_discount")).otherwise(0.9).alias("confidence"))
-    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("sources"))
-    o = table(spark, sf_dir, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("sources", F.coalesce("sources", F.array().cast(s.schema["sources"].dataType)))
-    score, reasons = catalog.review_priority(F.col("sources"), F.col("o_orderkey"))
-    found = o.select("o_orderkey", F.round(score, 4).alias("priority"), F.size(reasons).alias("n_reasons")).filter("priority > 0")
+    timed = F.col("l_tax") != 0
+    facts = catalog.source_facts(
+        F.when(timed, F.lit(0.0)), F.when(timed, F.col("l_quantity")), F.when(F.col("l_discount") < 0.05, F.col("l_discount")).otherwise(0.9)
+    )
+    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[c.alias(name) for name, c in facts.items()])
+    o = table(spark, sf_dir, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["n"])
+    score, n_reasons, _ = catalog.review_priority({name: F.col(name) for name in facts}, F.col("o_orderkey"))
+    found = o.select("o_orderkey", F.round(score, 4).alias("priority"), n_reasons.alias("n_reasons")).filter("priority > 0")
     return sample.top(found, 200, F.col("priority").desc(), F.col("o_orderkey"))
 
 
