@@ -17,7 +17,7 @@ counts before it is scored, so what nothing but the document itself has backs of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -35,12 +35,17 @@ COUNTS = "block long, range int, steps array<int>, total array<long>"
 SCORES = "doc_id long, n_words long, n_full long, score double"
 
 
-def exploded(found: Words, hashes: np.ndarray, order: int) -> np.ndarray:
-    """For n of 1 to order, the hash of the n-gram that ends at each word (0 where none does)."""
+def exploded(found: Words, hashes: np.ndarray, order: int, orders: Sequence[int] | None = None) -> np.ndarray:
+    """For n of 1 to order, the hash of the n-gram that ends at each word (0 where none does, and for n not in orders).
+
+    The longest n-grams have the upper three quarters of the hashes, all others the lowest, so that a pass over a part makes only what it needs.
+    """
     grams = np.zeros((order, len(hashes)), U)
-    for n in range(1, order + 1):
+    for n in orders or range(1, order + 1):
         value, at = shingles(found, n, hashes)
-        grams[n - 1, at + n - 1] = np.maximum(mix(value + steps(10, order)[n - 1]), U(1))
+        value = mix(value + steps(10, order)[n - 1])
+        part = U(1) + value % U(3) if n == order else U(0)
+        grams[n - 1, at + n - 1] = np.maximum((part << U(62)) | (value >> U(2)), U(1))
     return grams
 
 
@@ -102,12 +107,13 @@ def block_words(vocabulary: bytes, payload: bytes) -> tuple[pa.Array, Words, np.
 def _grams_of_blocks(order: int, ranges: int, low: int, high: int):
     """The n-grams of each block in the ranges from low to high, sorted, and how often each occurs."""
     least, most = U(range_start(low, ranges)), U(range_start(high, ranges) - 1)
+    orders = [n for n in range(1, order + 1) if (most >= U(1 << 62) if n == order else least < U(1 << 62))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, vocabulary, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "vocabulary", "payload"))):
                 _, w, hashes = block_words(vocabulary, payload)
-                grams = exploded(w, hashes, order)
+                grams = exploded(w, hashes, order, orders)
                 gram, n = np.unique(grams[(grams > 0) & (grams >= least) & (grams <= most)], return_counts=True)
                 own = range_of(gram, ranges)
                 cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, int)
@@ -128,7 +134,7 @@ def _by_block(most: int = 1 << 18):
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         range_, block, place, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("range", "block", "place", "total"))
-        sort = np.lexsort((place, range_, block))
+        sort = np.argsort(block, kind="stable")  # rows come by gram, so those of a block and range are in order of place
         range_, block, place, total = range_[sort], block[sort], place[sort], total[sort]
         cut = np.flatnonzero(np.append(True, (range_[1:] != range_[:-1]) | (block[1:] != block[:-1])))
         step = np.diff(place, prepend=place[:1])
