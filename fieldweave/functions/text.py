@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The edge of a word of ASCII letters, digits and underscores, as RE2's \b; Java's own counts letters beyond ASCII up to version 18.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
 # The word rules by which prose descriptions of plays are told apart.
 NOT_A_PLAY = r"(?i)\b(punt|field goal|kickoff|kneel|spike|timeout|end of|no play)\b"
 PASS_WORDS = r"(?i)\b(pass|sacked|scramble)\b"
@@ -135,7 +138,7 @@ def without_comments(html: Column) -> Column:
 
 def tag_bodies(html: Column, tag: str) -> Column:
     """What stands in each element of this name, elements not nested in their like."""
-    return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}{EDGE}[^>]*>(.*?)</{tag}>"), F.lit(1))
 
 
 # Names of characters in markup.
