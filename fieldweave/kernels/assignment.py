@@ -8,9 +8,9 @@ import numpy as np
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of a cheapest matching of all of the shorter side, rows in ascending order.
 
-    Shortest augmenting paths with potentials, one row at a time; entries must be finite.
+    Shortest augmenting paths with potentials, one row at a time; entries must be finite. Most rows find their column free.
     """
-    cost = np.asarray(cost, float)
+    cost = np.ascontiguousarray(cost, float)
     if cost.ndim != 2 or 0 in cost.shape:
         return np.empty(0, int), np.empty(0, int)
     if cost.shape[0] > cost.shape[1]:
@@ -21,23 +21,28 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, v = np.zeros(n), np.zeros(m)
     row_of = np.full(m, -1)
     for new in range(n):
-        best, via = np.full(m, np.inf), np.full(m, -1)
-        done = np.zeros(m, bool)
-        row, at, length = new, -1, 0.0
-        while True:
+        best = cost[new] - v
+        at = int(best.argmin())
+        length = best[at]
+        if row_of[at] < 0:
+            u[new], row_of[at] = length, new
+            continue
+        via, ahead = np.full(m, -1), best.copy()  # ahead: best, but infinite where it is done
+        done, lengths = [at], [length]
+        while row_of[at] >= 0:
+            row, ahead[at] = row_of[at], np.inf
             reduced = length + cost[row] - u[row] - v
-            closer = ~done & (reduced < best)
-            best[closer], via[closer] = reduced[closer], at
-            at = int(np.argmin(np.where(done, np.inf, best)))
-            length = best[at]
-            done[at] = True
-            if row_of[at] < 0:
-                break
-            row = row_of[at]
+            reduced[done] = np.inf
+            closer = (reduced < ahead).nonzero()[0]
+            ahead[closer], via[closer] = reduced[closer], at
+            at = int(ahead.argmin())
+            length = ahead[at]
+            done.append(at)
+            lengths.append(length)
+        over = length - np.array(lengths)
         u[new] += length
-        matched = done & (row_of >= 0)
-        u[row_of[matched]] += length - best[matched]
-        v[done] -= length - best[done]
+        u[row_of[done[:-1]]] += over[:-1]
+        v[done] -= over
         while at >= 0:
             before = via[at]
             row_of[at] = row_of[before] if before >= 0 else new

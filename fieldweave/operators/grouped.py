@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame
 Names = Sequence[str]
 
 
+def dealt(df: DataFrame, keys: Names) -> DataFrame:
+    """df by its keys for work in Python, in as many partitions as the session has for shuffles, or three for each core: small rows that take long are not put together in few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def key_groups(batches: Iterator[pa.RecordBatch], keys: Names) -> Iterator[pa.Table]:
     """The rows of each key, which stand together, as one table each; null keys are keys."""
     held = None

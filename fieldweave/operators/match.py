@@ -16,6 +16,7 @@ from ..functions.geometry import overlap, shape_change
 from ..kernels.alignment import least_cost, listed_path
 from ..kernels.assignment import assign_listed
 from ..kernels.linking import chains, paired_in_order
+from ..sinks.lineage import settled
 from .aggregate import tracklet_summary
 from .grouped import mapped_groups
 from .joins import following_within, looking_ahead
@@ -190,6 +191,7 @@ def gap_candidates(tracks: DataFrame, keys: Names, *, most_gap: float, speed: fl
     cells = tracks.select(*keys, "track_id", F.posexplode("appearance").alias("d", "v")).groupBy(*keys, "track_id", "d").agg(F.median("v").alias("v"))
     looks = cells.groupBy(*keys, "track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("look"))
     whole = ends.join(looks, [*keys, "track_id"], "left").withColumn("start", F.col("first.video_timestamp")).withColumn("end", F.col("last.video_timestamp"))
+    whole = settled(whole)  # both sides of the join
     pairs = following_within(whole, whole, keys, "end", "start", most_gap)
     same = (F.col("l_team") == "unknown") | (F.col("r_team") == "unknown") | (F.col("l_team") == F.col("r_team"))
     go = lambda c, v: F.col(f"l_last.{c}") + F.coalesce(F.col(f"l_last.{v}"), F.lit(0.0)) * F.col("gap")
@@ -226,10 +228,12 @@ CHAIN = {"most_gap": 2.5, "speed": 11.0, "slack": 2.0, "appearance_weight": 0.5,
 
 
 def relinked(tracks: DataFrame, keys: Names, **gates) -> DataFrame:
+    tracks = settled(tracks)
     return linked(tracks, gap_candidates(tracks, keys, **{**RELINK, **gates}), keys)
 
 
 def chained(tracks: DataFrame, keys: Names, **gates) -> DataFrame:
+    tracks = settled(tracks)
     return linked(tracks, gap_candidates(tracks, keys, **{**CHAIN, **gates}), keys)
 
 

@@ -25,8 +25,9 @@ def estimated_windows(scout: DataFrame, clips: DataFrame, options: actions.Activ
 
 
 def scouted(valid: DataFrame, clips: DataFrame, options: TrackerOptions = TrackerOptions()) -> DataFrame:
-    """Tracks without an anchor, with what makes them reliable."""
+    """Places and speeds of tracks without an anchor, with what makes them reliable."""
     rows = tracking.tracked(tracking.colour_clusters(valid, "clip_id"), "clip_id", options, angle="angle")
+    rows = settled(rows.select("clip_id", "track_id", "video_timestamp", "field_x", "field_y", "speed"))
     cover = aggregate.track_coverage(rows, CLIP, "track_id", "video_timestamp")
     return rows.join(cover.select("clip_id", "track_id", F.col("reliable").alias("track_reliable")), ["clip_id", "track_id"])
 
@@ -50,8 +51,8 @@ def reconstructed(projection: DataFrame, clips: DataFrame, options: TrackerOptio
     anchored = tracking.colour_clusters(valid, "clip_id", snaps.withColumnRenamed("snap_s", "anchor_s"))
     rows = tracking.tracked(anchored, "clip_id", options, angle="angle").withColumn("appearance", scaled())
     boxes = {"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1")} if set(tracking.BOX) <= set(rows.columns) else {c: F.lit(None).cast("double") for c in ("width", "height")}
-    rows = settled(match.relinked(settled(rows.withColumns(boxes)), CLIP))
-    rows = settled(tracking.resolved_teams(settled(match.chained(rows, CLIP)), "clip_id", snaps))
+    rows = match.chained(match.relinked(rows.withColumns(boxes), CLIP), CLIP)
+    rows = tracking.resolved_teams(rows, "clip_id", snaps)
     return tracking.with_roster(rows, "clip_id", snaps).drop("width", "height", "angle").join(snaps, "clip_id", "left")
 
 

@@ -2,7 +2,9 @@
 
 import duckdb
 import pandas as pd
+import pytest
 
+from fieldweave.operators import match, tracking
 from fieldweave.queries.registry import QUERIES, SQL
 
 
@@ -31,3 +33,19 @@ def test_names_of_tags_end_beside_letters_beyond_ascii(spark, tmp_path):
     found = by_spark(spark, "html_items", tmp_path)
     assert [r[2] for r in sorted(found)] == ["a", "b", "d e", "v"]
     assert sorted(found) == sorted(by_sql("html_items", tmp_path, "pages"))
+
+
+@pytest.mark.parametrize("operator", [lambda t: tracking.with_roster(t, "clip_id"), lambda t: match.chained(match.relinked(t, ["clip_id"]), ["clip_id"])])
+def test_tracks_are_made_once(spark, operator):
+    """What makes the tracks may take long: an operator that reads them several times keeps them."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def made(parts):
+        for part in parts:
+            taken.add(len(part))
+            yield part
+
+    rows = [("c", f"t{i % 3}", i / 10, float(i), 5.0, 0.1, 0.0, 0.1, "team_0", "player", False, 0.9, 1.0, 2.0, [0.5]) for i in range(30)]
+    schema = "clip_id string, track_id string, video_timestamp double, field_x double, field_y double, vx double, vy double, speed double, team string, person_role string, crowd_burst boolean, confidence double, width double, height double, appearance array<double>"
+    assert operator(spark.createDataFrame(rows, schema).mapInPandas(made, schema)).count() == 30
+    assert taken.value == 30
