@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 Names = Sequence[str]
 
 
-def dealt(df: DataFrame, keys: Names) -> DataFrame:
-    """df by its keys for work in Python, in as many partitions as the session has for shuffles, or three for each core: small rows that take long are not put together in few tasks."""
+def dealt(df: DataFrame, keys: Names, each: int | None = None) -> DataFrame:
+    """df by its keys, in as many partitions as the session has for shuffles, or three for each core: small rows that take long in Python are not put together in few tasks.
+
+    each: in so many more that about so many rows go to one, whatever the table's size, so that a task's memory doesn't grow with it.
+    """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(max(parts, -(-df.count() // each)) if each else parts, *keys)
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], keys: Names) -> Iterator[pa.Table]:

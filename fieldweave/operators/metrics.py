@@ -16,6 +16,7 @@ from ..kernels import projective
 from ..kernels.assignment import assign_listed
 from ..sinks.lineage import settled
 from . import aggregate, joins
+from .grouped import dealt
 from .match import frame_pairs, match_by_team, optimal_pairs
 
 Names = Sequence[str]
@@ -57,38 +58,55 @@ def soft_alignment(truth: DataFrame, tracks: DataFrame, keys: Names, frame: str,
     return pairs, whole.withColumn("alignment", score)
 
 
+HOTA = ["HOTA", "DetA", "AssA", "DetRe", "DetPr", "AssRe", "AssPr", "LocA"]
+
+
+def _thresholds(t: pd.DataFrame, p: pd.DataFrame, frame: str, tau: float) -> np.ndarray:
+    """The means of HOTA's scores over all thresholds for one key's truth and tracks, neither of them empty."""
+    (label, labels), (track, tracks) = pd.factorize(t["label"], sort=True), pd.factorize(p["track_id"], sort=True)
+    gt_n, pr_n = np.bincount(label, minlength=len(labels)), np.bincount(track, minlength=len(tracks))
+    a = pd.DataFrame({"f": t[frame], "label": label, "x": t["x"], "y": t["y"]}).dropna(subset=["f"])
+    b = pd.DataFrame({"f": p[frame], "track": track, "u": p["field_x"], "v": p["field_y"]}).dropna(subset=["f"])
+    pairs = a.merge(b, on="f").sort_values(["f", "label", "track"], kind="stable")
+    number, l, r = pd.factorize(pairs["f"])[0], pairs["label"].to_numpy(), pairs["track"].to_numpy()
+    away = np.hypot(pairs["x"] - pairs["u"], pairs["y"] - pairs["v"]).to_numpy(float)
+    sim = np.exp(np.log(0.05) * away * away / (tau * tau))
+    summed = lambda cell: np.bincount(cell, np.nan_to_num(sim))[cell]
+    whole = summed(number * len(labels) + l) + summed(number * len(tracks) + r) - sim
+    ratio = np.where(whole > EPS, sim / np.where(whole > EPS, whole, 1.0), 0.0)
+    cells, cell = np.unique(l * len(tracks) + r, return_inverse=True)
+    potential, both = np.bincount(cell, ratio, len(cells)), (gt_n[cells // len(tracks)], pr_n[cells % len(tracks)])
+    alignment = potential / np.maximum(both[0] + both[1] - potential, 1e-10)
+    chosen = assign_listed(number, l, r, -alignment[cell] * sim)
+    cell, sim, scores = cell[chosen], sim[chosen], []
+    for alpha in ALPHAS:
+        met = sim >= alpha - EPS
+        m, tp = np.bincount(cell[met], minlength=len(cells)).astype(float), int(met.sum())
+        ass, re, pr = (float((m * m / np.maximum(n, 1)).sum()) / max(tp, 1) for n in (both[0] + both[1] - m, *both))
+        det = tp / max(len(t) + len(p) - tp, 1)
+        scores.append((np.sqrt(det * ass), det, ass, tp / max(len(t), 1), tp / max(len(p), 1), re, pr, max(float(sim[met].sum()), 1e-10) / max(tp, 1e-10)))
+    return np.mean(scores, axis=0)
+
+
 def hota(truth: DataFrame, tracks: DataFrame, keys: Names, frame: str = "frame_id", tau: float = 2.5) -> DataFrame:
     """HOTA, DetA, AssA, DetRe, DetPr, AssRe, AssPr and LocA of each key, as means over 19 thresholds, and counts.
 
     truth has label and x, y; tracks has track_id and field_x, field_y, one row for each and frame. Keys that
     only one side has score 0. Frames are matched over all their pairs; a matched pair counts at the
-    thresholds that its similarity reaches.
+    thresholds that its similarity reaches. A key's rows, those of one clip, meet in one task, and pairs are made there alone.
     """
+    if tau <= 0:
+        raise ValueError("tau must be positive")
     keys = list(keys)
-    pairs, whole = soft_alignment(truth, tracks, keys, frame, tau)
-    whole = settled(whole)  # read twice, and what it is made of once more
-    scored = pairs.select(*keys, frame, "label", "track_id", "sim").join(whole.select(*keys, "label", "track_id", "alignment"), [*keys, "label", "track_id"])
-    chosen = optimal_pairs(scored.withColumn("cost", -F.col("alignment") * F.col("sim")), keys, [frame], "label", "track_id", "cost", carry=["sim"])
-    at = chosen.select("*", F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha")).filter(F.col("sim") >= F.col("alpha") - EPS)
-    n = truth.groupBy(*keys).agg(F.count("*").alias("gt_dets")).join(tracks.groupBy(*keys).agg(F.count("*").alias("pr_dets")), keys, "full").fillna(0, ["gt_dets", "pr_dets"])
-    grid = n.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    together = at.groupBy(*keys, "alpha", "label", "track_id").agg(F.count("*").alias("m"), F.sum("sim").alias("s")).join(whole.select(*keys, "label", "track_id", "gt_n", "pr_n"), [*keys, "label", "track_id"])
-    m = F.col("m")
-    sums = together.groupBy(*keys, "alpha").agg(
-        F.sum("m").alias("tp"), F.sum("s").alias("loc"), F.sum(m * m / F.greatest(F.col("gt_n") + F.col("pr_n") - m, F.lit(1))).alias("ass"),
-        F.sum(m * m / F.greatest("gt_n", F.lit(1))).alias("re"), F.sum(m * m / F.greatest("pr_n", F.lit(1))).alias("pr"),
-    )
-    each = grid.join(sums, [*keys, "alpha"], "left").fillna(0, ["tp"]).fillna(0.0, ["loc", "ass", "re", "pr"])
-    one, tp = F.lit(1), F.col("tp")
-    each = each.withColumns({
-        "AssA": F.col("ass") / F.greatest(tp, one), "AssRe": F.col("re") / F.greatest(tp, one), "AssPr": F.col("pr") / F.greatest(tp, one),
-        "DetA": tp / F.greatest(F.col("gt_dets") + F.col("pr_dets") - tp, one), "DetRe": tp / F.greatest(F.col("gt_dets"), one), "DetPr": tp / F.greatest(F.col("pr_dets"), one),
-        "LocA": F.greatest(F.col("loc"), F.lit(1e-10)) / F.greatest(tp.cast("double"), F.lit(1e-10)),
-    })
-    names = ["HOTA", "DetA", "AssA", "DetRe", "DetPr", "AssRe", "AssPr", "LocA"]
-    empty = (F.col("gt_dets") == 0) | (F.col("pr_dets") == 0)
-    out = each.withColumn("HOTA", F.sqrt(F.col("DetA") * F.col("AssA"))).groupBy(*keys, "gt_dets", "pr_dets").agg(*[F.avg(x).alias(x) for x in names])
-    return out.withColumns({x: F.when(empty, 0.0).otherwise(F.col(x)) for x in names})
+    a, b = truth.select(*keys, frame, "label", "x", "y"), tracks.select(*keys, frame, "track_id", "field_x", "field_y")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema if f.name in keys), "gt_dets long", "pr_dets long", *(f"{c} double" for c in HOTA)])
+
+    def score(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        found = _thresholds(t, p, frame, tau) if len(t) and len(p) else np.zeros(len(HOTA))
+        first = t if len(t) else p
+        return pd.DataFrame([(*(first[k].iloc[0] for k in keys), len(t), len(p), *found)], columns=[*keys, "gt_dets", "pr_dets", *HOTA])
+
+    return dealt(a, keys).groupBy(*keys).cogroup(dealt(b, keys).groupBy(*keys)).applyInPandas(score, schema)
 
 
 def combined(scores: DataFrame, metrics: Names) -> DataFrame:
