@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fieldweave.operators import match, tracking
+from fieldweave.operators import aggregate, match, metrics, tracking
 from fieldweave.queries.registry import QUERIES, SQL
 
 
@@ -49,3 +49,22 @@ def test_tracks_are_made_once(spark, operator):
     schema = "clip_id string, track_id string, video_timestamp double, field_x double, field_y double, vx double, vy double, speed double, team string, person_role string, crowd_burst boolean, confidence double, width double, height double, appearance array<double>"
     assert operator(spark.createDataFrame(rows, schema).mapInPandas(made, schema)).count() == 30
     assert taken.value == 30
+
+
+def test_union_of_intervals_takes_more_tasks_as_rows_grow(spark):
+    """A task holds about half a million rows, however many there are."""
+    rows = spark.range(16_000_000).selectExpr("id % 4000000 as k", "id div 4000000 * 2.0D as a", "id div 4000000 * 2.0D + 1.5D as b")
+    found = aggregate.covered_length(rows, ["k"], "a", "b")
+    assert found.rdd.getNumPartitions() == 32
+    few = aggregate.covered_length(rows.filter("k < 5"), ["k"], "a", "b").collect()
+    assert {(r.k, r.length, r.parts, r.cover) for r in few} == {(k, 6.0, 4, 0.8) for k in range(5)}
+
+
+def test_hota_makes_no_rows_of_pairs(spark):
+    """Pairs of a frame are made in the clip's own task: none is dealt out or sorted as a row."""
+    truth = spark.createDataFrame([("c", f, f"p{i}", float(9 * i), 1.0) for f in range(3) for i in range(4)], "clip_id string, frame_id long, label string, x double, y double")
+    tracks = truth.selectExpr("clip_id", "frame_id", "concat('t', label) as track_id", "x as field_x", "y as field_y")
+    alone = tracks.selectExpr("'d' as clip_id", "frame_id", "track_id", "field_x", "field_y")
+    found = metrics.hota(truth, tracks.unionByName(alone), ["clip_id"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.clip_id, r.gt_dets, r.pr_dets, r.HOTA, r.AssA) for r in found.collect()} == {("c", 12, 12, 1.0, 1.0), ("d", 0, 12, 0.0, 0.0)}
