@@ -49,12 +49,33 @@ def least_cost(rows: np.ndarray, columns: np.ndarray, scale: float, skip_row: fl
     return float(total[-1])
 
 
-def listed_path(n: int, m: int, row: np.ndarray, column: np.ndarray, cost: np.ndarray, skip_row: float, skip_column: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cost) of the steps of align()'s path, -1 for what a step skips, where only listed cells can match.
+#: Places of a matrix up to which plain numbers are faster than arrays of a diagonal's.
+FEW_PLACES = 600
 
-    A diagonal of places is worked out at once, with the additions and the order of choices of align(), so that ties come
-    out the same. A byte for each place is all that is held of the matrix.
-    """
+
+def _short_steps(n: int, m: int, price: dict[tuple[int, int], float], skip_row: float, skip_column: float) -> list[list[int]]:
+    """The step into each place: 1 a match, 2 a missing row, 3 an extra column."""
+    total = [0.0]
+    for _ in range(m):
+        total.append(total[-1] + skip_column)
+    steps = [[0] + [3] * m]
+    for i in range(n):
+        line, kinds = [total[0] + skip_row], [2]
+        for j in range(m):
+            kind, best, match = 2, total[j + 1] + skip_row, price.get((i, j))
+            if match is not None and total[j] + match <= best:
+                kind, best = 1, total[j] + match
+            extra = line[j] + skip_column
+            if extra < best:
+                kind, best = 3, extra
+            line.append(best)
+            kinds.append(kind)
+        total = line
+        steps.append(kinds)
+    return steps
+
+
+def _diagonal_steps(n: int, m: int, row: np.ndarray, column: np.ndarray, cost: np.ndarray, skip_row: float, skip_column: float) -> np.ndarray:
     order = np.argsort(row + column, kind="stable")
     row, column, cost = row[order], column[order], cost[order]
     starts = np.searchsorted(row + column, np.arange(n + m + 2))
@@ -78,10 +99,20 @@ def listed_path(n: int, m: int, row: np.ndarray, column: np.ndarray, cost: np.nd
         step[i, d - i] = kind
         before, last = last, np.full(n + 1, np.inf)
         last[i] = total
+    return step
+
+
+def listed_path(n: int, m: int, row: np.ndarray, column: np.ndarray, cost: np.ndarray, skip_row: float, skip_column: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cost) of the steps of align()'s path, -1 for what a step skips, where only listed cells can match.
+
+    Short sequences are worked out place by place. Else a diagonal of places is worked out at once, with the additions and the order of choices of align(), so that ties come
+    out the same. A byte for each place is all that is held of the matrix.
+    """
     price = dict(zip(zip(row.tolist(), column.tolist()), cost.tolist()))
+    steps = _short_steps(n, m, price, skip_row, skip_column) if (n + 1) * (m + 1) <= FEW_PLACES else _diagonal_steps(n, m, row, column, cost, skip_row, skip_column)
     out, i, j = [], n, m
     while i or j:
-        kind = step[i, j]
+        kind = steps[i][j]
         i, j = i - (kind != 3), j - (kind != 2)
         out.append((i, j, price[i, j]) if kind == 1 else (i, -1, skip_row) if kind == 2 else (-1, j, skip_column))
     rows, columns, prices = zip(*out[::-1]) if out else ((), (), ())

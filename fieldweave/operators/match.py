@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +81,9 @@ def aligned(left: DataFrame, right: DataFrame, costs: DataFrame, keys: Names, sk
     rows = sizes.unionByName(listed, allowMissingColumns=True)
 
     def solve(part: pa.Table) -> dict[str, pa.Array]:
-        n, m = (int(pc.max(part.column(c)).as_py()) for c in "nm")
-        known = part.filter(pc.is_valid(part.column("cost")))
-        i, j, price = listed_path(n, m, *(known.column(c).to_numpy() for c in ("i", "j", "cost")), skip_left, skip_right)
+        n, m, i, j, price = (part.column(c).to_numpy() for c in ("n", "m", "i", "j", "cost"))  # null is NaN
+        known = ~np.isnan(price)
+        i, j, price = listed_path(int(np.nanmax(n)), int(np.nanmax(m)), i[known].astype(int), j[known].astype(int), price[known], skip_left, skip_right)
         kind = np.array(["match", "extra", "missing"], object)[np.where(i < 0, 1, np.where(j < 0, 2, 0))]
         masked = lambda v: pa.array(v.astype(np.int32), mask=v < 0)
         status = np.where((i >= 0) & (j >= 0) & (price <= sure), "candidate", "review")

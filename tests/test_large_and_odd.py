@@ -1,9 +1,11 @@
 """Queries on odd values and at shapes that once went wrong, against their SQL or against plain versions."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
+from fieldweave.kernels import alignment
 from fieldweave.operators import aggregate, match, metrics, tracking
 from fieldweave.queries.registry import QUERIES, SQL
 
@@ -68,3 +70,18 @@ def test_hota_makes_no_rows_of_pairs(spark):
     found = metrics.hota(truth, tracks.unionByName(alone), ["clip_id"])
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.clip_id, r.gt_dets, r.pr_dets, r.HOTA, r.AssA) for r in found.collect()} == {("c", 12, 12, 1.0, 1.0), ("d", 0, 12, 0.0, 0.0)}
+
+
+def test_short_sequences_are_aligned_without_diagonals(monkeypatch):
+    """Short games take plain numbers, and every step is that of the diagonals, of ties too."""
+    rng, games = np.random.default_rng(5), []
+    for _ in range(200):
+        n, m = rng.integers(0, 14, 2)
+        row, column = np.nonzero(rng.random((n, m)) < 0.4)
+        games.append((n, m, row, column, rng.choice([0.2, 0.5, 1.0, 1.1, 2.2], len(row)), 1.1, 1.1))
+    with monkeypatch.context() as m:
+        m.setattr(alignment, "FEW_PLACES", 0)
+        expected = [alignment.listed_path(*g) for g in games]
+    monkeypatch.setattr(alignment, "_diagonal_steps", None)
+    for found, steps in zip(map(lambda g: alignment.listed_path(*g), games), expected):
+        assert all(np.array_equal(a, b) for a, b in zip(found, steps))
