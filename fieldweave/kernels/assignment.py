@@ -20,7 +20,13 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, m = cost.shape
     u, v = np.zeros(n), np.zeros(m)
     row_of = np.full(m, -1)
-    for new in range(n):
+    # Up to the first row that doesn't, all find the cheapest column free, and no potential of a column has changed.
+    cheapest = cost.argmin(axis=1).tolist()
+    if len(set(cheapest)) == n:
+        return np.arange(n), np.array(cheapest)
+    taken = next(i for i in range(1, n) if cheapest[i] in cheapest[:i])
+    u[:taken], row_of[cheapest[:taken]] = cost[np.arange(taken), cheapest[:taken]], np.arange(taken)
+    for new in range(taken, n):
         best = cost[new] - v
         at = int(best.argmin())
         length = best[at]

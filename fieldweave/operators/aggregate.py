@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks.lineage import written
-from .grouped import dealt
+from .grouped import dealt, mapped_groups
 from .ranks import deviating, exact_quantiles, joined, least_of_each, with_quantiles
 from .sequence import interpolated
 
@@ -123,6 +126,38 @@ def median_vector(df: DataFrame, keys: Names, vector: str, out: str = "vector")
     return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(out))
 
 
+def middle_rows(lists: pa.ListArray) -> list[float | None]:
+    """The median of each place of the lists, of those that have a value there; NaN is the greatest value."""
+    sizes, values = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+    if not lists.null_count and not values.null_count and len(sizes) and (sizes == sizes[0]).all():
+        whole = np.sort(values.to_numpy().astype(float).reshape(len(lists), -1), axis=0)
+        low, high = whole[(len(whole) - 1) // 2], whole[len(whole) // 2]
+        return np.where(low == high, low, 0.5 * low + 0.5 * high).tolist()
+    found, rows = [], lists.to_pylist()
+    for i in range(max((len(r) for r in rows if r is not None), default=0)):
+        column = np.sort(np.array([r[i] for r in rows if r is not None and i < len(r) and r[i] is not None], float))
+        found.append(None if not len(column) else float(0.5 * column[(len(column) - 1) // 2] + 0.5 * column[len(column) // 2]))
+    return found
+
+
+def middle_vectors(df: DataFrame, keys: Names, track: str, vector: str, out: str = "vector") -> DataFrame:
+    """median_vector() for each track of each key, where a key's rows are few, as those of a clip: they are one task's, and no value of a vector is a row."""
+
+    def run(part: pa.Table) -> dict[str, pa.Array]:
+        name, lists = part.column(track).combine_chunks(), part.column(vector).combine_chunks()
+        code = pc.dictionary_encode(name, null_encoding="encode")
+        order = np.argsort(code.indices.to_numpy(), kind="stable")
+        own = code.indices.to_numpy()[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        lists = lists.take(pa.array(order))
+        middles = [middle_rows(lists.slice(a, b - a)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)])]
+        there = [i for i, m in enumerate(middles) if m]
+        return {track: code.dictionary.take(pa.array(own[starts][there])), out: pa.array([middles[i] for i in there], pa.list_(pa.float64()))}
+
+    kind = df.schema[track].dataType.simpleString()
+    return mapped_groups(df.select(*keys, track, vector), keys, run, f"{track} {kind}, {out} array<double>")
+
+
 def tracklet_summary(df: DataFrame, keys: Names, track: str, at: str, columns: Names, team: str) -> DataFrame:
     """First and last row, number of rows and modal known team of each track."""
     row = F.struct(at, *columns)

@@ -42,6 +42,25 @@ def key_groups(batches: Iterator[pa.RecordBatch], keys: Names) -> Iterator[pa.Ta
         yield held
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed in its parts, as in the schema of a result."""
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, _nullable(kind.item_type))
+    return pa.struct([(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
+def table_groups(df: DataFrame, keys: Names, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run over the rows of each key as a table, dealt(); columns that it hands on stay as they are, without a Python value for each."""
+
+    def task(part: pa.Table) -> pa.Table:
+        made = run(part)
+        return made.cast(pa.schema([(f.name, _nullable(f.type)) for f in made.schema]))
+
+    return dealt(df, keys).groupBy(*keys).applyInArrow(task, schema)
+
+
 def mapped_groups(df: DataFrame, keys: Names, run: Callable[[pa.Table], dict[str, pa.Array]], made: str, order: Names = ()) -> DataFrame:
     """keys and the columns `made` that run gives for the rows of each key, sorted by `order`."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys), made])

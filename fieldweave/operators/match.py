@@ -16,7 +16,7 @@ from ..kernels.alignment import least_cost, listed_path
 from ..kernels.assignment import assign_listed
 from ..kernels.linking import chains, paired_in_order
 from ..sinks.lineage import settled
-from .aggregate import tracklet_summary
+from .aggregate import middle_vectors, tracklet_summary
 from .grouped import mapped_groups
 from .joins import following_within, looking_ahead
 
@@ -187,8 +187,7 @@ def gap_candidates(tracks: DataFrame, keys: Names, *, most_gap: float, speed: fl
     """
     columns = ["field_x", "field_y", "vx", "vy", "width", "height"]
     ends = tracklet_summary(tracks, keys, "track_id", "video_timestamp", columns, "team").filter(F.col("n") >= least_rows)
-    cells = tracks.select(*keys, "track_id", F.posexplode("appearance").alias("d", "v")).groupBy(*keys, "track_id", "d").agg(F.median("v").alias("v"))
-    looks = cells.groupBy(*keys, "track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("look"))
+    looks = middle_vectors(tracks, keys, "track_id", "appearance", "look")
     whole = ends.join(looks, [*keys, "track_id"], "left").withColumn("start", F.col("first.video_timestamp")).withColumn("end", F.col("last.video_timestamp"))
     whole = settled(whole)  # both sides of the join
     pairs = following_within(whole, whole, keys, "end", "start", most_gap)

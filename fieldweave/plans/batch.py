@@ -42,7 +42,8 @@ def captured(df: DataFrame, keys: Names, run: Callable[[pd.DataFrame], pd.DataFr
 def _said(error: Exception) -> str:
     """What says best what was wrong: the line with an error's name at its beginning, or the last error that a line names."""
     whole = f"{error}\n{getattr(error, '_stackTrace', None) or ''}"  # what Spark says, and what it says was the cause
-    lines = [x.strip() for x in whole.splitlines() if x.strip()]
+    # Spark may add where it tried a step first, as an exception of its own.
+    lines = [x.strip() for x in whole.splitlines() if x.strip() and "OriginalTryStackTraceException" not in x]
     plain = [x for x in lines if re.match(r"\w*(Error|Exception): ", x)]
     named = [x[m[-1].start() :] for x in reversed(lines) if (m := list(re.finditer(r"\w*(Error|Exception): ", x)))]
     return [*plain, *named, *lines, type(error).__name__][0][:500]
