@@ -227,16 +227,23 @@ def connected(edges: DataFrame, name: str = "components", few: int = FEW_EDGES)
     return labels
 
 
-def _linked(tables: shared.Scratch, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+def _needed(sets: DataFrame, ids: DataFrame, options: NearOptions) -> DataFrame:
+    """The sets of these ids: while the ids are few they go to the sets, so that no others are shuffled."""
+    return sets.join(shared.bounded(ids.distinct(), options.most_broadcast), "id", "left_semi")
+
+
+def _linked(tables: shared.Scratch, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, options: NearOptions) -> DataFrame:
     """Of the pairs (a, b), those of the similarity or more. A leader's set goes to as many places as its pairs need."""
+    similarity = options.similarity
     # The sizes alone rule many pairs out before any set moves; of rows that share an id, all sizes are tried.
     a, b = (sizes.select(F.col("id").alias(x), F.col("least").alias(f"{x}_least"), F.col("most").alias(f"{x}_most")) for x in "ab")
     may = (F.col("a_most") >= similarity * F.col("b_least")) & (F.col("b_most") >= similarity * F.col("a_least"))
     pairs = tables.written(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b"), "near_pairs")
-    crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("places"))
-    left = sets.join(crowd, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.col("elements").alias("x"))
+    crowd = tables.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("places")), "near_leaders")
+    left = sets.join(shared.bounded(crowd, options.most_broadcast), F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.col("elements").alias("x"))
     dealt = pairs.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
-    both = dealt.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(left, ["a", "place"])
+    others = _needed(sets, pairs.select(F.col("b").alias("id")), options)
+    both = dealt.join(others.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(left, ["a", "place"])
     fits = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(fits).filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
@@ -299,7 +306,7 @@ def _stray_lists(tables: shared.Scratch, buckets: DataFrame, labels: DataFrame,
     names = ["band", "key", "id", "label", "stray"]
     as_member = rows.select(*names, F.lit(False).alias("asks"), all_s.alias("sb"), own_m.alias("mb"))
     as_stray = rows.filter("stray").select(*names, F.lit(True).alias("asks"), own_s.alias("sb"), all_m.alias("mb"))
-    sketched = shared.arrow_map(sets.join(rows.select("id").distinct(), "id", "left_semi"), _sketches(options), "id long, sketch binary").dropDuplicates(["id"])
+    sketched = shared.arrow_map(_needed(sets, rows.select("id"), options), _sketches(options), "id long, sketch binary").dropDuplicates(["id"])
     short = reps.select(F.col("doc_id").alias("id"), F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")).dropDuplicates(["id"])
     signed = tables.written(sketched.join(short, "id"), "near_sketches")
     signed = as_member.union(as_stray).join(signed, "id")
@@ -384,7 +391,7 @@ def _stray_links(lists: DataFrame, sets: DataFrame, options: NearOptions) -> Dat
 
     A block holds its askers' sets and meets one member's set after another.
     """
-    joined = lists.join(sets, "id").repartition(*PLACE).sortWithinPartitions(*PLACE, "rank", "id")
+    joined = lists.join(_needed(sets, lists.select("id"), options), "id").repartition(*PLACE).sortWithinPartitions(*PLACE, "rank", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, waiting, askers = None, [], None
@@ -447,11 +454,11 @@ def near_classes(docs: DataFrame, options: NearOptions = NearOptions()) -> DataF
     one = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most")
     split = members.join(one, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b"))
     # The buckets of a class mostly have the same first member by a hash of the id alone, so this makes few pairs.
-    labels = connected(_linked(tables, _led(buckets, F.xxhash64("id")), sets, sizes, options.similarity).union(split), "near_labels")
+    labels = connected(_linked(tables, _led(buckets, F.xxhash64("id")), sets, sizes, options).union(split), "near_labels")
     tables.tables.append(labels)
     # What that left apart meets another first member in each band.
     pairs = _led(buckets, F.xxhash64("id", "band"), labels)
-    labels = _relabelled(tables, labels, _linked(tables, pairs, sets, sizes, options.similarity))
+    labels = _relabelled(tables, labels, _linked(tables, pairs, sets, sizes, options))
     # What is outside of its bucket's largest class even so meets all others of the bucket.
     lists = tables.written(_stray_lists(tables, buckets, labels, reps, sets, options), "near_lists")
     labels = _relabelled(tables, labels, _stray_links(lists, sets, options))

@@ -43,3 +43,17 @@ def test_classes_by_broadcast_and_by_shuffle(spark):
     assert ways[0] == ways[1] and sum(1 for x in ways[0] if not x[3]) >= 20
     plan = D.near_classes(docs, D.NearOptions(most_broadcast=-1))
     assert plan.filter(F.col("class_size") > 1).count() >= 40
+
+
+def test_only_needed_sets_are_shuffled(spark):
+    sets = spark.createDataFrame([(i, [i, i + 1]) for i in range(40)], "id long, elements array<long>")
+    ids = spark.createDataFrame([(i % 7,) for i in range(30)], "id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, broadcast in ((100, True), (-1, False)):
+            got = D._needed(sets, ids, D.NearOptions(most_broadcast=most))
+            assert sorted(r.id for r in got.collect()) == list(range(7))
+            assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
